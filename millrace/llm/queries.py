@@ -65,7 +65,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = pii.train_field(pii.example_table(spark))
     found = pii.find_personal_data(_table(spark, sf_dir, "documents"), field)
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    of_kind = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == F.lit(kind)))
+    counts = [of_kind(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
 
 
