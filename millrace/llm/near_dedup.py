@@ -4,8 +4,9 @@ A document's set holds its distinct word shingles. Documents with equal sets for
 compared. Each class has a signature of the low bits of its minima, packed, and a hash for each band of whole minima.
 A band's bucket is never paired off: its members meet the bucket's pivot, the member that shares most buckets with
 others. Pairs whose similarity, estimated from the bits and corrected for chance agreement, is far below the
-threshold are dropped; the rest are confirmed on full sets. Members that a pivot doesn't tie into one component meet
-further pivots, and once few pairs are left in all, every pair of a bucket that lies in different components.
+threshold are dropped; the rest are confirmed on full sets. Members of a bucket that are still in different components
+meet its next pivot and then, wherever that leaves any pair of a bucket open, every other one with which they share
+one of their sets' rarest shingles, which no linked pair can do without.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ _A = multipliers(MINIMA, 11)
 _B = multipliers(BANDS, 13)
 _SHINGLE = multipliers(16, 17)
 _PREPARED = "doc long, row long, n long, fp binary, signature binary, bands array<long>"
-#: A bucket with at most so many open pairs for each member is compared pair by pair, others meet two pivots a round;
-#: after so many rounds what is left open anywhere is compared pair by pair.
-REST, ROUNDS = 4, 3
+#: Rounds in which each member meets a pivot; after them pairs are compared one by one, from the buckets if there are
+#: at most so many for each member, else from prefixes of the sets.
+ROUNDS, REST = 2, 4
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -160,6 +161,51 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, over:
     return written(full.select("a", "b", "ta", "tb").mapInArrow(_confirm(k, over, under), "a binary, b binary"), name)
 
 
+def _shares(keyed: DataFrame) -> DataFrame:
+    """Of each key the label with most members and how many pairs of members have different labels, if any."""
+    by_label = keyed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    by_key = by_label.groupBy("key").agg(F.max(F.struct("c", "label")).alias("big"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+    return by_key.select("key", F.col("big.label").alias("big"), ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("open")).filter("open > 0")
+
+
+def _cross(keyed: DataFrame, shares: DataFrame, fits=None) -> DataFrame:
+    """Pairs (a, b) of members of a key with different labels: those outside the largest label against all."""
+    few = keyed.join(shares.select("key", "big"), "key")
+    minor = few.filter(F.col("label") != F.col("big")).select("key", *(F.col(c).alias(f"{c}_") for c in few.columns if c not in ("key", "big")))
+    pairs = minor.join(few, "key").filter((F.col("label") != F.col("label_")) & ((F.col("label") == F.col("big")) | (F.col("fp_") < F.col("fp"))))
+    if fits is not None:
+        pairs = pairs.filter(fits)
+    return pairs.select(F.least("fp", "fp_").alias("a"), F.greatest("fp", "fp_").alias("b")).distinct()
+
+
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(hashes.of(words_of(t)), k).view(np.int64) for t in as_bytes(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["fp"], pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+    return run
+
+
+def _prefixes(members: DataFrame, texts: DataFrame, k: int, over: int, under: int) -> DataFrame:
+    """(key, fp, label, n) for the rarest shingles of each member's set, so many that linked sets share one.
+
+    Of two sets with at least the threshold's similarity, each has its least shingles, in any one order of all, among
+    the first n - ceil(threshold * n) + 1 in common with the other's. Rare ones first keeps the lists of a shingle
+    short; one that a single member has links nothing.
+    """
+    sets = texts.join(members, "fp").select("fp", "label", "text")
+    own = sets.select("fp", "text").mapInArrow(_sets(k), "fp binary, shingles array<long>").join(members, "fp")
+    each = own.select("fp", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    each = written(each, "shingles")
+    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
+    ranked = each.join(counts, "key").groupBy("fp", "label", "n").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("order"))
+    size = F.col("n") - F.ceil(F.lit(over) * F.col("n") / F.lit(under)).cast("int") + 1
+    first = ranked.select("fp", "label", "n", F.explode(F.slice("order", F.lit(1), size)).alias("x"))
+    return first.filter("x.f > 1").select(F.col("x.key").alias("key"), "fp", "label", "n")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, under: int = 100) -> DataFrame:
     """One row per document: doc_id, row, n_shingles, component_id, keeper.
 
@@ -183,37 +229,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, under: int
     texts = written(source.select("row", "text").dropDuplicates(["row"]).join(wanted, "row").select("fp", "text"), "texts")
 
     links, label_of = None, classes.select(F.col("fp").alias("node"), F.col("fp").alias("label")).limit(0)
+    total = member.count()
     for turn in range(ROUNDS + 1):
         labelled = member.join(label_of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        state = written(labelled.select("bucket", "fp", "score", "label"), "state")
-        by_label = state.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("score", "fp")).alias("top"))
-        buckets = by_label.groupBy("bucket").agg(F.max(F.struct("c", "top", "label")).alias("big"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("squares"))
-        buckets = buckets.withColumn("open", (F.col("all") * F.col("all") - F.col("squares")) / 2).filter("open > 0")
-        last = turn == ROUNDS
-        buckets = written(buckets.withColumn("whole", F.lit(True) if last else F.col("open") <= REST * F.col("all")).select("bucket", "big", "whole"), "open")
-        ways = {r["whole"] for r in buckets.select("whole").distinct().collect()}
-        if not ways:
+        state = written(labelled.select(F.col("bucket").alias("key"), "fp", "score", "label"), "state")
+        shares = written(_shares(state), "open")
+        pairs_left = shares.agg(F.sum("open")).first()[0] or 0
+        if not pairs_left:
             break
-        outside = by_label.join(buckets.filter("not whole"), "bucket").filter(F.col("label") != F.col("big.label"))
-        second = outside.groupBy("bucket").agg(F.max(F.struct("top", "label")).alias("big"))
-        pivots = written(
-            buckets.filter("not whole").select("bucket", F.col("big.top.fp").alias("a"), F.col("big.label").alias("la"))
-            .unionByName(second.select("bucket", F.col("big.top.fp").alias("a"), F.col("big.label").alias("la"))),
-            "pivots",
-        )
-        met = state.join(pivots, "bucket").filter(F.col("label") != F.col("la")).select("a", F.col("fp").alias("b"))
-        few = state.join(buckets.filter("whole"), "bucket")
-        minor = few.filter(F.col("label") != F.col("big.label")).select("bucket", F.col("fp").alias("a"), F.col("label").alias("la"))
-        every = minor.join(few, "bucket").filter((F.col("label") != F.col("la")) & ((F.col("label") == F.col("big.label")) | (F.col("a") < F.col("fp"))))
-        pairs = met.unionByName(every.select("a", F.col("fp").alias("b")))
-        pairs = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
+        state = state.join(shares.select("key"), "key", "left_semi")
+        last = True
+        if pairs_left <= REST * total:
+            pairs = _cross(state, shares)
+        elif turn < ROUNDS:
+            last = False
+            pivots = state.groupBy("key").agg(F.max(F.struct("score", "fp", "label")).alias("p"))
+            met = state.join(pivots, "key").filter(F.col("label") != F.col("p.label"))
+            best = met.groupBy("fp").agg(F.max("p").alias("p")).select("fp", F.col("p.fp").alias("pivot"))
+            pairs = best.select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b")).distinct()
+        else:
+            members = state.select("fp", "label").distinct()
+            keyed = written(_prefixes(members, texts, words, over, under), "prefixes")
+            alike = under * F.least("n", "n_") >= over * F.greatest("n", "n_")
+            pairs = _cross(keyed, _shares(keyed), alike)
         new = _links(pairs, classes, texts, words, over, under, "links")
         links = new if links is None else links.unionByName(new)
         label_of = components(links)
-        if ways == {True}:
+        if last:
             break
-        # What stays: buckets that only met pivots, without those pivots.
-        member = state.join(buckets.filter("not whole").select("bucket"), "bucket", "left_semi").join(pivots.select("bucket", F.col("a").alias("fp")), ["bucket", "fp"], "left_anti").select("bucket", "fp", "score")
+        member = state.select(F.col("key").alias("bucket"), "fp", "score")
 
     of_class = classes.select("fp", "head").join(label_of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     heads = of_class.groupBy("label").agg(F.min("head").alias("keeper"))
