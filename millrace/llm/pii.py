@@ -346,6 +346,7 @@ def find_personal_data(docs: DataFrame, field: Field, carry: tuple[str, ...] = (
 TEMPLATES = (
     "please write to {email} about it", "mail {email} or {email} today", "{email}", "the address {email} was left there", "from {email} on the list",
     "contact {spelled} for more", "email {spelled}", "reach me under {spelled} any time", "write {spelled} please",
+    "write {email} or {spelled} today", "or {spelled} and then", "to {spelled}", "with {spelled} of that",
     "call {phone} now", "phone {phone}", "tel {local} after noon", "the number {phone} is new", "fax {local}", "{phone} and {phone}", "of the {phone} that with", "my number is {local} at home",
     "card {card} was charged", "paid with {card} last week", "the of {card} and the", "{card}", "visa {split} until then", "number {split} on the card", "and {card} in that",
     "host {ip} is down", "from {ip} to {ip}", "the server {ip} said", "{ip}", "of and {ip} was in", "ip {ip}",
