@@ -365,7 +365,7 @@ def example_rows(copies: int = 6, seed: int = 5) -> list[tuple[list[str], list[s
     host = lambda: f"{word()}{num(0, 2)}.{word()}.{rng.choice(['com', 'org', 'net', 'de'])}"
     make = {
         "email": lambda: f"{word()}{rng.choice(['.', '_', ''])}{num(0, 3)}@{host()}",
-        "spelled": lambda: f"{word()} {rng.choice(['at', '(at)', '[at]'])} {word()} {rng.choice(['dot', '(dot)', '[dot]'])} {rng.choice(['com', 'org', 'net'])}",
+        "spelled": lambda: f"{word()} {rng.choice(['at', '(at)', '[at]'])} {rng.choice([word(), word(), 'mail', 'host'])} {rng.choice(['dot', '(dot)', '[dot]'])} {rng.choice(['com', 'org', 'net'])}",
         "phone": lambda: rng.choice([f"+{num(1, 2)} ({num(3, 3)}) {num(3, 3)}-{num(4, 4)}", f"+{num(10, 12)}", f"+{num(2, 2)} {num(3, 3)} {num(7, 7)}", f"+{num(1, 1)}-{num(3, 3)}-{num(3, 3)}-{num(4, 4)}"]),
         "local": lambda: rng.choice([f"({num(3, 3)}) {num(3, 3)}-{num(4, 4)}", f"{num(3, 3)}-{num(3, 3)}-{num(4, 4)}"]),
         "card": lambda: num(16, 16) if rng.random() < 0.8 else num(15, 15),
