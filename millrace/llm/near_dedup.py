@@ -189,11 +189,11 @@ def _sets(k: int):
 
 
 def _prefixes(members: DataFrame, texts: DataFrame, k: int, over: int, under: int) -> DataFrame:
-    """(key, fp, label, n) for the rarest shingles of each member's set, so many that linked sets share one.
+    """(key, fp, label, n, at) for the rarest shingles of each member's set, so many that linked sets share one.
 
     Of two sets with at least the threshold's similarity, each has its least shingles, in any one order of all, among
     the first n - ceil(threshold * n) + 1 in common with the other's. Rare ones first keeps the lists of a shingle
-    short; one that a single member has links nothing.
+    short; one that a single member has links nothing. ``at`` is how many of the set's shingles come before.
     """
     sets = texts.join(members, "fp").select("fp", "label", "text")
     own = sets.select("fp", "text").mapInArrow(_sets(k), "fp binary, shingles array<long>").join(members, "fp")
@@ -202,8 +202,8 @@ def _prefixes(members: DataFrame, texts: DataFrame, k: int, over: int, under: in
     counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
     ranked = each.join(counts, "key").groupBy("fp", "label", "n").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("order"))
     size = F.col("n") - F.ceil(F.lit(over) * F.col("n") / F.lit(under)).cast("int") + 1
-    first = ranked.select("fp", "label", "n", F.explode(F.slice("order", F.lit(1), size)).alias("x"))
-    return first.filter("x.f > 1").select(F.col("x.key").alias("key"), "fp", "label", "n")
+    first = ranked.select("fp", "label", "n", F.posexplode(F.slice("order", F.lit(1), size)).alias("at", "x"))
+    return first.filter("x.f > 1").select(F.col("x.key").alias("key"), "fp", "label", "n", "at")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, under: int = 100) -> DataFrame:
@@ -250,7 +250,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, under: int
         else:
             members = state.select("fp", "label").distinct()
             keyed = written(_prefixes(members, texts, words, over, under), "prefixes")
-            alike = under * F.least("n", "n_") >= over * F.greatest("n", "n_")
+            # Nothing before the first shingle that two sets share is in both, which bounds what they can have in common.
+            common = F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_"))
+            alike = (under + over) * common >= over * (F.col("n") + F.col("n_"))
             pairs = _cross(keyed, _shares(keyed), alike)
         new = _links(pairs, classes, texts, words, over, under, "links")
         links = new if links is None else links.unionByName(new)
