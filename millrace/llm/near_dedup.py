@@ -33,6 +33,8 @@ _PREPARED = "doc long, row long, n long, fp binary, signature binary, bands arra
 #: Rounds in which each member meets a pivot; after them pairs are compared one by one, from the buckets if there are
 #: at most so many for each member, else from prefixes of the sets.
 ROUNDS, REST = 2, 4
+#: Cells in which the shingles of open members are counted: 2 MB to each executor at any input.
+CELLS = 1 << 19
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -178,12 +180,35 @@ def _cross(keyed: DataFrame, shares: DataFrame, fits=None) -> DataFrame:
     return pairs.select(F.least("fp", "fp_").alias("a"), F.greatest("fp", "fp_").alias("b")).distinct()
 
 
-def _sets(k: int):
+def _counts(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, count = WordHashes(), np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for text in as_bytes(batch["text"]):
+                np.add.at(count, _cell(shingle_set(hashes.of(words_of(text)), k)), 1)
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["cell", "c"])
+
+    return run
+
+
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def _rarest(k: int, over: int, under: int, counts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, count = WordHashes(), counts.value
         for batch in batches:
-            sets = [shingle_set(hashes.of(words_of(t)), k).view(np.int64) for t in as_bytes(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["fp"], pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+            sizes, keys, places = [], [], []
+            for text in as_bytes(batch["text"]):
+                s = shingle_set(hashes.of(words_of(text)), k)
+                n, c = len(s), count[_cell(s)]
+                order = np.lexsort((s, c))[: n + (-over * n // under) + 1]
+                at = np.flatnonzero(c[order] > 1)
+                sizes.append(n), keys.append(s[order[at]].view(np.int64)), places.append(at)
+            columns = [batch["fp"], batch["label"], pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["fp", "label", "n", "keys", "places"])
 
     return run
 
@@ -193,17 +218,18 @@ def _prefixes(members: DataFrame, texts: DataFrame, k: int, over: int, under: in
 
     Of two sets with at least the threshold's similarity, each has its least shingles, in any one order of all, among
     the first n - ceil(threshold * n) + 1 in common with the other's. Rare ones first keeps the lists of a shingle
-    short; one that a single member has links nothing. ``at`` is how many of the set's shingles come before.
+    short; one that a single member has links nothing. ``at`` is how many of the set's shingles come before. How rare
+    a shingle is, is counted over all members in a table of ``CELLS`` cells, the same size for any input; shingles that
+    share a cell count as more frequent than they are, which costs some pruning and no link.
     """
-    sets = texts.join(members, "fp").select("fp", "label", "text")
-    own = sets.select("fp", "text").mapInArrow(_sets(k), "fp binary, shingles array<long>").join(members, "fp")
-    each = own.select("fp", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
-    each = written(each, "shingles")
-    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
-    ranked = each.join(counts, "key").groupBy("fp", "label", "n").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("order"))
-    size = F.col("n") - F.ceil(F.lit(over) * F.col("n") / F.lit(under)).cast("int") + 1
-    first = ranked.select("fp", "label", "n", F.posexplode(F.slice("order", F.lit(1), size)).alias("at", "x"))
-    return first.filter("x.f > 1").select(F.col("x.key").alias("key"), "fp", "label", "n", "at")
+    sets = written(texts.join(members, "fp").select("fp", "label", "text"), "open-texts")
+    cells = sets.select("text").mapInArrow(_counts(k), "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
+    table = np.zeros(CELLS, np.int64)
+    table[cells["cell"].to_numpy()] = cells["c"].to_numpy()
+    counts = sets.sparkSession.sparkContext.broadcast(np.minimum(table, 0xFFFFFFFF).astype(np.uint32))
+    found = sets.mapInArrow(_rarest(k, over, under, counts), "fp binary, label binary, n long, keys array<long>, places array<long>")
+    each = found.select("fp", "label", "n", F.explode(F.arrays_zip("keys", "places")).alias("x"))
+    return each.select(F.col("x.keys").alias("key"), "fp", "label", "n", F.col("x.places").alias("at"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, under: int = 100) -> DataFrame:
@@ -237,9 +263,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, under: int
         pairs_left = shares.agg(F.sum("open")).first()[0] or 0
         if not pairs_left:
             break
-        state = state.join(shares.select("key"), "key", "left_semi")
+        few = pairs_left <= REST * total
+        if turn and not few:
+            state = written(state.join(shares.select("key"), "key", "left_semi"), "still-open")
         last = True
-        if pairs_left <= REST * total:
+        if few:
             pairs = _cross(state, shares)
         elif turn < ROUNDS:
             last = False
