@@ -88,6 +88,35 @@ def test_near_group_against_brute_force(spark):
     assert got == {i: find(i) for i in range(len(sets))}
 
 
+def test_prefixes_lose_no_link():
+    """Every linked pair of a group around the threshold shares a prefix shingle that fits the bound on their overlap."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    base = [f"v{i}" for i in range(200)]
+    texts = [" ".join(w if rng.random() > e else f"m{rng.integers(40)}" for w in base[: rng.integers(180, 201)]) for e in rng.uniform(0, 0.05, 150)]
+    batch = pa.RecordBatch.from_pydict({"fp": [str(i).encode() for i in range(150)], "label": [b"x"] * 150, "text": texts})
+    counted = next(near_dedup._counts(3)(iter([batch])))
+    table = np.zeros(near_dedup.CELLS, np.uint32)
+    table[counted["cell"].to_numpy()] = counted["c"].to_numpy()
+    out = next(near_dedup._rarest(3, 85, 100, SimpleNamespace(value=table))(iter([batch]))).to_pydict()
+    sets = [set(near_dedup.shingle_set(near_dedup.WordHashes().of(t.encode().split()), 3).tolist()) for t in texts]
+    assert out["n"] == [len(s) for s in sets]
+    prefix = [dict(zip(k, a, strict=True)) for k, a in zip(out["keys"], out["places"], strict=True)]
+    linked = missed = 0
+    for i in range(150):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                linked += 1
+                both = prefix[i].keys() & prefix[j].keys()
+                n, m = len(sets[i]), len(sets[j])
+                missed += not any(185 * min(n - prefix[i][k], m - prefix[j][k]) >= 85 * (n + m) for k in both)
+    assert linked > 100
+    assert missed == 0
+
+
 def test_decontamination(spark, empty):
     item = " ".join(f"t{i}" for i in range(30))
     words = item.split()
