@@ -23,7 +23,7 @@ from .common import as_bytes, row_key, written
 #: What is stripped from both ends of a line's key.
 SPACES = b" \t\n\x0b\x0c\r"
 _LINES = "row long, doc long, pos int, h long"
-_FOUND = "kind int, h long, row long, pos int, first boolean, n long"
+_FOUND = "kind int, h long, row long, doc long, pos int, first boolean, n long"
 DROP, MAYBE, COUNT = 0, 1, 2
 
 
@@ -57,8 +57,8 @@ def _stream(least_docs: int):
             if h is None:
                 return
             if edge:
-                out.append((COUNT, h, None, None, None, docs))
-                out.extend((MAYBE, h, r, p, f, None) for r, p, f in waiting)
+                out.append((COUNT, h, None, None, None, None, docs))
+                out.extend((MAYBE, h, *x, None) for x in waiting)
 
         for batch in batches:
             hs, ds, rs, ps = (batch[c].to_numpy(zero_copy_only=False) for c in ("h", "doc", "row", "pos"))
@@ -79,13 +79,13 @@ def _stream(least_docs: int):
                     is_first = (rs[i], ps[i]) == first
                     if docs >= least_docs and not at_edge:
                         if waiting:
-                            out.extend((DROP, h, r, p, f, None) for r, p, f in waiting)
+                            out.extend((DROP, h, *x, None) for x in waiting)
                             waiting = []
-                        out.append((DROP, h, int(rs[i]), int(ps[i]), is_first, None))
+                        out.append((DROP, h, int(rs[i]), int(ds[i]), int(ps[i]), is_first, None))
                     else:
-                        waiting.append((int(rs[i]), int(ps[i]), is_first))
+                        waiting.append((int(rs[i]), int(ds[i]), int(ps[i]), is_first))
                     if len(waiting) >= 10_000 and at_edge:
-                        out.extend((MAYBE, h, r, p, f, None) for r, p, f in waiting)
+                        out.extend((MAYBE, h, *x, None) for x in waiting)
                         waiting = []
                 if len(out) > 20_000:
                     yield _batch(out)
@@ -98,9 +98,9 @@ def _stream(least_docs: int):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
-    cols = list(zip(*rows, strict=True)) or [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "h", "row", "pos", "first", "n"])
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
+    cols = list(zip(*rows, strict=True)) or [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "h", "row", "doc", "pos", "first", "n"])
 
 
 def dropped_lines(docs: DataFrame, least_docs: int = 10, least_points: int = 1, keep: str = "none") -> DataFrame:
@@ -114,14 +114,15 @@ def dropped_lines(docs: DataFrame, least_docs: int = 10, least_points: int = 1,
     lines = source.mapInArrow(_lines(least_points), _LINES)
     ordered = lines.repartitionByRange("h", "doc").sortWithinPartitions("h", "doc", "pos", "row")
     found = written(ordered.mapInArrow(_stream(least_docs), _FOUND), "line-runs")
-    # Two counts a partition at most, so the join below is against a small table.
+    # Two counts a partition of the sort at most, whatever the input: both tables of hashes below are small enough to
+    # broadcast, and the lines of a frequent hash stay where they are.
     edges = found.filter(F.col("kind") == COUNT).groupBy("h").agg(F.sum("n").alias("docs")).filter(F.col("docs") >= least_docs)
-    maybe = found.filter(F.col("kind") == MAYBE).join(edges, "h")
+    maybe = found.filter(F.col("kind") == MAYBE).join(F.broadcast(edges), "h")
     sure = found.filter(F.col("kind") == DROP)
     if keep == "first":
         # A hash at an edge has a candidate first line in each of its partitions; the least document's is the first.
-        heads = maybe.filter("first").join(source.select("row", "doc").distinct(), "row").groupBy("h").agg(F.min(F.struct("doc", "pos", "row")).alias("head"))
-        maybe = maybe.join(heads, "h").withColumn("first", (F.col("row") == F.col("head.row")) & (F.col("pos") == F.col("head.pos")))
+        heads = maybe.filter("first").groupBy("h").agg(F.min(F.struct("doc", "pos", "row")).alias("head"))
+        maybe = maybe.join(F.broadcast(heads), "h").withColumn("first", (F.col("row") == F.col("head.row")) & (F.col("pos") == F.col("head.pos")))
         maybe, sure = maybe.filter(~F.col("first")), sure.filter(~F.col("first"))
     return sure.select("row", "pos").unionByName(maybe.select("row", "pos"))
 

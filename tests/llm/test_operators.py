@@ -57,6 +57,17 @@ def test_lines(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_a_hash_over_many_partitions(spark):
+    """One line is in every document, so that its hash fills most partitions of the sort; another is in half of them."""
+    texts = {i: "\n".join(["Common ", f"own {i}", *(["half"] if i % 2 else []), "common"]) for i in range(400)}
+    table = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    none = {r.doc_id: r.kept_text for r in line_dedup.dedup_lines(table, least_docs=10).collect()}
+    assert none == {i: f"own {i}" for i in texts}
+    first = {r.doc_id: r.kept_text for r in line_dedup.dedup_lines(table, least_docs=10, keep="first").collect()}
+    assert first == {i: {0: "Common \nown 0", 1: "own 1\nhalf"}.get(i, f"own {i}") for i in texts}
+    assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(table, least_docs=401).collect()} == dict.fromkeys(texts, 0)
+
+
 def test_near(spark, docs, empty):
     rows = near_dedup.near_duplicates(docs, 3, 85, 100).collect()
     got = {r.doc_id: r.component_id for r in rows}
