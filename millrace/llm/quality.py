@@ -1,7 +1,8 @@
 """Quality rules: text statistics, fixed limits, and robust multivariate outliers, in DataFrame operations only.
 
 The minimum covariance determinant is found per language and source by concentration steps from a median/MAD start:
-keep the ``core`` share of documents nearest to the centre, take their mean and covariance, measure all again.
+keep the ``core`` share of documents nearest to the centre, take their mean and covariance, measure all again. Small
+groups are judged by the estimate of a larger one that holds them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import SPACE_RUN, written
 
 GROUP = ("lang", "source")
+#: What rows share that an estimate is made of: a small group is judged by the first of these that is large enough.
+LEVELS = (GROUP, ("lang",), ("source",), ())
 #: Share of a group's documents in the concentrated core, and the most that is added to each feature's variance, so
 #: that a feature which is constant in the core (no repeated line, say) doesn't reject every other value of it.
 CORE = 0.75
@@ -74,6 +77,28 @@ def _join(stats: DataFrame, groups: DataFrame) -> DataFrame:
     return stats.join(keyed, on[0] & on[1], "left").drop(*(f"__{g}" for g in GROUP))
 
 
+def _models(stats: DataFrame, least_rows: int) -> DataFrame:
+    """lang, source, model and feeds: the estimate a group is judged by, and all those that its rows count towards.
+
+    A group of fewer than ``least_rows`` rows that pass the fixed limits is judged by its language; if that has fewer,
+    by its source; if that has fewer too, by all rows, however many these are.
+    """
+    counts = written(stats.groupBy(*GROUP).agg(F.count_if(~F.col("base_failed")).alias("n")), "mcd-counts")
+    sized = counts
+    for g in GROUP:
+        sums = counts.groupBy(F.col(g).alias(f"__{g}")).agg(F.sum("n").alias(f"n_{g}"))
+        sized = sized.join(sums, F.col(g).eqNullSafe(F.col(f"__{g}"))).drop(f"__{g}")
+    level = F.when(F.col("n") >= least_rows, 0).when(F.col("n_lang") >= least_rows, 1).when(F.col("n_source") >= least_rows, 2).otherwise(3)
+    part = lambda i, g: F.when(F.lit(LEVELS[i].count(g) > 0), F.col(g)).alias(f"__{g}")
+    keys = F.array(*(F.struct(F.lit(i).alias("__level"), *(part(i, g) for g in GROUP)) for i in range(len(LEVELS))))
+    member = written(sized.withColumn("level", level).select(*GROUP, "level", F.inline(keys)), "mcd-members")
+    used = member.filter(F.col("level") == F.col("__level")).select("__level", *(f"__{g}" for g in GROUP)).distinct()
+    used = written(used.select(F.col("__level").alias("level_"), *(F.col(f"__{g}").alias(f"{g}_") for g in GROUP), F.monotonically_increasing_id().alias("model")), "mcd-models")
+    same = (F.col("__level") == F.col("level_")) & F.col("__lang").eqNullSafe(F.col("lang_")) & F.col("__source").eqNullSafe(F.col("source_"))
+    own = F.max(F.when(F.col("level") == F.col("__level"), F.col("model"))).alias("model")
+    return written(member.join(used, same).groupBy(*GROUP).agg(own, F.collect_list("model").alias("feeds")), "mcd-groups")
+
+
 def _cholesky(groups: DataFrame, names: list[str], least: list[float]) -> DataFrame:
     """From means m_i and second moments s_ij to the lower factor l_ij of the covariance."""
     for i in range(len(names)):
@@ -105,27 +130,30 @@ def robust_outliers(stats: DataFrame, steps: int = 3, least_rows: int = 30) -> D
     """Add base_failed, distance2 and kept to a table of ``text_stats`` with lang and source.
 
     Estimates come from all rows of a language and source that pass the fixed limits; null is a value of either. A
-    group of fewer than ``least_rows`` of them rejects nothing by distance (distance2 is null there).
+    group of fewer than ``least_rows`` of them takes that of a parent, see ``_models``. distance2 is null only if no
+    row at all passes the fixed limits.
     """
     feats = features()
     names, least = [n for n, _, _ in feats], [s for _, _, s in feats]
     d = len(names)
     stats = stats.withColumns({n: x for n, x, _ in feats} | {"base_failed": base_failed()})
-    fit = stats.filter(~F.col("base_failed")).select(*GROUP, *names)
-    exprs = [F.count(F.lit(1)).alias("n_fit")] + [F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(names)]
-    medians = written(fit.groupBy(*GROUP).agg(*exprs).filter(F.col("n_fit") >= least_rows).drop("n_fit"), "mcd-medians")
-    mads = _join(fit, medians).filter(F.col("m_0").isNotNull()).groupBy(*GROUP).agg(
+    keyed = _models(stats, least_rows)
+    fit = _join(stats.filter(~F.col("base_failed")).select(*GROUP, *names), keyed.select(*GROUP, "feeds"))
+    fit = written(fit.select(F.explode("feeds").alias("model"), *names), "mcd-fit")
+    medians = written(fit.groupBy("model").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(names))), "mcd-medians")
+    mads = fit.join(medians, "model").groupBy("model").agg(
         *(F.first(f"m_{i}").alias(f"m_{i}") for i in range(d)), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 1000).alias(f"__mad{i}") for i, x in enumerate(names))
     )
     start = {f"l_{i}_{j}": (F.greatest(1.4826 * F.col(f"__mad{i}"), F.lit(least[i])) if i == j else F.lit(0.0)) for i in range(d) for j in range(i + 1)}
     groups = written(mads.withColumns(start).drop(*(f"__mad{i}" for i in range(d))), "mcd-start")
     for step in range(steps):
-        far = _distance(_join(fit, groups).filter(F.col("m_0").isNotNull()), names)
-        edges = written(far.groupBy(*GROUP).agg(F.percentile_approx("distance2", CORE, 1000).alias("edge")), f"mcd-edge-{step}")
-        core = _join(far, edges).filter(F.col("distance2") <= F.col("edge"))
+        far = _distance(fit.join(groups, "model"), names)
+        edges = written(far.groupBy("model").agg(F.percentile_approx("distance2", CORE, 1000).alias("edge")), f"mcd-edge-{step}")
+        core = far.join(edges, "model").filter(F.col("distance2") <= F.col("edge"))
         moments = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(names)] + [F.avg(F.col(names[i]) * F.col(names[j])).alias(f"s_{i}_{j}") for i in range(d) for j in range(i + 1)]
-        groups = written(_cholesky(core.groupBy(*GROUP).agg(*moments), names, least), f"mcd-step-{step}")
-    out = _distance(_join(stats, groups), names).drop(*names)
+        groups = written(_cholesky(core.groupBy("model").agg(*moments), names, least), f"mcd-step-{step}")
+    judged = keyed.select(*GROUP, "model").join(groups, "model", "left").drop("model")
+    out = _distance(_join(stats, judged), names).drop(*names)
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True)))
 
 

@@ -49,6 +49,30 @@ def test_quality(docs, empty):
     assert (r.n_words, r.n_repeat_words, r.n_dup_lines, r.word_chars) == (len(words), len(hit), 1, len("".join(words)))
 
 
+def test_quality_judges_small_groups(spark):
+    """An outlier planted in a group of five is rejected by its language's, its source's or all rows' estimate."""
+    rng = np.random.default_rng(3)
+
+    def row(i, lang, source, odd=False):
+        n = int(rng.integers(150, 250))
+        return (i, lang, source, n, int(n * (14.0 if odd else rng.normal(4.5, 0.1))), n if odd else int(rng.integers(0, 3)), 0, 12, 0)
+
+    places = [("en", "web")] * 200 + [("de", "web")] * 20
+    small = {"language": ("en", "rare"), "source": ("fr", "web"), "all": ("xx", "lone"), "null": (None, None)}
+    rows = [row(i, *p) for i, p in enumerate(places)]
+    odd = {}
+    for k, (name, p) in enumerate(small.items()):
+        at = 1000 + 10 * k
+        rows += [row(at + j, *p, odd=j == 4) for j in range(5)]
+        odd[at + 4] = name
+    columns = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
+    out = quality.robust_outliers(spark.createDataFrame(rows, columns)).collect()
+    assert len(out) == len(rows) and all(r.distance2 is not None for r in out)
+    assert {r.doc_id for r in out if not r.kept} == set(odd)
+    few = quality.robust_outliers(spark.createDataFrame(rows[-5:], columns)).collect()
+    assert [r.doc_id for r in few if not r.kept] == [rows[-1][0]]
+
+
 def test_lines(docs, empty):
     got = {(r.doc_id, r.kept_text) for r in line_dedup.dedup_lines(docs, least_docs=2).collect()}
     assert {(4, "other one"), (7, " x"), (1, ""), (9, "été 日本 \U0001f642")} <= got
