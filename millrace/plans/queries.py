@@ -99,7 +99,7 @@ def f7_global_sort(spark, sf):
 @query()
 def f8_item_factors(spark, sf):
     ratings = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").cast("int").alias("user"), F.col("l_partkey").cast("int").alias("item")).agg(F.count(F.lit(1)).cast("float").alias("rating"))
-    return jobs.item_factors(ratings, rank=10, iterations=3)
+    return jobs.item_factors(ratings)
 
 
 @query("SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 0)")
