@@ -120,10 +120,14 @@ def dropped_lines(docs: DataFrame, least_docs: int = 10, least_points: int = 1,
     maybe = found.filter(F.col("kind") == MAYBE).join(F.broadcast(edges), "h")
     sure = found.filter(F.col("kind") == DROP)
     if keep == "first":
-        # A hash at an edge has a candidate first line in each of its partitions; the least document's is the first.
-        heads = maybe.filter("first").groupBy("h").agg(F.min(F.struct("doc", "pos", "row")).alias("head"))
-        maybe = maybe.join(F.broadcast(heads), "h").withColumn("first", (F.col("row") == F.col("head.row")) & (F.col("pos") == F.col("head.pos")))
-        maybe, sure = maybe.filter(~F.col("first")), sure.filter(~F.col("first"))
+        # A hash at an edge has a candidate first line in each of its partitions, sure to go or not; the least document's
+        # is the first. One row a partition and hash is flagged, so that these are as few as the edges.
+        flagged = found.filter(F.col("first") & F.col("kind").isin(DROP, MAYBE)).join(F.broadcast(edges), "h")
+        heads = flagged.groupBy("h").agg(F.min(F.struct("doc", "pos", "row")).alias("head"))
+        is_head = (F.col("row") == F.col("head.row")) & (F.col("pos") == F.col("head.pos"))
+        maybe = maybe.join(F.broadcast(heads), "h").filter(~is_head)
+        # A hash that lies in one partition has no head among the edges': its own flag says which line stays.
+        sure = sure.join(F.broadcast(heads), "h", "left").filter(~F.when(F.isnotnull("head"), is_head).otherwise(F.col("first")))
     return sure.select("row", "pos").unionByName(maybe.select("row", "pos"))
 
 

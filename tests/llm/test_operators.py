@@ -92,6 +92,22 @@ def test_lines_of_a_hash_over_many_partitions(spark):
     assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(table, least_docs=401).collect()} == dict.fromkeys(texts, 0)
 
 
+def test_first_line_of_a_hash_that_crosses_an_edge(spark):
+    """Four hashes over seven or so range partitions that AQE doesn't coalesce: most begin inside one and end in another."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    texts = {i: "alpha\nbeta\ngamma\ndelta" for i in range(600)}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for parts in (3, 5, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            first = {r.doc_id: r.kept_text for r in line_dedup.dedup_lines(table, least_docs=10, keep="first").collect()}
+            assert first == {i: texts[0] if i == 0 else "" for i in texts}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_near(spark, docs, empty):
     rows = near_dedup.near_duplicates(docs, 3, 85, 100).collect()
     got = {r.doc_id: r.component_id for r in rows}
