@@ -3,7 +3,7 @@
 A mask of fixed places says which of a window's tokens are hashed and which are ignored, so that a window matches
 even where an ignored token was replaced. Windows of documents and of benchmark items are hashed under every mask and
 joined; each hit names a diagonal (document place minus item place), along which the tokens around the hit are
-compared and scored, replaced tokens included.
+compared and scored, replaced tokens included. Items shorter than a mask are hashed whole.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ MASKS = ((0, 1, 3, 6, 8, 9), (0, 2, 3, 5, 7, 9), (0, 1, 4, 5, 8, 9), (0, 2, 4, 6
 SPAN = 10
 #: Tokens looked at on either side of a hit.
 REACH = 64
-#: A replaced token costs this many matching ones; the best stretch of a diagonal has the highest sum.
-MISMATCH = 2
+#: A replaced token costs this many matching ones, so that a stretch's sum isn't negative if and only if its share of
+#: equal ones is LEAST_SHARE or more.
+MISMATCH = 4
 #: An overlap counts from this many tokens on (or the whole item, if that is shorter), with this share of equal ones.
 LEAST_TOKENS, LEAST_SHARE = 13, 0.8
 #: Marks at the ends of words that are no part of a token.
@@ -31,7 +32,7 @@ MARKS = b".,;:!?\"'()[]{}#*$%&|<>=-_"
 #: Words of the filter that benchmark hashes are entered in: 2 MB whatever the benchmark's size.
 FILTER_WORDS = 1 << 18
 
-_MULT = multipliers(SPAN + len(MASKS), 7)
+_MULT = multipliers(2 * SPAN + len(MASKS), 7)
 
 
 def tokens_of(text: bytes, hashes: WordHashes) -> np.ndarray:
@@ -51,11 +52,22 @@ def seeds(tokens: np.ndarray, mask: int) -> np.ndarray:
     return mix64(h)
 
 
+def whole(tokens: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each window of ``size`` tokens, all of them, for items of fewer than SPAN."""
+    n = len(tokens) - size + 1
+    if n <= 0 or not 0 < size < SPAN:
+        return np.zeros(0, np.uint64)
+    h = np.full(n, _MULT[SPAN + len(MASKS) + size])
+    for place in range(size):
+        h = h + tokens[place : place + n] * _MULT[place]
+    return mix64(h)
+
+
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes(MARKS)
     for batch in batches:
         toks = [tokens_of(t, hashes) for t in as_bytes(batch["text"])]
-        found = [[seeds(t, m) for m in range(len(MASKS))] for t in toks]
+        found = [[seeds(t, m) for m in range(len(MASKS))] if len(t) >= SPAN else [whole(t, len(t))] for t in toks]
         flat = [np.concatenate(x).view(np.int64) for x in found]
         places = [np.concatenate([np.arange(len(y), dtype=np.int32) for y in x]) for x in found]
         yield pa.RecordBatch.from_arrays(
@@ -80,7 +92,7 @@ def benchmark_filter(seeds_: DataFrame) -> np.ndarray:
     return table
 
 
-def _hits(table):
+def _hits(table, sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, words = WordHashes(MARKS), table.value
         for batch in batches:
@@ -88,12 +100,13 @@ def _hits(table):
             for doc, row, text in zip(batch["doc_id"].to_pylist(), batch["row"].to_pylist(), as_bytes(batch["text"]), strict=True):
                 t = tokens_of(text, hashes)
                 at, hs = [], []
-                for m in range(len(MASKS)):
-                    h = seeds(t, m)
+                for n, h in enumerate([*(seeds(t, m) for m in range(len(MASKS))), *(whole(t, k) for k in sizes)]):
                     a, b = _filter_bits(h)
                     one = np.uint64(1)
                     low = np.uint64(63)
                     hit = np.flatnonzero((words[(a >> np.uint64(6)).astype(np.int64)] >> (a & low)) & (words[(b >> np.uint64(6)).astype(np.int64)] >> (b & low)) & one)
+                    if n >= len(MASKS):  # all copies of a short item are alike: the first one is reported
+                        hit = np.sort(hit[np.unique(h[hit], return_index=True)[1]])
                     at.append(hit)
                     hs.append(h[hit])
                 at, hs = np.concatenate(at), np.concatenate(hs)
@@ -113,13 +126,20 @@ def _hits(table):
     return run
 
 
-def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """(score, start, end) of the stretch of a diagonal with the highest sum of +1 for equal and -MISMATCH for others."""
+def best_stretch(same: np.ndarray, least: int) -> tuple[int, int, int]:
+    """(equal, start, end) of the longest stretch of a diagonal that begins and ends with equal tokens, LEAST_SHARE or
+    more of them equal; the first of the longest. Zeros if it has fewer than ``least`` tokens."""
     run = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISMATCH))])
-    low = np.minimum.accumulate(run)
-    end = int(np.argmax(run - low))
-    start = int(np.argmin(run[: end + 1]))
-    return int(run[end] - run[start]), start, end
+    starts = np.flatnonzero(same)
+    if not len(starts):
+        return 0, 0, 0
+    # The highest sum at any end from a place on: a start's stretch goes as far as that isn't below its own sum.
+    ends = np.concatenate([[-np.inf], np.where(same, run[1:], -np.inf)])
+    high = np.maximum.accumulate(ends[::-1])[::-1]
+    end = np.searchsorted(-high, -run[starts], side="right") - 1
+    k = int(np.argmax(end - starts))
+    s, e = int(starts[k]), int(end[k])
+    return (int(same[s:e].sum()), s, e) if e - s >= least else (0, 0, 0)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +149,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d, t = doc.values.to_numpy(), item.values.to_numpy()
             a, b = max(0, -diagonal), min(len(t), len(d) - diagonal)
             same = d[a + diagonal : b + diagonal] == t[a:b]
-            _, s, e = best_stretch(same)
-            equal = int(same[s:e].sum())
-            if e - s >= min(LEAST_TOKENS, len(t)) and equal >= LEAST_SHARE * (e - s):
+            equal, s, e = best_stretch(same, min(LEAST_TOKENS, len(t)))
+            if equal:
                 keep.append(i)
                 for c, v in zip(cols, (equal, e - s, a + diagonal + s), strict=True):
                     c.append(v)
@@ -143,7 +162,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item that overlap: doc_id, row, item_id, equal, overlap, at.
 
     ``overlap`` tokens from token ``at`` of the document on match the item along one diagonal, ``equal`` of them
-    exactly. Null and empty texts and items of fewer than SPAN tokens match nothing. Repeated documents share ``row``
+    exactly. An item of fewer than SPAN tokens matches a verbatim copy only. Null and empty texts and items without
+    tokens match nothing. Repeated documents share ``row``
     and one result; repeated items are one. An empty table on either side gives no rows.
     """
     spark: SparkSession = docs.sparkSession
@@ -151,9 +171,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = written(bench.select("item", "text").mapInArrow(_items, "item long, tokens array<long>, h array<long>, at array<int>"), "bench-items")
     item_seeds = items.select("item", F.explode(F.arrays_zip("h", "at")).alias("x")).select("item", F.col("x.h").alias("h"), F.col("x.at").alias("item_at"))
     table = spark.sparkContext.broadcast(benchmark_filter(item_seeds))
+    short = items.select(F.size("tokens").alias("n")).filter((F.col("n") > 0) & (F.col("n") < SPAN)).distinct()
+    sizes = sorted(r.n for r in short.collect())  # SPAN - 1 at most
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
     schema = "doc_id long, row long, start long, tokens array<long>, at array<int>, h array<long>"
-    parts = written(source.mapInArrow(_hits(table), schema), "seed-hits")
+    parts = written(source.mapInArrow(_hits(table, sizes), schema), "seed-hits")
     hits = parts.select("row", "start", F.explode(F.arrays_zip("h", "at")).alias("x")).select("row", "start", F.col("x.h").alias("h"), F.col("x.at").alias("doc_at"))
     diagonals = hits.join(item_seeds, "h").select("row", "start", "item", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()
     texts = parts.select("doc_id", "row", "start", "tokens").dropDuplicates(["row", "start"])

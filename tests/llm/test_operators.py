@@ -179,6 +179,24 @@ def test_decontamination(spark, empty):
     assert decontamination.overlaps(empty, bench).count() == 0 and decontamination.overlaps(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_items_and_of_a_stretch_inside_a_longer_one(spark):
+    words = [f"t{i}" for i in range(63)]
+    inside = [f"z{i}" if i >= 20 and (i - 20) % 3 == 0 and i < 62 else w for i, w in enumerate(words)]
+    rows = [(1, " ".join(inside)), (2, "so Short one, it is, a short one"), (3, "one short"), (4, "nine " * 8 + "nine"), (5, "nine " * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words)), (8, ""), (9, "short one"), (10, "nine " * 9)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.equal, r.overlap, r.at) for r in decontamination.overlaps(df, bench).collect()}
+    assert set(got) == {(1, 7), (2, 9), (4, 10)} and got[2, 9] == (2, 2, 1) and got[4, 10] == (9, 9, 0)
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        same = rng.random(rng.integers(1, 40)) < rng.choice([0.3, 0.7, 0.8, 0.9])
+        n = len(same)
+        fit = [(b - a, -a) for a in range(n) for b in range(a + 1, n + 1) if same[a] and same[b - 1] and 5 * same[a:b].sum() >= 4 * (b - a)]
+        size, at = max(fit, default=(0, 0))
+        equal, s, e = decontamination.best_stretch(same, 13)
+        assert (e - s, s) == ((size, -at) if size >= 13 else (0, 0)) and equal == same[s:e].sum()
+
+
 def test_tokens(docs):
     tokenizers = pytest.importorskip("tokenizers")
     path = queries.vocabulary_path()
