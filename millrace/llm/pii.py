@@ -21,8 +21,8 @@ TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 MARKS = ".,;:!?\"'[]{}<>|#*$%&"
 #: Words that say what stands beside them.
 CUES = frozenset("at dot (at) [at] (dot) [dot] tel phone call fax mail email e-mail card visa ip host server from".split())
-#: Tokens after which a long line is cut, at the next word of letters only.
-LONG = 256
+#: Tokens after which a line's scores are set back to a best one of zero, so that they stay exact in a long line.
+RESET = 256
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -239,6 +239,8 @@ class Decoder(dict):
             at = starts[:k] + t
             back[at] = best
             score[:k] = np.take_along_axis(m, best[:, None], 1)[:, 0] + e[at]
+            if t % RESET == 0:
+                score[:k] -= score[:k].max(1, keepdims=True)
         tag = np.zeros(len(numbers), np.int8)
         now = score.argmax(1)
         tag[starts + n - 1] = now
@@ -255,21 +257,10 @@ _TOKEN = re.compile(r"\S+")
 
 
 def _token_lines(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, tokens) of each line; a line of more than LONG tokens is cut after the next word of letters only."""
+    """(start, end, tokens) of each line, however long."""
     at = 0
     for line in text.split("\n"):
-        tokens = line.split()
-        if len(tokens) <= LONG:
-            yield at, at + len(line), tokens
-        else:
-            places = [m.start() for m in _TOKEN.finditer(line)]
-            a = 0
-            while a < len(tokens):
-                b = min(a + LONG, len(tokens))
-                while b < len(tokens) and not tokens[b - 1].isalpha():
-                    b += 1
-                yield at + places[a], at + (places[b] if b < len(tokens) else len(line)), tokens[a:b]
-                a = b
+        yield at, at + len(line), line.split()
         at += len(line) + 1
 
 

@@ -250,6 +250,16 @@ def test_pii(spark, docs):
     assert right >= 0.95 * len(held)
 
 
+def test_pii_in_long_lines(spark):
+    """A spelled address is found wherever it lies in a long line."""
+    decoder = pii.Decoder(pii.train_field(pii.example_table(spark)))
+    spelled = "jo at mail dot com"
+    for before in (3, *range(248, 260), 511, 40_000):
+        text = "of the that " * (before // 3) + "and " * (before % 3) + f"write {spelled} please" + " of the that" * 100
+        [(base, more)] = pii.find_spans([text], decoder)
+        assert base == [] and [(k, text[s:e]) for k, s, e in more] == [("email", spelled)], before
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for n, top in ((1, 1 << 48), (500, 1 << 20), (3000, 1 << 40)):
