@@ -570,7 +570,8 @@ def e2_reduce_groups(spark, sf):
     def kinds(group: pa.Table) -> pa.Table:
         return pa.table({"key": group["key"].slice(0, 1), "kinds": pa.array([pc.count_distinct(group["value"]).as_py()], pa.int64())})
 
-    pairs = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("value"))
+    # Only distinct values count, so that a key's group holds each once, whatever its number of events.
+    pairs = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("value")).distinct()
     return jobs.reduce_groups(pairs, kinds, "key long, kinds long")
 
 
