@@ -17,9 +17,14 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir.
+
+    Only a local session, where both are one machine, gets a temporary folder if that is unset.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -48,12 +53,17 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back; with its path, to delete it."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``stored`` for a table that stays until the driver ends."""
+    return stored(df, name)[0]
 
 
 def row_key(doc_id: Column, text: Column) -> Column:

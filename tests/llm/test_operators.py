@@ -139,33 +139,85 @@ def test_near_group_against_brute_force(spark):
     assert got == {i: find(i) for i in range(len(sets))}
 
 
-def test_prefixes_lose_no_link():
-    """Every linked pair of a group around the threshold shares a prefix shingle that fits the bound on their overlap."""
-    from types import SimpleNamespace
-
-    import pyarrow as pa
-
-    rng = np.random.default_rng(5)
-    base = [f"v{i}" for i in range(200)]
-    texts = [" ".join(w if rng.random() > e else f"m{rng.integers(40)}" for w in base[: rng.integers(180, 201)]) for e in rng.uniform(0, 0.05, 150)]
-    batch = pa.RecordBatch.from_pydict({"fp": [str(i).encode() for i in range(150)], "label": [b"x"] * 150, "text": texts})
-    counted = next(near_dedup._counts(3)(iter([batch])))
-    table = np.zeros(near_dedup.CELLS, np.uint32)
-    table[counted["cell"].to_numpy()] = counted["c"].to_numpy()
-    out = next(near_dedup._rarest(3, 85, 100, SimpleNamespace(value=table))(iter([batch]))).to_pydict()
-    sets = [set(near_dedup.shingle_set(near_dedup.WordHashes().of(t.encode().split()), 3).tolist()) for t in texts]
-    assert out["n"] == [len(s) for s in sets]
-    prefix = [dict(zip(k, a, strict=True)) for k, a in zip(out["keys"], out["places"], strict=True)]
-    linked = missed = 0
-    for i in range(150):
-        for j in range(i):
-            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
-                linked += 1
-                both = prefix[i].keys() & prefix[j].keys()
-                n, m = len(sets[i]), len(sets[j])
-                missed += not any(185 * min(n - prefix[i][k], m - prefix[j][k]) >= 85 * (n + m) for k in both)
-    assert linked > 100
-    assert missed == 0
+def test_near_blocks_of_a_hot_group(spark, monkeypatch):
+    """Groups of 40 and 160 around the threshold among other documents, in blocks of 16: components are those of brute
+    force, and what is written as pairs grows with the group, not with its square."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "SPREAD", 20)
+    pairs = {}
+    real = near_dedup.written
+
+    def counted(df, name):
+        out = real(df, name)
+        if name in ("near", "links", "block-links"):
+            pairs[name] = pairs.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    seen = {}
+    for size in (40, 160):
+        rng = np.random.default_rng(7)
+        base = [f"v{i}" for i in range(100)]
+        texts = [[w if rng.random() > e else f"m{rng.integers(30)}" for w in base] for e in rng.uniform(0, 0.09, size)]
+        texts += [[f"o{rng.integers(5000)}" for _ in range(40)] for _ in range(100)]
+        sets = [{tuple(t[i : i + 3]) for i in range(len(t) - 2)} for t in texts]
+        parent = list(range(len(sets)))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i in range(len(sets)):
+            for j in range(i):
+                n = len(sets[i] & sets[j])
+                if n and 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+                    a, b = find(i), find(j)
+                    parent[max(a, b)] = min(a, b)
+        df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+        pairs.clear()
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 3, 85, 100).collect()}
+        assert got == {i: find(i) for i in range(len(sets))}
+        seen[size] = dict(pairs)
+    assert len({find(i) for i in range(160)}) > 10
+    assert all(sum(seen[n].values()) <= 2 * 28 * (n + 100) for n in seen)
+    assert sum(seen[160].values()) <= 8 * sum(seen[40].values())
+
+
+def test_block_links_join_what_is_linked():
+    """Within one block and across two: the links found join the same components as all pairs do."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 1 << 62, 120).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(120) < e, rng.integers(1, 1 << 62, 120).astype(np.uint64), base)) for e in rng.uniform(0, 0.15, 90)]
+    signatures = [near_dedup.pack(near_dedup.minima(s)) for s in sets]
+    names = [bytes([i]) for i in range(90)]
+
+    def groups(edges):
+        parent = {n: n for n in names}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            parent[find(a)] = find(b)
+        return {n: frozenset(m for m in names if find(m) == find(n)) for n in names}
+
+    for mine in ([0] * 90, [i % 2 for i in range(90)]):
+        every = [(names[i], names[j]) for i in range(90) for j in range(i) if (len(set(mine)) == 1 or mine[i] != mine[j]) and near_dedup.linked(sets[i], sets[j], 85, 100)]
+        got = near_dedup.block_links(names, names, mine, 0, signatures, [[i] for i in range(90)], sets, 85, 100)
+        assert len(every) > 2 * len(got) > 20 and set(got) <= set(every) | {(b, a) for a, b in every}
+        assert groups(got) == groups(every)
+    assert near_dedup.block_links(names, [b"x"] * 90, [0] * 90, 0, signatures, [[i] for i in range(90)], sets, 85, 100) == []
+    # Pairs that share an earlier band are that band's to look at.
+    assert near_dedup.block_links(names, names, [0] * 90, 1, signatures, [[5, i] for i in range(90)], sets, 85, 100) == []
+
+
+def test_bands_lose_few_pairs():
+    for least in (0.8, 0.85, 0.9):
+        bands, rows = near_dedup.banding(least)
+        assert bands * rows <= near_dedup.MINIMA and (1 - least**rows) ** bands <= near_dedup.MISS
 
 
 def test_decontamination(spark, empty):
