@@ -15,36 +15,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, written
+from .common import as_bytes, by_bytes, row_key, written
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 20
 FEATURES = 512
-#: Training takes at most so many labelled rows, and the logistic regression so many of them: the first by a hash of
-#: their id. The first bound is also what may be broadcast, below 2 MB of ids and labels.
+#: Training takes at most so many labelled rows, and the logistic regression so many of them: those whose hash is below
+#: a limit set from the number of rows. The first bound is also what may be broadcast, below 2 MB of ids and labels.
 MAX_ROWS = 50_000
 MAX_FIT_ROWS = 10_000
 _P = np.uint32(0x9E3779B1)
 _GAP = 8
 
 
-def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the texts, A-Z lower-cased, with zeros between, and where each text starts."""
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the texts, A-Z lower-cased, with zeros before, between and after them; where each starts and ends."""
     parts = [t.lower().decode("utf-8", "replace").encode("utf-32-le") for t in texts]
     sizes = np.array([len(p) // 4 for p in parts], np.int64)
-    starts = np.cumsum(np.r_[0, sizes + _GAP])[:-1]
+    starts = _GAP + np.cumsum(np.r_[0, sizes + _GAP])[:-1]
     gap = b"\0" * (4 * _GAP)
-    return np.frombuffer(b"".join(x for p in parts for x in (p, gap)), np.uint32), starts
+    return np.frombuffer(gap + b"".join(x for p in parts for x in (p, gap)), np.uint32), starts, starts + sizes
 
 
-def ngram_buckets(c: np.ndarray) -> Iterator[np.ndarray]:
-    """The bucket of the n-gram at each place, for each size; zeros around a text are part of its first and last ones."""
+def ngram_buckets(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Size and the buckets of the n-grams at each place."""
     h = c * _P
     for n in range(2, max(SIZES) + 1):
         h = (h[: len(c) - n + 1] + c[n - 1 :]) * (_P + np.uint32(2 * n))
         if n in SIZES:
             x = h ^ (h >> np.uint32(15))
-            yield (x * np.uint32(0x85EBCA6B)) >> np.uint32(12)
+            yield n, (x * np.uint32(0x85EBCA6B)) >> np.uint32(12)
+
+
+def owners(at: np.ndarray, n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The text that holds a place of the n-gram at ``at``, -1 for none. The zeros around a text, more of them than an
+    n-gram has places, are part of its first and last n-grams, so that no n-gram is two texts'."""
+    owner = np.searchsorted(starts, at + n - 1, side="right") - 1
+    return np.where((owner >= 0) & (at < ends[owner]) & (starts[owner] < ends[owner]), owner, -1)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,10 +59,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = np.zeros(2, np.int64)
     for batch in batches:
         for label, text in zip(batch["toxic"].to_pylist(), as_bytes(batch["text"]), strict=True):
-            c, _ = codes([text])
-            seen = np.unique(np.concatenate(list(ngram_buckets(c))))
-            total[label][seen] += 1
             rows[label] += 1
+            if text:
+                c, [start], [end] = joined([text])
+                total[label][np.unique(np.concatenate([x[start - n + 1 : end] for n, x in ngram_buckets(c)]))] += 1
     for label in (0, 1):
         at = np.flatnonzero(total[label])
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, label, np.int32)), pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[total[label][at], rows[label]].astype(np.int64))], names=["label", "bucket", "n"])
@@ -65,13 +72,13 @@ def _found(table: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarra
     """(text, feature) pairs, each once."""
     pairs = []
     for a, b in by_bytes(texts, 1 << 20):
-        c, starts = codes(texts[a:b])
+        c, starts, ends = joined(texts[a:b])
         here = []
-        for buckets in ngram_buckets(c):
+        for n, buckets in ngram_buckets(c):
             feature = table[buckets]
             at = np.flatnonzero(feature)
-            owner = np.searchsorted(starts, at + (max(SIZES) - 1) // 2, side="right") - 1
-            here.append((owner + a) * (FEATURES + 1) + feature[at])
+            owner = owners(at, n, starts, ends)
+            here.append(((owner + a) * (FEATURES + 1) + feature[at])[owner >= 0])
         pairs.append(np.unique(np.concatenate(here)))
     flat = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
     return flat // (FEATURES + 1), flat % (FEATURES + 1) - 1
@@ -115,15 +122,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05, steps: int = 30
     return w[:-1], float(w[-1])
 
 
+def _part(df: DataFrame, rows: int, most: int, *key: str) -> DataFrame:
+    """The rows whose hash of ``key`` is below a limit, about 97 % of ``most`` of ``rows`` distinct ones; no row is sorted."""
+    return df if rows <= most else df.filter(F.shiftrightunsigned(F.xxhash64(*key), 34) < int((1 << 30) * 0.97 * most / rows))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_fit_rows: int = MAX_FIT_ROWS) -> Model:
     """Fit on the texts of ``docs`` that ``labels`` (doc_id, toxic: 0 or 1; other values are left out) marks.
 
-    Repeated rows count as often. Without rows of both classes the model has no features and scores every text with
-    the share of label 1.
+    Repeated rows of either table count once; a document with both labels counts for both. Null ids mark nothing, null
+    texts have no n-grams, and texts of any length are taken whole. Without rows of both classes, as with an empty
+    table, the model has no features and scores every text with the share of label 1. Other columns are not looked at.
     """
-    marked = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id"), "labelled")
+    marked = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    marked = _part(marked, marked.count(), max_rows, "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").withColumn("row", row_key(F.col("doc_id"), F.col("text")))
+    rows = written(found.dropDuplicates(["row", "toxic"]), "labelled")
     counts = rows.select("toxic", "text").mapInArrow(_counts, "label int, bucket int, n long").groupBy("bucket").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("neg"))
     totals = counts.filter("bucket = -1").first()
     pos_rows, neg_rows = (int(totals["pos"]), int(totals["neg"])) if totals else (0, 0)
@@ -147,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_fit_
             x[text, feature] = True
             yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array([r.tobytes() for r in np.packbits(x, axis=1)], pa.binary())], names=["toxic", "bits"])
 
-    few = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_fit_rows) if pos_rows + neg_rows > max_fit_rows else rows
+    few = _part(rows, pos_rows + neg_rows, max_fit_rows, "row")
     fit = few.select("toxic", "text").mapInArrow(present, "toxic int, bits binary").toPandas()
     x = np.unpackbits(np.frombuffer(b"".join(fit["bits"]), np.uint8).reshape(len(fit), -1), axis=1)[:, : len(best)]
     order = np.lexsort((*x.T[:8], fit["toxic"].to_numpy()))  # sums in one order, however the rows came
@@ -156,7 +170,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_fit_
 
 
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """The columns in ``carry`` and the score under ``name``, 0 to 1. Null and empty texts get the score of no feature."""
+    """The columns in ``carry`` and the score under ``name``, 0 to 1, one row for each of ``docs``.
+
+    Null and empty texts get the score of no feature. Equal texts have equal scores, whatever rows stand beside them.
+    Texts of any length are scored whole. Columns that aren't carried may have any name. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     df = docs.select(*carry, F.col("text").alias("__text"))
     types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
