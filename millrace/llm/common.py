@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import xxhash
@@ -66,6 +68,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name)[0]
 
 
+#: Rows of a table that may be broadcast, and parts that a group's rows are dealt to if it has more.
+BROADCAST_ROWS, PARTS = 50_000, 64
+
+
+def attach(df: DataFrame, groups: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """Join a written table of one row per group to the groups' rows; null is a value of a key.
+
+    The groups are counted: few are broadcast, so that no row of ``df`` moves, and many are copied to PARTS parts, so
+    that a group with a third of all rows is dealt to as many tasks.
+    """
+    right = groups.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    if groups.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(right), on, how).drop(*(f"__{k}" for k in keys))
+    right = right.withColumn("__to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    df = df.withColumn("__part", F.pmod(F.xxhash64(*df.columns), F.lit(PARTS).cast("long")))
+    return df.join(right, on & (F.col("__part") == F.col("__to")), how).drop("__part", "__to", *(f"__{k}" for k in keys))
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """One long for a row's id and whole text; repeated rows share it. Null id and null text are told apart from values."""
     return F.xxhash64(doc_id, F.isnull(doc_id), text, F.isnull(text))

@@ -38,6 +38,46 @@ def test_mixing(docs, empty):
     assert mixing.pareto_mix(empty).count() == 0
 
 
+def test_mixing_includes_documents_as_often_as_it_says(spark, monkeypatch):
+    """200 sources of the same documents: how often each gets its second copy agrees with its inclusion probability,
+    which differs by size; targets are met within a document; a source too large for a broadcast gives the same mix."""
+    words = [3, 5, 8, 13, 21, 34, 55, 89, 120, 150, 200, 260] * 5
+    rows = [(1000 * s + i, " ".join(["w"] * n), f"s{s}") for s in range(200) for i, n in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.pareto_mix(df, weights=(1.0,), share=1.5, rounds=1).collect()
+    p, hit, expected = collections.defaultdict(set), collections.Counter(), 0
+    left = collections.Counter()
+    for r in out:
+        i = r.doc_id % 1000
+        p[i].add(round(r.inclusion, 9))
+        hit[i] += r.copies == 2
+        left[r.source] += r.taken
+        assert r.copies in (1, 2) and r.target == 1.5 * r.source_size == 1.5 * sum(words)
+    chance = {i: next(iter(x)) for i, x in p.items()}
+    assert all(len(x) == 1 for x in p.values()) and math.isclose(sum(chance[i] * n for i, n in enumerate(words)), 0.5 * sum(words), rel_tol=1e-9)
+    assert max(chance.values()) > 2 * min(chance.values())
+    by_size = collections.defaultdict(list)
+    for i, n in enumerate(words):
+        by_size[n].append(i)
+    for n, same in by_size.items():
+        want, got = chance[same[0]], sum(hit[i] for i in same) / (200 * len(same))
+        assert abs(got - want) < 4 * math.sqrt(want * (1 - want) / (200 * len(same))) + 0.03, (n, want, got)
+    assert all(0 <= 1.5 * sum(words) - x <= max(words) for x in left.values())
+    monkeypatch.setattr("millrace.llm.common.BROADCAST_ROWS", 10)
+    again = mixing.pareto_mix(df, weights=(1.0,), share=1.5, rounds=1).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, out))
+
+
+def test_mixing_preference_and_odd_rows(spark):
+    rows = [(i, "a b c d", "s", 10.0 if i % 2 else 1.0) for i in range(100)] + [(200, None, None, None), (201, "", None, 1.0), (202, "x y", None, None), (203, "x y", None, 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, target double")
+    out = {r.doc_id: r for r in mixing.pareto_mix(df, share=1.3, preference=F.col("target")).collect()}
+    assert sum(out[i].copies for i in range(1, 100, 2)) > 1.3 * sum(out[i].copies for i in range(0, 100, 2))
+    assert out[200].taken == out[201].taken == 0 and out[1].inclusion > 5 * out[0].inclusion
+    blank = mixing.pareto_mix(df.filter("doc_id in (200, 201)")).collect()
+    assert [(r.size, r.taken, r.target) for r in blank] == [(0, 0, 0.0)] * 2
+
+
 def test_quality(docs, empty):
     rows = quality.quality_rules(docs).collect()
     assert len(rows) == 12 and quality.quality_rules(empty).count() == 0
