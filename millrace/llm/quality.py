@@ -1,8 +1,10 @@
 """Quality rules: text statistics, fixed limits, and robust multivariate outliers, in DataFrame operations only.
 
-The minimum covariance determinant is found per language and source by concentration steps from a median/MAD start:
-keep the ``core`` share of documents nearest to the centre, take their mean and covariance, measure all again. Small
-groups are judged by the estimate of a larger one that holds them.
+The minimum covariance determinant is sought per language and source from several starts: medians, all documents, and
+hashed eighths of them. A concentration step keeps the CORE share of documents nearest to the centre, takes their mean
+and covariance, and measures all again, which doesn't raise the determinant; steps go on for each start until it stops
+falling, and the start that ends with the least determinant gives the estimate. Small groups are judged by the estimate
+of a larger one that holds them.
 """
 
 from __future__ import annotations
@@ -10,18 +12,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, written
+from .common import SPACE_RUN, attach, written
 
 GROUP = ("lang", "source")
 #: What rows share that an estimate is made of: a small group is judged by the first of these that is large enough.
 LEVELS = (GROUP, ("lang",), ("source",), ())
-#: Share of a group's documents in the concentrated core, and the most that is added to each feature's variance, so
-#: that a feature which is constant in the core (no repeated line, say) doesn't reject every other value of it.
+#: Share of a group's documents in the concentrated core.
 CORE = 0.75
 #: Quantile 0.9999 of the chi-square distribution with four degrees of freedom.
 CUTOFF = 23.51
-#: A core of the nearest 75 % understates the covariance of four normal features by this factor.
-CONSISTENCY = 1.55
+#: The covariance of the nearest 75 % of four normal features is too small by this factor: 0.75 over the share of a
+#: chi-square distribution with six degrees of freedom below the 0.75 quantile (5.3853) of that with four.
+CONSISTENCY = 1.487
+#: Hashed parts of a group of which two are starts, most steps from a start, and what a determinant's logarithm must
+#: fall by to go on.
+HASHED, MOST_STEPS, FALL = 8, 20, 1e-3
 
 
 def text_stats(docs: DataFrame) -> DataFrame:
@@ -71,12 +76,6 @@ def features() -> list[tuple[str, Column, float]]:
     ]
 
 
-def _join(stats: DataFrame, groups: DataFrame) -> DataFrame:
-    keyed = groups.withColumnsRenamed({g: f"__{g}" for g in GROUP})
-    on = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in GROUP]
-    return stats.join(keyed, on[0] & on[1], "left").drop(*(f"__{g}" for g in GROUP))
-
-
 def _models(stats: DataFrame, least_rows: int) -> DataFrame:
     """lang, source, model and feeds: the estimate a group is judged by, and all those that its rows count towards.
 
@@ -99,19 +98,27 @@ def _models(stats: DataFrame, least_rows: int) -> DataFrame:
     return written(member.join(used, same).groupBy(*GROUP).agg(own, F.collect_list("model").alias("feeds")), "mcd-groups")
 
 
-def _cholesky(groups: DataFrame, names: list[str], least: list[float]) -> DataFrame:
-    """From means m_i and second moments s_ij to the lower factor l_ij of the covariance."""
+def _factor(groups: DataFrame, names: list[str], least: list[float]) -> DataFrame:
+    """From means m_i and second moments s_ij to the lower factor l_ij of the covariance and log_det.
+
+    A variance below that of the least standard deviation is raised to it, so that a feature which is constant in the
+    core (no repeated line, say) doesn't reject every other value of it.
+    """
     for i in range(len(names)):
         for j in range(i + 1):
-            cov = F.col(f"s_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")
-            if i == j:
-                cov = F.greatest(cov, F.lit(0.0)) * CONSISTENCY + least[i] ** 2
-            else:
-                cov = cov * CONSISTENCY
+            cov = (F.col(f"s_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")) * CONSISTENCY
+            cov = F.greatest(cov, F.lit(least[i] ** 2)) if i == j else cov
             for k in range(j):
                 cov = cov - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            groups = groups.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(cov, F.lit(1e-12))) if i == j else cov / F.col(f"l_{j}_{j}"))
-    return groups.drop(*(f"s_{i}_{j}" for i in range(len(names)) for j in range(i + 1)))
+            # What the features before leave of a variance is at least a hundredth of the least one.
+            groups = groups.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(cov, F.lit(0.01 * least[i] ** 2))) if i == j else cov / F.col(f"l_{j}_{j}"))
+    log_det = 2 * sum((F.log(f"l_{i}_{i}") for i in range(1, len(names))), F.log("l_0_0"))
+    return groups.withColumn("log_det", log_det).drop(*(f"s_{i}_{j}" for i in range(len(names)) for j in range(i + 1)))
+
+
+def _moments(names: list[str]) -> list[Column]:
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    return [F.avg(x).alias(f"m_{i}") for i, x in enumerate(names)] + [F.avg(F.col(names[i]) * F.col(names[j])).alias(f"s_{i}_{j}") for i, j in pairs]
 
 
 def _distance(df: DataFrame, names: list[str]) -> DataFrame:
@@ -123,10 +130,50 @@ def _distance(df: DataFrame, names: list[str]) -> DataFrame:
         df = df.withColumn(f"__y{i}", y / F.col(f"l_{i}_{i}"))
     total = sum((F.col(f"__y{i}") ** 2 for i in range(1, len(names))), F.col("__y0") ** 2)
     own = [f"m_{i}" for i in range(len(names))] + [f"l_{i}_{j}" for i in range(len(names)) for j in range(i + 1)]
-    return df.withColumn("distance2", total).drop(*own, *(f"__y{i}" for i in range(len(names))))
+    return df.withColumn("distance2", total).drop(*own, "log_det", *(f"__y{i}" for i in range(len(names))))
+
+
+def _starts(fit: DataFrame, names: list[str], least: list[float]) -> DataFrame:
+    """One row per model and start (0: medians, 1: all rows, 2 and 3: hashed parts) with centre, factor and log_det."""
+    d = len(names)
+    medians = written(fit.groupBy("model").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(names))), "mcd-medians")
+    mads = attach(fit, medians, "model").groupBy("model").agg(
+        *(F.first(f"m_{i}").alias(f"m_{i}") for i in range(d)), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 1000).alias(f"__mad{i}") for i, x in enumerate(names))
+    )
+    factor = {f"l_{i}_{j}": (F.greatest(1.4826 * F.col(f"__mad{i}"), F.lit(least[i])) if i == j else F.lit(0.0)) for i in range(d) for j in range(i + 1)}
+    # No core's determinant yet: a first step from the medians always counts.
+    mads = mads.withColumns(factor | {"log_det": F.lit(float("inf")), "start": F.lit(0)}).drop(*(f"__mad{i}" for i in range(d)))
+    part = F.pmod(F.xxhash64(*names), F.lit(HASHED).cast("long"))
+    of = F.explode(F.array_compact(F.array(F.lit(1), F.when(part == 0, F.lit(2)), F.when(part == 1, F.lit(3)))))
+    others = _factor(fit.withColumn("start", of).groupBy("model", "start").agg(*_moments(names)), names, least)
+    return written(mads.unionByName(others.withColumn("log_det", F.lit(float("inf")))), "mcd-starts")
+
 
+def covariance_determinants(fit: DataFrame, names: list[str], least: list[float], steps: int = MOST_STEPS) -> DataFrame:
+    """One row per model of ``fit`` (model and the features): centre m_i, factor l_ij and log_det of the least core.
 
-def robust_outliers(stats: DataFrame, steps: int = 3, least_rows: int = 30) -> DataFrame:
+    A core is cut at the approximate CORE quantile of the distances (within a thousandth of the rows), and holds all
+    rows that tie there. Every step writes one row per model and start; starts whose determinant no longer falls stay
+    out of the next.
+    """
+    best = now = _starts(fit, names, least)
+    for step in range(steps):
+        far = _distance(attach(fit, now, "model"), names)
+        edges = written(far.groupBy("model", "start").agg(F.percentile_approx("distance2", CORE, 1000).alias("edge")), f"mcd-edge-{step}")
+        core = attach(far, edges, "model", "start").filter(F.col("distance2") <= F.col("edge"))
+        new = written(_factor(core.groupBy("model", "start").agg(*_moments(names)), names, least), f"mcd-step-{step}")
+        before = best.select("model", "start", F.col("log_det").alias("before"))
+        now = written(new.join(before, ["model", "start"]).filter(F.col("log_det") < F.col("before") - FALL).drop("before"), f"mcd-fell-{step}")
+        if now.isEmpty():
+            break
+        kept = best.join(now.select("model", "start"), ["model", "start"], "left_anti")
+        best = written(kept.unionByName(now), f"mcd-best-{step}")
+    rest = [c for c in best.columns if c not in ("model", "start", "log_det")]
+    chosen = best.groupBy("model").agg(F.min(F.struct("log_det", "start", *rest)).alias("x"))
+    return chosen.select("model", F.col("x.log_det").alias("log_det"), *(F.col(f"x.{c}").alias(c) for c in rest))
+
+
+def robust_outliers(stats: DataFrame, steps: int = MOST_STEPS, least_rows: int = 30) -> DataFrame:
     """Add base_failed, distance2 and kept to a table of ``text_stats`` with lang and source.
 
     Estimates come from all rows of a language and source that pass the fixed limits; null is a value of either. A
@@ -135,33 +182,22 @@ def robust_outliers(stats: DataFrame, steps: int = 3, least_rows: int = 30) -> D
     """
     feats = features()
     names, least = [n for n, _, _ in feats], [s for _, _, s in feats]
-    d = len(names)
     stats = stats.withColumns({n: x for n, x, _ in feats} | {"base_failed": base_failed()})
     keyed = _models(stats, least_rows)
-    fit = _join(stats.filter(~F.col("base_failed")).select(*GROUP, *names), keyed.select(*GROUP, "feeds"))
+    fit = attach(stats.filter(~F.col("base_failed")).select(*GROUP, *names), keyed.select(*GROUP, "feeds"), *GROUP)
     fit = written(fit.select(F.explode("feeds").alias("model"), *names), "mcd-fit")
-    medians = written(fit.groupBy("model").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(names))), "mcd-medians")
-    mads = fit.join(medians, "model").groupBy("model").agg(
-        *(F.first(f"m_{i}").alias(f"m_{i}") for i in range(d)), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 1000).alias(f"__mad{i}") for i, x in enumerate(names))
-    )
-    start = {f"l_{i}_{j}": (F.greatest(1.4826 * F.col(f"__mad{i}"), F.lit(least[i])) if i == j else F.lit(0.0)) for i in range(d) for j in range(i + 1)}
-    groups = written(mads.withColumns(start).drop(*(f"__mad{i}" for i in range(d))), "mcd-start")
-    for step in range(steps):
-        far = _distance(fit.join(groups, "model"), names)
-        edges = written(far.groupBy("model").agg(F.percentile_approx("distance2", CORE, 1000).alias("edge")), f"mcd-edge-{step}")
-        core = far.join(edges, "model").filter(F.col("distance2") <= F.col("edge"))
-        moments = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(names)] + [F.avg(F.col(names[i]) * F.col(names[j])).alias(f"s_{i}_{j}") for i in range(d) for j in range(i + 1)]
-        groups = written(_cholesky(core.groupBy("model").agg(*moments), names, least), f"mcd-step-{step}")
-    judged = keyed.select(*GROUP, "model").join(groups, "model", "left").drop("model")
-    out = _distance(_join(stats, judged), names).drop(*names)
+    groups = written(covariance_determinants(fit, names, least, steps), "mcd-models")
+    judged = written(keyed.select(*GROUP, "model").join(groups, "model", "left").drop("model"), "mcd-judged")
+    out = _distance(attach(stats, judged, *GROUP, how="left"), names).drop(*names)
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True)))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, lang, source, the statistics, base_failed, distance2, kept.
 
-    Null and empty texts have no words and fail the fixed limits. Repeated rows each get a row. An empty table gives
-    no rows.
+    Null and empty texts have no words and fail the fixed limits. Texts of any length are counted whole. Repeated rows
+    each get a row and count as often. Null lang and source are groups of their own. Other columns, whatever their
+    names, are not looked at. An empty table gives no rows.
     """
     stats = text_stats(docs.select("doc_id", "lang", "source", "text")).drop("text")
     return robust_outliers(written(stats, "quality-stats"))

@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import itertools
 import math
+import re
 import zlib
 
 import numpy as np
@@ -113,6 +115,53 @@ def test_quality_judges_small_groups(spark):
     assert [r.doc_id for r in few if not r.kept] == [rows[-1][0]]
 
 
+def _least_core(x, least):
+    """The least log determinant of all cores of the given size, as the operator measures it."""
+    best = (math.inf, None)
+    for core in itertools.combinations(range(len(x)), math.ceil(quality.CORE * len(x))):
+        part = x[list(core)]
+        cov = np.cov(part.T, bias=True) * quality.CONSISTENCY
+        np.fill_diagonal(cov, np.maximum(np.diag(cov), np.square(least)))
+        best = min(best, (np.linalg.slogdet(cov)[1], core))
+    return best
+
+
+def test_least_determinant_is_that_of_all_cores(spark):
+    """Three groups of twelve rows, three outliers in each: the estimate's determinant is the least of 220 cores, and
+    its distances are those of numpy."""
+    rng = np.random.default_rng(8)
+    names, least = [f"x{i}" for i in range(4)], [0.01] * 4
+    groups = {}
+    for m in range(3):
+        x = rng.normal(size=(12, 4)) @ (np.eye(4) + 0.3 * rng.normal(size=(4, 4)))
+        x[rng.permutation(12)[:3]] += rng.choice([-1, 1], 4) * rng.uniform(15, 25, 4)
+        groups[m] = x
+    fit = spark.createDataFrame([(m, *map(float, r)) for m, x in groups.items() for r in x], "model long, x0 double, x1 double, x2 double, x3 double")
+    found = {r.model: r for r in quality.covariance_determinants(fit, names, least).collect()}
+    for m, x in groups.items():
+        want, core = _least_core(x, least)
+        assert abs(found[m].log_det - want) < 0.01
+        part = x[list(core)]
+        factor = np.array([[found[m][f"l_{i}_{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+        assert np.allclose(factor @ factor.T, np.cov(part.T, bias=True) * quality.CONSISTENCY, atol=1e-6)
+        assert np.allclose([found[m][f"m_{i}"] for i in range(4)], part.mean(0))
+
+
+def test_quality_statistics_of_odd_texts(spark):
+    texts = ["# a * b $ c", "x\n\nx\n \nx", "\t\x0b \r\n", "日本 é | <b>&%", "a b c " * 40, None, "one two"]
+    df = spark.createDataFrame([(i, t, None, "s", 5) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_words int")
+    rows = {r.doc_id: r for r in quality.quality_rules(df).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        windows = collections.Counter(zip(words, words[1:], words[2:]))
+        hit = {k for j in range(len(words) - 2) if windows[tuple(words[j : j + 3])] > 1 for k in (j, j + 1, j + 2)}
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(words), len("".join(words)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(hit))
+        r = rows[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, t
+        assert r.base_failed == (len(words) < 50 or 2 * len(hit) > len(words)) and not (r.base_failed and r.kept)
+
+
 def test_lines(docs, empty):
     got = {(r.doc_id, r.kept_text) for r in line_dedup.dedup_lines(docs, least_docs=2).collect()}
     assert {(4, "other one"), (7, " x"), (1, ""), (9, "été 日本 \U0001f642")} <= got
