@@ -3,12 +3,14 @@
 A mask of fixed places says which of a window's tokens are hashed and which are ignored, so that a window matches
 even where an ignored token was replaced. Windows of documents and of benchmark items are hashed under every mask and
 joined; each hit names a diagonal (document place minus item place), along which the tokens around the hit are
-compared and scored, replaced tokens included. Items shorter than a mask are hashed whole.
+compared and scored, replaced tokens included. Short items are hashed over windows of their own length, under masks
+that together find every copy with as few replaced tokens as are allowed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ MARKS = b".,;:!?\"'()[]{}#*$%&|<>=-_"
 #: Words of the filter that benchmark hashes are entered in: 2 MB whatever the benchmark's size.
 FILTER_WORDS = 1 << 18
 
-_MULT = multipliers(2 * SPAN + len(MASKS), 7)
+_MULT = multipliers(4 * SPAN, 7)
 
 
 def tokens_of(text: bytes, hashes: WordHashes) -> np.ndarray:
@@ -41,33 +43,44 @@ def tokens_of(text: bytes, hashes: WordHashes) -> np.ndarray:
     return t[t != 0]
 
 
-def seeds(tokens: np.ndarray, mask: int) -> np.ndarray:
-    """The hash of each window of SPAN tokens under a mask."""
-    n = len(tokens) - SPAN + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.full(n, _MULT[SPAN + mask])
-    for place in MASKS[mask]:
-        h = h + tokens[place : place + n] * _MULT[place]
-    return mix64(h)
+def allowed(n: int) -> int:
+    """How many of ``n`` tokens may be replaced."""
+    return int((1 - LEAST_SHARE) * n + 1e-9)
 
 
-def whole(tokens: np.ndarray, size: int) -> np.ndarray:
-    """The hash of each window of ``size`` tokens, all of them, for items of fewer than SPAN."""
-    n = len(tokens) - size + 1
-    if n <= 0 or not 0 < size < SPAN:
-        return np.zeros(0, np.uint64)
-    h = np.full(n, _MULT[SPAN + len(MASKS) + size])
-    for place in range(size):
-        h = h + tokens[place : place + n] * _MULT[place]
-    return mix64(h)
+def _short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks over all ``n`` tokens of a short item. Cut into 2r + 1 runs, each mask leaves r of them out, so that
+    wherever r tokens are replaced, one mask has none of them."""
+    r = allowed(n)
+    runs = np.array_split(np.arange(n), 2 * r + 1)
+    return [tuple(int(p) for k in kept for p in runs[k]) for kept in combinations(range(2 * r + 1), r + 1)]
+
+
+def _masks(n: int) -> tuple[int, list[tuple[int, ...]]]:
+    """Window and masks of an item of ``n`` tokens."""
+    return (SPAN, list(MASKS)) if n >= LEAST_TOKENS else (n, _short_masks(n))
+
+
+def seeds(tokens: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each mask of items of ``n`` tokens the hash of each window."""
+    span, masks = _masks(n)
+    windows = len(tokens) - span + 1
+    if n < 1 or windows <= 0:
+        return []
+    out = []
+    for number, mask in enumerate(masks):
+        h = np.full(windows, mix64(np.array([1000 * span + number + 1], np.uint64))[0])
+        for place in mask:
+            h = h + tokens[place : place + windows] * _MULT[place]
+        out.append(mix64(h))
+    return out
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes(MARKS)
     for batch in batches:
         toks = [tokens_of(t, hashes) for t in as_bytes(batch["text"])]
-        found = [[seeds(t, m) for m in range(len(MASKS))] if len(t) >= SPAN else [whole(t, len(t))] for t in toks]
+        found = [seeds(t, len(t)) or [np.zeros(0, np.uint64)] for t in toks]
         flat = [np.concatenate(x).view(np.int64) for x in found]
         places = [np.concatenate([np.arange(len(y), dtype=np.int32) for y in x]) for x in found]
         yield pa.RecordBatch.from_arrays(
@@ -100,15 +113,15 @@ def _hits(table, sizes: list[int]):
             for doc, row, text in zip(batch["doc_id"].to_pylist(), batch["row"].to_pylist(), as_bytes(batch["text"]), strict=True):
                 t = tokens_of(text, hashes)
                 at, hs = [], []
-                for n, h in enumerate([*(seeds(t, m) for m in range(len(MASKS))), *(whole(t, k) for k in sizes)]):
+                for h in (h for n in sizes for h in seeds(t, n)):
                     a, b = _filter_bits(h)
                     one = np.uint64(1)
                     low = np.uint64(63)
                     hit = np.flatnonzero((words[(a >> np.uint64(6)).astype(np.int64)] >> (a & low)) & (words[(b >> np.uint64(6)).astype(np.int64)] >> (b & low)) & one)
-                    if n >= len(MASKS):  # all copies of a short item are alike: the first one is reported
-                        hit = np.sort(hit[np.unique(h[hit], return_index=True)[1]])
                     at.append(hit)
                     hs.append(h[hit])
+                if not at:
+                    continue
                 at, hs = np.concatenate(at), np.concatenate(hs)
                 if not len(at):
                     continue
@@ -149,7 +162,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d, t = doc.values.to_numpy(), item.values.to_numpy()
             a, b = max(0, -diagonal), min(len(t), len(d) - diagonal)
             same = d[a + diagonal : b + diagonal] == t[a:b]
-            equal, s, e = best_stretch(same, min(LEAST_TOKENS, len(t)))
+            if len(t) < LEAST_TOKENS:
+                equal, s, e = int(same.sum()), 0, len(same)
+                equal = equal if e == len(t) and equal >= len(t) - allowed(len(t)) else 0
+            else:
+                equal, s, e = best_stretch(same, LEAST_TOKENS)
             if equal:
                 keep.append(i)
                 for c, v in zip(cols, (equal, e - s, a + diagonal + s), strict=True):
@@ -162,17 +179,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item that overlap: doc_id, row, item_id, equal, overlap, at.
 
     ``overlap`` tokens from token ``at`` of the document on match the item along one diagonal, ``equal`` of them
-    exactly. An item of fewer than SPAN tokens matches a verbatim copy only. Null and empty texts and items without
-    tokens match nothing. Repeated documents share ``row``
-    and one result; repeated items are one. An empty table on either side gives no rows.
+    exactly. An item of fewer than LEAST_TOKENS tokens matches whole, with as many replaced tokens as ``allowed`` (none
+    below five). Null and empty texts and items without tokens match nothing. Texts of any length are searched whole.
+    Repeated documents share ``row`` and one result; repeated items are one; of several matches of a document and an
+    item the longest is told, then the one with most equal tokens, then the first. Other columns are not looked at. An
+    empty table on either side gives no rows.
     """
     spark: SparkSession = docs.sparkSession
     bench = benchmark.select(F.col("item_id"), row_key(F.col("item_id"), F.col("text")).alias("item"), "text").dropDuplicates(["item"])
     items = written(bench.select("item", "text").mapInArrow(_items, "item long, tokens array<long>, h array<long>, at array<int>"), "bench-items")
     item_seeds = items.select("item", F.explode(F.arrays_zip("h", "at")).alias("x")).select("item", F.col("x.h").alias("h"), F.col("x.at").alias("item_at"))
     table = spark.sparkContext.broadcast(benchmark_filter(item_seeds))
-    short = items.select(F.size("tokens").alias("n")).filter((F.col("n") > 0) & (F.col("n") < SPAN)).distinct()
-    sizes = sorted(r.n for r in short.collect())  # SPAN - 1 at most
+    lengths = items.select(F.least(F.size("tokens"), F.lit(LEAST_TOKENS)).alias("n")).filter("n > 0").distinct()
+    sizes = sorted(r.n for r in lengths.collect())  # LEAST_TOKENS at most; one stands for all longer items
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
     schema = "doc_id long, row long, start long, tokens array<long>, at array<int>, h array<long>"
     parts = written(source.mapInArrow(_hits(table, sizes), schema), "seed-hits")

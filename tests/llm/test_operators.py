@@ -323,7 +323,7 @@ def test_decontamination(spark, empty):
 def test_decontamination_of_short_items_and_of_a_stretch_inside_a_longer_one(spark):
     words = [f"t{i}" for i in range(63)]
     inside = [f"z{i}" if i >= 20 and (i - 20) % 3 == 0 and i < 62 else w for i, w in enumerate(words)]
-    rows = [(1, " ".join(inside)), (2, "so Short one, it is, a short one"), (3, "one short"), (4, "nine " * 8 + "nine"), (5, "nine " * 8)]
+    rows = [(1, " ".join(inside)), (2, "so Short one, it is, a short one"), (3, "one short"), (4, "nine " * 8 + "nine"), (5, "nine " * 8), (2, "so Short one, it is, a short one")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(7, " ".join(words)), (8, ""), (9, "short one"), (10, "nine " * 9)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.equal, r.overlap, r.at) for r in decontamination.overlaps(df, bench).collect()}
@@ -338,6 +338,46 @@ def test_decontamination_of_short_items_and_of_a_stretch_inside_a_longer_one(spa
         assert (e - s, s) == ((size, -at) if size >= 13 else (0, 0)) and equal == same[s:e].sum()
 
 
+def test_decontamination_finds_replaced_tokens():
+    """Of overlaps of ten and more tokens with a fifth replaced, anywhere, the masks miss one in fifty at most."""
+    rng = np.random.default_rng(6)
+    for n in (5, 9, 10, 11, 12, 13, 15, 20):
+        item = rng.integers(1, 1 << 62, n).astype(np.uint64)
+        own = decontamination.seeds(item, n)
+        missed = 0
+        for _ in range(400):
+            copy = item.copy()
+            copy[rng.permutation(n)[: decontamination.allowed(n)]] = rng.integers(1, 1 << 62, decontamination.allowed(n)).astype(np.uint64)
+            missed += not any((a == b).any() for a, b in zip(own, decontamination.seeds(copy, n), strict=True))
+        assert missed <= (0 if n < decontamination.LEAST_TOKENS else 8), n
+
+
+def test_decontamination_against_brute_force(spark):
+    """Documents with mutated passages of items of 3 to 40 tokens: what all diagonals and stretches give is found."""
+    rng = np.random.default_rng(9)
+    items = {i: [f"i{i}w{k}" for k in range(n)] for i, n in enumerate([3, 5, 8, 10, 11, 12, 13, 20, 40])}
+    rows = []
+    for d in range(150):
+        i = int(rng.integers(len(items)))
+        share = rng.choice([0, 0.1, 0.2, 0.35])
+        rows.append((d, [f"d{d}x{k}" for k in range(5)] + [w if rng.random() >= share else "zz" for w in items[i]] + ["end"] * int(rng.integers(3))))
+    want = set()
+    for d, words in rows:
+        for i, item in items.items():
+            for shift in range(-len(item) + 1, len(words)):
+                same = [0 <= k + shift < len(words) and words[k + shift] == w for k, w in enumerate(item)]
+                if len(item) < 13:
+                    hit = 0 <= shift <= len(words) - len(item) and 5 * sum(same) >= 4 * len(item)
+                else:
+                    hit = any(same[a] and same[b - 1] and 5 * sum(same[a:b]) >= 4 * (b - a) for a in range(len(item)) for b in range(a + 13, len(item) + 1))
+                if hit:
+                    want.add((d, i))
+    df = spark.createDataFrame([(d, " ".join(w), 1, "x") for d, w in rows], "doc_id long, text string, item_id int, tokens string")
+    bench = spark.createDataFrame([(i, " ".join(w), 2) for i, w in items.items()] * 2, "item_id long, text string, row int")
+    got = [(r.doc_id, r.item_id) for r in decontamination.overlaps(df, bench).collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(want) > 60 and len(got) >= 0.97 * len(want)
+
+
 def test_tokens(docs):
     tokenizers = pytest.importorskip("tokenizers")
     path = queries.vocabulary_path()
