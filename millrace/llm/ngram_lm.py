@@ -1,13 +1,14 @@
-"""Language-model scoring with Elias-Fano n-gram tries, one for each shard of the n-grams.
+"""Language-model scoring with Elias-Fano n-gram tries of order three, one for each shard of the n-grams.
 
-The model grows with the corpus, so no task and no driver holds all of it. One pass over the documents turns each
-batch of them into sorted lists of its distinct words and word pairs, cut by shard. One shuffle brings a shard's lists
-together: they are summed into the shard's trie, and the same lists are the queries that it answers. A second pass
-over the same batches gives each document's places in the lists, and a second shuffle brings the answers to them.
-Both passes must see the same partitions, which holds for files and written tables; else the second one fails.
+The model grows with the corpus, so no task and no driver holds all of it. One pass over the documents numbers the
+words of each batch of them; the numbered batches are a table a third as large as the texts. From a batch come its
+distinct words, pairs and triples as a small tree for each shard, the most compact form in which they can be shuffled.
+One shuffle brings a shard's trees together: they are summed into the shard's trie, which is stored, and their n-grams
+are what is then looked up in it. A second shuffle brings the answers to the batches, where documents are scored.
 
-A pair's shard follows from its first word and three bits of its second, so that a frequent first word spreads over
-eight shards; each of them gets the first word's own count with the lists.
+A pair is at home in the shard of its hash. A triple's shard follows from its first two words and, within an eighth of
+all shards, from its third, so that one frequent pair of words is spread over a share of the shards, however many
+there are. An n-gram is in a batch's trees once however often it occurs there.
 """
 
 from __future__ import annotations
@@ -15,125 +16,157 @@ from __future__ import annotations
 import mmap
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, as_bytes, concat, crc_mod, mix64, words_of, written
 
-#: Tokens of a batch, if its last document doesn't go beyond.
-BATCH_TOKENS = 2_000_000
-FAN = np.uint64(7)
+#: Tokens of a batch, if its last document doesn't go beyond, and tokens to a shard on average.
+BATCH_TOKENS, SHARD_TOKENS = 1_500_000, 1_500_000
+#: Share of the shards over which the triples of one pair are spread.
+SPREAD = 8
 #: Pseudo-counts of the shorter context in every context (Dirichlet smoothing).
 PRIOR = 50.0
-#: Codes 1 to 255 stand for log10 probabilities from -8 to 0 in equal steps; 0 for none.
-LOWEST = -8.0
+#: Counts up to here have a code each; larger ones share those that are left, in equal steps of their logarithm up to
+#: the largest count of the shard.
+EXACT = 128
 END = np.uint64(0x5EED0E0D)
 START = np.uint64(0x5EED57A7)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
-def quantise(p: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        steps = np.rint((np.log10(p) / LOWEST) * 254)
-    return np.where(p > 0, 255 - np.clip(steps, 0, 254), 0).astype(np.uint8)
+def levels(top: int) -> np.ndarray:
+    """The counts that the 256 codes stand for, if ``top`` is the largest."""
+    steps = np.arange(1, 256 - EXACT) / (255 - EXACT)
+    return np.r_[np.arange(EXACT + 1), EXACT * (max(top, EXACT) / EXACT) ** steps]
 
 
-LEVELS = np.r_[0.0, 10 ** (LOWEST * (254 - np.arange(255)) / 254)]
+def quantise(count: np.ndarray, top: int) -> np.ndarray:
+    """Codes of counts: joint probabilities of n-grams but for the division by all tokens."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        high = EXACT + np.rint((255 - EXACT) * np.log(count / EXACT) / np.log(max(top, EXACT + 1) / EXACT))
+    return np.where(count <= EXACT, count, high).astype(np.uint8)
 
 
 class EliasFano:
-    """A sorted sequence in about two bits more a value than its lower bits, in one memory map."""
+    """A sorted sequence in one memory map: whole low bytes of each value, and the high parts in unary."""
 
     def __init__(self, values: np.ndarray, universe: int):
-        self.n = n = len(values)
-        self.bits = max(0, min(56, (max(universe, 1) // max(n, 1)).bit_length() - 1))
         values = values.astype(np.uint64)
-        low_bytes = (n * self.bits + 7) // 8 + 8
-        top = int(values[-1] >> np.uint64(self.bits)) if n else 0
-        words = (n + top + 1) // 64 + 1
-        self.map = mmap.mmap(-1, low_bytes + words * 8 + 16)
-        at = np.frombuffer(self.map, np.uint8)
-        low = at[:low_bytes]
-        for a in range(0, n, 1 << 16):  # a multiple of eight values fills whole bytes
-            part = values[a : a + (1 << 16)]
-            bits = ((part[:, None] >> np.arange(self.bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-            packed = np.packbits(bits.ravel(), bitorder="little")
-            low[a * self.bits // 8 : a * self.bits // 8 + len(packed)] = packed
-        self.low = np.ndarray(low_bytes - 7, "<u8", self.map, 0, (1,))
-        start = (low_bytes + 7) // 8 * 8
-        self.high = np.frombuffer(self.map, np.uint8, words * 8, start)
-        ones = (values >> np.uint64(self.bits)).astype(np.int64) + np.arange(n)
-        np.bitwise_or.at(self.high, ones >> 3, (1 << (ones & 7)).astype(np.uint8))
-        self.zeros: np.ndarray | None = None  # where the high part goes up, found when first asked
-
-    def lows(self, i: np.ndarray) -> np.ndarray:
-        bit = i * self.bits
-        return (self.low[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.bits) - 1)
-
-    def begins(self, part: np.ndarray) -> np.ndarray:
-        """How many values have a high part below ``part``: the ones before the part-th zero."""
-        if self.zeros is None:
-            self.zeros = np.flatnonzero(np.unpackbits(self.high, bitorder="little") == 0)
-        out = np.zeros(len(part), np.int64)
-        some = part > 0
-        p = np.minimum(part[some], len(self.zeros)) - 1
-        out[some] = self.zeros[p] - p
-        return np.minimum(out, self.n)
-
-    def successor(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each key the place of the first value not below it, and whether that value is the key."""
-        keys = keys.astype(np.uint64)
-        part = (keys >> np.uint64(self.bits)).astype(np.int64)
-        place, end = self.begins(part), self.begins(part + 1)
-        want = keys & np.uint64((1 << self.bits) - 1)
-        open_ = np.flatnonzero(place < end)
-        while len(open_):
-            open_ = open_[self.lows(place[open_]) < want[open_]]
-            place[open_] += 1
-            open_ = open_[place[open_] < end[open_]]
-        hit = place < end
-        hit[hit] = self.lows(place[hit]) == want[hit]
-        return place, hit
+        n = len(values)
+        bits = max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1)
+        self.n, self.low_bytes = n, min(7, -(-bits // 8))
+        parts = (values >> np.uint64(8 * self.low_bytes)).astype(np.int64)
+        ones = np.zeros(n + (int(parts[-1]) if n else 0) + 1, np.uint8)
+        ones[parts + np.arange(n)] = 1
+        low = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(n, 8)[:, : self.low_bytes])
+        self._map(low.tobytes() + np.packbits(ones).tobytes())
+
+    def _map(self, data: bytes) -> None:
+        self.map = mmap.mmap(-1, max(len(data), 1))
+        self.map[: len(data)] = data
+        self.low = np.frombuffer(self.map, np.uint8, self.n * self.low_bytes).reshape(self.n, self.low_bytes)
+        self.high = np.frombuffer(self.map, np.uint8, offset=self.n * self.low_bytes)
+        self.ones: np.ndarray | None = None  # where the unary part has its ones, found when first asked
+
+    def stored(self) -> bytes:
+        return self.n.to_bytes(8, "little") + bytes([self.low_bytes]) + self.map[:]
+
+    @classmethod
+    def opened(cls, data: bytes) -> EliasFano:
+        new = cls.__new__(cls)
+        new.n, new.low_bytes = int.from_bytes(data[:8], "little"), data[8]
+        new._map(data[9:])
+        return new
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at the places ``i``."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
-        return ((ones[i] - i).astype(np.uint64) << np.uint64(self.bits)) | self.lows(i)
+        if self.ones is None:
+            self.ones = np.flatnonzero(np.unpackbits(self.high)[: self.n + len(self.high) * 8])[: self.n]
+        low = np.zeros((len(i), 8), np.uint8)
+        low[:, : self.low_bytes] = self.low[i]
+        return ((self.ones[i] - i).astype(np.uint64) << np.uint64(8 * self.low_bytes)) | low.view("<u8").ravel()
+
+    def successor(self, keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each key the first place from ``begin`` on, ``end`` at most, whose value isn't below it, and whether it is the key."""
+        lo, hi = begin.astype(np.int64), end.astype(np.int64)
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            below = self.get(mid) < keys[open_]
+            lo[open_[below]] = mid[below] + 1
+            hi[open_[~below]] = mid[~below]
+            open_ = open_[lo[open_] < hi[open_]]
+        hit = lo < end
+        hit[hit] = self.get(lo[hit]) == keys[hit]
+        return lo, hit
 
 
+@dataclass
 class Trie:
-    """Contexts, pointers to their successors, successors, and quantised probabilities of a shard's pairs.
+    """Words, the pairs that each begins and the triples that each pair begins, with their counts.
 
-    All levels are monotone: contexts by hash, pointers by nature, and successors because each context's are moved up
-    by its own place, so that a search for one is relative to its context.
+    Levels are monotone: words by hash, pointers by nature, and successors because each context's are moved up by the
+    context's place. A search for one goes from its context's pointer to the next context's only.
     """
 
-    def __init__(self, first: np.ndarray, total: np.ndarray, size: np.ndarray, second: np.ndarray, count: np.ndarray):
-        self.contexts = EliasFano(first, 1 << 48)
-        ends = np.r_[0, np.cumsum(size)]
-        self.pointers = EliasFano(ends, int(ends[-1]) + 1)
-        owner = np.repeat(np.arange(len(first), dtype=np.uint64), size)
-        self.successors = EliasFano((owner << np.uint64(32)) | second, max(len(first), 1) << 32)
-        self.seen = quantise(count / (np.repeat(total, size) + PRIOR))
-        self.rest = quantise(PRIOR / (total + PRIOR))
+    words: EliasFano
+    word_n: np.ndarray
+    to_pairs: EliasFano
+    pairs: EliasFano
+    pair_codes: np.ndarray
+    to_triples: EliasFano
+    triples: EliasFano
+    triple_codes: np.ndarray
+    top: int
+
+    @classmethod
+    def built(cls, words, word_n, pairs, pair_n, triples, triple_n) -> Trie:
+        """From sorted words; pairs as place of the word << 32 | second; triples as place of the pair << 32 | third."""
+        below = lambda owner, n: np.r_[0, np.cumsum(np.bincount(owner.astype(np.int64), minlength=n))]
+        a, b = below(pairs >> np.uint64(32), len(words)), below(triples >> np.uint64(32), len(pairs))
+        top = int(max(pair_n.max(initial=0), triple_n.max(initial=0)))
+        return cls(
+            EliasFano(words, 1 << 64), word_n, EliasFano(a, int(a[-1]) + 1), EliasFano(pairs, max(len(words), 1) << 32), quantise(pair_n, top),
+            EliasFano(b, int(b[-1]) + 1), EliasFano(triples, max(len(pairs), 1) << 32), quantise(triple_n, top), top,
+        )
+
+    def word(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place and count of words, and whether they are known."""
+        place, known = self.words.successor(words, np.zeros(len(words), np.int64), np.full(len(words), self.words.n))
+        count = np.zeros(len(words), np.int64)
+        count[known] = self.word_n[place[known]]
+        return place, count, known
+
+    @staticmethod
+    def _next(pointers: EliasFano, level: EliasFano, codes: np.ndarray, context: np.ndarray, known: np.ndarray, last: np.ndarray):
+        place, code, hit = np.zeros(len(last), np.int64), np.zeros(len(last), np.uint8), np.zeros(len(last), bool)
+        c = context[known]
+        at, found = level.successor((c.astype(np.uint64) << np.uint64(32)) | last[known].astype(np.uint64), pointers.get(c).astype(np.int64), pointers.get(c + 1).astype(np.int64))
+        place[known], hit[known] = at, found
+        code[hit] = codes[place[hit]]
+        return place, code, hit
+
+    def pair(self, word: np.ndarray, known: np.ndarray, second: np.ndarray):
+        """Place and code of the pairs of words at ``word`` and ``second``, and whether they are known."""
+        return self._next(self.to_pairs, self.pairs, self.pair_codes, word, known, second)
 
-    def query(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the seen part of each pair's probability and of the share left to the shorter context."""
-        context, known = self.contexts.successor(first)
-        seen = np.zeros(len(first), np.uint8)
-        rest = np.full(len(first), 255, np.uint8)
-        rest[known] = self.rest[context[known]]
-        place, hit = self.successors.successor((context[known].astype(np.uint64) << np.uint64(32)) | second[known].astype(np.uint64))
-        seen[np.flatnonzero(known)[hit]] = self.seen[place[hit]]
-        return seen, rest
+    def triple(self, pair: np.ndarray, known: np.ndarray, third: np.ndarray):
+        return self._next(self.to_triples, self.triples, self.triple_codes, pair, known, third)
 
+    def stored(self) -> dict[str, bytes]:
+        found = {n: getattr(self, n).stored() for n in ("words", "to_pairs", "pairs", "to_triples", "triples")}
+        return found | {"word_n": _pack(self.word_n, "<u8"), "pair_codes": self.pair_codes.tobytes(), "triple_codes": self.triple_codes.tobytes()}
 
-#: Lists go as bytes: 8 for a word or its 48-bit form, 4 for a place or a second word's 32 bits, counts compressed.
-_LISTS = "kind string, batch string, shard int, first binary, total binary, size binary, second binary, n binary, word binary, word_n binary, doc_id array<long>, held array<boolean>, tokens array<int>, pair binary, pair_word binary"
-_WIDE, _NARROW = np.dtype("<u8"), np.dtype("<u4")
+    @classmethod
+    def opened(cls, row: dict) -> Trie:
+        level = lambda name: EliasFano.opened(row[name])
+        codes = lambda name: np.frombuffer(row[name], np.uint8)
+        return cls(level("words"), _unpack(row["word_n"], "<u8"), level("to_pairs"), level("pairs"), codes("pair_codes"), level("to_triples"), level("triples"), codes("triple_codes"), row["top"])
 
 
 def _pack(a: np.ndarray, kind: str = "<u4") -> bytes:
@@ -147,168 +180,208 @@ def _unpack(data: bytes, kind: str = "<u4") -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
 
 
-_NAMES = [x.split()[0] for x in _LISTS.split(", ")]
-_TYPES = [pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 7, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-
-
-def _row(**values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([values.get(n)], t) for n, t in zip(_NAMES, _TYPES, strict=True)], names=_NAMES)
-
-
-def _lists_of(kind: str, name: str, ids: list, held: list, docs: list[np.ndarray], shards: int) -> Iterator[pa.RecordBatch]:
-    """A batch's lists for each shard, or its documents' places in their concatenation."""
-    sizes = np.array([len(d) for d in docs], np.int64)
-    flat = np.concatenate(docs)
-    words, at = np.unique(flat, return_inverse=True)
-    train = np.repeat(~np.array(held, bool), sizes)
-    starts = np.cumsum(np.r_[0, sizes])[:-1]
-    before = np.r_[np.int64(len(words)), at[:-1]]
-    before[starts] = len(words)  # the start of a document
-    names = np.r_[words, START]
-    pairs, pair = np.unique(before << 32 | at, return_inverse=True)
-    n = np.bincount(pair[train], minlength=len(pairs))
-    word_n = np.bincount(at[train], minlength=len(words))
-    context_n = np.bincount(before[train], minlength=len(words) + 1)
-    i, j = pairs >> 32, pairs & 0xFFFFFFFF
-    first, second = names[i] >> np.uint64(16), words[j] & np.uint64(0xFFFFFFFF)
-    shard = (mix64(names[i] + (words[j] & FAN)) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard << 32 | i, kind="stable")
-    place = np.empty(len(pairs), np.int64)
-    place[order] = np.arange(len(pairs))
-    word_shard = (mix64(words) % np.uint64(shards)).astype(np.int64)
-    word_order = np.lexsort((words, word_shard))
-    word_place = np.empty(len(words), np.int64)
-    word_place[word_order] = np.arange(len(words))
-    if kind == "documents":
-        yield _row(kind=kind, batch=name, shard=-1, doc_id=ids, held=held, tokens=sizes.astype(np.int32), pair=_pack(place[pair]), pair_word=_pack(word_place[j[order]]))
-        return
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    word_cuts = np.searchsorted(word_shard[word_order], np.arange(shards + 1))
-    for s in range(shards):
-        mine, own = order[cuts[s] : cuts[s + 1]], word_order[word_cuts[s] : word_cuts[s + 1]]
-        if not len(mine) and not len(own):
-            continue
-        new = np.flatnonzero(np.r_[True, i[mine][1:] != i[mine][:-1]]) if len(mine) else np.zeros(0, int)
-        yield _row(
-            kind=kind, batch=name, shard=s, first=first[mine][new].astype(_WIDE).tobytes(), total=_pack(context_n[i[mine][new]]), size=_pack(np.diff(np.r_[new, len(mine)])),
-            second=second[mine].astype(_NARROW).tobytes(), n=_pack(n[mine]), word=words[own].astype(_WIDE).tobytes(), word_n=_pack(word_n[own]),
-        )
-
-
-def _collect(shards: int, kind: str):
+def _rows(schema: str, **columns) -> pa.RecordBatch:
+    """A batch of the columns given, the others null."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+    fields = [x.split() for x in schema.split(", ")]
+    size = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(n, [None] * size), kinds[t]) for n, t in fields], names=[n for n, _ in fields])
+
+
+_BATCHES = "batch string, doc_id array<long>, held array<boolean>, tokens long, sizes binary, names binary, ids binary"
+
+
+def _number(most: int):
+    """Batches of documents as numbers of their distinct words, which are sorted by hash and hold START."""
+    return lambda batches: _numbered(batches, most)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    hashes, k = WordHashes(), 0
+    ids, held, docs, total, part = [], [], [], 0, 0
+
+    def done() -> pa.RecordBatch:
+        names, at = np.unique(np.concatenate([*docs, [START]]), return_inverse=True)
+        sizes = np.array([len(d) for d in docs])
+        return _rows(_BATCHES, batch=[f"{part}-{k}"], doc_id=[ids], held=[held], tokens=[int(sizes.sum())], sizes=[_pack(sizes)], names=[names.astype("<u8").tobytes()], ids=[_pack(at[:-1])])
+
+    for batch in batches:
+        part = batch["part"][0].as_py() if batch.num_rows else part
+        for doc, out, text in zip(batch["doc_id"].to_pylist(), batch["held"].to_pylist(), as_bytes(batch["text"]), strict=True):
+            tokens = np.append(hashes.of(words_of(text)), END)
+            ids.append(doc), held.append(out), docs.append(tokens)
+            total += len(tokens)
+            if total >= most:
+                yield done()
+                ids, held, docs, total, k = [], [], [], 0, k + 1
+    if docs:
+        yield done()
+
+
+class Grams:
+    """A batch's words, pairs and triples in the order in which its trees hold them, shard by shard."""
+
+    def __init__(self, row: dict, shards: int):
+        self.names = names = np.frombuffer(row["names"], "<u8")
+        self.ids = ids = _unpack(row["ids"])
+        self.sizes = _unpack(row["sizes"])
+        self.starts = starts = np.cumsum(np.r_[0, self.sizes])[:-1]
+        start = int(np.searchsorted(names, START))
+        before = np.r_[start, ids[:-1]]
+        before[starts] = start
+        pairs, pair = np.unique(np.r_[before << 32 | ids, start << 32 | start], return_inverse=True)
+        self.pair, first_context = pair[:-1], pair[-1]
+        context = np.r_[first_context, self.pair[:-1]]
+        context[starts] = first_context
+        triples, triple = np.unique(context << 32 | ids, return_inverse=True)
+        i, j, c, w = pairs >> 32, pairs & 0xFFFFFFFF, triples >> 32, triples & 0xFFFFFFFF
+
+        spread = mix64(names)
+        home = mix64(spread[i] * np.uint64(3) + spread[j]) % np.uint64(shards)
+        place = (spread[w] >> np.uint64(24)) % np.uint64(max(1, shards // SPREAD))
+        p, v = len(pairs), len(names)
+        here = ((home[c] + place) % np.uint64(shards)).astype(np.int64) * p + c
+        nodes, node = np.unique(np.r_[here, home.astype(np.int64) * p + np.arange(p)], return_inverse=True)
+        of_triple, self.of_pair = node[: len(triples)], node[len(triples) :]
+        shard, own = nodes // p, nodes % p
+        firsts, first = np.unique(np.r_[shard * v + i[own], (spread % np.uint64(shards)).astype(np.int64) * v + np.arange(v)], return_inverse=True)
+        self.of_word = first[len(nodes) :]
+        order = np.lexsort((w, of_triple))
+        place = np.empty(len(triples), np.int64)
+        place[order] = np.arange(len(triples))
+        self.triple = place[triple]  # of each token
+        self.first, self.second, self.third = names[firsts % v], (names[j[own]] & _LOW).astype("<u4"), (names[w[order]] & _LOW).astype("<u4")
+        self.under_first, self.under_second = np.bincount(first[: len(nodes)], minlength=len(firsts)), np.bincount(of_triple, minlength=len(nodes))
+        ends = np.arange(shards + 1)
+        self.first_cuts, self.second_cuts = np.searchsorted(firsts // v, ends), np.searchsorted(shard, ends)
+        self.third_cuts = np.searchsorted(of_triple[order], self.second_cuts)
+
+    def counts(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often each word, pair and triple occurs among the tokens of ``train``; at an n-gram's home only."""
+        n1, n2 = np.zeros(len(self.first), np.int64), np.zeros(len(self.second), np.int64)
+        n1[self.of_word] = np.bincount(self.ids[train], minlength=len(self.names))
+        n2[self.of_pair] = np.bincount(self.pair[train], minlength=len(self.of_pair))
+        return n1, n2, np.bincount(self.triple[train], minlength=len(self.third))
+
+
+_TREES = "batch string, shard int, first binary, under_first binary, second binary, under_second binary, third binary, n1 binary, n2 binary, n3 binary"
+
+
+def _trees(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, k = WordHashes(), 0
-        ids, held, docs, total, part = [], [], [], 0, 0
-
-        def name() -> str:
-            return f"{part}-{k}"  # the scan's partition, whatever plan it is part of
-
         for batch in batches:
-            part = batch["part"][0].as_py() if batch.num_rows else part
-            for doc, out, text in zip(batch["doc_id"].to_pylist(), batch["held"].to_pylist(), as_bytes(batch["text"]), strict=True):
-                tokens = np.append(hashes.of(words_of(text)), END)
-                ids.append(doc), held.append(out), docs.append(tokens)
-                total += len(tokens)
-                if total >= BATCH_TOKENS:
-                    yield from _lists_of(kind, name(), ids, held, docs, shards)
-                    ids, held, docs, total, k = [], [], [], 0, k + 1
-        if docs:
-            yield from _lists_of(kind, name(), ids, held, docs, shards)
+            for row in batch.to_pylist():
+                g = Grams(row, shards)
+                n1, n2, n3 = g.counts(np.repeat(~np.array(row["held"], bool), g.sizes))
+                rows = {n.split()[0]: [] for n in _TREES.split(", ")}
+                for s in range(shards):
+                    a, b, c = (slice(x[s], x[s + 1]) for x in (g.first_cuts, g.second_cuts, g.third_cuts))
+                    if a.start < a.stop:
+                        values = (row["batch"], s, g.first[a].tobytes(), _pack(g.under_first[a]), g.second[b].tobytes(), _pack(g.under_second[b]), g.third[c].tobytes(), _pack(n1[a]), _pack(n2[b]), _pack(n3[c]))
+                        for column, value in zip(rows.values(), values, strict=True):
+                            column.append(value)
+                    if len(rows["batch"]) >= 500:
+                        yield _rows(_TREES, **rows)
+                        rows = {n: [] for n in rows}
+                yield _rows(_TREES, **rows)
 
     return run
 
 
-def _list(col: pa.ChunkedArray) -> np.ndarray:
-    """All values of a list column, row after row."""
-    return pc.list_flatten(col.combine_chunks()).to_numpy(zero_copy_only=False)
+_SERVED = (
+    "batch string, shard int, top long, word_n binary, pair_codes binary, triple_codes binary, tokens long, types long, "
+    "words binary, to_pairs binary, pairs binary, to_triples binary, triples binary"
+)
 
 
-_ANSWERS = "batch string, shard int, seen binary, rest binary, size binary, word_n binary, tokens long, types long"
+def _merged(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, the place of each value among them, and the sums of ``n``."""
+    distinct, at = np.unique(values, return_inverse=True)
+    return distinct, at, np.bincount(at, n, len(distinct)).astype(np.int64)
 
 
 def _serve(table: pa.Table) -> pa.Table:
-    """Sum a shard's lists into counts and a trie, and answer each batch's lists from it."""
+    """Sum a shard's trees into a trie, store it, and answer each batch's tree from it."""
     table = table.sort_by("batch")
-    rows = table.num_rows
-    wide = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
-    small = lambda name: [_unpack(x) for x in table[name].to_pylist()]
-    firsts, seconds, sizes_, words_ = wide("first", _WIDE), wide("second", _NARROW), small("size"), wide("word", _WIDE)
-    contexts, at = np.unique(concat(firsts, np.uint64), return_inverse=True)
-    total = np.bincount(at, concat(small("total"), np.int64), len(contexts))  # once from each batch with the context
-    size = concat(sizes_, np.int64)
-    keys = np.repeat(at, size) << 32 | concat(seconds, np.int64).astype(np.int64)
-    pairs, pair = np.unique(keys, return_inverse=True)
-    count = np.bincount(pair, concat(small("n"), np.int64), len(pairs))
-    owner, second = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.uint64)
-    kept, live = count > 0, total > 0  # only what was counted enters the trie
-    in_context = np.bincount(owner[kept], minlength=len(contexts))
-    trie = Trie(contexts[live], total[live], in_context[live], second[kept], count[kept])
-    seen, rest = trie.query(contexts[owner], second)
-    seen = seen[pair]
-    rest_of = np.full(len(contexts), 255, np.uint8)
-    rest_of[owner] = rest
-    rest = rest_of[at]
-
-    names, word = np.unique(concat(words_, np.uint64), return_inverse=True)
-    word_sum = np.bincount(word, concat(small("word_n"), np.int64), len(names)).astype(np.int64)
-    answer = word_sum[word]
+    plain = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
+    small = lambda name: concat((_unpack(x) for x in table[name].to_pylist()), np.int64)
+    firsts, seconds, thirds = plain("first", "<u8"), plain("second", "<u4"), plain("third", "<u4")
+    words, word, n1 = _merged(np.concatenate(firsts), small("n1"))
+    pairs, pair, n2 = _merged(np.repeat(word, small("under_first")).astype(np.uint64) << np.uint64(32) | np.concatenate(seconds), small("n2"))
+    triples, triple, n3 = _merged(np.repeat(pair, small("under_second")).astype(np.uint64) << np.uint64(32) | np.concatenate(thirds), small("n3"))
+
+    # Only what was counted enters the trie, and what it hangs on.
+    high = lambda x: (x >> np.uint64(32)).astype(np.int64)
+    live3 = n3 > 0
+    live2 = n2 > 0
+    live2[high(triples[live3])] = True
+    live1 = n1 > 0
+    live1[high(pairs[live2])] = True
+    moved = lambda values, live, above: (np.cumsum(above) - 1)[high(values[live])].astype(np.uint64) << np.uint64(32) | (values[live] & _LOW)
+    trie = Trie.built(words[live1], n1[live1], moved(pairs, live2, live1), n2[live2], moved(triples, live3, live2), n3[live3])
+
+    at1, count, known1 = trie.word(words)
+    at2, code2, known2 = trie.pair(at1[high(pairs)], known1[high(pairs)], pairs & _LOW)
+    _, code3, _ = trie.triple(at2[high(triples)], known2[high(triples)], triples & _LOW)
     ends = lambda parts: np.r_[0, np.cumsum([len(x) for x in parts])]
-    a, b, c = ends(seconds), ends(words_), ends(firsts)
-    tokens, types = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-    tokens[0], types[0] = word_sum.sum(), (word_sum > 0).sum()
-    return pa.table({
-        "batch": table["batch"], "shard": table["shard"],
-        "seen": pa.array([zlib.compress(seen[a[i] : a[i + 1]].tobytes(), 1) for i in range(rows)], pa.binary()),
-        "rest": pa.array([rest[c[i] : c[i + 1]].tobytes() for i in range(rows)], pa.binary()),
-        "size": table["size"], "word_n": pa.array([_pack(answer[b[i] : b[i + 1]], "<u8") for i in range(rows)], pa.binary()),
-        "tokens": pa.array(tokens), "types": pa.array(types),
-    })
+    a, b, c = ends(firsts), ends(seconds), ends(thirds)
+    count, code2, code3 = count[word], code2[pair], code3[triple]
+    k = range(table.num_rows)
+    squeeze = lambda codes, cuts: [zlib.compress(codes[cuts[i] : cuts[i + 1]].tobytes(), 1) for i in k]
+    shard = table["shard"][0].as_py()
+    answers = _rows(_SERVED, batch=table["batch"].to_pylist(), shard=[shard] * len(k), top=[trie.top] * len(k), word_n=[_pack(count[a[i] : a[i + 1]], "<u8") for i in k], pair_codes=squeeze(code2, b), triple_codes=squeeze(code3, c))
+    model = _rows(_SERVED, shard=[shard], top=[trie.top], tokens=[int(n1.sum())], types=[int((n1 > 0).sum())], **{n: [x] for n, x in trie.stored().items()})
+    return pa.Table.from_batches([answers, model])
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(tokens: int, types: int):
+def _score(shards: int, tokens: int, types: int, documents: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("shard")
-        docs, answers = table.slice(0, 1), table.slice(1)
-        seen = np.frombuffer(b"".join(map(zlib.decompress, answers["seen"].to_pylist())), np.uint8)
-        rest = np.repeat(np.frombuffer(b"".join(answers["rest"].to_pylist()), np.uint8), concat(map(_unpack, answers["size"].to_pylist()), np.int64))
-        count = concat((_unpack(x, "<u8") for x in answers["word_n"].to_pylist()), np.int64)
-        alone = (count + 0.5) / (tokens + 0.5 * (types + 1))
-        pair, word = _unpack(docs["pair"][0].as_py()), _unpack(docs["pair_word"][0].as_py())
-        if len(rest) != len(seen) or (len(pair) and pair.max() + 1 != len(seen)) or (len(word) and word.max() + 1 != len(count)):
-            raise ValueError("a batch held other documents when it was read again")
-        p1 = alone[word]  # of each pair's second word
-        p2 = np.log10(LEVELS[seen] + LEVELS[rest] * p1)
-        sizes = _list(docs["tokens"]).astype(np.int64)
-        starts = np.cumsum(np.r_[0, sizes])[:-1]
-        of = lambda x: np.add.reduceat(x[pair], starts)
-        ids = docs["doc_id"].combine_chunks().flatten()
+        row, answers = table.slice(0, 1).to_pylist()[0], table.slice(1).to_pylist()
+        g = Grams(row, shards)
+        decode = lambda name: concat((levels(x["top"])[np.frombuffer(zlib.decompress(x[name]), np.uint8)] for x in answers), np.float64)
+        word_n = concat((_unpack(x["word_n"], "<u8") for x in answers), np.int64)[g.of_word][g.ids]
+        pair_n = decode("pair_codes")[g.of_pair][g.pair]
+        triple_n = decode("triple_codes")[g.triple]
+
+        def context(n: np.ndarray) -> np.ndarray:
+            """Each token's context's count: that of the n-gram that ends before it, of the documents at a start."""
+            out = np.r_[documents, n[:-1]].astype(np.float64)
+            out[g.starts] = documents
+            return out
+
+        p1 = (word_n + 0.5) / (tokens + 0.5 * (types + 1))
+        p2 = (pair_n + PRIOR * p1) / (context(word_n) + PRIOR)
+        p3 = (triple_n + PRIOR * p2) / (context(pair_n) + PRIOR)
+        of = lambda x: np.add.reduceat(x, g.starts)
         return pa.table({
-            "doc_id": ids, "held_out": docs["held"].combine_chunks().flatten(), "n_tokens": sizes, "n_known": of((count[word] > 0).astype(np.int64)),
-            "train_tokens": np.full(len(sizes), tokens, np.int64), "base_score": of(np.log10(p1)), "score": of(p2),
+            "doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": g.sizes, "n_known": of((word_n > 0).astype(np.int64)),
+            "train_tokens": np.full(len(g.sizes), tokens, np.int64), "base_score": of(np.log10(p1)), "score": of(np.log10(p3)),
         })
 
     return run
 
 
-def score_documents(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:
+def score_documents(docs: DataFrame, fold: int = 1, folds: int = 5, batch_tokens: int = BATCH_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from rows whose crc32(doc_id as text) modulo ``folds`` isn't ``fold``. A token is a word with A-Z
-    lower-cased, or the one end of a text; null text has the end only. base_score is that of single tokens, score
-    that of pairs, smoothed with single tokens; both are log10 of the text's probability. A null id counts as empty
-    text for the fold. Repeated rows count as often. An empty table gives no rows.
+    lower-cased, or the one end of a text; null and empty texts have the end only. base_score is that of single
+    tokens, score that of each token after the two before it, smoothed with pairs and those with single tokens; both
+    are log10 of the text's probability. A null id counts as empty text for the fold. Repeated rows count as often and
+    each get a row. Texts of any length are scored whole; a batch holds at least one. Other columns are not looked at.
+    An empty table gives no rows.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), folds) == fold).alias("held"), "text", F.spark_partition_id().alias("part"))
-    part_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    shards = source.rdd.getNumPartitions() * max(2, -(-part_bytes // (8 << 20)))
-    lists = source.mapInArrow(_collect(max(shards, 1), "lists"), _LISTS)
-    asked = lists.select("batch", "shard", "first", "total", "size", "second", "n", "word", "word_n")
-    answers = written(asked.groupBy("shard").applyInArrow(_serve, _ANSWERS), "ngram-answers")
-    all_ = answers.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
-    own = source.mapInArrow(_collect(max(shards, 1), "documents"), _LISTS).select("batch", "shard", "doc_id", "held", "tokens", "pair", "pair_word")
-    both = answers.select("batch", "shard", "seen", "rest", "size", "word_n").unionByName(own, allowMissingColumns=True)
-    return both.groupBy("batch").applyInArrow(_score(all_["tokens"] or 0, all_["types"] or 0), _SCORES)
+    batches = written(source.mapInArrow(_number(batch_tokens), _BATCHES), "ngram-batches")
+    size = batches.agg(F.count(F.lit(1)).alias("batches"), F.sum("tokens").alias("tokens"), F.sum(F.size(F.filter("held", lambda x: ~x))).alias("documents")).first()
+    shards = max(1, -(-(size["tokens"] or 0) // shard_tokens))
+    trees = batches.repartition(max(1, size["batches"]), "batch").mapInArrow(_trees(shards), _TREES)
+    served = written(trees.groupBy("shard").applyInArrow(_serve, _SERVED), "ngram-tries")
+    known = served.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
+    answers = served.filter(F.col("batch").isNotNull()).select("batch", "shard", "top", "word_n", "pair_codes", "triple_codes")
+    both = answers.unionByName(batches.withColumn("shard", F.lit(-1)), allowMissingColumns=True)
+    return both.groupBy("batch").applyInArrow(_score(shards, known["tokens"] or 0, known["types"] or 0, size["documents"] or 0), _SCORES)

@@ -479,32 +479,87 @@ def test_pii_in_long_lines(spark):
 
 def test_elias_fano():
     rng = np.random.default_rng(0)
-    for n, top in ((1, 1 << 48), (500, 1 << 20), (3000, 1 << 40)):
+    for n, top in ((0, 9), (1, 1 << 48), (500, 1 << 20), (3000, 1 << 40), (900, 1 << 63)):
         v = np.unique(rng.integers(0, top, n).astype(np.uint64))
         ef, q = ngram_lm.EliasFano(v, top), np.r_[v, rng.integers(0, top, 500).astype(np.uint64)]
-        place, hit = ef.successor(q)
-        assert (place == np.searchsorted(v, q)).all() and (hit == np.isin(q, v)).all() and (ef.get(np.arange(len(v))) == v).all()
+        for x in (ef, ngram_lm.EliasFano.opened(ef.stored())):
+            place, hit = x.successor(q, np.zeros(len(q), np.int64), np.full(len(q), len(v)))
+            assert (place == np.searchsorted(v, q)).all() and (hit == np.isin(q, v)).all() and (x.get(np.arange(len(v))) == v).all()
+        a, b = np.sort(rng.integers(0, len(v) + 1, (2, len(q))), axis=0)
+        place, hit = ef.successor(q, a, b)
+        assert (place == np.clip(np.searchsorted(v, q), a, b)).all() and (hit == [x in v[i:j] for x, i, j in zip(q, a, b)]).all()
 
 
-def test_lm(spark, sf, empty):
+def test_trie_answers_as_counts_do():
+    """Also when stored and opened again; a search for a successor stays between its context's pointers."""
+    rng = np.random.default_rng(2)
+    grams = rng.zipf(1.4, (4000, 3)) % 60
+    one, two, three = (collections.Counter(map(tuple, grams[:, : k + 1].tolist())) for k in range(3))
+    words = np.array(sorted(x for x, in one), np.uint64)
+    pairs = sorted(two)
+    built = ngram_lm.Trie.built(
+        words, np.array([one[int(w),] for w in words]), np.array([int(np.searchsorted(words, a)) << 32 | b for a, b in pairs], np.uint64), np.array([two[x] for x in pairs]),
+        np.array([pairs.index((a, b)) << 32 | c for a, b, c in sorted(three)], np.uint64), np.array([three[x] for x in sorted(three)]),
+    )
+    asked = np.r_[grams, rng.integers(0, 70, (2000, 3))].astype(np.uint64)
+    for trie in (built, ngram_lm.Trie.opened(built.stored() | {"top": built.top})):
+        at, n1, known = trie.word(asked[:, 0])
+        at, code2, known = trie.pair(at, known, asked[:, 1])
+        _, code3, _ = trie.triple(at, known, asked[:, 2])
+        decode = ngram_lm.levels(trie.top)
+        rows = asked.tolist()
+        assert n1.tolist() == [one[a,] for a, _, _ in rows]
+        assert np.allclose(decode[code2], [two[a, b] for a, b, _ in rows], rtol=0.03) and np.allclose(decode[code3], [three[tuple(x)] for x in rows], rtol=0.03)
+
+
+def test_codes_of_counts():
+    for top in (1, 128, 129, 5_000, 10**12):
+        n = np.unique(np.r_[np.arange(129), np.geomspace(1, top, 2000).astype(np.int64)])
+        n = n[n <= top]
+        back = ngram_lm.levels(top)[ngram_lm.quantise(n, top)]
+        assert (back[n <= 128] == n[n <= 128]).all() and (np.abs(np.log10(back[1:] / n[1:])) <= max(0.001, math.log10(max(top, 129) / 128) / 250)).all()
+
+
+def _check_scores(df, scored):
+    rows = [(r.doc_id, [*(r.text or "").encode().lower().split(), 0]) for r in df.collect()]
+    counts = [collections.Counter() for _ in range(3)]
+    for i, w in rows:
+        if zlib.crc32(str("" if i is None else i).encode()) % 5 != 1:
+            w = [1, 1, *w]
+            for k in range(2, len(w)):
+                counts[0][w[k]] += 1
+                counts[1][w[k - 1], w[k]] += 1
+                counts[2][tuple(w[k - 2 : k + 1])] += 1
+    one, two, three = counts
+    n, v, m, documents = sum(one.values()), len(one), ngram_lm.PRIOR, one[0]
+    p1 = lambda x: (one[x] + 0.5) / (n + 0.5 * (v + 1))
+    p2 = lambda a, x: (two[a, x] + m * p1(x)) / ((documents if a == 1 else one[a]) + m)
+    p3 = lambda a, b, x: (three[a, b, x] + m * p2(b, x)) / ((documents if b == 1 else two[a, b]) + m)
+    want = []
+    for i, w in rows:
+        known, padded = sum(x in one for x in w), [1, 1, *w]
+        score = sum(math.log10(p3(*padded[k : k + 3])) for k in range(len(w)))
+        want.append((-1 if i is None else i, len(w), known, n, sum(math.log10(p1(x)) for x in w), score))
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in scored.collect())
+    assert len(got) == len(want)
+    for g, x in zip(got, sorted(want)):
+        assert g[:4] == x[:4] and math.isclose(g[4], x[4], rel_tol=1e-9) and abs(g[5] - x[5]) <= 0.003 * x[1]
+
+
+def test_lm(spark, sf, docs, empty):
     df = spark.read.parquet(f"{sf}/documents.parquet")
-    got = {r.doc_id: r for r in ngram_lm.score_documents(df).collect()}
-    texts = {r.doc_id: [*(r.text or "").encode().lower().split(), 0] for r in df.collect()}
-    one, two, context = collections.Counter(), collections.Counter(), collections.Counter()
-    for i, w in texts.items():
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            one.update(w), two.update(zip([1, *w[:-1]], w)), context.update([1, *w[:-1]])
-    n, v, m = sum(one.values()), len(one), ngram_lm.PRIOR
-    p = lambda x: (one[x] + 0.5) / (n + 0.5 * (v + 1))
-    for i, w in texts.items():
-        base = sum(math.log10(p(x)) for x in w)
-        pair = sum(math.log10((two[a, x] + m * p(x)) / (context[a] + m)) for a, x in zip([1, *w[:-1]], w))
-        r = got[i]
-        assert math.isclose(r.base_score, base, rel_tol=1e-9) and abs(r.score - pair) <= 0.02 * len(w)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in one for x in w), n)
+    _check_scores(df, ngram_lm.score_documents(df))
+    _check_scores(docs.unionByName(docs), ngram_lm.score_documents(docs.unionByName(docs)))
     assert ngram_lm.score_documents(empty).count() == 0
 
 
+def test_lm_in_many_batches_and_shards(spark):
+    """Contexts and counts add up over batches, and a pair's triples over shards."""
+    rows = [(i, " ".join(["very common", f"w{i % 40}", *(f"x{(i * k) % 17}" for k in range(20)), "very common end"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _check_scores(df, ngram_lm.score_documents(df, batch_tokens=600, shard_tokens=400))
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as cp
 
