@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, written
+from .common import attach, shared_path, written
 
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
@@ -23,8 +23,10 @@ ARCHIVE_BYTES = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = (
     "record_id string, type string, target_uri string, date string, concurrent_to string, refers_to string, "
-    "payload_digest string, fields map<string,string>, payload binary, payload_bytes long, computed_digest string"
+    "payload_digest string, fields map<string,string>, payload binary, payload_bytes long, computed_digest string, error string"
 )
+#: Bytes that are decompressed at a time, and the longest header of a record.
+CHUNK, HEADER = 1 << 20, 1 << 20
 
 
 def _record(kind: str, record_id: Column, headers: list[tuple[str, Column]], content: Column) -> Column:
@@ -47,15 +49,16 @@ def write_captures(pages: DataFrame, path: str, least_bytes: int = 1000) -> None
     Of equal payloads of ``least_bytes`` or more, the one with the largest page_id is a response and the others are
     revisits that name it and carry no payload. Null html is empty; a null page_id is less than any other, and
     payloads whose ids are all null are all responses, as are repeated rows of the largest id. Line breaks in a url
-    become spaces. Columns beyond the three are left out.
+    become spaces. Pages of any length are written whole. Columns beyond the three are left out. An empty table writes
+    an archive without records.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    # The id counts rows of the scan, so both uses below see the same one for a row.
-    base = pages.select(F.monotonically_increasing_id().alias("uid"), F.col("page_id").cast("long").alias("page_id"), F.regexp_replace("url", r"[\r\n]+", " ").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
+    # Written once, so that both uses below see one id for a row.
+    base = written(pages.select(F.monotonically_increasing_id().alias("uid"), F.col("page_id").cast("long").alias("page_id"), F.regexp_replace("url", r"[\r\n]+", " ").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("bytes")), "warc-pages")
     same = base.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes")
     groups = same.agg(F.count(F.lit(1)).alias("copies"), F.max(F.struct("page_id", "uid")).alias("head"))
-    groups = groups.filter((F.col("copies") > 1) & F.col("head.page_id").isNotNull()).select(F.col("digest").alias("__d"), F.col("bytes").alias("__b"), "head")
-    df = base.join(groups, (F.col("digest") == F.col("__d")) & (F.col("bytes") == F.col("__b")), "left")
+    groups = written(groups.filter((F.col("copies") > 1) & F.col("head.page_id").isNotNull()).select("digest", "bytes", "head"), "warc-groups")
+    df = attach(base, groups, "digest", "bytes", how="left")
     revisit = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head.page_id"))
 
     uri = F.col("url")
@@ -70,38 +73,87 @@ def write_captures(pages: DataFrame, path: str, least_bytes: int = 1000) -> None
     about = F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(CRLF)), F.lit("")), F.lit("fetched-bytes: "), F.col("bytes").cast("string"), F.lit(CRLF))
     metadata = _record("metadata", _uri("metadata", F.col("uid")), [("WARC-Target-URI", uri), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))], about)
     records = df.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), metadata)).alias("value"))
-    mean = pages.agg(F.avg(F.octet_length(html))).first()[0] or 0
+    mean = base.agg(F.avg("bytes")).first()[0] or 0
     per_file = max(3, int(ARCHIVE_BYTES / (mean + 1500) * 3))
     records.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of each record, cut by Content-Length."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(fields.get("content-length", 0))
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-
-
-def _unzip(data: bytes) -> bytes:
-    """The content of a gzip file of one or many members, or the data itself."""
+def _content(data: bytes) -> Iterator[bytes]:
+    """The content of a gzip file of one or many members, or the data itself, CHUNK compressed bytes at a time."""
+    view, at = memoryview(data), 0
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
+        yield from (bytes(view[i : i + CHUNK]) for i in range(0, len(data), CHUNK))
+        return
+    while at < len(data):
         member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(out)
+        while not member.eof and at < len(data):
+            part = view[at : at + CHUNK]
+            yield member.decompress(part)
+            at += len(part) - len(member.unused_data)
+        if not member.eof:
+            raise ValueError("truncated gzip member")
+
+
+def parse_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Header fields (lower-case names) and block of each record, cut by Content-Length, and what is wrong with it.
+
+    After a record whose header can't be read, reading goes on at the next one. A file that ends early or can't be
+    decompressed ends with a record that says so and has what there is of its block.
+    """
+    buffer, failed = bytearray(), []
+
+    def more() -> bool:
+        try:
+            chunk = next(chunks, None)
+        except (zlib.error, ValueError) as e:
+            failed.append(str(e))
+            return False
+        buffer.extend(chunk or b"")
+        return chunk is not None
+
+    def find(what: bytes, start: int, most: int) -> int:
+        while (at := buffer.find(what, start)) < 0 and len(buffer) - start <= most:
+            start = max(start, len(buffer) - len(what))
+            if not more():
+                return -1
+        return at
+
+    def skip() -> None:
+        """Drop what comes before the next record."""
+        while find(b"WARC/", 1, CHUNK) < 0:
+            if len(buffer) > 5:
+                del buffer[:-5]
+            if not more():
+                buffer.clear()
+                return
+        del buffer[: buffer.find(b"WARC/", 1)]
+
+    while True:
+        while (blank := len(buffer) - len(buffer.lstrip(b"\r\n"))) == len(buffer) and more():
+            pass
+        del buffer[:blank]
+        if not buffer:
+            break
+        end = find(b"\r\n\r\n", 0, HEADER)
+        lines = bytes(buffer[: max(end, 0)]).decode("utf-8", "replace").split("\r\n")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        length = fields.get("content-length", "")
+        if end < 0 or not buffer.startswith(b"WARC/") or not (length.isascii() and length.isdigit()):
+            yield fields, b"", "no header" if end < 0 else "no record" if not buffer.startswith(b"WARC/") else "no length"
+            skip()
+            continue
+        start, stop = end + 4, end + 4 + int(length)
+        while len(buffer) < stop and more():
+            pass
+        yield fields, bytes(buffer[start:stop]), None if len(buffer) >= stop else "truncated"
+        del buffer[:stop]
+    if failed:
+        yield {}, b"", failed[0]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _RECORD.split(", ")]
-    kinds = [pa.string()] * 7 + [pa.map_(pa.string(), pa.string()), pa.binary(), pa.int64(), pa.string()]
+    kinds = [pa.string()] * 7 + [pa.map_(pa.string(), pa.string()), pa.binary(), pa.int64(), pa.string(), pa.string()]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) or [()] * len(names)
@@ -110,14 +162,14 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch["content"]:
             rows, size = [], 0
-            for f, block in parse_records(_unzip(content.as_py())):
+            for f, block, error in parse_records(_content(content.as_py())):
                 kind, extra, payload = f.get("warc-type"), {}, block
                 if f.get("content-type", "").startswith("application/http"):
                     payload = block.partition(b"\r\n\r\n")[2]
                 elif f.get("content-type", "").startswith("application/warc-fields"):
                     extra = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").split("\r\n") if x)}
                 digest = hashlib.sha1(payload).hexdigest() if kind == "response" else None
-                rows.append((f.get("warc-record-id"), kind, f.get("warc-target-uri"), f.get("warc-date"), f.get("warc-concurrent-to"), f.get("warc-refers-to"), f.get("warc-payload-digest"), list(extra.items()), payload, len(payload), digest))
+                rows.append((f.get("warc-record-id"), kind, f.get("warc-target-uri"), f.get("warc-date"), f.get("warc-concurrent-to"), f.get("warc-refers-to"), f.get("warc-payload-digest"), list(extra.items()), payload, len(payload), digest, error))
                 size += len(payload)
                 if size > 8 << 20:
                     yield batch_of(rows)
@@ -126,34 +178,48 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the WARC files (gzip or plain) under ``path``."""
+    """One row per record of the WARC files (gzip or plain) under ``path``. ``error`` says what is wrong with a damaged
+    one: no record, no header, no length, truncated, or why a file couldn't be decompressed further."""
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, _RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: capture_id, response, request and metadata structs (null where a capture has none)."""
-    part = lambda kinds, name: records.filter(F.col("type").isin(*kinds)).select(F.col("record_id" if name == "response" else "concurrent_to").alias("capture_id"), F.struct("record_id", "type", "target_uri", "date", "refers_to", "payload_digest", "fields", "payload", "payload_bytes", "computed_digest").alias(name))
-    return part(["response", "revisit"], "response").join(part(["request"], "request"), "capture_id", "left").join(part(["metadata"], "metadata"), "capture_id", "left")
+    """One row per capture: capture_id, response, request and metadata structs (null where a capture has none).
+
+    Requests and metadata are joined to the response that they name in WARC-Concurrent-To by one grouping. Those that
+    name none, and damaged records, are left out; of several records of a part the greatest by digest, date and id is
+    taken. Structs have the columns of ``records`` but for concurrent_to and error, so that a payload that isn't asked
+    for can be dropped before.
+    """
+    own = F.col("type").isin("response", "revisit")
+    whole = F.struct(*(c for c in records.columns if c not in ("concurrent_to", "error")))
+    order = F.struct("payload_digest", "date", "record_id")
+    part = lambda name, kinds: F.max_by(whole, F.when(F.col("type").isin(*kinds), order)).alias(name)
+    keyed = records.filter("error IS NULL").withColumn("capture_id", F.when(own, F.col("record_id")).otherwise(F.col("concurrent_to"))).filter("capture_id IS NOT NULL")
+    captures = keyed.groupBy("capture_id").agg(part("response", ("response", "revisit")), part("request", ("request",)), part("metadata", ("metadata",)))
+    return captures.filter("response IS NOT NULL")
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as WARC, read the archives back, assemble the captures and resolve revisits.
 
     One row per page: page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri. Digest and size of a
-    response are those of the payload read back; a revisit has those of the response that it refers to.
+    response are those of the payload read back; a revisit has those of the response that it refers to. Repeated rows
+    each get a row. An empty table gives no rows.
     """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_captures(pages, path)
-    captures = assemble(read_warc(spark, path))
+    captures = assemble(read_warc(spark, path).drop("payload"))
     flat = captures.select(
         "capture_id", F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("to"), F.col("metadata.fields")["page-id"].cast("long").alias("page_id"),
         F.col("response.payload_bytes").alias("bytes"), F.col("response.computed_digest").alias("digest"), F.col("response.target_uri").alias("target_uri"),
     )
     flat = written(flat, "captures")
     named = flat.filter(F.col("record_type") == "revisit").select(F.col("to").alias("__named")).distinct()
-    heads = flat.filter(F.col("record_type") == "response").join(named, F.col("capture_id") == F.col("__named"), "left_semi").select(F.col("capture_id").alias("__to"), F.col("page_id").alias("head_id"), F.col("bytes").alias("head_bytes"), F.col("digest").alias("head_digest"))
-    out = flat.join(heads, F.col("to") == F.col("__to"), "left")
+    heads = flat.filter(F.col("record_type") == "response").join(named, F.col("capture_id") == F.col("__named"), "left_semi")
+    heads = written(heads.select(F.col("capture_id").alias("to"), F.col("page_id").alias("head_id"), F.col("bytes").alias("head_bytes"), F.col("digest").alias("head_digest")), "warc-heads")
+    out = attach(flat, heads, "to", how="left")
     revisit = F.col("record_type") == "revisit"
     return out.select(
         "page_id", F.when(revisit, F.col("head_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"), F.when(revisit, F.col("head_digest")).otherwise(F.col("digest")).alias("payload_digest"),

@@ -399,6 +399,50 @@ def test_warc(spark):
     assert got[2].record_type == "response" and got[None].refers_to == 2 and got[4].record_type == got[5].record_type == "response" and got[3].payload_bytes == 0
 
 
+def test_warc_of_odd_pages(spark, empty):
+    """Repeated rows, equal ids with different payloads, null ids, no rows, and columns named like the results."""
+    big, other = "<b>" * 500, "<i>" * 500
+    rows = [(1, None, big, 1), (1, "u", other, 2), (2, "a\r\nb", big, 3), (2, "a", big, 3), (None, "n", other, 4), (3, "s", "x", 5), (3, "s", "x", 5)]
+    out = warc.page_captures(spark.createDataFrame(rows, "page_id long, url string, html string, payload_bytes int")).collect()
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in out), key=repr)
+    want = [(1, 1500, "revisit", 2), (1, 1500, "response", None), (2, 1500, "response", None), (2, 1500, "response", None), (None, 1500, "revisit", 1), (3, 1, "response", None), (3, 1, "response", None)]
+    assert got == sorted(want, key=repr)
+    assert warc.page_captures(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def _warc_record(kind, block, **headers):
+    named = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in headers.items())
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\n{named}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_warc_archives_of_others(spark, tmp_path):
+    """A gzip member for each record, plain files, damaged headers, cut files and captures that lack parts."""
+    http = dict(Content_Type="application/http; msgtype=response")
+    one = [_warc_record("response", b"HTTP/1.1 200 OK\r\n\r\nbody %d" % i + b"z" * 5000, WARC_Record_ID=f"<r{i}>", **http) for i in range(300)]
+    one.append(_warc_record("request", b"GET / HTTP/1.1\r\n\r\n", WARC_Record_ID="<q7>", WARC_Concurrent_To="<r7>"))
+    one.append(_warc_record("metadata", b"a: 1\r\n", WARC_Record_ID="<m9>", WARC_Concurrent_To="<r9>", Content_Type="application/warc-fields"))
+    one.append(_warc_record("metadata", b"b: 1\r\n", WARC_Record_ID="<lost>", WARC_Concurrent_To="<none>", Content_Type="application/warc-fields"))
+    gzip = zlib.compressobj
+    members = []
+    for x in one:
+        z = gzip(6, zlib.DEFLATED, 31)
+        members.append(z.compress(x) + z.flush())
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members))
+    bad = _warc_record("response", b"q", WARC_Record_ID="<bad>").replace(b"Content-Length: 1", b"Content-Length: one")
+    good = _warc_record("response", b"HTTP/1.1 200 OK\r\n\r\nfine", WARC_Record_ID="<plain>", **http)
+    cut = _warc_record("response", b"x" * 100, WARC_Record_ID="<cut>")[:-60]
+    (tmp_path / "b.warc").write_bytes(b"junk before\r\n\r\n" + bad + good + cut)
+    (tmp_path / "c.warc.gz").write_bytes(members[0] + members[1][:40])
+    (tmp_path / "d.warc").write_bytes(b"")
+    records = warc.read_warc(spark, "file://" + str(tmp_path)).collect()
+    errors = collections.Counter(r.error for r in records)
+    assert errors == {None: 303 + 1 + 1, "no record": 1, "no length": 1, "truncated": 1, "truncated gzip member": 1}
+    captures = {r.capture_id: r for r in warc.assemble(warc.read_warc(spark, "file://" + str(tmp_path))).collect()}
+    assert len(captures) == 301 and captures["<plain>"].response.payload == b"fine" and captures["<r5>"].response.payload == b"body 5" + b"z" * 5000
+    assert captures["<r7>"].request.record_id == "<q7>" and captures["<r7>"].metadata is None
+    assert captures["<r9>"].metadata.fields == {"a": "1"} and captures["<r9>"].request is None
+
+
 def test_toxicity(spark, sf, empty):
     rows = [(i, f"the word {'idiot' if i % 3 == 0 else 'garden'} was {i}") for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
