@@ -305,7 +305,9 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def find_personal_data(docs: DataFrame, field: Field, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in ``carry``, base and spans: arrays of (kind, start, end), code points, end exclusive.
 
-    ``spans`` holds ``base`` and what the field adds, each by kind and start. Null text has none.
+    ``spans`` holds ``base`` and what the field adds, each by kind and start. Null and empty texts have none. Texts and
+    lines of any length are taken whole. Repeated rows each get a row; of two equally good taggings that of the lower
+    tags is taken. Columns that aren't carried may have any name. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
     df = docs.select(*carry, F.col("text").alias("__text"))

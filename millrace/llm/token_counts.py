@@ -167,7 +167,8 @@ def _counter(path: str) -> PrefixCounter:
 def token_counts(docs: DataFrame, path: str, limit: int = 512, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in ``carry``, n_bytes, n_tokens and over_limit of every whole text (null: empty text, 0 tokens).
 
-    ``path`` names the vocabulary file on every executor. An empty table gives no rows.
+    ``path`` names the vocabulary file on every executor. Texts of any length are counted whole, one piece in memory at
+    a time. Repeated rows each get a row; columns that aren't carried may have any name. An empty table gives no rows.
     """
     df = docs.select(*carry, F.col("text").alias("__text"))
     types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)

@@ -521,6 +521,72 @@ def test_pii_in_long_lines(spark):
         assert base == [] and [(k, text[s:e]) for k, s, e in more] == [("email", spelled)], before
 
 
+def _plain_spans(text):
+    """The fixed patterns by finditer, and the checks as they are stated."""
+    found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = [int(c) for c in m[0] if c.isdigit()]
+        luhn = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits)))
+        if 13 <= len(digits) <= 19 and luhn % 10 == 0:
+            found.append(("card", *m.span()))
+    found += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return found
+
+
+def test_pii_query_against_patterns(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op8_pii(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = pii.joined(_plain_spans(texts[r.doc_id]))
+        counts = collections.Counter(x.split(":")[0] for x in base.split(",") if x)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [counts[k] for k in pii.KINDS] and r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(base.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_pii_patterns_of_random_strings():
+    rng = np.random.default_rng(12)
+    for alphabet in ("a@.-1", "1.2 0", "0123456789 -", "+1 ().-9", "a.@b+1-% (\n"):
+        for _ in range(1500):
+            text = "".join(rng.choice(list(alphabet), rng.integers(1, 40)))
+            assert sorted(pii.base_spans(text)) == sorted(_plain_spans(text)), text
+
+
+def test_viterbi_against_all_taggings(spark):
+    """Of every tagging of a short line the decoder gives one with the highest sum."""
+    field = pii.train_field(pii.example_table(spark))
+    rng = np.random.default_rng(1)
+    pool = [t for tokens, _ in pii.example_rows(1, 3) for t in tokens]
+    lines = [[str(x) for x in rng.choice(pool, rng.integers(1, 5))] for _ in range(40)]
+    found = dict(pii.Decoder(field).decode(lines))
+    for k, line in enumerate(lines):
+        e = np.array([field.weights[[field.features[f] for f in fs if f in field.features]].sum(0) for fs in pii.line_features(line)])
+
+        def total(tags):
+            return field.steps[-1][tags[0]] + sum(e[i][t] for i, t in enumerate(tags)) + sum(field.steps[a][b] for a, b in itertools.pairwise(tags))
+
+        best = max(total(tags) for tags in itertools.product(range(len(pii.TAGS)), repeat=len(line)))
+        assert total(found.get(k, np.zeros(len(line), int))) >= best - 1e-3, line
+
+
+def test_pii_of_odd_rows(spark, docs, empty):
+    field = pii.train_field(pii.example_table(spark))
+    rows = pii.find_personal_data(docs.withColumn("base", F.lit(1)).withColumn("spans", F.lit("x")), field).collect()
+    assert len(rows) == 12 and all(r.spans == [] for r in rows if r.doc_id in (1, 2, 10)) and pii.find_personal_data(empty, field).count() == 0
+
+
+def test_token_counts_against_the_library(spark, sf, docs, empty):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = queries.vocabulary_path()
+    library = tokenizers.Tokenizer.from_file(path)
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    clash = table.withColumn("n_tokens", F.lit("x")).withColumn("n_bytes", F.lit(1))
+    want = sorted((-1 if r.doc_id is None else r.doc_id, len((r.text or "").encode()), len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in table.collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(clash, path).collect())
+    assert got == want and token_counts.token_counts(empty, path).count() == 0
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for n, top in ((0, 9), (1, 1 << 48), (500, 1 << 20), (3000, 1 << 40), (900, 1 << 63)):
