@@ -6,9 +6,10 @@ distinct words, pairs and triples as a small tree for each shard, the most compa
 One shuffle brings a shard's trees together: they are summed into the shard's trie, which is stored, and their n-grams
 are what is then looked up in it. A second shuffle brings the answers to the batches, where documents are scored.
 
-A pair is at home in the shard of its hash. A triple's shard follows from its first two words and, within an eighth of
-all shards, from its third, so that one frequent pair of words is spread over a share of the shards, however many
-there are. An n-gram is in a batch's trees once however often it occurs there.
+An n-gram's shard follows from its first word, and for the few thousand words that make up most of the corpus from
+the words after it too, within a share of the shards that doesn't shrink as their number grows, so that a frequent word
+or pair of words is spread over many. An n-gram is in a batch's trees once however often it occurs there. Triples that
+occur once only are left out of the tries.
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ from .common import WordHashes, as_bytes, concat, crc_mod, mix64, words_of, writ
 
 #: Tokens of a batch, if its last document doesn't go beyond, and tokens to a shard on average.
 BATCH_TOKENS, SHARD_TOKENS = 1_500_000, 1_500_000
-#: Share of the shards over which the triples of one pair are spread.
-SPREAD = 8
+#: A word is frequent if it makes up one in FREQUENT tokens; there are at most twice as many such words, whatever the
+#: corpus. The pairs of one are spread over one in SPREAD shards, and so are the triples of each pair; those of another
+#: word over as many as keep a shard's load within a few times the average.
+FREQUENT, SPREAD = 4096, 8
+#: Triples that occur less often are left out.
+LEAST_TRIPLES = 2
 #: Pseudo-counts of the shorter context in every context (Dirichlet smoothing).
 PRIOR = 50.0
 #: Counts up to here have a code each; larger ones share those that are left, in equal steps of their logarithm up to
@@ -36,7 +41,8 @@ PRIOR = 50.0
 EXACT = 128
 END = np.uint64(0x5EED0E0D)
 START = np.uint64(0x5EED57A7)
-_LOW = np.uint64(0xFFFFFFFF)
+#: Second words go as 32 bits of their hash, third ones, of which a pair has few, as 24.
+_LOW, _LOWER = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFF)
 
 
 def levels(top: int) -> np.ndarray:
@@ -192,7 +198,7 @@ _BATCHES = "batch string, doc_id array<long>, held array<boolean>, tokens long,
 
 
 def _number(most: int):
-    """Batches of documents as numbers of their distinct words, which are sorted by hash and hold START."""
+    """Batches of documents as numbers of their distinct words, frequent words first, which take fewer bytes."""
     return lambda batches: _numbered(batches, most)
 
 
@@ -201,7 +207,11 @@ def _numbered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
     ids, held, docs, total, part = [], [], [], 0, 0
 
     def done() -> pa.RecordBatch:
-        names, at = np.unique(np.concatenate([*docs, [START]]), return_inverse=True)
+        names, at, n = np.unique(np.concatenate([*docs, [START]]), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.arange(len(names))
+        names, at = names[order], rank[at]
         sizes = np.array([len(d) for d in docs])
         return _rows(_BATCHES, batch=[f"{part}-{k}"], doc_id=[ids], held=[held], tokens=[int(sizes.sum())], sizes=[_pack(sizes)], names=[names.astype("<u8").tobytes()], ids=[_pack(at[:-1])])
 
@@ -218,12 +228,34 @@ def _numbered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
         yield done()
 
 
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of words that make up one in 2 * FREQUENT tokens of a batch: at most as many rows of each."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            n = np.bincount(_unpack(row["ids"]))
+            some = np.flatnonzero(n * 2 * FREQUENT >= row["tokens"])
+            words = np.frombuffer(row["names"], "<u8")[some].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n[some])], names=["word", "n"])
+
+
+def frequent_words(batches: DataFrame, tokens: int) -> np.ndarray:
+    """Sorted words that make up one in FREQUENT tokens, and maybe some that make up half of that."""
+    counted = batches.select("tokens", "names", "ids").mapInArrow(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # Batches in which such a word is rarer than they report lack half of its tokens at most.
+    found = counted.filter(F.col("n") * 2 * FREQUENT >= tokens).select("word").toArrow()
+    return np.sort(found["word"].to_numpy().view(np.uint64))
+
+
 class Grams:
     """A batch's words, pairs and triples in the order in which its trees hold them, shard by shard."""
 
-    def __init__(self, row: dict, shards: int):
-        self.names = names = np.frombuffer(row["names"], "<u8")
-        self.ids = ids = _unpack(row["ids"])
+    def __init__(self, row: dict, shards: int, frequent: np.ndarray):
+        names = np.frombuffer(row["names"], "<u8")
+        order = np.argsort(names)
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.arange(len(names))
+        self.names = names = names[order]
+        self.ids = ids = rank[_unpack(row["ids"])]
         self.sizes = _unpack(row["sizes"])
         self.starts = starts = np.cumsum(np.r_[0, self.sizes])[:-1]
         start = int(np.searchsorted(names, START))
@@ -236,21 +268,23 @@ class Grams:
         triples, triple = np.unique(context << 32 | ids, return_inverse=True)
         i, j, c, w = pairs >> 32, pairs & 0xFFFFFFFF, triples >> 32, triples & 0xFFFFFFFF
 
-        spread = mix64(names)
-        home = mix64(spread[i] * np.uint64(3) + spread[j]) % np.uint64(shards)
-        place = (spread[w] >> np.uint64(24)) % np.uint64(max(1, shards // SPREAD))
+        hash_ = mix64(names)
+        own_shard, width = (hash_ % np.uint64(shards)).astype(np.int64), max(1, shards // SPREAD)
+        part = ((hash_ >> np.uint64(24)) % np.uint64(width)).astype(np.int64)
+        common = np.isin(names, frequent) | (names == START)
+        home = (own_shard[i] + np.where(common[i], part[j], part[j] % -(-4 * shards // FREQUENT))) % shards
         p, v = len(pairs), len(names)
-        here = ((home[c] + place) % np.uint64(shards)).astype(np.int64) * p + c
-        nodes, node = np.unique(np.r_[here, home.astype(np.int64) * p + np.arange(p)], return_inverse=True)
+        here = (home[c] + np.where(common[i[c]], part[w], 0)) % shards * p + c
+        nodes, node = np.unique(np.r_[here, home * p + np.arange(p)], return_inverse=True)
         of_triple, self.of_pair = node[: len(triples)], node[len(triples) :]
         shard, own = nodes // p, nodes % p
-        firsts, first = np.unique(np.r_[shard * v + i[own], (spread % np.uint64(shards)).astype(np.int64) * v + np.arange(v)], return_inverse=True)
+        firsts, first = np.unique(np.r_[shard * v + i[own], own_shard * v + np.arange(v)], return_inverse=True)
         self.of_word = first[len(nodes) :]
-        order = np.lexsort((w, of_triple))
+        order = np.argsort(of_triple << 32 | w)
         place = np.empty(len(triples), np.int64)
         place[order] = np.arange(len(triples))
         self.triple = place[triple]  # of each token
-        self.first, self.second, self.third = names[firsts % v], (names[j[own]] & _LOW).astype("<u4"), (names[w[order]] & _LOW).astype("<u4")
+        self.first, self.second, self.third = names[firsts % v], (names[j[own]] & _LOW).astype("<u4"), names[w[order]] & _LOWER
         self.under_first, self.under_second = np.bincount(first[: len(nodes)], minlength=len(firsts)), np.bincount(of_triple, minlength=len(nodes))
         ends = np.arange(shards + 1)
         self.first_cuts, self.second_cuts = np.searchsorted(firsts // v, ends), np.searchsorted(shard, ends)
@@ -267,17 +301,17 @@ class Grams:
 _TREES = "batch string, shard int, first binary, under_first binary, second binary, under_second binary, third binary, n1 binary, n2 binary, n3 binary"
 
 
-def _trees(shards: int):
+def _trees(shards: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                g = Grams(row, shards)
+                g = Grams(row, shards, frequent)
                 n1, n2, n3 = g.counts(np.repeat(~np.array(row["held"], bool), g.sizes))
                 rows = {n.split()[0]: [] for n in _TREES.split(", ")}
                 for s in range(shards):
                     a, b, c = (slice(x[s], x[s + 1]) for x in (g.first_cuts, g.second_cuts, g.third_cuts))
                     if a.start < a.stop:
-                        values = (row["batch"], s, g.first[a].tobytes(), _pack(g.under_first[a]), g.second[b].tobytes(), _pack(g.under_second[b]), g.third[c].tobytes(), _pack(n1[a]), _pack(n2[b]), _pack(n3[c]))
+                        values = (row["batch"], s, g.first[a].tobytes(), _pack(g.under_first[a]), g.second[b].tobytes(), _pack(g.under_second[b]), g.third[c].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), _pack(n1[a]), _pack(n2[b]), _pack(n3[c]))
                         for column, value in zip(rows.values(), values, strict=True):
                             column.append(value)
                     if len(rows["batch"]) >= 500:
@@ -305,14 +339,15 @@ def _serve(table: pa.Table) -> pa.Table:
     table = table.sort_by("batch")
     plain = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
     small = lambda name: concat((_unpack(x) for x in table[name].to_pylist()), np.int64)
-    firsts, seconds, thirds = plain("first", "<u8"), plain("second", "<u4"), plain("third", "<u4")
+    firsts, seconds = plain("first", "<u8"), plain("second", "<u4")
+    thirds = [np.pad(x.reshape(-1, 3), ((0, 0), (0, 1))).view("<u4").ravel() for x in plain("third", np.uint8)]
     words, word, n1 = _merged(np.concatenate(firsts), small("n1"))
     pairs, pair, n2 = _merged(np.repeat(word, small("under_first")).astype(np.uint64) << np.uint64(32) | np.concatenate(seconds), small("n2"))
     triples, triple, n3 = _merged(np.repeat(pair, small("under_second")).astype(np.uint64) << np.uint64(32) | np.concatenate(thirds), small("n3"))
 
     # Only what was counted enters the trie, and what it hangs on.
     high = lambda x: (x >> np.uint64(32)).astype(np.int64)
-    live3 = n3 > 0
+    live3 = n3 >= LEAST_TRIPLES
     live2 = n2 > 0
     live2[high(triples[live3])] = True
     live1 = n1 > 0
@@ -337,11 +372,11 @@ def _serve(table: pa.Table) -> pa.Table:
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(shards: int, tokens: int, types: int, documents: int):
+def _score(shards: int, frequent: np.ndarray, tokens: int, types: int, documents: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("shard")
         row, answers = table.slice(0, 1).to_pylist()[0], table.slice(1).to_pylist()
-        g = Grams(row, shards)
+        g = Grams(row, shards, frequent)
         decode = lambda name: concat((levels(x["top"])[np.frombuffer(zlib.decompress(x[name]), np.uint8)] for x in answers), np.float64)
         word_n = concat((_unpack(x["word_n"], "<u8") for x in answers), np.int64)[g.of_word][g.ids]
         pair_n = decode("pair_codes")[g.of_pair][g.pair]
@@ -369,7 +404,7 @@ def score_documents(docs: DataFrame, fold: int = 1, folds: int = 5, batch_tokens
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from rows whose crc32(doc_id as text) modulo ``folds`` isn't ``fold``. A token is a word with A-Z
-    lower-cased, or the one end of a text; null and empty texts have the end only. base_score is that of single
+    lower-cased, or the one end of a text; null and empty texts have the end only. Triples count from twice on. base_score is that of single
     tokens, score that of each token after the two before it, smoothed with pairs and those with single tokens; both
     are log10 of the text's probability. A null id counts as empty text for the fold. Repeated rows count as often and
     each get a row. Texts of any length are scored whole; a batch holds at least one. Other columns are not looked at.
@@ -377,11 +412,12 @@ def score_documents(docs: DataFrame, fold: int = 1, folds: int = 5, batch_tokens
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), folds) == fold).alias("held"), "text", F.spark_partition_id().alias("part"))
     batches = written(source.mapInArrow(_number(batch_tokens), _BATCHES), "ngram-batches")
-    size = batches.agg(F.count(F.lit(1)).alias("batches"), F.sum("tokens").alias("tokens"), F.sum(F.size(F.filter("held", lambda x: ~x))).alias("documents")).first()
+    size = batches.agg(F.sum("tokens").alias("tokens"), F.sum(F.size(F.filter("held", lambda x: ~x))).alias("documents")).first()
     shards = max(1, -(-(size["tokens"] or 0) // shard_tokens))
-    trees = batches.repartition(max(1, size["batches"]), "batch").mapInArrow(_trees(shards), _TREES)
+    frequent = frequent_words(batches, size["tokens"] or 0)
+    trees = batches.mapInArrow(_trees(shards, frequent), _TREES)
     served = written(trees.groupBy("shard").applyInArrow(_serve, _SERVED), "ngram-tries")
     known = served.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
     answers = served.filter(F.col("batch").isNotNull()).select("batch", "shard", "top", "word_n", "pair_codes", "triple_codes")
     both = answers.unionByName(batches.withColumn("shard", F.lit(-1)), allowMissingColumns=True)
-    return both.groupBy("batch").applyInArrow(_score(shards, known["tokens"] or 0, known["types"] or 0, size["documents"] or 0), _SCORES)
+    return both.groupBy("batch").applyInArrow(_score(shards, frequent, known["tokens"] or 0, known["types"] or 0, size["documents"] or 0), _SCORES)

@@ -641,6 +641,7 @@ def _check_scores(df, scored):
                 counts[1][w[k - 1], w[k]] += 1
                 counts[2][tuple(w[k - 2 : k + 1])] += 1
     one, two, three = counts
+    three = collections.Counter({k: c for k, c in three.items() if c >= ngram_lm.LEAST_TRIPLES})
     n, v, m, documents = sum(one.values()), len(one), ngram_lm.PRIOR, one[0]
     p1 = lambda x: (one[x] + 0.5) / (n + 0.5 * (v + 1))
     p2 = lambda a, x: (two[a, x] + m * p1(x)) / ((documents if a == 1 else one[a]) + m)
