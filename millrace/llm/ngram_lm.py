@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, as_bytes, concat, crc_mod, mix64, words_of, written
 
 #: Tokens of a batch, if its last document doesn't go beyond, and tokens to a shard on average.
-BATCH_TOKENS, SHARD_TOKENS = 1_500_000, 1_500_000
+BATCH_TOKENS, SHARD_TOKENS = 1_200_000, 1_500_000
 #: A word is frequent if it makes up one in FREQUENT tokens; there are at most twice as many such words, whatever the
 #: corpus. The pairs of one are spread over one in SPREAD shards, and so are the triples of each pair; those of another
 #: word over as many as keep a shard's load within a few times the average.
@@ -203,7 +203,7 @@ def _number(most: int):
 
 
 def _numbered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    hashes, k = WordHashes(), 0
+    hashes, k = WordHashes(keep=1 << 18), 0
     ids, held, docs, total, part = [], [], [], 0, 0
 
     def done() -> pa.RecordBatch:
@@ -228,10 +228,15 @@ def _numbered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
         yield done()
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one in memory at a time."""
+    return (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows))
+
+
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n) of words that make up one in 2 * FREQUENT tokens of a batch: at most as many rows of each."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _each(batch):
             n = np.bincount(_unpack(row["ids"]))
             some = np.flatnonzero(n * 2 * FREQUENT >= row["tokens"])
             words = np.frombuffer(row["names"], "<u8")[some].view(np.int64)
@@ -263,9 +268,12 @@ class Grams:
         before[starts] = start
         pairs, pair = np.unique(np.r_[before << 32 | ids, start << 32 | start], return_inverse=True)
         self.pair, first_context = pair[:-1], pair[-1]
-        context = np.r_[first_context, self.pair[:-1]]
-        context[starts] = first_context
-        triples, triple = np.unique(context << 32 | ids, return_inverse=True)
+        before = np.r_[first_context, self.pair[:-1]]
+        before[starts] = first_context
+        before <<= 32
+        before |= ids
+        triples, triple = np.unique(before, return_inverse=True)
+        del before, pair
         i, j, c, w = pairs >> 32, pairs & 0xFFFFFFFF, triples >> 32, triples & 0xFFFFFFFF
 
         hash_ = mix64(names)
@@ -304,7 +312,7 @@ _TREES = "batch string, shard int, first binary, under_first binary, second bina
 def _trees(shards: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 g = Grams(row, shards, frequent)
                 n1, n2, n3 = g.counts(np.repeat(~np.array(row["held"], bool), g.sizes))
                 rows = {n.split()[0]: [] for n in _TREES.split(", ")}
