@@ -27,14 +27,11 @@ def week_start(year: Column, week: Column) -> Column:
 
 def parse_interval(text: Column) -> Column:
     """Year YYYY, month YYYY-MM, week YYYY-Www, date, or date-date; null if the text is none of them or no such date."""
-    num = lambda pattern, i: F.regexp_extract(text, pattern, i).cast("int")
-    day = r"(\d{4}-\d{2}-\d{2})"
-    as_date = lambda c: F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).cast("date")
-    year = F.make_date(num(r"^(\d{4})$", 1), F.lit(1), F.lit(1))
-    month = F.try_to_timestamp(F.concat(text, F.lit("-01")), F.lit("yyyy-MM-dd")).cast("date")
-    monday = week_start(num(r"^(\d{4})-W(\d{2})$", 1), num(r"^(\d{4})-W(\d{2})$", 2))
-    one = as_date(text)
-    a, b = as_date(F.regexp_extract(text, f"^{day}-{day}$", 1)), as_date(F.regexp_extract(text, f"^{day}-{day}$", 2))
+    day = r"\d{4}-\d{2}-\d{2}"
+    as_date = lambda c: c.try_cast("date")
+    year, month = as_date(F.concat(text, F.lit("-01-01"))), as_date(F.concat(text, F.lit("-01")))
+    monday = week_start(F.substring(text, 1, 4).try_cast("int"), F.substring(text, 7, 2).try_cast("int"))
+    one, a, b = as_date(text), as_date(F.substring(text, 1, 10)), as_date(F.substring(text, 12, 10))
     return (
         F.when(text.rlike(r"^\d{4}$"), _interval("year", year, F.add_months(year, 12)))
         .when(text.rlike(r"^\d{4}-\d{2}$") & month.isNotNull(), _interval("month", month, F.add_months(month, 1)))

@@ -69,15 +69,23 @@ def split_valid(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame,
     return checked.filter(F.size("errors") == 0).drop("errors"), checked.filter(F.size("errors") > 0)
 
 
+#: UTF-16 units that JSON texts write with a letter or sign of their own.
+JSON_ESCAPES = {"0008": "\\b", "0009": "\\t", "000A": "\\n", "000C": "\\f", "000D": "\\r", "0022": '\\"', "005C": "\\\\"}
+
+
 def _json_text(value: Column) -> Column:
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\"), '"', '\\\\"'), F.lit('"'))
+    """A JSON text in printable ASCII: other characters as \\u and four hex digits of each UTF-16 unit."""
+    named = F.create_map(*(F.lit(x) for kv in JSON_ESCAPES.items() for x in kv))
+    plain = lambda u: F.char(F.conv(u, 16, 10).cast("long"))
+    unit = lambda u: F.coalesce(F.try_element_at(named, u), F.when(u.between("0020", "007E"), plain(u)).otherwise(F.concat(F.lit("\\u"), F.lower(u))))
+    units = F.regexp_extract_all(F.hex(F.encode(value, "UTF-16BE")), F.lit("([0-9A-F]{4})"), 1)
+    escaped = F.when(value.rlike(r'[^ !#-\[\]-~]'), F.array_join(F.transform(units, unit), "")).otherwise(value)
+    return F.concat(F.lit('"'), escaped, F.lit('"'))
 
 
 def stable_id(family: str, params: Mapping[str, Column]) -> Column:
     """family, the first three parameters by name cut to 16 characters, and ten hex digits of the md5 of the
     parameters as compact JSON sorted by name; what isn't a letter, digit or underscore becomes an underscore.
-
-    Values must be printable ASCII, for which this JSON is the usual one.
     """
     names = sorted(params)
     pairs = [F.concat(F.lit(f'"{n}":'), _json_text(params[n])) for n in names]
@@ -117,6 +125,17 @@ def nearest_names(names: DataFrame, known: DataFrame, most: int = 5) -> DataFram
     return pairs.withColumn("distance", distance).filter((F.col("distance") <= most) & (F.col("distance") < F.length("name"))).select("name", "candidate", "distance")
 
 
+def suggestions(names: DataFrame, known: DataFrame, most: int = 5) -> DataFrame:
+    """(name, candidates): the near known names, nearest first, or all of them in order if none is near.
+
+    ``known`` is a register of names, one row of which all are told; it is joined as that one row.
+    """
+    near = nearest_names(names, known, most).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("distance", "candidate"))).alias("near"))
+    every = known.agg(F.array_sort(F.collect_set("candidate")).alias("every"))
+    joined = names.join(near, "name", "left").join(F.broadcast(every))  # one row
+    return joined.select("name", F.coalesce(F.transform("near", lambda x: x["candidate"]), F.col("every")).alias("candidates"))
+
+
 def flatten_struct(schema: T.StructType, skip: str = "attributes", prefix: str = "") -> list[Column]:
     """Columns of every leaf by its dotted path; subtrees named ``skip`` and lists are left out."""
     out: list[Column] = []

@@ -57,6 +57,16 @@ def upsert_field(table: DataFrame, values: DataFrame, allowed: DataFrame, key: s
     return table.join(new, key, "full_outer").withColumn(field, F.when(F.col("__set"), F.col("__value")).otherwise(F.col(field))).drop("__value", "__set")
 
 
+def upsert_cell(table: DataFrame, values: DataFrame, allowed: DataFrame, key: str, path: str, value: str = "value") -> DataFrame:
+    """``upsert_field`` for a field inside a struct, named by its dotted path; what lies beside it stays."""
+    root, _, inner = path.partition(".")
+    new = values.join(allowed.select(key), key, "left_semi").select(key, F.col(value).alias("__value"), F.lit(True).alias("__set"))
+    kind = table.schema[root].dataType
+    blank = F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields))
+    whole = F.coalesce(F.col(root), blank).withField(inner, F.col("__value")).cast(kind)
+    return table.join(new, key, "full_outer").withColumn(root, F.when(F.col("__set"), whole).otherwise(F.col(root))).drop("__value", "__set")
+
+
 def ids_lacking(requested: DataFrame, table: DataFrame, key: str, field: str) -> DataFrame:
     return requested.select(key).join(table.filter(F.col(field).isNotNull()).select(key), key, "left_anti")
 

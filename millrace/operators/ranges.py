@@ -105,15 +105,43 @@ def choose_backfill(missing_: DataFrame, limit: int = TASK_LIMIT, reverse: bool
     return missing_.orderBy(F.desc("ts") if reverse else F.asc("ts")).limit(limit)
 
 
-def range_metrics(expected_: DataFrame, present: DataFrame) -> DataFrame:
-    """delay (expected points from the first missing one on), complete_count, complete_fraction, expected_count."""
-    here = present.select("ts").distinct().withColumn("__here", F.lit(1))
-    marked = expected_.select("ts").join(here, "ts", "left")
-    first = marked.agg(F.min(F.when(F.col("__here").isNull(), F.col("ts"))).alias("first_missing"))
-    joined = marked.join(F.broadcast(first))  # one row
-    return joined.agg(
-        F.count_if(F.col("ts") >= F.col("first_missing")).alias("delay"), F.count("__here").alias("complete_count"), F.count(F.lit(1)).alias("expected_count")
-    ).select("delay", "complete_count", F.when(F.col("expected_count") == 0, 1.0).otherwise(F.col("complete_count") / F.col("expected_count")).alias("complete_fraction"), "expected_count")
+def range_metrics(expected_: DataFrame, present: DataFrame, *by: str) -> DataFrame:
+    """delay (expected points from the first missing one on), complete_count, complete_fraction, expected_count and label.
+
+    The label is the first and last expected point. One row, or one for each value of ``by``.
+    """
+    here = present.select(*by, "ts").distinct().withColumn("__here", F.lit(1))
+    marked = expected_.select(*by, "ts").join(here, [*by, "ts"], "left")
+    first = marked.groupBy(*by).agg(F.min(F.when(F.col("__here").isNull(), F.col("ts"))).alias("first_missing"))
+    joined = marked.join(first, list(by)) if by else marked.join(F.broadcast(first))  # one row
+    minute = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
+    label = F.concat(F.lit("["), minute(F.min("ts")), F.lit(", "), minute(F.max("ts")), F.lit("]"))
+    counted = joined.groupBy(*by).agg(F.count_if(F.col("ts") >= F.col("first_missing")).alias("delay"), F.count("__here").alias("complete_count"), F.count(F.lit(1)).alias("expected_count"), label.alias("label"))
+    fraction = F.when(F.col("expected_count") == 0, 1.0).otherwise(F.col("complete_count") / F.col("expected_count")).alias("complete_fraction")
+    return counted.select(*by, "delay", "complete_count", fraction, "expected_count", "label")
+
+
+def widened(low: Column, high: Column, start: Column, stop: Column) -> tuple[Column, Column]:
+    """The range that metrics are taken over: the window and the asked range together."""
+    return F.least(low, start), F.greatest(high, stop)
+
+
+def external_readiness(requests: DataFrame, files: DataFrame, tables: DataFrame, partitions: DataFrame) -> DataFrame:
+    """Requests (kind, target) with ``ready``: whether the external dataset is there.
+
+    Kinds: path (a file, or a folder that holds one), flag (a folder with a _SUCCESS file), table, and partition. The
+    listing ``files`` has path; ``tables`` and ``partitions`` have target. Another kind is never ready.
+    """
+    steps = F.split("path", "/")
+    above = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))).alias("target"))
+    flags = files.filter(F.col("path").endswith("/_SUCCESS")).select(F.regexp_replace("path", "/_SUCCESS$", "").alias("target"))
+    kinds = {"path": above, "flag": flags, "table": tables.select("target"), "partition": partitions.select("target")}
+    there = None
+    for kind, found in kinds.items():
+        one = found.distinct().select(F.lit(kind).alias("kind"), F.col("target").alias("__t"), F.lit(True).alias("__there"))
+        there = one if there is None else there.unionByName(one)
+    asked = requests.withColumn("__t", F.regexp_replace("target", "/$", ""))
+    return asked.join(there, ["kind", "__t"], "left").withColumn("ready", F.coalesce("__there", F.lit(False))).drop("__t", "__there")
 
 
 def _asof(requests: DataFrame, present: DataFrame, key: str, days: int, offset: int) -> DataFrame:

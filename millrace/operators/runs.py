@@ -5,24 +5,51 @@ Statuses: PENDING, RUNNING, DONE, FAILED, DISABLED, UNKNOWN.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections import deque
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_parameters(tasks: DataFrame, params: DataFrame, wanted: Mapping[str, str], key: str = "task_id") -> DataFrame:
-    """Tasks that have every wanted (name, value) in the parameter table."""
+def with_parameters(tasks: DataFrame, params: DataFrame, wanted: Mapping[str, str | Column], key: str = "task_id") -> DataFrame:
+    """Tasks that have every wanted (name, value) in the parameter table; a value may be a scalar subquery."""
     if not wanted:
         return tasks
-    hit = params.filter(F.array_contains(F.lit([f"{k}\0{v}" for k, v in wanted.items()]), F.concat(F.col("name"), F.lit("\0"), F.col("value"))))
+    pairs = F.array(*(F.concat(F.lit(f"{k}\0"), F.lit(v)) for k, v in wanted.items()))
+    hit = params.filter(F.array_contains(pairs, F.concat(F.col("name"), F.lit("\0"), F.col("value"))))
     full = hit.groupBy(key).agg(F.count_distinct("name").alias("__n")).filter(F.col("__n") == len(wanted))
     return tasks.join(full, key, "left_semi")
 
 
+def find_runs(tasks: DataFrame, params: DataFrame, events: DataFrame, name: str, wanted: Mapping[str, str | Column], key: str = "task_id") -> DataFrame:
+    """Tasks of a name with every wanted parameter, and ``last_ts``, by the time of their last event; without one last."""
+    last = events.groupBy(key).agg(F.max("ts").alias("last_ts"))
+    return with_parameters(tasks.filter(F.col("name") == name), params, wanted, key).join(last, key, "left").orderBy(F.asc_nulls_last("last_ts"), key)
+
+
+def events_of(events: DataFrame, ids: DataFrame | None = None, key: str = "run") -> DataFrame:
+    """All events, or those of the runs that ``ids`` lists, newest first."""
+    found = events if ids is None else events.join(ids.select(key), key, "left_semi")
+    return found.orderBy(F.desc("ts"), F.desc("event_id"))
+
+
+def by_id(tasks: DataFrame, wanted, key: str = "task_id") -> DataFrame:
+    return tasks.filter(F.col(key) == wanted)
+
+
+def latest_by_stable_id(tasks: DataFrame, stable: str, key: str = "task_id") -> DataFrame:
+    """The row with the greatest id of each stable id."""
+    rest = [c for c in tasks.columns if c not in (stable, key)]
+    best = tasks.groupBy(stable).agg(F.max_by(F.struct(key, *rest), key).alias("b"))
+    return best.select(stable, *(F.col(f"b.{c}").alias(c) for c in (key, *rest)))
+
+
 def recent(events: DataFrame, now: Column, hours: int = 24, key: str = "run") -> DataFrame:
-    """Runs with an event in the last hours, each once with its newest."""
-    return events.filter(F.col("ts") >= now - F.make_dt_interval(hours=F.lit(hours))).groupBy(key).agg(F.max("ts").alias("last_ts"))
+    """Runs with an event in the last hours, each once with its newest, newest first."""
+    seen = events.filter(F.col("ts") >= now - F.make_dt_interval(hours=F.lit(hours))).groupBy(key).agg(F.max("ts").alias("last_ts"))
+    return seen.orderBy(F.desc("last_ts"), key)
 
 
 def current_status(events: DataFrame, key: str = "run", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
@@ -56,6 +83,47 @@ def disable_rule(events: DataFrame, key: str = "run", seconds: int = 3600, retry
     return out.withColumn("disables", (F.col("failures") >= retry_count) | (F.col("since_first") >= hard_timeout))
 
 
+def disable_changes(events: DataFrame, key: str = "run", seconds: int = 3600, retry_count: int = 3, hard_timeout: int = 86400, persist: int = 86400) -> DataFrame:
+    """(key, event_id, ts, change): when a key is DISABLED by its failures and ENABLED again.
+
+    A failure disables if it is the ``retry_count``-th within the window, or the first one lies ``hard_timeout`` back.
+    A disabled key counts no failures; it is enabled by the first event ``persist`` seconds later, as of then, or by
+    an earlier DONE, and its failures are forgotten. One stream goes through each key's events in order and keeps the
+    failures of the window only, so that a key with most events is no group in memory.
+    """
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.select(key, "event_id", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, failed, first, disabled = None, deque(), None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for k, event, status, us in zip(*(batch[c].to_pylist() for c in (key, "event_id", "status", "us")), strict=True):
+                if k != at:
+                    at, first, disabled = k, None, None
+                    failed.clear()
+                due = None if disabled is None else disabled + persist * 1_000_000
+                if due is not None and (us >= due or status == "DONE"):
+                    out.append((k, event, min(us, due), "ENABLED"))
+                    first, disabled = None, None
+                    failed.clear()
+                if status == "FAILED" and disabled is None:
+                    first = us if first is None else first
+                    failed.append(us)
+                    while failed[0] < us - seconds * 1_000_000:
+                        failed.popleft()
+                    if len(failed) >= retry_count or us - first >= hard_timeout * 1_000_000:
+                        out.append((k, event, us, "DISABLED"))
+                        disabled = us
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            kinds = (batch.schema.field(key).type, pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[key, "event_id", "us", "change"])
+
+    ordered = rows.repartition(key).sortWithinPartitions(key, "us", "event_id")
+    found = ordered.mapInArrow(scan, f"`{key}` {kind}, event_id long, us long, change string")
+    return found.select(key, "event_id", F.timestamp_micros("us").cast(events.schema["ts"].dataType).alias("ts"), "change")
+
+
 def owner_digest(events: DataFrame, owners: str, family: str) -> DataFrame:
     """Failures and disables per owner and family; an event of several owners counts for each."""
     each = events.withColumn("owner", F.explode(owners))
@@ -154,3 +222,10 @@ def silences(beats: DataFrame, key: str, seconds: int = 60) -> DataFrame:
     before = F.lag("ts").over(Window.partitionBy(key).orderBy("ts", "event_id"))
     gap = F.timestamp_diff("SECOND", before, F.col("ts"))
     return beats.withColumn("gap", gap).filter(F.col("gap") > seconds)
+
+
+def fail_silent(runs: DataFrame, beats: DataFrame, now: Column, worker: str, seconds: int = 60) -> DataFrame:
+    """Runs, the RUNNING ones of workers whose last beat is more than ``seconds`` old as FAILED."""
+    gone = beats.groupBy(worker).agg(F.max("ts").alias("__last")).filter(F.timestamp_diff("SECOND", F.col("__last"), now) > seconds)
+    marked = runs.join(gone.select(worker, F.lit(True).alias("__gone")), worker, "left")
+    return marked.withColumn("status", F.when(F.col("__gone") & (F.col("status") == "RUNNING"), "FAILED").otherwise(F.col("status"))).drop("__gone")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import columns as col
 from ..operators import jobs, lineage, markers, ranges, runs
-from ..sources import readers
+from ..sources import readers, sinks
+from ..sources.tables import shared_folder
 from ..streaming import jobs as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,13 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: event_type of the events table as the status of a run.
 STATUS = {"click": "RUNNING", "purchase": "DONE", "error": "FAILED", "view": "PENDING", "signup": "UNKNOWN"}
-STATUS_SQL = "CASE event_type WHEN 'click' THEN 'RUNNING' WHEN 'purchase' THEN 'DONE' WHEN 'error' THEN 'FAILED' WHEN 'view' THEN 'PENDING' ELSE 'UNKNOWN' END"
+#: Errors of a value above this are disables.
+DISABLING = 100
+STATUS_SQL = f"CASE WHEN event_type = 'error' AND value > {DISABLING} THEN 'DISABLED' ELSE CASE event_type WHEN 'click' THEN 'RUNNING' WHEN 'purchase' THEN 'DONE' WHEN 'error' THEN 'FAILED' WHEN 'view' THEN 'PENDING' ELSE 'UNKNOWN' END END"
 EV = f"(SELECT event_id, ts, user_id AS run, props, value, {STATUS_SQL} AS status FROM events)"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.create_map(*(F.lit(x) for kv in STATUS.items() for x in kv))
-    return table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("run"), "props", "value", named[F.col("event_type")].alias("status"))
+    return table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("run"), "props", "value", F.when((F.col("event_type") == "error") & (F.col("value") > DISABLING), "DISABLED").otherwise(named[F.col("event_type")]).alias("status"))
 
 
 def days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,9 +179,18 @@ def b5_marker_id(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", markers.marker_id(F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_orderkey").cast("string")).alias("id"))
 
 
-@query(r"SELECT page_id, md5(replace(replace(replace(html, chr(92), chr(92) || chr(92)), chr(9), chr(92) || 't'), chr(10), chr(92) || 'n')) AS escaped, nullif(split_part(url, ':', 1), 'http') AS scheme FROM pages WHERE html NOT LIKE '%' || chr(13) || '%'")
+BACKSLASH = "chr(92)"
+ESCAPED_SQL = f"replace(html, {BACKSLASH}, {BACKSLASH} || {BACKSLASH})"
+for _code, _letter in ((8, "b"), (9, "t"), (10, "n"), (11, "v"), (12, "f"), (13, "r")):
+    ESCAPED_SQL = f"replace({ESCAPED_SQL}, chr({_code}), {BACKSLASH} || '{_letter}')"
+#: The pages, and of every fifth one the html with a mark before each of the characters that are escaped.
+MARKED_SQL = "(SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN replace(html, '<', chr(8) || chr(11) || chr(12) || chr(13) || '<') ELSE html END AS html FROM pages)"
+
+
+@query(f"SELECT page_id, md5({ESCAPED_SQL}) AS escaped, nullif(split_part(url, ':', 1), 'http') AS scheme FROM {MARKED_SQL}")
 def b6_escape(spark, sf):
-    rows = table(spark, sf, "pages").filter(~F.contains("html", F.lit("\r")))
+    marked = F.when(F.col("page_id") % 5 == 0, F.replace("html", F.lit("<"), F.lit("\b\x0b\f\r<"))).otherwise(F.col("html"))
+    rows = table(spark, sf, "pages").withColumn("html", marked)
     return rows.select("page_id", F.md5(col.escape_text(F.col("html"))).alias("escaped"), col.map_nulls(F.split("url", ":")[0], ["http"]).alias("scheme"))
 
 
@@ -194,14 +207,17 @@ def b10_prune_then_load(spark, sf):
     return markers.prune_then_load(old, new, "o_orderdate", since).select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 100 GROUP BY 1")
+@query("SELECT lower(c_mktsegment) AS segment, count(*) AS n FROM customer WHERE c_acctbal > 100 GROUP BY 1")
 def b16_query(spark, sf):
-    return spark.sql("SELECT c_mktsegment, count(*) AS n FROM {t} WHERE c_acctbal > :least GROUP BY 1", args={"least": 100}, t=table(spark, sf, "customer"))
+    path = f"{shared_folder(spark)}/b16-{uuid.uuid4().hex}"
+    text = f"SELECT small_name(c_mktsegment) AS segment, count(*) AS n FROM parquet.`{sf}/customer.parquet` WHERE c_acctbal > :least GROUP BY 1"
+    sinks.query_to_table(spark, text, path, {"least": 100}, {"small_name": lambda name: name and name.lower()})
+    return spark.read.parquet(path)
 
 
-@query("SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE label = 0")
+@query("SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings")
 def b18_flatten_result(spark, sf):
-    return table(spark, sf, "embeddings").filter("label = 0").select("vec_id", F.explode_outer(F.col("embedding").cast("array<double>")).alias("x"))
+    return table(spark, sf, "embeddings").select("vec_id", F.explode_outer(F.col("embedding").cast("array<double>")).alias("x"))
 
 
 @query("SELECT split_part(l, chr(9), 1) AS key, arg_max(split_part(l, chr(9), 2), event_id) AS value FROM (SELECT event_id, CAST(user_id AS VARCHAR) || chr(9) || event_type AS l FROM events) GROUP BY 1")
@@ -230,9 +246,28 @@ def b26_count_gate(spark, sf):
 
 @query("SELECT count(*) FILTER (WHERE NOT l_quantity < 45) AS small, count(*) FILTER (WHERE NOT l_discount >= 0.02) AS discount FROM lineitem")
 def b28_violations(spark, sf):
-    from ..sources.sinks import violations
+    return sinks.violations(table(spark, sf, "lineitem"), {"small": F.col("l_quantity") < 45, "discount": F.col("l_discount") >= 0.02})
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS \"p.k\", user_id AS \"p.q.user\" FROM events")
+def a17_flatten_struct(spark, sf):
+    rows = table(spark, sf, "events")
+    nested = rows.select("event_id", F.struct(F.from_json("props", "k long")["k"].alias("k"), F.struct(F.col("user_id").alias("user")).alias("q"), F.struct("ts").alias("attributes")).alias("p"))
+    return nested.select(*col.flatten_struct(nested.schema))
 
-    return violations(table(spark, sf, "lineitem"), {"small": F.col("l_quantity") < 45, "discount": F.col("l_discount") >= 0.02})
+
+@query("SELECT c_custkey, c_acctbal, 'loader' AS source, CAST(7 AS BIGINT) AS batch FROM customer")
+def b11_metadata_columns(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    return sinks.add_metadata(rows, {"source": ("string", F.lit("loader")), "batch": ("bigint", F.lit(7)), "c_acctbal": ("double", F.lit(0))})
+
+
+@query("SELECT page_id AS _id, url, 'pages' AS _index, 'page' AS _type FROM pages")
+def b23_document_sink(spark, sf):
+    folder = f"{shared_folder(spark)}/b23-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "pages").select(F.col("page_id").alias("_id"), "url")
+    sinks.load_documents(docs, f"{folder}/docs", f"{folder}/markers", "one", "pages", "page", chunk=500)
+    return spark.read.schema("_id long, url string, _index string, _type string").json(f"{folder}/docs").select("_id", "url", "_index", "_type")
 
 
 # ---- ranges ------------------------------------------------------------------------------------------------------
@@ -327,12 +362,49 @@ def c11_backfill(spark, sf):
     return ranges.choose_backfill(missing_days(spark, sf).select("ts").distinct(), 50, reverse=True)
 
 
-@query(f"""WITH e AS ({DAY_GRID}), m AS (SELECT e.ts, p.ts IS NOT NULL AS here FROM e LEFT JOIN (SELECT DISTINCT date_trunc('day', o_orderdate) AS ts FROM orders WHERE o_orderpriority = '1-URGENT') p ON CAST(p.ts AS TIMESTAMP) = e.ts)
-    SELECT count(*) FILTER (WHERE ts >= (SELECT min(ts) FROM m WHERE NOT here)) AS delay, count(*) FILTER (WHERE here) AS complete_count,
-      CASE WHEN count(*) = 0 THEN 1.0 ELSE count(*) FILTER (WHERE here) / count(*) END AS complete_fraction, count(*) AS expected_count FROM m""")
+@query(f"""WITH m AS (SELECT q.k, e.ts, p.ts IS NOT NULL AS here FROM ({DAY_GRID}) e CROSS JOIN {PRIORITIES} q LEFT JOIN {PRESENT} p ON CAST(p.ts AS TIMESTAMP) = e.ts AND p.k = q.k),
+    f AS (SELECT k, min(ts) FILTER (WHERE NOT here) AS first FROM m GROUP BY 1)
+    SELECT k, count(*) FILTER (WHERE ts >= first) AS delay, count(*) FILTER (WHERE here) AS complete_count, count(*) FILTER (WHERE here) / count(*) AS complete_fraction, count(*) AS expected_count,
+      '[' || strftime(min(ts), '%Y-%m-%d %H:%M') || ', ' || strftime(max(ts), '%Y-%m-%d %H:%M') || ']' AS label FROM m JOIN f USING (k) GROUP BY 1""")
 def c12_range_metrics(spark, sf):
-    urgent = present(spark, sf).filter("k = '1-URGENT'")
-    return ranges.range_metrics(ranges.expected(span(spark, sf), ranges.Grid("day")), urgent)
+    kinds = days(spark, sf).select("k").distinct()
+    asked = ranges.expected(kinds.join(F.broadcast(span(spark, sf))), ranges.Grid("day"))  # one row
+    return ranges.range_metrics(asked.select("k", "ts"), present(spark, sf), "k")
+
+
+#: Order dates as folders of an hour, and line ship dates as files of a day; every third day has its flag.
+@query("SELECT o_orderkey, o_orderdate + INTERVAL 1 HOUR * (o_orderkey % 24) AS ts FROM orders")
+def c10_date_from_path(spark, sf):
+    hour = F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0")
+    path = F.concat(F.lit("/in/k"), F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "/yyyy/MM-dd/"), hour, F.lit("/part"))
+    return table(spark, sf, "orders").select("o_orderkey", readers.date_by_layout(path, "/%Y/%m-%d/%H/").alias("ts"))
+
+
+SHIPPED = "(SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem)"
+
+
+def day_files(spark, sf):
+    shipped = table(spark, sf, "lineitem").select(F.col("l_shipdate").cast("date").alias("day")).distinct()
+    name = F.explode(F.array_compact(F.array(F.lit("part-0"), F.when(F.dayofmonth("day") % 3 == 0, F.lit("_SUCCESS")))))
+    return shipped.select("day", name.alias("name")).select(F.concat(F.lit("/out/"), F.col("day").cast("string"), F.lit("/"), F.col("name")).alias("path"))
+
+
+@query(f"SELECT CAST(day AS VARCHAR) AS partition FROM {SHIPPED}")
+def c19_partitions_with_files(spark, sf):
+    return readers.partitions_with_files(day_files(spark, sf), F.split("path", "/")[2], "^_")
+
+
+@query(f"""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), r AS (
+      SELECT 'path' AS kind, '/out/' || day AS target, day FROM d UNION ALL SELECT 'flag', '/out/' || day || '/', day FROM d UNION ALL SELECT 'partition', CAST(day AS VARCHAR), day FROM d UNION ALL SELECT 'table', CAST(day AS VARCHAR), day FROM d)
+    SELECT kind, target, CASE kind WHEN 'path' THEN day IN (SELECT day FROM {SHIPPED}) WHEN 'flag' THEN day IN (SELECT day FROM {SHIPPED}) AND day(day) % 3 = 0
+      WHEN 'partition' THEN day IN (SELECT CAST(ts AS DATE) FROM events) ELSE false END AS ready FROM r""")
+def c22_external_readiness(spark, sf):
+    day = days(spark, sf).select(F.col("day").cast("string").alias("day")).distinct()
+    each = F.array(F.struct(F.lit("path").alias("kind"), F.concat(F.lit("/out/"), "day").alias("target")), F.struct(F.lit("flag").alias("kind"), F.concat(F.lit("/out/"), "day", F.lit("/")).alias("target")), *(F.struct(F.lit(k).alias("kind"), F.col("day").alias("target")) for k in ("partition", "table")))
+    asked = day.select(F.inline(each))
+    partitions = table(spark, sf, "events").select(F.col("ts").cast("date").cast("string").alias("target"))
+    tables = table(spark, sf, "nation").select(F.col("n_name").alias("target"))
+    return ranges.external_readiness(asked, day_files(spark, sf), tables, partitions).select("kind", "target", "ready")
 
 
 ASKED = f"(SELECT DISTINCT p.k, CAST(g.ts AS DATE) AS day FROM ({DAY_GRID}) g CROSS JOIN {PRIORITIES} p)"
@@ -547,6 +619,20 @@ def d21_nearest_names(spark, sf):
     return col.nearest_names(nation.select(F.concat("n_name", F.lit("X")).alias("name")), nation.select(F.col("n_name").alias("candidate")))
 
 
+@query("""WITH n AS (SELECT n_name || repeat('X', n_nationkey % 8) AS name FROM nation), d AS (SELECT a.name, b.n_name AS candidate, levenshtein(a.name, b.n_name) AS distance FROM n a, nation b),
+    near AS (SELECT name, string_agg(candidate, ',' ORDER BY distance, candidate) AS candidates FROM d WHERE distance <= 5 AND distance < length(name) GROUP BY 1)
+    SELECT n.name, coalesce(near.candidates, (SELECT string_agg(n_name, ',' ORDER BY n_name) FROM nation)) AS candidates FROM n LEFT JOIN near ON near.name = n.name""")
+def d21_suggestions(spark, sf):
+    nation = table(spark, sf, "nation")
+    names = nation.select(F.concat(F.col("n_name"), F.repeat(F.lit("X"), (F.col("n_nationkey") % 8).cast("int"))).alias("name"))
+    return col.suggestions(names, nation.select(F.col("n_name").alias("candidate"))).select("name", F.array_join("candidates", ",").alias("candidates"))
+
+
+@query("SELECT event_id, 'env:test,k:' || json_extract_string(props, '$.k') AS tags FROM events")
+def d23_tags(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.array_join(col.tags(F.from_json("props", "map<string,string>"), ["env:test"]), ",").alias("tags"))
+
+
 @query("SELECT p_partkey, p_type || '(brand=' || p_brand || ', size=' || p_size || ')' AS name, 'env:test,brand:' || p_brand || ',size:' || p_size AS tags FROM part")
 def d22_display_names(spark, sf):
     m = F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.col("p_brand"))
@@ -556,6 +642,18 @@ def d22_display_names(spark, sf):
 # ---- map, combine, reduce ----------------------------------------------------------------------------------------
 
 
+@query("SELECT unnest(['type ' || event_type, 'user ' || user_id]) AS key, value FROM events")
+def e1_map_records(spark, sf):
+    key = lambda name, c: F.struct(F.concat(F.lit(f"{name} "), F.col(c).cast("string")).alias("key"), F.col("value"))
+    return jobs.map_records(table(spark, sf, "events"), F.array(key("type", "event_type"), key("user", "user_id"))).select("key", "value")
+
+
+@query("SELECT event_type AS key, max(value) AS most, count(*) AS n FROM events GROUP BY 1")
+def e3_combine(spark, sf):
+    pairs = jobs.map_records(table(spark, sf, "events"), F.array(F.struct(F.col("event_type").alias("key"), F.col("value"))))
+    return jobs.reduce_by_key(pairs, F.max("value").alias("most"), F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT event_type AS key, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def e2_reduce(spark, sf):
     pairs = jobs.map_records(table(spark, sf, "events"), F.array(F.struct(F.col("event_type").alias("key"), F.col("value"))))
@@ -622,9 +720,30 @@ PARAMS = "(SELECT p_partkey AS task_id, 'brand' AS name, p_brand AS value FROM p
 @query("SELECT p_partkey AS task_id, p_name FROM part WHERE p_size = 7 AND p_brand = (SELECT min(p_brand) FROM part WHERE p_size = 7)")
 def g1_with_parameters(spark, sf):
     part = table(spark, sf, "part").withColumnRenamed("p_partkey", "task_id")
-    brand = part.filter("p_size = 7").agg(F.min("p_brand")).first()[0]
+    brand = part.filter("p_size = 7").agg(F.coalesce(F.min("p_brand"), F.lit(""))).scalar()
     params = part.select("task_id", F.inline(F.array(F.struct(F.lit("brand").alias("name"), F.col("p_brand").alias("value")), F.struct(F.lit("size").alias("name"), F.col("p_size").cast("string").alias("value")))))
-    return runs.with_parameters(part, params, {"size": "7", "brand": brand or ""}).select("task_id", "p_name")
+    return runs.with_parameters(part, params, {"size": "7", "brand": brand}).select("task_id", "p_name")
+
+
+@query("""SELECT p_partkey AS task_id, p_name, max(l_shipdate) AS last_ts FROM part LEFT JOIN lineitem ON l_partkey = p_partkey
+    WHERE p_type = 'PROMO' AND p_size IN (7) GROUP BY 1, 2""")
+def g1_find_runs(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("task_id"), F.col("p_type").alias("name"), "p_name", "p_size")
+    params = part.select("task_id", F.lit("size").alias("name"), F.col("p_size").cast("string").alias("value"))
+    happened = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("task_id"), F.col("l_shipdate").alias("ts"))
+    return runs.find_runs(part, params, happened, "PROMO", {"size": "7"}).select("task_id", "p_name", "last_ts")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def g3_latest_by_stable_id(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    return runs.latest_by_stable_id(rows, "user_id", "event_id")
+
+
+@query(f"SELECT event_id, run, status, ts FROM {EV} WHERE run IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def g3_events_of(spark, sf):
+    ids = table(spark, sf, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("run"))
+    return runs.events_of(events(spark, sf), ids).select("event_id", "run", "status", "ts")
 
 
 NOW = "TIMESTAMP '2024-01-20 12:00:00'"
@@ -644,7 +763,7 @@ def g4_current_status(spark, sf):
     return runs.current_status(events(spark, sf))
 
 
-@query(f"SELECT run, count(*) FILTER (WHERE status = 'RUNNING') AS running, count(*) FILTER (WHERE status = 'FAILED') AS failed, 0 AS disabled, count(*) FILTER (WHERE status = 'DONE') AS done FROM {EV} GROUP BY 1")
+@query(f"SELECT run, count(*) FILTER (WHERE status = 'RUNNING') AS running, count(*) FILTER (WHERE status = 'FAILED') AS failed, count(*) FILTER (WHERE status = 'DISABLED') AS disabled, count(*) FILTER (WHERE status = 'DONE') AS done FROM {EV} GROUP BY 1")
 def g5_status_counts(spark, sf):
     return runs.status_counts(events(spark, sf), "run")
 
@@ -669,7 +788,12 @@ def g8_disable_rule(spark, sf):
     return runs.disable_rule(events(spark, sf), seconds=86400, hard_timeout=864000).select("event_id", "failures", "disables")
 
 
-@query(f"SELECT owner, family, count(*) FILTER (WHERE status = 'FAILED') AS failures, 0 AS disables FROM (SELECT unnest(['a' || run % 7, 'b' || run % 3]) AS owner, json_extract_string(props, '$.k') AS family, status FROM {EV}) GROUP BY 1, 2")
+@query()
+def g8_disable_changes(spark, sf):
+    return runs.disable_changes(events(spark, sf), seconds=10 * 86400, retry_count=2, hard_timeout=20 * 86400, persist=5 * 86400)
+
+
+@query(f"SELECT owner, family, count(*) FILTER (WHERE status = 'FAILED') AS failures, count(*) FILTER (WHERE status = 'DISABLED') AS disables FROM (SELECT unnest(['a' || run % 7, 'b' || run % 3]) AS owner, json_extract_string(props, '$.k') AS family, status FROM {EV}) GROUP BY 1, 2")
 def g9_owner_digest(spark, sf):
     owners = F.array(F.concat(F.lit("a"), F.col("run") % 7), F.concat(F.lit("b"), F.col("run") % 3))
     rows = events(spark, sf).withColumn("owners", owners).withColumn("family", F.get_json_object("props", "$.k"))
@@ -681,7 +805,7 @@ def g10_last_messages(spark, sf):
     return runs.last_messages(events(spark, sf), "run", "props", 3).select("run", "props", "rank")
 
 
-@query(f"""SELECT props AS tail, string_agg(DISTINCT CAST(run AS VARCHAR), ',' ORDER BY CAST(run AS VARCHAR)) AS names, count(*) FILTER (WHERE status = 'FAILED') AS failures, 0 AS disables, min(CAST(run AS VARCHAR)) AS first_name FROM {EV} GROUP BY 1""")
+@query(f"""SELECT props AS tail, string_agg(DISTINCT CAST(run AS VARCHAR), ',' ORDER BY CAST(run AS VARCHAR)) AS names, count(*) FILTER (WHERE status = 'FAILED') AS failures, count(*) FILTER (WHERE status = 'DISABLED') AS disables, min(CAST(run AS VARCHAR)) AS first_name FROM {EV} GROUP BY 1""")
 def g11_digest_groups(spark, sf):
     rows = events(spark, sf).select("props", F.col("run").cast("string").alias("run"), "status")
     one = rows.groupBy("props", "run").agg(F.count_if(F.col("status") == "FAILED").alias("failures"), F.count_if(F.col("status") == "DISABLED").alias("disables"))
@@ -712,13 +836,13 @@ def g14_outcome_table(spark, sf):
 
 
 # Nodes are turns of conversations: conv_id * 1000 + turn; a turn depends on the one before it.
-NODES = """(SELECT conv_id * 1000 + turn AS id, CASE (conv_id + turn * turn) % 6 WHEN 0 THEN 'DONE' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'FAILED' WHEN 3 THEN 'DISABLED' ELSE 'PENDING' END AS status FROM conversations)"""
+NODES = """(SELECT conv_id * 1000 + turn AS id, CASE (conv_id + turn * turn) % 7 WHEN 0 THEN 'DONE' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'FAILED' WHEN 3 THEN 'DISABLED' WHEN 4 THEN 'MISSING' ELSE 'PENDING' END AS status FROM conversations)"""
 EDGES = "(SELECT conv_id * 1000 + turn AS src, conv_id * 1000 + turn - 1 AS dst FROM conversations WHERE turn > (SELECT min(turn) FROM conversations))"
 
 
 def nodes(spark, sf):
-    k = (F.col("conv_id") + F.col("turn") * F.col("turn")) % 6
-    status = F.when(k == 0, "DONE").when(k == 1, "RUNNING").when(k == 2, "FAILED").when(k == 3, "DISABLED").otherwise("PENDING")
+    k = (F.col("conv_id") + F.col("turn") * F.col("turn")) % 7
+    status = F.when(k == 0, "DONE").when(k == 1, "RUNNING").when(k == 2, "FAILED").when(k == 3, "DISABLED").when(k == 4, "MISSING").otherwise("PENDING")
     return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), status.alias("status"))
 
 
@@ -732,8 +856,8 @@ def edges(spark, sf):
 CONE = f"""cone AS (SELECT id AS root, id AS node, 0 AS depth FROM {NODES} UNION ALL SELECT c.root, e.dst, c.depth + 1 FROM cone c JOIN {EDGES} e ON e.src = c.node)"""
 
 
-@query(f"""WITH RECURSIVE {CONE} SELECT n.id, bool_or(coalesce(s.status = 'FAILED', false)) AS upstream_failure, false AS upstream_missing, bool_or(coalesce(s.status = 'RUNNING', false)) AS run_by_other,
-    bool_or(c.node IS NOT NULL AND s.status IS NULL) AS scheduling_error, NOT (bool_or(coalesce(s.status IN ('FAILED', 'RUNNING'), false)) OR bool_or(c.node IS NOT NULL AND s.status IS NULL)) AS not_run
+@query(f"""WITH RECURSIVE {CONE} SELECT n.id, bool_or(coalesce(s.status = 'FAILED', false)) AS upstream_failure, bool_or(coalesce(s.status = 'MISSING', false)) AS upstream_missing, bool_or(coalesce(s.status = 'RUNNING', false)) AS run_by_other,
+    bool_or(c.node IS NOT NULL AND s.status IS NULL) AS scheduling_error, NOT (bool_or(coalesce(s.status IN ('FAILED', 'RUNNING', 'MISSING'), false)) OR bool_or(c.node IS NOT NULL AND s.status IS NULL)) AS not_run
     FROM {NODES} n LEFT JOIN (SELECT * FROM cone WHERE depth > 0) c ON c.root = n.id LEFT JOIN {NODES} s ON s.id = c.node WHERE n.status = 'PENDING' GROUP BY n.id""")
 def g15_blocked_because(spark, sf):
     return lineage.blocked_because(edges(spark, sf), nodes(spark, sf))
@@ -809,6 +933,14 @@ def g27_silences(spark, sf):
     return runs.silences(events(spark, sf), "run", 86400).select("event_id", "gap")
 
 
+@query(f"""WITH cur AS (SELECT run, arg_max(status, struct_pack(a := ts, b := event_id)) AS status FROM {EV} GROUP BY 1),
+    gone AS (SELECT run FROM {EV} WHERE ts <= {NOW} GROUP BY 1 HAVING date_diff('microsecond', max(ts), {NOW}) // 1000000 > 172800)
+    SELECT run, CASE WHEN status = 'RUNNING' AND run IN (SELECT run FROM gone) THEN 'FAILED' ELSE status END AS status FROM cur""")
+def g27_fail_silent(spark, sf):
+    rows = events(spark, sf)
+    return runs.fail_silent(runs.current_status(rows), rows.filter(F.col("ts") <= now()), now(), "run", 172_800).select("run", "status")
+
+
 # ---- batch twins of the streams ----------------------------------------------------------------------------------
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import warnings
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,7 +54,7 @@ def flagged(spark: SparkSession, path: str, flag: str = "_SUCCESS") -> bool:
     return exists(spark, path + flag)
 
 
-def list_files(spark: SparkSession, path: str, after: str | None = None, before: str | None = None, recursive: bool = True, glob: str | None = None) -> DataFrame:
+def list_files(spark: SparkSession, path, after: str | None = None, before: str | None = None, recursive: bool = True, glob: str | None = None) -> DataFrame:
     """path, modified and size of files with after < modified < before, both open and optional. No content is read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     for name, value in (("modifiedAfter", after), ("modifiedBefore", before), ("pathGlobFilter", glob)):
@@ -81,6 +83,31 @@ def date_of_path(path: Column, pattern: str = r"(\d{4}).*?(\d{2}).*?(\d{2}).*?(\
     return F.when(path.rlike(pattern), F.make_timestamp_ntz(group(1), group(2), group(3), group(4), minute, F.lit(0).cast("decimal(16,6)")))
 
 
+#: The parts of a layout, what they match, and what stands for those that a layout lacks.
+LAYOUT = {"Y": (r"\d{4}", None), "m": (r"\d{2}", "01"), "d": (r"\d{2}", "01"), "H": (r"\d{2}", "00"), "M": (r"\d{2}", "00")}
+
+
+def layout_pattern(layout: str) -> tuple[str, list[str]]:
+    """A layout such as /in/%Y/%m-%d/%H as a pattern with a group for each part, and the parts in order."""
+    pieces = re.split(r"%([YmdHM])", layout)
+    return "".join(f"({LAYOUT[x][0]})" if i % 2 else re.escape(x) for i, x in enumerate(pieces)), pieces[1::2]
+
+
+def date_by_layout(path: Column, layout: str) -> Column:
+    """Timestamp of the parts of a path in a layout; null where it doesn't match or is no date."""
+    pattern, parts = layout_pattern(layout)
+    part = {p: F.regexp_extract(path, pattern, i + 1) if p in parts else F.lit(LAYOUT[p][1]) for i, p in [(parts.index(p) if p in parts else 0, p) for p in LAYOUT]}
+    text = F.concat(part["Y"], F.lit("-"), part["m"], F.lit("-"), part["d"], F.lit(" "), part["H"], F.lit(":"), part["M"], F.lit(":00"))
+    return F.when(path.rlike(pattern), text.try_cast("timestamp_ntz"))
+
+
+def layout_matches(files: DataFrame, layouts: list[str]) -> DataFrame:
+    """(layout, n): how many paths of a listing each layout gives a date for; the first is the one to take."""
+    each = F.array(*(F.struct(F.lit(x).alias("layout"), F.lit(i).alias("i"), date_by_layout(F.col("path"), x).isNotNull().cast("long").alias("hit")) for i, x in enumerate(layouts)))
+    counted = files.select(F.inline(each)).groupBy("layout").agg(F.sum("hit").alias("n"), F.min("i").alias("i"))
+    return counted.orderBy(F.desc("n"), "i").select("layout", "n")
+
+
 def documents(lines: DataFrame, schema: str, index: str, doc_type: str, text: str = "value") -> DataFrame:
     """JSON documents with _index and _type filled in only where they lack them."""
     doc = lines.select(F.from_json(text, f"{schema}, _index string, _type string").alias("d")).select("d.*")
@@ -91,25 +118,84 @@ def json_by_paths(lines: DataFrame, paths: dict[str, str], text: str = "value")
     return lines.select(*(F.get_json_object(text, p).alias(n) for n, p in paths.items()))
 
 
-def load_files(spark: SparkSession, path, form: str, schema: str | None = None, max_bad: int = 0, skip: int = 0, ignore_unknown: bool = False, **options) -> DataFrame:
+def _without_head(spark: SparkSession, path, skip: int, encoding: str) -> DataFrame:
+    """(value, __n) of all lines but the first ``skip`` of each file. A file's first lines are in its first split, where
+    numbers of rows follow each other; only those of that split are compared."""
+    lines = spark.read.option("encoding", encoding).text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__n"))
+    heads = lines.filter("__at = 0").groupBy("__file").agg(F.min("__n").alias("__head"))
+    return lines.join(heads, "__file").filter((F.col("__at") > 0) | (F.col("__n") >= F.col("__head") + skip)).select("value", "__n")
+
+
+def _fields(sep: str, quote: str = '"') -> tuple[str, str]:
+    """Patterns of a CSV field and of what is quoted."""
+    q, s = re.escape(quote), re.escape(sep)
+    quoted = f"{q}(?:[^{q}]|{q}{q})*{q}"
+    return f"(?:{quoted}|[^{s}{q}]*)", quoted
+
+
+def load_files(spark: SparkSession, path, form: str, schema: str | None = None, max_bad: int = 0, skip: int = 0, ignore_unknown: bool = False, jagged: bool = False, sep: str = ",", encoding: str = "UTF-8", **options) -> DataFrame:
     """CSV, JSON, Parquet or Avro rows; more than ``max_bad`` rows that don't fit the schema are an error.
 
-    Bad rows within the limit are left out. ``skip`` leading lines are only possible for CSV, as its header.
+    Bad rows within the limit are left out. Rows of CSV may have fewer fields with ``jagged``, and rows of CSV and JSON
+    more with ``ignore_unknown``; both are bad else. ``skip`` leading lines of each CSV file are left out. Text files
+    are read line by line; with the reader's option multiLine the whole file goes to Spark's reader, which can skip a
+    header only and takes unknown fields of JSON. Without a schema the types are inferred. Parquet and Avro have no bad
+    rows: a file that doesn't fit is an error.
     """
     reader = spark.read.options(**options)
     if form in ("parquet", "avro"):
-        return (reader.schema(schema) if schema else reader).format(form).load(path)
-    if form == "csv" and skip > 1:
-        raise ValueError("at most one leading line can be skipped")
+        return (reader.schema(schema) if schema else reader).format(form).load(avro_paths(path) if form == "avro" else path)
+    whole = str(options.get("multiLine", False)).lower() == "true"
+    if schema is None or whole:
+        if skip > (form == "csv"):
+            raise ValueError("only the header of a CSV file can be skipped without a schema or with multiLine")
+        reader = reader.option("encoding", encoding)
+        reader = reader.option("header", skip == 1).option("sep", sep) if form == "csv" else reader
+        if schema is None:
+            return reader.option("inferSchema", True).format(form).load(path)
+        rows = reader.schema(f"{schema}, __bad string").option("columnNameOfCorruptRecord", "__bad").option("mode", "PERMISSIVE").format(form).load(path)
+        bad = rows.select(F.struct(*rows.columns).alias("r")).filter("r.__bad IS NOT NULL").limit(max_bad + 1).count()
+        if bad > max_bad:
+            raise ValueError(f"more than {max_bad} rows don't fit")
+        return rows.filter("__bad IS NULL").drop("__bad")
+    kinds = spark.createDataFrame([], schema).schema
+    width, value = len(kinds), F.col("value")
+    lines = _without_head(spark, path, skip, encoding) if skip else spark.read.option("encoding", encoding).text(path)
+    lines = lines.filter(F.length(F.trim("value")) > 0)
+    known = {k: str(v) for k, v in options.items()} | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
+    fits = F.lit(True)
     if form == "csv":
-        reader = reader.option("header", skip == 1)
-    if schema is None:
-        return reader.option("inferSchema", True).format(form).load(path)
-    checked = reader.schema(f"{schema}, __bad string").option("columnNameOfCorruptRecord", "__bad").option("mode", "PERMISSIVE").format(form).load(path).cache()
-    bad = checked.filter(F.col("__bad").isNotNull()).limit(max_bad + 1).count()
-    if bad > max_bad:
+        field, quoted = _fields(sep, str(options.get("quote", '"')))
+        n = F.regexp_count(F.regexp_replace(value, quoted, ""), F.lit(re.escape(sep))) + 1
+        more = F.regexp_extract(value, f"^({field}(?:{re.escape(sep)}{field}){{{width - 1}}})", 1) if ignore_unknown else value
+        fewer = F.concat(value, F.repeat(F.lit(sep), F.lit(width) - n)) if jagged else value
+        parsed = F.from_csv(F.when(n > width, more).when(n < width, fewer).otherwise(value), f"{schema}, __bad string", known | {"sep": sep})
+        fits = ((n <= width) | F.lit(ignore_unknown)) & ((n >= width) | F.lit(jagged))
+    else:
+        parsed = F.from_json(value, f"{schema}, __bad string", known)
+        if not ignore_unknown:
+            fits = F.size(F.array_except(F.coalesce(F.json_object_keys(value), F.array().cast("array<string>")), F.lit(kinds.names))) == 0
+    checked = lines.select(parsed.alias("r"), fits.alias("fits")).withColumn("good", F.col("fits") & F.col("r.__bad").isNull())
+    if checked.filter(~F.coalesce("good", F.lit(False))).limit(max_bad + 1).count() > max_bad:
         raise ValueError(f"more than {max_bad} rows don't fit")
-    return checked.filter(F.col("__bad").isNull()).drop("__bad")
+    return checked.filter("good").select("r.*").drop("__bad")
+
+
+def avro_paths(path) -> list[str]:
+    """Paths of Avro files: one that doesn't end in .avro is a folder, whose Avro files are meant."""
+    return [p if p.endswith(".avro") else f"{p.rstrip('/')}/*.avro" for p in ([path] if isinstance(path, str) else path)]
+
+
+def comment_table(spark: SparkSession, table: str, doc: str | None) -> bool:
+    """Set a schema's doc as its table's comment; a failure to do so is a warning. Whether it was set."""
+    if not doc:
+        return False
+    try:
+        spark.sql(f"COMMENT ON TABLE {table} IS :doc", args={"doc": doc})
+    except Exception as e:
+        warnings.warn(f"no comment on {table}: {e}", stacklevel=2)
+        return False
+    return True
 
 
 def manifest(files: DataFrame) -> DataFrame:
@@ -126,23 +212,34 @@ def write_manifest(spark: SparkSession, files: DataFrame, path: str) -> None:
 
 
 def read_manifest(spark: SparkSession, path: str, form: str = "text", **options) -> DataFrame:
-    """Exactly the files that a manifest lists; a missing mandatory one is an error."""
-    text = spark.read.option("wholetext", True).text(path).first()[0]
-    entries = json.loads(text)["entries"]
-    there = [e["url"] for e in entries if exists(spark, e["url"])]
-    lost = [e["url"] for e in entries if e.get("mandatory") and e["url"] not in set(there)]
+    """Exactly the files that a manifest lists; a missing mandatory one is an error.
+
+    What is there is found by one listing of the files' folders, not file by file.
+    """
+    entries = json.loads(spark.read.option("wholetext", True).text(path).first()[0])["entries"]
+    wanted = spark.createDataFrame([(e["url"], bool(e.get("mandatory"))) for e in entries], "url string, mandatory boolean")
+    folders = [f for f in sorted({e["url"].rsplit("/", 1)[0] for e in entries}) if exists(spark, f)]
+    bare = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    there = list_files(spark, folders, recursive=False).select(bare("path").alias("__p")) if folders else spark.createDataFrame([], "__p string")
+    found = wanted.withColumn("__p", bare("url")).join(there.distinct().withColumn("__there", F.lit(True)), "__p", "left").collect()
+    lost = sorted(r["url"] for r in found if r["mandatory"] and not r["__there"])
     if lost:
         raise FileNotFoundError(f"missing: {lost[:5]}")
-    return spark.read.options(**options).format(form).load(there)
+    return spark.read.options(**options).format(form).load(sorted(r["url"] for r in found if r["__there"]))
 
 
 def merge_csv_parts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """CSV parts with a header each as one table, in the order of the parts."""
-    parts = [spark.read.csv(p, header=True).withColumn("__part", F.lit(i)) for i, p in enumerate(paths)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.sortWithinPartitions("__part").drop("__part")
+    """CSV parts with a header each as one table, in the order of the parts and of the lines in them."""
+    bare = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    part = F.array_position(F.array(*(bare(F.lit(p)) for p in paths)), bare(F.col("_metadata.file_path")))
+    rows = spark.read.csv(paths, header=True)
+    placed = rows.select("*", part.alias("__part"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__n"))
+    return placed.orderBy("__part", "__at", "__n").drop("__part", "__at", "__n")
+
+
+def write_merged(df: DataFrame, path: str) -> None:
+    """One CSV file with one header, in the order of ``df``: what is asked for is a single file, so one task writes it."""
+    df.coalesce(1).write.csv(path, header=True)
 
 
 def first_lines(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:

@@ -3,28 +3,36 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.jobs import toplist
 from .readers import _path, exists
 
 
 def publish(df: DataFrame, path: str, form: str = "parquet", overwrite: bool = False, **options) -> None:
-    """Write beside the destination and rename once complete; a failure leaves nothing behind."""
+    """Write beside the destination and rename once complete; a failure leaves nothing behind.
+
+    What is overwritten is renamed aside first and deleted once the new rows are in its place.
+    """
     spark = df.sparkSession
     staged = f"{path.rstrip('/')}-tmp-{uuid.uuid4().hex}"
     fs, stage = _path(spark, staged)
-    target = _path(spark, path)[1]
+    target, aside = _path(spark, path)[1], _path(spark, f"{path.rstrip('/')}-old-{uuid.uuid4().hex}")[1]
     try:
         df.write.options(**options).format(form).save(staged)
         if fs.exists(target):
             if not overwrite:
                 raise FileExistsError(path)
-            fs.delete(target, True)
+            if not fs.rename(target, aside):
+                raise OSError(f"could not move {path} aside")
         if not fs.rename(stage, target):
+            if fs.exists(aside):
+                fs.rename(aside, target)
             raise OSError(f"could not publish {path}")
+        fs.delete(aside, True)
     finally:
         if fs.exists(stage):
             fs.delete(stage, True)
@@ -86,10 +94,15 @@ def idempotent_load(df: DataFrame, table: str, markers: str, update_id: str) ->
     if exists(spark, markers) and not spark.read.parquet(markers).filter(F.col("update_id") == update_id).isEmpty():
         return False
     df.write.mode("overwrite").parquet(f"{table}/update_id={update_id}")
-    spark.range(1).select(F.lit(update_id).alias("update_id"), F.lit(table).alias("target_table"), F.current_timestamp().alias("inserted")).write.mode("append").parquet(markers)
+    mark_update(spark, markers, update_id, table)
     return True
 
 
+def mark_update(spark: SparkSession, markers: str, update_id: str, table: str) -> None:
+    row = spark.range(1).select(F.lit(update_id).alias("update_id"), F.lit(table).alias("target_table"), F.current_timestamp().alias("inserted"))
+    row.write.mode("append").parquet(markers)
+
+
 def read_marked(spark: SparkSession, table: str, markers: str) -> DataFrame:
     return spark.read.parquet(table).join(spark.read.parquet(markers).select("update_id").distinct(), "update_id", "left_semi")
 
@@ -100,6 +113,92 @@ def jdbc_load(df: DataFrame, url: str, table: str, driver: str, truncate: bool =
     writer.option("truncate", truncate).mode("overwrite" if truncate else "append").save()
 
 
+def jdbc_run(spark: SparkSession, url: str, *statements: str) -> None:
+    """Run statements in one transaction of a database; all or none take effect."""
+    connection = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        for text in statements:
+            statement.executeUpdate(text)
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
+def jdbc_table_exists(spark: SparkSession, url: str, table: str) -> bool:
+    connection = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        found = connection.getMetaData().getTables(None, None, table, None)
+        return found.next()
+    finally:
+        connection.close()
+
+
+def jdbc_idempotent_load(
+    df: DataFrame, url: str, table: str, driver: str, update_id: str, columns: list | None = None, markers: str = "TABLE_UPDATES", before: tuple[str, ...] = (), after: tuple[str, ...] = (),
+    metadata: tuple[str, ...] = (), batch: int = 5000,
+) -> bool:
+    """Load ``df`` into a database table unless its update is marked; whether it was loaded.
+
+    ``columns`` are (name, type) pairs, of which a missing table is made; names alone are an error then. Rows go to a
+    table of their own in parallel batches. Then one transaction runs the statements ``before``, moves the rows,
+    and runs ``after``, ``metadata`` and the mark, so that a load that broke off leaves neither rows nor a mark. Names
+    are taken as they are, as a database in upper case has them.
+    """
+    spark = df.sparkSession
+    quoted = update_id.replace("'", "''")
+    if not jdbc_table_exists(spark, url, markers):
+        jdbc_run(spark, url, f"CREATE TABLE {markers} (UPDATE_ID VARCHAR(255) PRIMARY KEY, TARGET_TABLE VARCHAR(255), INSERTED TIMESTAMP)")
+    marked = spark.read.format("jdbc").option("url", url).option("driver", driver).option("query", f"SELECT UPDATE_ID FROM {markers} WHERE UPDATE_ID = '{quoted}'").load()
+    if not marked.isEmpty():
+        return False
+    names = [c if isinstance(c, str) else c[0] for c in columns or df.columns]
+    if not jdbc_table_exists(spark, url, table):
+        if columns is None or any(isinstance(c, str) for c in columns):
+            raise ValueError(f"{table} isn't there, and its columns have no types")
+        jdbc_run(spark, url, f"CREATE TABLE {table} ({', '.join(f'{n} {t}' for n, t in columns)})")
+    staged = f"STAGE_{uuid.uuid4().hex[:12].upper()}"
+    jdbc_run(spark, url, f"CREATE TABLE {staged} AS SELECT {', '.join(names)} FROM {table} WITH NO DATA")
+    try:
+        df.select(*names).write.format("jdbc").option("url", url).option("dbtable", staged).option("driver", driver).option("batchsize", batch).mode("append").save()
+        move = f"INSERT INTO {table} ({', '.join(names)}) SELECT {', '.join(names)} FROM {staged}"
+        mark = f"INSERT INTO {markers} VALUES ('{quoted}', '{table}', CURRENT_TIMESTAMP)"
+        jdbc_run(spark, url, *before, move, *after, *metadata, mark)
+    finally:
+        jdbc_run(spark, url, f"DROP TABLE {staged}")
+    return True
+
+
+def toplist_to_database(counts: DataFrame, key: str, n: int, date_from: str, date_to: str, url: str, table: str, driver: str, columns: list) -> bool:
+    """The ``n`` keys with highest counts of an interval into a database table, once for each interval."""
+    top = toplist(counts, key, n, date_from, date_to)
+    names = [c[0] for c in columns]
+    return jdbc_idempotent_load(top.toDF(*names), url, table, driver, f"{table}-{date_from}-{date_to}", columns)
+
+
+def load_documents(docs: DataFrame, folder: str, markers: str, update_id: str, index: str, doc_type: str, purge: bool = False, chunk: int = 2000) -> bool:
+    """JSON documents with _index and _type, files of at most ``chunk`` of them, unless the update is marked.
+
+    ``purge`` removes what other updates left in the folder. Null fields are left out of a document. Whether it was loaded.
+    """
+    spark = docs.sparkSession
+    if exists(spark, markers) and not spark.read.parquet(markers).filter(F.col("update_id") == update_id).isEmpty():
+        return False
+    fs, target = _path(spark, folder)
+    if purge and fs.exists(target):
+        fs.delete(target, True)
+    named = docs
+    for name, value in (("_index", index), ("_type", doc_type)):
+        named = named.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in docs.columns else F.lit(value))
+    named.write.mode("overwrite").option("maxRecordsPerFile", chunk).json(f"{folder.rstrip('/')}/update_id={update_id}")
+    mark_update(spark, markers, update_id, folder)
+    return True
+
+
 def add_metadata(df: DataFrame, columns: Mapping[str, tuple[str, Column]]) -> DataFrame:
     """Add columns that are absent, each with a type and a fill."""
     for name, (kind, fill) in columns.items():
@@ -108,8 +207,17 @@ def add_metadata(df: DataFrame, columns: Mapping[str, tuple[str, Column]]) -> Da
     return df
 
 
-def query_to_table(spark: SparkSession, sql: str, path: str, args: Mapping | None = None, functions: Mapping[str, Callable] | None = None, write: str = "TRUNCATE") -> None:
-    """Run a query with named variables and functions of one's own, and store its rows."""
+def query_to_table(spark: SparkSession, sql: str, path: str, args: Mapping | None = None, functions: Mapping[str, object] | None = None, write: str = "TRUNCATE", markers: str | None = None, update_id: str | None = None) -> bool:
+    """Run a query with named variables and functions of one's own, and store its rows; whether it was run.
+
+    Functions are Spark's user-defined functions (such as of ``pandas_udf``), or plain ones, which get Arrow batches
+    and give texts. With ``markers`` an update is run and marked once.
+    """
+    if markers and exists(spark, markers) and not spark.read.parquet(markers).filter(F.col("update_id") == update_id).isEmpty():
+        return False
     for name, f in (functions or {}).items():
-        spark.udf.register(name, f)
+        spark.udf.register(name, f if hasattr(f, "evalType") else F.udf(f, "string", useArrow=True))
     write_disposed(spark.sql(sql, args=dict(args or {})), path, write)
+    if markers:
+        mark_update(spark, markers, update_id, path)
+    return True

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ranges import Grid, expected, range_metrics
-from ..sources.sinks import idempotent_load
+from ..sources.sinks import idempotent_load, read_marked
 
 
 def failure_rate(events: DataFrame, key: str, window: str = "1 hour", slide: str = "5 minutes", late: str = "10 minutes", least: int = 1) -> DataFrame:
@@ -37,11 +37,17 @@ def apply_once(updates: DataFrame, table: str, markers: str, checkpoint: str, la
 
 
 def ingest_with_metrics(rows: DataFrame, table: str, metrics: str, grid: Grid, bounds: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Append new rows (ts, ...) and after each batch the completeness of the expected range."""
+    """Append new rows (ts, ...) and after each batch the completeness of the expected range.
+
+    Each batch also leaves the grid points that it brought, so that metrics are taken from points, of which there are
+    few, and the table itself is never read again. Only batches that are marked count.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
+        points = batch.select(grid.floor(F.col("ts").cast("timestamp_ntz")).alias("ts")).distinct()
+        points.write.mode("overwrite").parquet(f"{table}-points/update_id=batch-{number}")
         idempotent_load(batch, table, f"{table}-markers", f"batch-{number}")
-        present = batch.sparkSession.read.parquet(table).select(grid.floor(F.col("ts").cast("timestamp_ntz")).alias("ts"))
+        present = read_marked(batch.sparkSession, f"{table}-points", f"{table}-markers").select("ts")
         range_metrics(expected(bounds, grid), present).withColumn("batch", F.lit(number)).write.mode("append").parquet(metrics)
 
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
