@@ -99,6 +99,12 @@ def generated_ratings(spark: SparkSession, n: int, tracks: int = 1000, seed: int
     return spark.range(n).select(F.col("id").alias("user"), F.floor(F.rand(seed) * tracks).cast("long").alias("item"), F.lit(1.0).alias("rating"))
 
 
+def generated_streams(spark: SparkSession, n: int = 1000, users: int = 100, artists: int = 100, tracks: int = 1000, seed: int = 1) -> DataFrame:
+    """``n`` random rows of user, artist and track."""
+    pick = lambda i, most: F.floor(F.rand(seed + i) * most).cast("long")
+    return spark.range(n).select(pick(0, users).alias("user"), pick(1, artists).alias("artist"), pick(2, tracks).alias("track"))
+
+
 def generated_records(spark: SparkSession, n: int, size: int = 100) -> DataFrame:
     """``n`` records of ``size`` characters with a random key in front."""
     return spark.range(n).select(F.rpad(F.substring(F.md5(F.col("id").cast("string")), 1, 10), size, "x").alias("record"))

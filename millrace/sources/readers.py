@@ -27,9 +27,18 @@ def split_fields(text: Column, *names: str) -> list[Column]:
 
 
 def read_text(spark: SparkSession, paths, encoding: str = "UTF-8", normalise: bool = True) -> DataFrame:
-    """Lines in a charset; with ``normalise`` CR LF and CR end lines too. gzip and bzip2 files are read as such."""
-    df = spark.read.option("encoding", encoding)
-    return (df if normalise else df.option("lineSep", "\n")).text(paths)
+    """Lines in a charset; with ``normalise`` CR LF and CR end lines too. gzip and bzip2 files are read as such.
+
+    Spark's text source cuts lines in a charset but takes their bytes as UTF-8, so they are decoded here. In charsets of
+    two and more bytes a unit a CR alone ends no line.
+    """
+    reader, wide = spark.read.option("encoding", encoding), encoding.upper().startswith(("UTF-16", "UTF-32"))
+    if wide or not normalise:
+        reader = reader.option("lineSep", "\n")
+    df = reader.text(paths)
+    if encoding.upper().replace("-", "") != "UTF8":
+        df = df.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
+    return df.withColumn("value", F.regexp_replace("value", "\r$", "")) if wide and normalise else df
 
 
 def interval_paths(template: str, start: date, stop: date) -> list[str]:
@@ -118,12 +127,11 @@ def json_by_paths(lines: DataFrame, paths: dict[str, str], text: str = "value")
     return lines.select(*(F.get_json_object(text, p).alias(n) for n, p in paths.items()))
 
 
-def _without_head(spark: SparkSession, path, skip: int, encoding: str) -> DataFrame:
-    """(value, __n) of all lines but the first ``skip`` of each file. A file's first lines are in its first split, where
-    numbers of rows follow each other; only those of that split are compared."""
-    lines = spark.read.option("encoding", encoding).text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__n"))
-    heads = lines.filter("__at = 0").groupBy("__file").agg(F.min("__n").alias("__head"))
-    return lines.join(heads, "__file").filter((F.col("__at") > 0) | (F.col("__n") >= F.col("__head") + skip)).select("value", "__n")
+def _with_heads(spark: SparkSession, path, encoding: str) -> DataFrame:
+    """(value, file, at, n, head) of all lines. A file's first lines are in its first split (``at`` 0), where the numbers
+    n of lines follow each other from head on."""
+    lines = read_text(spark, path, encoding).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    return lines.join(lines.filter("at = 0").groupBy("file").agg(F.min("n").alias("head")), "file")
 
 
 def _fields(sep: str, quote: str = '"') -> tuple[str, str]:
@@ -154,13 +162,12 @@ def load_files(spark: SparkSession, path, form: str, schema: str | None = None,
         if schema is None:
             return reader.option("inferSchema", True).format(form).load(path)
         rows = reader.schema(f"{schema}, __bad string").option("columnNameOfCorruptRecord", "__bad").option("mode", "PERMISSIVE").format(form).load(path)
-        bad = rows.select(F.struct(*rows.columns).alias("r")).filter("r.__bad IS NOT NULL").limit(max_bad + 1).count()
-        if bad > max_bad:
+        if len(rows.filter("__bad IS NOT NULL").limit(max_bad + 1).collect()) > max_bad:
             raise ValueError(f"more than {max_bad} rows don't fit")
         return rows.filter("__bad IS NULL").drop("__bad")
     kinds = spark.createDataFrame([], schema).schema
     width, value = len(kinds), F.col("value")
-    lines = _without_head(spark, path, skip, encoding) if skip else spark.read.option("encoding", encoding).text(path)
+    lines = _with_heads(spark, path, encoding).filter((F.col("at") > 0) | (F.col("n") >= F.col("head") + skip)) if skip else read_text(spark, path, encoding)
     lines = lines.filter(F.length(F.trim("value")) > 0)
     known = {k: str(v) for k, v in options.items()} | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
     fits = F.lit(True)
@@ -216,7 +223,7 @@ def read_manifest(spark: SparkSession, path: str, form: str = "text", **options)
 
     What is there is found by one listing of the files' folders, not file by file.
     """
-    entries = json.loads(spark.read.option("wholetext", True).text(path).first()[0])["entries"]
+    entries = json.loads(spark.read.text(path, wholetext=True).first()[0])["entries"]
     wanted = spark.createDataFrame([(e["url"], bool(e.get("mandatory"))) for e in entries], "url string, mandatory boolean")
     folders = [f for f in sorted({e["url"].rsplit("/", 1)[0] for e in entries}) if exists(spark, f)]
     bare = lambda c: F.regexp_replace(c, "^file:/*", "/")
@@ -242,7 +249,8 @@ def write_merged(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.csv(path, header=True)
 
 
-def first_lines(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
-    """The first n lines of each (small) file, with their file; all without n."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line", "value"))
-    return whole if n is None else whole.filter(F.col("line") < n)
+def first_lines(spark: SparkSession, path: str, n: int | None = None, encoding: str = "UTF-8") -> DataFrame:
+    """(file, line, value): the first n lines of each file, read from its first split; all without n, where
+    lines beyond that split have no number."""
+    lines = _with_heads(spark, path, encoding).withColumn("line", F.when(F.col("at") == 0, F.col("n") - F.col("head")))
+    return (lines if n is None else lines.filter(F.col("line") < n).orderBy("file", "line")).select("file", "line", "value")
