@@ -683,3 +683,50 @@ def test_pipeline_stages(spark, sf):
     bad = {r.doc_id for r in queries.op2_decontamination(spark, sf).collect()}
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in clean.collect()} == bad
     assert cp.run(spark, sf).count() > 0
+
+
+PIPELINE_DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _pipeline_tables(spark, folder, rows):
+    spark.createDataFrame(rows, PIPELINE_DOCS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(f"bench{i}" for i in range(20))), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_on_planted_cases(spark, tmp_path):
+    """Each stage, on a table with nulls, repeated rows, toxic texts, shared lines, copies and a benchmark passage."""
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(3)
+    own = lambda n: " ".join(f"w{rng.integers(10_000)}" for _ in range(n))
+    rows = [(i, own(12) + (" you idiot moron scum" if i % 4 == 0 else "") + ("\nshared footer line" if i % 2 else ""), "en", f"s{i % 3}", 9) for i in range(60)]
+    copy = own(30)
+    rows += [(100, copy, "en", "s0", 5), (101, copy + " tail", "en", None, 5), (102, copy, None, "s1", 5)]
+    rows += [(110, own(10) + " " + " ".join(f"bench{i}" for i in range(20)) + " " + own(5), "en", "s0", 5), (120, None, None, None, None), (121, "", "en", "s0", 0), (121, "", "en", "s0", 0), (None, "no id " + own(9), "en", "s2", 3)]
+    rows += [(130, own(9), "en", "s0", 1)] * 2
+    folder = str(tmp_path / "sf")
+    _pipeline_tables(spark, folder, rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    ids = lambda df: sorted(-1 if r.doc_id is None else r.doc_id for r in df.collect())
+    clean = cp.toxicity(spark, docs, folder)
+    want = sorted(-1 if i is None else i for i, t, *_ in rows if not (t and "idiot" in t))
+    assert clean.columns == list(cp.COLUMNS) and ids(clean) == want
+    lines = cp.line_deduplication(spark, clean, folder)
+    assert [r.doc_id for r in lines.collect() if "shared footer" in r.text] == [1] and ids(lines) == want
+    assert all(r.n_chars == len(r.text) for r in lines.collect() if r.doc_id in range(3, 60, 2))
+    near = cp.near_deduplication(spark, lines, folder)
+    assert collections.Counter(ids(near)) == collections.Counter(x for x in want if x not in (101, 102)) - collections.Counter([130])
+    left = cp.benchmark_decontamination(spark, near, folder)
+    assert sorted(set(ids(near)) - set(ids(left))) == [110]
+    mixed = cp.source_mixing(spark, left, folder)
+    assert ids(mixed) == ids(left) and all(r.taken <= 2 * r.size for r in mixed.collect())
+    assert ids(cp.run(spark, folder)) == ids(left)
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    folder = str(tmp_path / "sf")
+    _pipeline_tables(spark, folder, [])
+    assert cp.run(spark, folder).count() == 0
