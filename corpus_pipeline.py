@@ -14,7 +14,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that score 0.5 or more. Labels of the held-out fold train nothing here either."""
+    """Drop documents that score 0.5 or more. Labels of the held-out fold train nothing here either.
+
+    Null and empty texts have the score of no feature; repeated rows go or stay together. An empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_mod(F.col("doc_id"), 5) != 0)
     model = toxic.train(docs, labels)
     scored = toxic.score(docs, model, carry=COLUMNS, name="__score")
@@ -22,7 +25,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a line found in ten documents or more only the first stays; a document that loses all its words goes."""
+    """Of a line found in ten documents or more only the first stays; a document that loses all its words goes.
+
+    First is the line of the least doc_id, a null id before all others, at the least place; repeated rows are one
+    document and keep the same lines. Texts without a word stay as they are if they lose nothing; null text that stays
+    becomes empty.
+    """
     rest = tuple(c for c in COLUMNS if c not in ("text", "n_chars"))
     kept = line_dedup.dedup_lines(docs, carry=(*rest, "n_chars"), least_docs=10, keep="first")
     kept = kept.filter((F.col("n_dropped") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
@@ -31,7 +39,10 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that of the least doc_id, of repeated rows one."""
+    """One document of each group of near duplicates stays: that of the least doc_id, of repeated rows one.
+
+    A null id comes last. Texts without a word are no duplicates of each other, and repeated rows of them all stay.
+    """
     found = near_dedup.near_duplicates(docs)
     own = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("doc"), F.col("row"))
     stay = found.filter(own == F.col("keeper")).groupBy("row").agg(F.count(F.lit(1)).alias("__rows"), F.max("n_shingles").alias("__n"))
@@ -42,14 +53,14 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that overlap a benchmark item."""
+    """Drop documents that overlap a benchmark item. Null and empty texts stay; repeated rows go or stay together."""
     found = decontamination.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     keyed = docs.select(*COLUMNS, row_key(F.col("doc_id"), F.col("text")).alias("row"))
     return keyed.join(found.select("row").distinct(), "row", "left_anti").select(*COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document that is left."""
+    """How many words the mix takes of each document that is left, repeated rows and texts without words included."""
     return mixing.pareto_mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
 
