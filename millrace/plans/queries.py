@@ -573,11 +573,12 @@ def d14_range_rule(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", col.in_range(q, 10, 20).alias("half_open"), col.in_range(q, 10, 20, True, False).alias("other"))
 
 
-@query("SELECT o_orderkey, o_orderstatus IN ('F', 'O') AND o_orderpriority IN ('F', 'O', '1-URGENT') AS ok, 2 AS size FROM orders")
+@query("""SELECT o_orderkey, o_orderkey % 4 = 0 OR (o_orderstatus IN ('F', 'O') AND (o_orderkey % 4 = 1 OR o_orderpriority = '1-URGENT')) AS ok,
+    CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 2 END AS size FROM orders""")
 def d15_choices(spark, sf):
-    text = col.choice_list(F.concat_ws(",", "o_orderstatus", "o_orderpriority"))
-    allowed = col.all_in(text, ["F", "O", "1-URGENT"])
-    return table(spark, sf, "orders").select("o_orderkey", (allowed & (F.col("o_orderstatus") != "1-URGENT")).alias("ok"), F.size(text).alias("size"))
+    k = F.col("o_orderkey") % 4
+    text = col.choice_list(F.when(k == 0, "").when(k == 1, F.concat_ws(",", *["o_orderstatus"] * 3)).otherwise(F.concat_ws(",", "o_orderstatus", "o_orderpriority")))
+    return table(spark, sf, "orders").select("o_orderkey", col.all_in(text, ["F", "O", "1-URGENT"]).alias("ok"), F.size(text).alias("size"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, len(json_keys(props)) AS keys FROM events")

@@ -78,6 +78,16 @@ def dataset_usage(files: DataFrame, dataset: Column) -> DataFrame:
     return files.groupBy(dataset.alias("dataset")).agg(F.count_distinct(folder).alias("directories"), F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
+def parts_reached(usage: DataFrame, expected_: int) -> DataFrame:
+    """Whether each dataset of ``dataset_usage`` has its expected number of part files."""
+    return usage.withColumn("reached", F.col("files") >= expected_)
+
+
+def read_interval(spark: SparkSession, template: str, start: date, stop: date, form: str = "parquet", **options) -> DataFrame:
+    """One table of the paths of all dates from start to before stop; dates that have no path are left out."""
+    return spark.read.options(**options).format(form).load([p for p in interval_paths(template, start, stop) if exists(spark, p)])
+
+
 def partitions_with_files(files: DataFrame, partition: Column, ignore: str | None = None) -> DataFrame:
     """Partitions that hold a file whose name doesn't match the mask."""
     name = F.regexp_extract("path", "([^/]*)$", 1)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.jobs import toplist
+from ..operators.markers import last_value_per_key
 from .readers import _path, exists
 
 
@@ -79,6 +80,12 @@ def extract(df: DataFrame, path: str, form: str = "csv", header: bool = True, se
     writer.csv(path, header=header, sep=sep) if form == "csv" else writer.format(form).save(path)
 
 
+def export_key_values(lines: DataFrame, text: str, order: str, path: str, sep: str = "\t") -> None:
+    """The last value of each key of a table of lines as key, separator, value; sorted by key, so that a reader can seek."""
+    last = last_value_per_key(lines, text, order, sep)
+    last.orderBy("key").select(F.concat("key", F.lit(sep), "value").alias("value")).write.mode("overwrite").text(path)
+
+
 def unload(df: DataFrame, path: str) -> None:
     """Bar-separated, all fields quoted, gzip, replacing what is there."""
     df.write.mode("overwrite").csv(path, sep="|", quoteAll=True, compression="gzip")

@@ -4,7 +4,7 @@ import bz2
 import gzip
 import hashlib
 import json
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -261,3 +261,20 @@ def test_stream_sessions(spark, tmp_path):
     source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     streams.heartbeat_sessions(source, "worker").writeStream.format("memory").queryName("sessions").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.worker, r.beats) for r in spark.sql("select * from sessions").collect()) == [("v", 1), ("w", 1), ("w", 2)]
+
+
+def test_interval_of_paths_and_parts(spark, tmp_path):
+    for d in (1, 2, 4):
+        spark.range(d).write.parquet(str(tmp_path / f"2024-01-0{d}"))
+    template = str(tmp_path / "%Y-%m-%d")
+    assert readers.read_interval(spark, template, date(2024, 1, 1), date(2024, 1, 4)).count() == 3
+    files = readers.list_files(spark, str(tmp_path), glob="*.parquet")
+    usage = readers.dataset_usage(files, F.lit("all"))
+    [row] = usage.collect()
+    assert row.directories == 3 and readers.parts_reached(usage, row.files).first().reached and not readers.parts_reached(usage, row.files + 1).first().reached
+
+
+def test_key_value_export(spark, tmp_path):
+    lines = spark.createDataFrame([(1, "b\t1"), (2, "a\t2\tx"), (3, "b\t3"), (4, "none")], "n int, line string")
+    sinks.export_key_values(lines, "line", "n", str(tmp_path / "kv"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "kv")).orderBy("value").collect()] == ["a\t2\tx", "b\t3"]
