@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, as_bytes, concat, crc_mod, mix64, words_of, written
 
 #: Tokens of a batch, if its last document doesn't go beyond, and tokens to a shard on average.
-BATCH_TOKENS, SHARD_TOKENS = 1_200_000, 1_500_000
+BATCH_TOKENS, SHARD_TOKENS = 800_000, 1_500_000
 #: A word is frequent if it makes up one in FREQUENT tokens; there are at most twice as many such words, whatever the
 #: corpus. The pairs of one are spread over one in SPREAD shards, and so are the triples of each pair; those of another
 #: word over as many as keep a shard's load within a few times the average.
@@ -322,7 +322,7 @@ def _trees(shards: int, frequent: np.ndarray):
                         values = (row["batch"], s, g.first[a].tobytes(), _pack(g.under_first[a]), g.second[b].tobytes(), _pack(g.under_second[b]), g.third[c].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), _pack(n1[a]), _pack(n2[b]), _pack(n3[c]))
                         for column, value in zip(rows.values(), values, strict=True):
                             column.append(value)
-                    if len(rows["batch"]) >= 500:
+                    if len(rows["batch"]) >= 100:
                         yield _rows(_TREES, **rows)
                         rows = {n: [] for n in rows}
                 yield _rows(_TREES, **rows)
