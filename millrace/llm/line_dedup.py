@@ -169,7 +169,8 @@ def dedup_lines(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), **options
     """The columns in ``carry``, kept_text, n_lines (before dropping), n_dropped and the bitmap (null: all kept).
 
     Null and empty text is one empty line, whose key is empty and stays at the default ``least_points``. Repeated
-    rows each come back, with the same bitmap. An empty table gives no rows.
+    rows each come back, with the same bitmap. Texts of any length are cut whole. Columns that aren't carried may have
+    any name. An empty table gives no rows.
     """
     maps = keep_bitmaps(docs, **options)
     keyed = docs.select(*carry, "text", row_key(F.col("doc_id"), F.col("text")).alias("__row"))
