@@ -15,7 +15,6 @@ occur once only are left out of the tries.
 from __future__ import annotations
 
 import mmap
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +40,8 @@ PRIOR = 50.0
 EXACT = 128
 END = np.uint64(0x5EED0E0D)
 START = np.uint64(0x5EED57A7)
-#: Second words go as 32 bits of their hash, third ones, of which a pair has few, as 24.
+_CODEC = pa.Codec("zstd", compression_level=1)
+#: Second words go as the upper 32 bits of their hash, third ones, of which a pair has few, as the lower 24.
 _LOW, _LOWER = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFF)
 
 
@@ -175,15 +175,39 @@ class Trie:
         return cls(level("words"), _unpack(row["word_n"], "<u8"), level("to_pairs"), level("pairs"), codes("pair_codes"), level("to_triples"), level("triples"), codes("triple_codes"), row["top"])
 
 
+def _squeeze(raw: bytes) -> bytes:
+    """Bytes compressed, their number before them."""
+    return len(raw).to_bytes(8, "little") + (_CODEC.compress(raw, asbytes=True) if raw else b"")
+
+
+def _swell(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return _CODEC.decompress(data[8:], size, asbytes=True) if size else b""
+
+
 def _pack(a: np.ndarray, kind: str = "<u4") -> bytes:
-    """Small numbers, compressed byte plane by byte plane."""
+    """Numbers, compressed byte plane by byte plane."""
     planes = np.ascontiguousarray(a.astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T
-    return zlib.compress(planes.tobytes(), 1)
+    return _squeeze(planes.tobytes())
+
+
+def _planes(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(_swell(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _unpack(data: bytes, kind: str = "<u4") -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
+    return _planes(data, kind).astype(np.int64)
+
+
+def _pack_steps(a: np.ndarray, kind: str) -> bytes:
+    """Numbers that mostly ascend, by their differences."""
+    a = a.astype(kind)
+    return _pack(np.diff(a, prepend=a.dtype.type(0)), kind)
+
+
+def _unpack_steps(data: bytes, kind: str) -> np.ndarray:
+    return np.cumsum(_planes(data, kind), dtype=kind)
 
 
 def _rows(schema: str, **columns) -> pa.RecordBatch:
@@ -213,7 +237,7 @@ def _numbered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
         rank[order] = np.arange(len(names))
         names, at = names[order], rank[at]
         sizes = np.array([len(d) for d in docs])
-        return _rows(_BATCHES, batch=[f"{part}-{k}"], doc_id=[ids], held=[held], tokens=[int(sizes.sum())], sizes=[_pack(sizes)], names=[names.astype("<u8").tobytes()], ids=[_pack(at[:-1])])
+        return _rows(_BATCHES, batch=[f"{part}-{k}"], doc_id=[ids], held=[held], tokens=[int(sizes.sum())], sizes=[_pack(sizes)], names=[_pack_steps(names, "<u8")], ids=[_pack(at[:-1])])
 
     for batch in batches:
         part = batch["part"][0].as_py() if batch.num_rows else part
@@ -239,7 +263,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batch):
             n = np.bincount(_unpack(row["ids"]))
             some = np.flatnonzero(n * 2 * FREQUENT >= row["tokens"])
-            words = np.frombuffer(row["names"], "<u8")[some].view(np.int64)
+            words = _unpack_steps(row["names"], "<u8")[some].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n[some])], names=["word", "n"])
 
 
@@ -255,7 +279,7 @@ class Grams:
     """A batch's words, pairs and triples in the order in which its trees hold them, shard by shard."""
 
     def __init__(self, row: dict, shards: int, frequent: np.ndarray):
-        names = np.frombuffer(row["names"], "<u8")
+        names = _unpack_steps(row["names"], "<u8")
         order = np.argsort(names)
         rank = np.empty(len(names), np.int64)
         rank[order] = np.arange(len(names))
@@ -280,9 +304,10 @@ class Grams:
         own_shard, width = (hash_ % np.uint64(shards)).astype(np.int64), max(1, shards // SPREAD)
         part = ((hash_ >> np.uint64(24)) % np.uint64(width)).astype(np.int64)
         common = np.isin(names, frequent) | (names == START)
-        home = (own_shard[i] + np.where(common[i], part[j], part[j] % -(-4 * shards // FREQUENT))) % shards
+        narrow = part % -(-4 * shards // FREQUENT)  # of what is less than one in FREQUENT
+        home = (own_shard[i] + np.where(common[i], part[j], narrow[j])) % shards
         p, v = len(pairs), len(names)
-        here = (home[c] + np.where(common[i[c]], part[w], 0)) % shards * p + c
+        here = (home[c] + np.where((common[i] & common[j])[c], part[w], narrow[w])) % shards * p + c
         nodes, node = np.unique(np.r_[here, home * p + np.arange(p)], return_inverse=True)
         of_triple, self.of_pair = node[: len(triples)], node[len(triples) :]
         shard, own = nodes // p, nodes % p
@@ -292,7 +317,7 @@ class Grams:
         place = np.empty(len(triples), np.int64)
         place[order] = np.arange(len(triples))
         self.triple = place[triple]  # of each token
-        self.first, self.second, self.third = names[firsts % v], (names[j[own]] & _LOW).astype("<u4"), names[w[order]] & _LOWER
+        self.first, self.second, self.third = names[firsts % v], (names[j[own]] >> np.uint64(32)).astype("<u4"), names[w[order]] & _LOWER
         self.under_first, self.under_second = np.bincount(first[: len(nodes)], minlength=len(firsts)), np.bincount(of_triple, minlength=len(nodes))
         ends = np.arange(shards + 1)
         self.first_cuts, self.second_cuts = np.searchsorted(firsts // v, ends), np.searchsorted(shard, ends)
@@ -319,7 +344,7 @@ def _trees(shards: int, frequent: np.ndarray):
                 for s in range(shards):
                     a, b, c = (slice(x[s], x[s + 1]) for x in (g.first_cuts, g.second_cuts, g.third_cuts))
                     if a.start < a.stop:
-                        values = (row["batch"], s, g.first[a].tobytes(), _pack(g.under_first[a]), g.second[b].tobytes(), _pack(g.under_second[b]), g.third[c].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), _pack(n1[a]), _pack(n2[b]), _pack(n3[c]))
+                        values = (row["batch"], s, _pack_steps(g.first[a], "<u8"), _pack(g.under_first[a]), _pack_steps(g.second[b], "<u4"), _pack(g.under_second[b]), g.third[c].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), _pack(n1[a]), _pack(n2[b]), _pack(n3[c]))
                         for column, value in zip(rows.values(), values, strict=True):
                             column.append(value)
                     if len(rows["batch"]) >= 100:
@@ -345,10 +370,10 @@ def _merged(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _serve(table: pa.Table) -> pa.Table:
     """Sum a shard's trees into a trie, store it, and answer each batch's tree from it."""
     table = table.sort_by("batch")
-    plain = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
+    sorted_ = lambda name, kind: [_unpack_steps(x, kind) for x in table[name].to_pylist()]
     small = lambda name: concat((_unpack(x) for x in table[name].to_pylist()), np.int64)
-    firsts, seconds = plain("first", "<u8"), plain("second", "<u4")
-    thirds = [np.pad(x.reshape(-1, 3), ((0, 0), (0, 1))).view("<u4").ravel() for x in plain("third", np.uint8)]
+    firsts, seconds = sorted_("first", "<u8"), sorted_("second", "<u4")
+    thirds = [np.pad(np.frombuffer(x, np.uint8).reshape(-1, 3), ((0, 0), (0, 1))).view("<u4").ravel() for x in table["third"].to_pylist()]
     words, word, n1 = _merged(np.concatenate(firsts), small("n1"))
     pairs, pair, n2 = _merged(np.repeat(word, small("under_first")).astype(np.uint64) << np.uint64(32) | np.concatenate(seconds), small("n2"))
     triples, triple, n3 = _merged(np.repeat(pair, small("under_second")).astype(np.uint64) << np.uint64(32) | np.concatenate(thirds), small("n3"))
@@ -370,7 +395,7 @@ def _serve(table: pa.Table) -> pa.Table:
     a, b, c = ends(firsts), ends(seconds), ends(thirds)
     count, code2, code3 = count[word], code2[pair], code3[triple]
     k = range(table.num_rows)
-    squeeze = lambda codes, cuts: [zlib.compress(codes[cuts[i] : cuts[i + 1]].tobytes(), 1) for i in k]
+    squeeze = lambda codes, cuts: [_squeeze(codes[cuts[i] : cuts[i + 1]].tobytes()) for i in k]
     shard = table["shard"][0].as_py()
     answers = _rows(_SERVED, batch=table["batch"].to_pylist(), shard=[shard] * len(k), top=[trie.top] * len(k), word_n=[_pack(count[a[i] : a[i + 1]], "<u8") for i in k], pair_codes=squeeze(code2, b), triple_codes=squeeze(code3, c))
     model = _rows(_SERVED, shard=[shard], top=[trie.top], tokens=[int(n1.sum())], types=[int((n1 > 0).sum())], **{n: [x] for n, x in trie.stored().items()})
@@ -385,7 +410,7 @@ def _score(shards: int, frequent: np.ndarray, tokens: int, types: int, documents
         table = table.sort_by("shard")
         row, answers = table.slice(0, 1).to_pylist()[0], table.slice(1).to_pylist()
         g = Grams(row, shards, frequent)
-        decode = lambda name: concat((levels(x["top"])[np.frombuffer(zlib.decompress(x[name]), np.uint8)] for x in answers), np.float64)
+        decode = lambda name: concat((levels(x["top"])[np.frombuffer(_swell(x[name]), np.uint8)] for x in answers), np.float64)
         word_n = concat((_unpack(x["word_n"], "<u8") for x in answers), np.int64)[g.of_word][g.ids]
         pair_n = decode("pair_codes")[g.of_pair][g.pair]
         triple_n = decode("triple_codes")[g.triple]
