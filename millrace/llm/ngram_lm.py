@@ -445,12 +445,13 @@ def score_documents(docs: DataFrame, fold: int = 1, folds: int = 5, batch_tokens
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), folds) == fold).alias("held"), "text", F.spark_partition_id().alias("part"))
     batches = written(source.mapInArrow(_number(batch_tokens), _BATCHES), "ngram-batches")
-    size = batches.agg(F.sum("tokens").alias("tokens"), F.sum(F.size(F.filter("held", lambda x: ~x))).alias("documents")).first()
+    size = batches.agg(F.count(F.lit(1)).alias("batches"), F.sum("tokens").alias("tokens"), F.sum(F.size(F.filter("held", lambda x: ~x))).alias("documents")).first()
     shards = max(1, -(-(size["tokens"] or 0) // shard_tokens))
     frequent = frequent_words(batches, size["tokens"] or 0)
     trees = batches.mapInArrow(_trees(shards, frequent), _TREES)
-    served = written(trees.groupBy("shard").applyInArrow(_serve, _SERVED), "ngram-tries")
+    # As many partitions as shards, and as batches below, so that what a task reads stays the same as the input grows.
+    served = written(trees.repartition(shards, "shard").groupBy("shard").applyInArrow(_serve, _SERVED), "ngram-tries")
     known = served.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
     answers = served.filter(F.col("batch").isNotNull()).select("batch", "shard", "top", "word_n", "pair_codes", "triple_codes")
     both = answers.unionByName(batches.withColumn("shard", F.lit(-1)), allowMissingColumns=True)
-    return both.groupBy("batch").applyInArrow(_score(shards, frequent, known["tokens"] or 0, known["types"] or 0, size["documents"] or 0), _SCORES)
+    return both.repartition(max(1, size["batches"]), "batch").groupBy("batch").applyInArrow(_score(shards, frequent, known["tokens"] or 0, known["types"] or 0, size["documents"] or 0), _SCORES)
