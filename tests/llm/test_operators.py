@@ -228,6 +228,32 @@ def test_near_group_against_brute_force(spark):
     assert got == {i: find(i) for i in range(len(sets))}
 
 
+def test_near_query_against_exact_search(spark, sf):
+    """Every document of the given table has the component that all pairs with a shared rare shingle give."""
+    sf = sf.replace("sf0.001", "sf0.01")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    sets = []
+    for r in rows:
+        w = (r.text or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set())
+    often = collections.Counter(x for s in sets for x in s)
+    lists, component = collections.defaultdict(list), list(range(len(sets)))
+    for i, s in enumerate(sets):
+        # Two sets that are linked share one of so many of their rarest shingles.
+        rare = sorted(s, key=lambda x: (often[x], x))[: len(s) - math.ceil(0.85 * len(s)) + 1]
+        for j in {j for x in rare for j in lists[x]}:
+            n = len(s & sets[j])
+            if 100 * n >= 85 * (len(s) + len(sets[j]) - n) and component[i] != component[j]:
+                component = [component[j] if c == component[i] else c for c in component]
+        for x in rare:
+            lists[x].append(i)
+    least = {}
+    for r, c in zip(rows, component):
+        least[c] = min(least.get(c, r.doc_id), r.doc_id)
+    want = {r.doc_id: (least[c], len(s)) for r, c, s in zip(rows, component, sets)}
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in queries.op7_near_dedup(spark, sf).collect()} == want and len(least) < len(rows)
+
+
 def test_near_blocks_of_a_hot_group(spark, monkeypatch):
     """Groups of 40 and 160 around the threshold among other documents, in blocks of 16: components are those of brute
     force, and what is written as pairs grows with the group, not with its square."""
