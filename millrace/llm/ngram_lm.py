@@ -33,8 +33,9 @@ BATCH_TOKENS, SHARD_TOKENS = 800_000, 1_500_000
 FREQUENT, SPREAD = 4096, 8
 #: Triples that occur less often are left out.
 LEAST_TRIPLES = 2
-#: Pseudo-counts of the shorter context in every context (Dirichlet smoothing).
-PRIOR = 50.0
+#: Pseudo-counts of the shorter context in every pair's and every triple's (Dirichlet smoothing); held-out texts are
+#: likelier so than with 50 for both.
+PRIOR, TRIPLE_PRIOR = 300.0, 30.0
 #: Counts up to here have a code each; larger ones share those that are left, in equal steps of their logarithm up to
 #: the largest count of the shard.
 EXACT = 128
@@ -423,7 +424,7 @@ def _score(shards: int, frequent: np.ndarray, tokens: int, types: int, documents
 
         p1 = (word_n + 0.5) / (tokens + 0.5 * (types + 1))
         p2 = (pair_n + PRIOR * p1) / (context(word_n) + PRIOR)
-        p3 = (triple_n + PRIOR * p2) / (context(pair_n) + PRIOR)
+        p3 = (triple_n + TRIPLE_PRIOR * p2) / (context(pair_n) + TRIPLE_PRIOR)
         of = lambda x: np.add.reduceat(x, g.starts)
         return pa.table({
             "doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": g.sizes, "n_known": of((word_n > 0).astype(np.int64)),

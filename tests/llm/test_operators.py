@@ -668,10 +668,10 @@ def _check_scores(df, scored):
                 counts[2][tuple(w[k - 2 : k + 1])] += 1
     one, two, three = counts
     three = collections.Counter({k: c for k, c in three.items() if c >= ngram_lm.LEAST_TRIPLES})
-    n, v, m, documents = sum(one.values()), len(one), ngram_lm.PRIOR, one[0]
+    n, v, m, m3, documents = sum(one.values()), len(one), ngram_lm.PRIOR, ngram_lm.TRIPLE_PRIOR, one[0]
     p1 = lambda x: (one[x] + 0.5) / (n + 0.5 * (v + 1))
     p2 = lambda a, x: (two[a, x] + m * p1(x)) / ((documents if a == 1 else one[a]) + m)
-    p3 = lambda a, b, x: (three[a, b, x] + m * p2(b, x)) / ((documents if b == 1 else two[a, b]) + m)
+    p3 = lambda a, b, x: (three[a, b, x] + m3 * p2(b, x)) / ((documents if b == 1 else two[a, b]) + m3)
     want = []
     for i, w in rows:
         known, padded = sum(x in one for x in w), [1, 1, *w]
