@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +11,7 @@ from ..functions import calendar as cal
 from ..functions import columns as col
 from ..operators import jobs, lineage, markers, ranges, runs
 from ..sources import readers, sinks
-from ..sources.tables import shared_folder
+from ..sources.tables import scratch_path
 from ..streaming import jobs as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,7 +208,7 @@ def b10_prune_then_load(spark, sf):
 
 @query("SELECT lower(c_mktsegment) AS segment, count(*) AS n FROM customer WHERE c_acctbal > 100 GROUP BY 1")
 def b16_query(spark, sf):
-    path = f"{shared_folder(spark)}/b16-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "b16")
     text = f"SELECT small_name(c_mktsegment) AS segment, count(*) AS n FROM parquet.`{sf}/customer.parquet` WHERE c_acctbal > :least GROUP BY 1"
     sinks.query_to_table(spark, text, path, {"least": 100}, {"small_name": lambda name: name and name.lower()})
     return spark.read.parquet(path)
@@ -264,7 +263,7 @@ def b11_metadata_columns(spark, sf):
 
 @query("SELECT page_id AS _id, url, 'pages' AS _index, 'page' AS _type FROM pages")
 def b23_document_sink(spark, sf):
-    folder = f"{shared_folder(spark)}/b23-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "b23")
     docs = table(spark, sf, "pages").select(F.col("page_id").alias("_id"), "url")
     sinks.load_documents(docs, f"{folder}/docs", f"{folder}/markers", "one", "pages", "page", chunk=500)
     return spark.read.schema("_id long, url string, _index string, _type string").json(f"{folder}/docs").select("_id", "url", "_index", "_type")

@@ -19,11 +19,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet under spark.checkpoint.dir and read it back; deleted when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet under spark.checkpoint.dir and read it back."""
+    path = scratch_path(df.sparkSession, "saved")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
