@@ -179,7 +179,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the WARC files (gzip or plain) under ``path``. ``error`` says what is wrong with a damaged
-    one: no record, no header, no length, truncated, or why a file couldn't be decompressed further."""
+    one: no record, no header, no length, truncated, or why a file couldn't be decompressed further. One task reads a
+    file, which Spark's binary source takes up to 2 GB compressed; records leave it in batches of about 8 MB."""
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, _RECORD)
 
 
