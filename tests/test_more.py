@@ -4,7 +4,7 @@ import bz2
 import gzip
 import hashlib
 import json
-from datetime import date, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ def test_listing_in_a_time_window(spark, tmp_path):
     for name in ("x.txt", "y.log"):
         (tmp_path / name).write_text("1")
     hour = timedelta(hours=1)
-    at = lambda d: (datetime.utcnow() + d).strftime("%Y-%m-%dT%H:%M:%S")
+    at = lambda d: (datetime.now(UTC) + d).strftime("%Y-%m-%dT%H:%M:%S")
     names = lambda **o: sorted(r.path.rsplit("/", 1)[1] for r in readers.list_files(spark, str(tmp_path), **o).collect())
     assert names() == names(after=at(-hour)) == names(after=at(-hour), before=at(hour)) == ["x.txt", "y.log"]
     assert names(before=at(-hour)) == [] and names(glob="*.log") == ["y.log"]
