@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, near_dedup, ngram_lm, pii, quality, token_counts, toxicity, warc
+from . import centroid_clusters, decontamination, line_dedup, mixing, near_dedup, ngram_lm, pii, quality, token_counts, toxicity, warc
 from .common import crc_mod
 
 #: The vocabulary file whose tokens op4 counts.
@@ -79,11 +79,39 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centroids = centroid_clusters.clusters(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
+    text = F.array(*(F.lit(",".join(map(str, c))) for c in centroids)) if centroids else F.array(F.lit(""))
+    found = centroid_clusters.with_inertia(assigned)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.get(text, "cluster"), 256).alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_mixing, op4_token_counts, op5_warc, op6_line_dedup, op7_near_dedup, op8_pii, op9_lm_scoring, op10_quality)
+    f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_mixing, op4_token_counts, op5_warc, op6_line_dedup, op7_near_dedup, op8_pii, op9_lm_scoring, op10_quality, op12_centroid_clusters)
 }
 
+
+def _clusters_sql(rounds: int = 10) -> str:
+    """Ten rounds written out: a{i} assigns to the centroids c{i}, of which c{i+1} are the means."""
+    far = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, x, arg_min(cluster, struct_pack(d := d, c := cluster)) AS cluster, min(d) AS distance FROM (SELECT v.vec_id, v.x, c.cluster, CAST({far} AS BIGINT) AS d FROM v, c{i} c) GROUP BY 1, 2)")
+        if i < rounds:
+            steps.append(f"m{i} AS (SELECT cluster, dim, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM (SELECT cluster, unnest(x) AS y, generate_subscripts(x, 1) AS dim FROM a{i}) GROUP BY 1, 2)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY dim) AS x FROM m{i} GROUP BY 1) m ON m.cluster = c.cluster)")
+    return f"""
+        WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda y: CAST(floor(1024 * CAST(y AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = 64),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, x FROM (SELECT sha256('{3}:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 8)),
+        {", ".join(steps)}
+        SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+          sha256(array_to_string(c.x, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_centroid_clusters": _clusters_sql(),
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
