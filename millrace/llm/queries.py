@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroid_clusters, decontamination, line_dedup, mixing, near_dedup, ngram_lm, pii, quality, token_counts, toxicity, warc
+from . import centroid_clusters, collocations, decontamination, line_dedup, mixing, near_dedup, ngram_lm, pii, quality, token_counts, toxicity, warc
 from .common import crc_mod
 
 #: The vocabulary file whose tokens op4 counts.
@@ -86,8 +86,12 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.get(text, "cluster"), 256).alias("centroid_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), least=100, covered=100, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_mixing, op4_token_counts, op5_warc, op6_line_dedup, op7_near_dedup, op8_pii, op9_lm_scoring, op10_quality, op12_centroid_clusters)
+    f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_mixing, op4_token_counts, op5_warc, op6_line_dedup, op7_near_dedup, op8_pii, op9_lm_scoring, op10_quality, op12_centroid_clusters, op13_collocations)
 }
 
 
@@ -112,6 +116,22 @@ def _clusters_sql(rounds: int = 10) -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op12_centroid_clusters": _clusters_sql(),
+    "op13_collocations": """
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        w AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS ws
+          FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d)),
+        totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY 1),
+        counts AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS a FROM (SELECT lang, size, array_to_string(ws[i : i + size - 1], ' ') AS phrase
+          FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS size))) GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+        cand AS (SELECT *, string_split(phrase, ' ') AS ws FROM counts WHERE size > 1),
+        cuts AS (SELECT lang, phrase, ws, size, a, unnest(range(1, size)) AS k FROM cand),
+        scored AS (SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, n, k, CAST(CAST(1000 AS HUGEINT) * c.a * n // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score FROM cuts c
+          JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1 : k], ' ') JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[k + 1 : c.size], ' ')
+          JOIN totals t ON t.lang = c.lang),
+        best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM scored),
+        kept AS (SELECT lang, phrase, a, l, r, n, score FROM best b WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM cand c WHERE c.lang = b.lang AND c.phrase <> b.phrase
+          AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * c.a >= 100 * b.a))
+        SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept) WHERE rank <= 2000""",
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
