@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroid_clusters, collocations, decontamination, line_dedup, mixing, near_dedup, ngram_lm, pii, quality, token_counts, toxicity, warc
+from . import centroid_clusters, collocations, decontamination, line_dedup, mixing, near_dedup, ngram_lm, pii, quality, repeated_passages, token_counts, toxicity, warc
 from .common import crc_mod
 
 #: The vocabulary file whose tokens op4 counts.
@@ -79,6 +79,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages.drop_repeats(_table(spark, sf_dir, "documents"), length=100, keep_text=False)
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned, centroids = centroid_clusters.clusters(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
     text = F.array(*(F.lit(",".join(map(str, c))) for c in centroids)) if centroids else F.array(F.lit(""))
@@ -91,7 +95,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_mixing, op4_token_counts, op5_warc, op6_line_dedup, op7_near_dedup, op8_pii, op9_lm_scoring, op10_quality, op12_centroid_clusters, op13_collocations)
+    f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_mixing, op4_token_counts, op5_warc, op6_line_dedup, op7_near_dedup, op8_pii, op9_lm_scoring, op10_quality, op11_repeated_passages, op12_centroid_clusters, op13_collocations)
 }
 
 
@@ -115,6 +119,16 @@ def _clusters_sql(rounds: int = 10) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_repeated_passages": """
+        WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        w AS (SELECT doc_id, p, substr(x, 2 * p + 1, 200) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99)) AS p FROM d)),
+        again AS MATERIALIZED (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS o FROM w) WHERE o > 1),
+        runs AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run
+          FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS new FROM again)) GROUP BY doc_id, run),
+        gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM runs),
+        kept AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head, max(b) AS last FROM gaps JOIN d USING (doc_id) GROUP BY 1)
+        SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head || substr(x, 2 * last + 1), x))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
     "op12_centroid_clusters": _clusters_sql(),
     "op13_collocations": """
         WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
