@@ -31,7 +31,11 @@ def live_markers(markers: DataFrame, now: Column, seconds: int, inserted: str =
 
 
 def trim_history(markers: DataFrame, target: str, date: str, key: str, keep: int) -> DataFrame:
-    """The newest ``keep`` markers per target; 0 keeps all."""
+    """The newest ``keep`` markers per target; 0 keeps all.
+
+    Each task drops all but its own newest ``keep`` before the shuffle (a group limit in the plan), so that a target with
+    most markers sends that many from each task to one place.
+    """
     if not keep:
         return markers
     newest = Window.partitionBy(target).orderBy(F.desc(date), F.desc(key))

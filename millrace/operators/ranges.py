@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scan import ranked
+
 #: How far back a range looks from now by default, in points of its grid.
 BACK = {"day": 100, "hour": 2400, "minute": 1440, "month": 13}
 TASK_LIMIT = 50
@@ -177,9 +179,12 @@ def previous_period(df: DataFrame, unit: str, *columns: str) -> DataFrame:
 
 
 def islands(df: DataFrame, key: str, day: str = "day", least: int = 3) -> DataFrame:
-    """Unbroken runs of days per key: first, last, n and a label, "first...last" for more than ``least`` days."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(day))
-    runs = df.select(key, day).distinct().withColumn("__run", F.date_sub(F.col(day), place)).groupBy(key, "__run")
+    """Unbroken runs of days per key: first, last, n and a label, "first...last" for more than ``least`` days.
+
+    A day less its number among its key's days is the same all along a run.
+    """
+    numbered = ranked(df.select(key, day).distinct(), [key], [day], "__place")
+    runs = numbered.withColumn("__run", F.date_sub(F.col(day), F.col("__place").cast("int"))).groupBy(key, "__run")
     out = runs.agg(F.min(day).alias("first"), F.max(day).alias("last"), F.count(F.lit(1)).alias("n")).drop("__run")
     several = F.concat(F.col("first").cast("string"), F.lit("..."), F.col("last").cast("string"))
     listed = F.array_join(F.transform(F.sequence("first", "last"), lambda d: d.cast("string")), ",")

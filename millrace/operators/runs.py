@@ -5,12 +5,17 @@ Statuses: PENDING, RUNNING, DONE, FAILED, DISABLED, UNKNOWN.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator, Mapping
+from datetime import UTC, datetime, timedelta
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .disabling import Rule, changes
+from .scan import ranked
 
 
 def with_parameters(tasks: DataFrame, params: DataFrame, wanted: Mapping[str, str | Column], key: str = "task_id") -> DataFrame:
@@ -70,55 +75,57 @@ def execution_time(events: DataFrame, key: str = "run") -> DataFrame:
 
 
 def trailing_failures(events: DataFrame, key: str = "run", seconds: int = 3600) -> DataFrame:
-    """Each failure with the failures of its key in the window up to it, itself included."""
+    """Each failure with the failures of its key in the window up to it, itself included.
+
+    Failures are summed by key and second first. Seconds fall into buckets as long as the window, and each serves its
+    own bucket and the next, so that what is sorted in one place are 2 * (seconds + 1) sums at most, whatever a key's
+    share of the rows.
+    """
+    bucket = lambda s: F.floor(s / (seconds + 1))
     failed = events.filter(F.col("status") == "FAILED").withColumn("__s", F.col("ts").cast("timestamp").cast("long"))
-    window = Window.partitionBy(key).orderBy("__s").rangeBetween(-seconds, 0)
-    return failed.withColumn("failures", F.count(F.lit(1)).over(window)).drop("__s")
+    sums = failed.groupBy(F.col(key).alias("__key"), F.col("__s").alias("__at")).agg(F.count(F.lit(1)).alias("__n"))
+    each = sums.withColumn("__bucket", F.explode(F.array(bucket(F.col("__at")), bucket(F.col("__at")) + 1)))
+    window = Window.partitionBy("__key", "__bucket").orderBy("__at").rangeBetween(-seconds, 0)
+    counted = each.withColumn("failures", F.sum("__n").over(window)).filter(F.col("__bucket") == bucket(F.col("__at")))
+    joined = failed.join(counted.select("__key", "__at", "failures"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__s") == F.col("__at")))
+    return joined.drop("__s", "__key", "__at")
 
 
 def disable_rule(events: DataFrame, key: str = "run", seconds: int = 3600, retry_count: int = 3, hard_timeout: int = 86400) -> DataFrame:
     """Each failure with whether it disables: enough failures in the window, or too long since the key's first."""
-    first = F.min("ts").over(Window.partitionBy(key))
-    out = trailing_failures(events, key, seconds).withColumn("since_first", F.timestamp_diff("SECOND", first, F.col("ts")))
+    first = events.filter(F.col("status") == "FAILED").groupBy(F.col(key).alias("__key")).agg(F.min("ts").alias("__first"))
+    out = trailing_failures(events, key, seconds).join(first, F.col(key).eqNullSafe(F.col("__key")))
+    out = out.withColumn("since_first", F.timestamp_diff("SECOND", F.col("__first"), F.col("ts"))).drop("__key", "__first")
     return out.withColumn("disables", (F.col("failures") >= retry_count) | (F.col("since_first") >= hard_timeout))
 
 
-def disable_changes(events: DataFrame, key: str = "run", seconds: int = 3600, retry_count: int = 3, hard_timeout: int = 86400, persist: int = 86400) -> DataFrame:
+def disable_changes(events: DataFrame, key: str = "run", seconds: int = 3600, retry_count: int = 3, hard_timeout: int = 86400, persist: int = 86400, now: datetime | None = None) -> DataFrame:
     """(key, event_id, ts, change): when a key is DISABLED by its failures and ENABLED again.
 
     A failure disables if it is the ``retry_count``-th within the window, or the first one lies ``hard_timeout`` back.
     A disabled key counts no failures; it is enabled by the first event ``persist`` seconds later, as of then, or by
-    an earlier DONE, and its failures are forgotten. One stream goes through each key's events in order and keeps the
-    failures of the window only, so that a key with most events is no group in memory.
+    an earlier DONE, and its failures are forgotten. With ``now`` a key without such an event is enabled by time alone,
+    with a null event_id, as the stream does it. One stream goes through each key's events in order and keeps the
+    failures of the window only, so that a key with most events is no group in memory. Only failures, successes and, of
+    each stretch of other events, what enables a key can matter, but which do depends on what went before: a key's
+    events are one sequence.
     """
     kind = events.schema[key].dataType.simpleString()
     rows = events.select(key, "event_id", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rule = Rule(seconds, retry_count, hard_timeout, persist)
+    end = None if now is None else round((now.replace(tzinfo=now.tzinfo or UTC) - datetime(1970, 1, 1, tzinfo=UTC)) / timedelta(microseconds=1))
+    if end is not None:
+        rows = rows.filter(F.col("us") <= end)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, failed, first, disabled = None, deque(), None, None
-        for batch in batches:
-            out: list[tuple] = []
-            for k, event, status, us in zip(*(batch[c].to_pylist() for c in (key, "event_id", "status", "us")), strict=True):
-                if k != at:
-                    at, first, disabled = k, None, None
-                    failed.clear()
-                due = None if disabled is None else disabled + persist * 1_000_000
-                if due is not None and (us >= due or status == "DONE"):
-                    out.append((k, event, min(us, due), "ENABLED"))
-                    first, disabled = None, None
-                    failed.clear()
-                if status == "FAILED" and disabled is None:
-                    first = us if first is None else first
-                    failed.append(us)
-                    while failed[0] < us - seconds * 1_000_000:
-                        failed.popleft()
-                    if len(failed) >= retry_count or us - first >= hard_timeout * 1_000_000:
-                        out.append((k, event, us, "DISABLED"))
-                        disabled = us
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            kinds = (batch.schema.field(key).type, pa.int64(), pa.int64(), pa.string())
+        each = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in (key, "event_id", "status", "us")), strict=True))
+        found = changes(rule, each, end)
+        while some := list(islice(found, 10_000)):
+            cols = zip(*some, strict=True)
+            kinds = (key_type, pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[key, "event_id", "us", "change"])
 
+    key_type = to_arrow_type(events.schema[key].dataType)
     ordered = rows.repartition(key).sortWithinPartitions(key, "us", "event_id")
     found = ordered.mapInArrow(scan, f"`{key}` {kind}, event_id long, us long, change string")
     return found.select(key, "event_id", F.timestamp_micros("us").cast(events.schema["ts"].dataType).alias("ts"), "change")
@@ -193,8 +200,8 @@ def dependency_status(nodes: DataFrame, edges: DataFrame, prefix: str, key: str
 
 
 def priority_order(tasks: DataFrame, group: str, priority: str, time: str, key: str) -> DataFrame:
-    """Rank in each group by priority, highest first, then earliest time, then key."""
-    return tasks.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(priority), time, key)))
+    """Rank in each group by priority, highest first, then earliest time, then key; a group may hold any share of the tasks."""
+    return ranked(tasks, [group], [F.desc(priority), time, key])
 
 
 def resource_usage(running: DataFrame, totals: DataFrame) -> DataFrame:
@@ -213,8 +220,8 @@ def worker_table(tasks: DataFrame, workers: str) -> DataFrame:
 
 def batches(tasks: DataFrame, fixed: list[str], batched: str, key: str, size: int) -> DataFrame:
     """Tasks equal on ``fixed`` in batches of at most ``size`` by key: the largest batched value and the number."""
-    place = F.row_number().over(Window.partitionBy(*fixed).orderBy(key))
-    return tasks.withColumn("batch", F.floor((place - 1) / size)).groupBy(*fixed, "batch").agg(F.max(batched).alias(batched), F.count(F.lit(1)).alias("n"))
+    placed = ranked(tasks.select(*dict.fromkeys([*fixed, batched, key])), fixed, [key], "__place")
+    return placed.withColumn("batch", F.floor((F.col("__place") - 1) / size)).groupBy(*fixed, "batch").agg(F.max(batched).alias(batched), F.count(F.lit(1)).alias("n"))
 
 
 def silences(beats: DataFrame, key: str, seconds: int = 60) -> DataFrame:

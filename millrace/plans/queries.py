@@ -788,7 +788,23 @@ def g8_disable_rule(spark, sf):
     return runs.disable_rule(events(spark, sf), seconds=86400, hard_timeout=864000).select("event_id", "failures", "disables")
 
 
-@query()
+#: Events one by one: s holds a run's failures of ten days, its first failure and since when it is disabled.
+CHANGES = f"""WITH RECURSIVE o AS (SELECT run, event_id, ts, status, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS n FROM {EV}),
+    s AS (SELECT DISTINCT run, CAST(0 AS BIGINT) AS n, CAST([] AS TIMESTAMP[]) AS failed, CAST(NULL AS TIMESTAMP) AS first, CAST(NULL AS TIMESTAMP) AS since, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS TIMESTAMP) AS enabled_at, CAST(NULL AS TIMESTAMP) AS disabled_at FROM o
+      UNION ALL
+      SELECT run, n, failed, first, CASE WHEN disables THEN ts ELSE since END, event_id, enabled_at, CASE WHEN disables THEN ts END
+      FROM (SELECT *, counts AND (len(failed) >= 2 OR ts - first >= INTERVAL 20 DAY) AS disables
+        FROM (SELECT run, n, event_id, ts, enabled_at, since, counts, CASE WHEN counts THEN coalesce(first, ts) ELSE first END AS first,
+            CASE WHEN counts THEN list_filter(list_append(failed, ts), lambda x: x >= ts - INTERVAL 10 DAY) ELSE failed END AS failed
+          FROM (SELECT *, status = 'FAILED' AND since IS NULL AS counts
+            FROM (SELECT run, n, event_id, ts, status, CASE WHEN enables THEN least(ts, since + INTERVAL 5 DAY) END AS enabled_at, CASE WHEN enables THEN CAST([] AS TIMESTAMP[]) ELSE failed END AS failed,
+                CASE WHEN enables THEN NULL ELSE first END AS first, CASE WHEN enables THEN NULL ELSE since END AS since
+              FROM (SELECT o.run, o.n, o.event_id, o.ts, o.status, failed, first, since, since IS NOT NULL AND (o.ts >= since + INTERVAL 5 DAY OR o.status = 'DONE') AS enables
+                FROM s JOIN o ON o.run = s.run AND o.n = s.n + 1))))))
+    SELECT run, event_id, enabled_at AS ts, 'ENABLED' AS change FROM s WHERE enabled_at IS NOT NULL UNION ALL SELECT run, event_id, disabled_at, 'DISABLED' FROM s WHERE disabled_at IS NOT NULL"""
+
+
+@query(CHANGES)
 def g8_disable_changes(spark, sf):
     return runs.disable_changes(events(spark, sf), seconds=10 * 86400, retry_count=2, hard_timeout=20 * 86400, persist=5 * 86400)
 
