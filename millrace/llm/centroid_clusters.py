@@ -157,6 +157,8 @@ def clusters(vectors: DataFrame, k: int = 8, rounds: int = 10, seed: int = 3, wi
         parts = rows.mapInArrow(_sums(centroids, width), "cluster int, n long, dim int, high decimal(38,0), low decimal(38,0)")
         for r in parts.groupBy("cluster", "dim").agg(F.sum("n").alias("n"), F.sum("high").alias("high"), F.sum("low").alias("low")).collect():
             centroids[r.cluster][r.dim] = (int(r.high) * HALF + int(r.low)) // r.n
+    if not centroids:  # there are no vectors either
+        return rows.select("vec_id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("long").alias("distance")), []
     return rows.mapInArrow(_assign(centroids, width), "vec_id long, cluster int, distance long"), centroids
 
 
