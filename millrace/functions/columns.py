@@ -113,27 +113,72 @@ def most_common(df: DataFrame, value: str, *by: str) -> DataFrame:
     return best.select(*by, F.col("m.v").alias(value), (-F.col("m.n")).alias("n"))
 
 
+#: Names that ``suggestions`` may tell as a whole, in one row.
+REGISTER = 10_000
+
+
+def _pieces(length: Column, n: int) -> Column:
+    """How a text is cut into ``n`` runs as long as each other or one longer: structs of number, start and size."""
+    base = F.floor(length / n).cast("int")
+    even = F.lit(n) - length % n  # runs of the shorter size, which come first
+    size = lambda i: base + (i > even).cast("int")
+    start = lambda i: (i - 1) * base + F.greatest(i - 1 - even, F.lit(0)) + 1
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.struct(i.alias("i"), start(i).alias("start"), size(i).alias("size")))
+
+
+def near_candidates(names: DataFrame, known: DataFrame, most: int = 5) -> DataFrame:
+    """(name, candidate) pairs, with repeats, that hold all pairs within ``most`` edits.
+
+    A known name is cut into ``most`` + 1 pieces. As many edits leave one of them as it is, and move it by no more
+    places than there are edits before it and after it, so that both names meet in that piece: names in the pieces that
+    they hold near its place, for each length that the other may have. Known names that are too short for pieces of two
+    characters meet those of their length, or up to ``most`` shorter or longer.
+    """
+    n, least = most + 1, 2 * (most + 1)
+    names = names.select(F.col("name")).distinct().withColumn("__l", F.length("name"))
+    known = known.select(F.col("candidate")).distinct().withColumn("__n", F.length("candidate"))
+    cut = lambda text: lambda x: F.struct(x["i"].alias("i"), F.substring(text, x["start"], x["size"]).alias("piece"))
+    index = known.filter(F.col("__n") >= least).select("candidate", "__n", F.inline(F.transform(_pieces(F.col("__n"), n), cut(F.col("candidate")))))
+    lengths = F.explode(F.sequence(F.greatest(F.col("__l") - most, F.lit(least)), F.col("__l") + most)).alias("__n")
+    asked = names.filter(F.col("__l") + most >= least).select("name", "__l", lengths)
+    shift = F.col("__l") - F.col("__n")
+
+    def held(x: Column) -> Column:
+        before, after = x["i"] - 1, F.lit(n) - x["i"]
+        low = F.greatest(x["start"] - before, x["start"] + shift - after, F.lit(1))
+        high = F.least(x["start"] + before, x["start"] + shift + after, F.col("__l") - x["size"] + 1)
+        starts = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda p: F.struct(x["i"].alias("i"), F.substring(F.col("name"), p, x["size"]).alias("piece")))
+
+    probes = asked.select("name", "__n", F.inline(F.array_distinct(F.flatten(F.transform(_pieces(F.col("__n"), n), held)))))
+    pairs = probes.join(index, ["__n", "i", "piece"]).select("name", "candidate")
+    short = known.filter(F.col("__n") < least).select("candidate", F.explode(F.sequence(F.col("__n") - most, F.col("__n") + most)).alias("__l"))
+    return pairs.unionByName(names.join(short, "__l").select("name", "candidate"))
+
+
 def nearest_names(names: DataFrame, known: DataFrame, most: int = 5) -> DataFrame:
-    """(name, candidate, distance) with edit distance at most ``most`` and below the name's length.
+    """(name, candidate, distance) with edit distance at most ``most`` and below the name's length, each pair once.
 
-    A theta join bounded by equal keys: two names within ``most`` edits differ in length by no more than that, so
-    known names are given to every length they can serve.
+    Repeated names are one name, null is none. Pieces that a third of the known names share make as many candidates, as
+    they do of near names; their join is split where it is skewed, and distances are taken only as far as ``most``.
     """
-    near = known.select(F.col("candidate"), F.explode(F.sequence(F.length("candidate") - most, F.length("candidate") + most)).alias("__n"))
-    pairs = names.withColumn("__n", F.length("name")).join(near, "__n")
-    distance = F.levenshtein("name", "candidate")
-    return pairs.withColumn("distance", distance).filter((F.col("distance") <= most) & (F.col("distance") < F.length("name"))).select("name", "candidate", "distance")
+    distance = F.levenshtein("name", "candidate", most)
+    near = near_candidates(names, known, most).withColumn("distance", distance).filter((F.col("distance") >= 0) & (F.col("distance") < F.length("name")))
+    return near.distinct()
 
 
 def suggestions(names: DataFrame, known: DataFrame, most: int = 5) -> DataFrame:
     """(name, candidates): the near known names, nearest first, or all of them in order if none is near.
 
-    ``known`` is a register of names, one row of which all are told; it is joined as that one row.
+    A register of more than REGISTER names isn't told as a whole: candidates are null for a name with none near.
     """
     near = nearest_names(names, known, most).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("distance", "candidate"))).alias("near"))
+    joined = names.join(near, "name", "left")
+    found = F.transform("near", lambda x: x["candidate"])
+    if known.limit(REGISTER + 1).count() > REGISTER:
+        return joined.select("name", found.alias("candidates"))
     every = known.agg(F.array_sort(F.collect_set("candidate")).alias("every"))
-    joined = names.join(near, "name", "left").join(F.broadcast(every))  # one row
-    return joined.select("name", F.coalesce(F.transform("near", lambda x: x["candidate"]), F.col("every")).alias("candidates"))
+    return joined.join(F.broadcast(every)).select("name", F.coalesce(found, F.col("every")).alias("candidates"))  # one row of REGISTER names at most
 
 
 def flatten_struct(schema: T.StructType, skip: str = "attributes", prefix: str = "") -> list[Column]:
@@ -162,3 +207,54 @@ def deep_flatten(value: Column, kind: T.DataType) -> Column:
             value, kind = F.transform(value, F.map_values), T.ArrayType(inner)
         value, kind = F.flatten(F.filter(value, lambda x: x.isNotNull())), kind.elementType
     return F.when(value.isNotNull(), F.array(value)).otherwise(F.array().cast(T.ArrayType(kind)))
+
+
+def _leaves(schema: T.StructType, prefix: str = "") -> list[Column]:
+    """Every field of nested structs by its dotted path, lists and maps as they are."""
+    out: list[Column] = []
+    for field in schema.fields:
+        path = [*prefix.split("\0"), field.name] if prefix else [field.name]
+        if isinstance(field.dataType, T.StructType):
+            out += _leaves(field.dataType, "\0".join(path))
+        else:
+            out.append(F.col(".".join(f"`{p}`" for p in path)).alias(".".join(path)))
+    return out
+
+
+def flatten_repeated(df: DataFrame) -> DataFrame:
+    """Nested and repeated fields as flat rows: one column for each leaf of the schema, by its dotted path.
+
+    Structs become columns. All lists of a row are unfolded together by position, so that siblings stand side by side
+    and make no product: a row gives as many rows as its longest list, shorter ones have nulls there, and one without
+    elements stays as one row. Lists inside lists are unfolded the same way, level by level. Maps count as lists of
+    entries. Columns of equal dotted path are an error, as in any table.
+    """
+    while True:
+        df = df.select(*_leaves(df.schema))
+        quoted = lambda c: F.col(f"`{c}`")
+        lists = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType))}
+        if not lists:
+            return df
+        entries = {c: F.map_entries(quoted(c)) if isinstance(kind, T.MapType) else quoted(c) for c, kind in lists.items()}
+        longest = F.greatest(F.lit(1), *(F.coalesce(F.size(x), F.lit(0)) for x in entries.values()))
+        placed = df.withColumn("__at", F.explode(F.sequence(F.lit(0), longest - 1)))
+        df = placed.select(*(F.get(entries[c], F.col("__at")).alias(c) if c in lists else quoted(c) for c in df.columns))
+
+
+def json_list(text: Column, element: str = "string") -> Column:
+    """A JSON list as an array; null where the text is none, or an element isn't of the type."""
+    listed = F.from_json(text, f"array<{element}>", {"mode": "PERMISSIVE"})
+    return F.when(F.ltrim(text).startswith("["), listed)
+
+
+def json_dict(text: Column, value: str = "string") -> Column:
+    """A JSON object as a map in the order of the text; null where the text is none."""
+    return F.when(F.ltrim(text).startswith("{"), F.from_json(text, f"map<string,{value}>"))
+
+
+def json_tuple(text: Column, *kinds: str) -> Column:
+    """A JSON list, or a bracketed one such as (1, "a"), as a struct _1, _2, ... of given types; null if it has another length."""
+    inner = F.regexp_replace(F.trim(text), r"^\((.*?),?\s*\)$", "[$1]")
+    parts = F.from_json(inner, "array<string>")
+    fields = [F.get(parts, i).try_cast(kind).alias(f"_{i + 1}") for i, kind in enumerate(kinds)]
+    return F.when(F.size(parts) == len(kinds), F.struct(*fields))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that splits words and fields.
@@ -31,6 +32,80 @@ def reduce_groups(pairs: DataFrame, reducer: Callable[[pa.Table], pa.Table], sch
     return pairs.groupBy("key").applyInArrow(reducer, schema)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def _groups(batches: Batches, key: str) -> Iterator[tuple[object, Batches]]:
+    """(key, batches of its rows) of a stream sorted by key. A group's batches are cut from the stream as they are asked
+    for; what its reader leaves is passed over before the next group is told."""
+    rest: list[pa.RecordBatch] = []  # the batch at hand, from the next row on
+
+    def more() -> pa.RecordBatch | None:
+        while not rest or not rest[0].num_rows:
+            rest[:] = [b for b in [next(batches, None)] if b is not None]
+            if not rest:
+                return None
+        return rest[0]
+
+    def same(column: pa.Array, value: pa.Scalar) -> int:
+        """How many of the first rows have the value."""
+        equal = column.is_null() if not value.is_valid else pc.fill_null(pc.equal(column, value), False)
+        at = pc.index(equal, False).as_py()
+        return len(column) if at < 0 else at
+
+    def group(value: pa.Scalar) -> Batches:
+        while (batch := more()) is not None:
+            n = same(batch[key], value)
+            rest[0] = batch.slice(n)
+            if n:
+                yield batch.slice(0, n)
+            if rest[0].num_rows:
+                return
+
+    while (batch := more()) is not None:
+        value = batch[key][0]
+        one = group(value)
+        yield value.as_py(), one
+        for _ in one:
+            pass
+
+
+def reduce_sorted(pairs: DataFrame, reducer: Callable[[object, Batches], Batches], schema: str, *order: Column | str, combiner: Callable[[Batches], Batches] | None = None, parts: int | None = None) -> DataFrame:
+    """A reducer over a sorted stream: ``reducer(key, batches)`` gets a key's rows as an iterator of Arrow batches, by
+    ``order``, and gives batches.
+
+    A group is never in memory: rows are sorted by Spark, which spills, and a batch is read when the reducer asks for it.
+    A reducer may stop early. ``combiner`` is applied to each task's rows before the shuffle and must give the columns of
+    ``pairs``; it is what keeps a hot key's rows from one task, since a key's stream is read by one reducer. ``parts``
+    output partitions if given. Null is a key.
+    """
+
+    def run(batches: Batches) -> Batches:
+        for key, group in _groups(batches, "key"):
+            yield from reducer(key, group)
+
+    if combiner:
+        pairs = pairs.mapInArrow(combiner, pairs.schema)
+    dealt = pairs.repartition(parts, "key") if parts else pairs.repartition("key")
+    return dealt.sortWithinPartitions("key", *order).mapInArrow(run, schema)
+
+
+def map_records_udtf(rows: DataFrame, mapper: type, partition_by: list[str] | None = None, order_by: list[str] | None = None, name: str | None = None) -> DataFrame:
+    """A mapper as a Python table function over a whole table, for records that no expression gives.
+
+    ``mapper`` is a class with ``analyze`` (its result schema, from that of the table), ``eval(row)`` and, if it has one,
+    ``terminate()`` at the end of each partition. With ``partition_by`` rows of equal values go to one instance, by
+    ``order_by``; without it rows stay in their tasks' order and number.
+    """
+    function = F.udtf(mapper)
+    argument = rows.asTable()
+    if partition_by:
+        argument = argument.partitionBy(*partition_by)
+        if order_by:
+            argument = argument.orderBy(*order_by)
+    return function(argument)
+
+
 def map_with_final(df: DataFrame, mapper: Callable, final: Callable, schema: str) -> DataFrame:
     """A mapper over Arrow batches whose ``final()`` batches come after a partition's last; aggregate them again."""
 
@@ -54,6 +129,23 @@ def counters(df: DataFrame, group: str, **counts: Column) -> DataFrame:
     return one.select(F.inline(F.array(*(F.struct(F.lit(group).alias("group"), F.lit(n).alias("name"), F.col(n).alias("n")) for n in counts))))
 
 
+def observed(df: DataFrame, group: str, **counts: Column) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """``df`` to be written as usual, and a function that tells (group, name, n) of conditions once it has been.
+
+    The counts are taken by the job that writes the rows, as they pass: no second scan, and one row reaches the driver.
+    """
+    seen = Observation()
+    named = {f"c{i}": (name, condition) for i, (name, condition) in enumerate(counts.items())}
+    watched = df.observe(seen, *(F.count_if(condition).alias(c) for c, (_, condition) in named.items()))
+
+    def told() -> DataFrame:
+        found = seen.get
+        rows = [(group, name, found[c]) for c, (name, _) in named.items()]
+        return df.sparkSession.createDataFrame(rows, "group string, name string, n long")
+
+    return watched, told
+
+
 def count_by_key(df: DataFrame, key: str, where: Column | None = None) -> DataFrame:
     rows = df if where is None else df.filter(where)
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

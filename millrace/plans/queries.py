@@ -219,6 +219,19 @@ def b18_flatten_result(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.explode_outer(F.col("embedding").cast("array<double>")).alias("x"))
 
 
+@query("""WITH c AS (SELECT conv_id, turn, role, string_split(role || ' ' || left(text, 40), ' ') AS words FROM conversations),
+    g AS (SELECT conv_id, list(turn ORDER BY turn) AS turns, list(role ORDER BY turn) FILTER (WHERE turn > 0) AS later, list({'turn': turn, 'words': words} ORDER BY turn) AS said FROM c GROUP BY 1),
+    one AS (SELECT conv_id, unnest(turns) AS turns, unnest(later) AS later, unnest(said) AS said FROM g)
+    SELECT conv_id, turns AS "talk.turns", later AS "talk.later", said.turn AS "said.turn", unnest(said.words) AS "said.words" FROM one""")
+def b18_flatten_repeated(spark, sf):
+    """Conversations as one nested row each: two lists in a struct, one of them shorter, and a list of structs with lists."""
+    said = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.split(F.concat_ws(" ", "role", F.left("text", F.lit(40))), " ").alias("words"))
+    told = said.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "words"))).alias("t"))
+    later = F.transform(F.filter("t", lambda x: x["turn"] > 0), lambda x: x["role"])
+    nested = told.select("conv_id", F.struct(F.transform("t", lambda x: x["turn"]).alias("turns"), later.alias("later")).alias("talk"), F.transform("t", lambda x: F.struct(x["turn"].alias("turn"), x["words"].alias("words"))).alias("said"))
+    return col.flatten_repeated(nested)
+
+
 @query("SELECT split_part(l, chr(9), 1) AS key, arg_max(split_part(l, chr(9), 2), event_id) AS value FROM (SELECT event_id, CAST(user_id AS VARCHAR) || chr(9) || event_type AS l FROM events) GROUP BY 1")
 def b22_last_value(spark, sf):
     lines = table(spark, sf, "events").select("event_id", F.concat_ws("\t", F.col("user_id").cast("string"), "event_type").alias("line"))
@@ -586,6 +599,20 @@ def d16_json_parse(spark, sf):
     return table(spark, sf, "events").select("event_id", m["k"].alias("k"), F.size(m).cast("long").alias("keys"))
 
 
+@query("""SELECT event_id, [event_type, CAST(user_id AS VARCHAR), 'é"'] = [event_type, CAST(user_id AS VARCHAR), 'é"'] AS listed, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 3 END AS n,
+    CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS user_id, event_type AS first, CASE WHEN event_id % 3 = 1 THEN NULL ELSE 'k,u' END AS keys FROM events""")
+def d16_json_values(spark, sf):
+    """Lists, objects in order and tuples out of texts; texts of another kind give null."""
+    rows = table(spark, sf, "events")
+    k = F.col("event_id") % 3
+    made = F.to_json(F.array("event_type", F.col("user_id").cast("string"), F.lit('é"')))
+    listed = col.json_list(F.when(k == 0, F.col("props")).otherwise(made))
+    pair = F.concat(F.lit('("'), "event_type", F.lit('", '), F.when(k == 0, "x").otherwise(F.col("user_id").cast("string")), F.lit(")"))
+    values = col.json_dict(F.when(k == 1, made).otherwise(F.concat(F.lit('{"k": 1, "u": '), F.col("user_id").cast("string"), F.lit("}"))), "long")
+    pair = col.json_tuple(pair, "string", "long")
+    return rows.select("event_id", F.coalesce(listed == F.array("event_type", F.col("user_id").cast("string"), F.lit('é"')), F.lit(True)).alias("listed"), F.when(listed.isNotNull(), F.size(listed)).cast("int").alias("n"), pair["_2"].alias("user_id"), F.coalesce(pair["_1"], "event_type").alias("first"), F.array_join(F.map_keys(values), ",").alias("keys"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN NOT l_quantity < 40 AND NOT l_tax < 0.07 THEN 'quantity,tax' WHEN NOT l_quantity < 40 THEN 'quantity' ELSE 'tax' END AS errors
     FROM lineitem WHERE NOT (l_quantity < 40 AND l_tax < 0.07)""")
 def d17_validate(spark, sf):
@@ -628,6 +655,17 @@ def d21_suggestions(spark, sf):
     return col.suggestions(names, nation.select(F.col("n_name").alias("candidate"))).select("name", F.array_join("candidates", ",").alias("candidates"))
 
 
+NAMES_SQL = "SELECT DISTINCT p_name || ' ' || p_brand AS candidate FROM part"
+
+
+@query(f"""WITH k AS ({NAMES_SQL}), n AS (SELECT DISTINCT replace(candidate, 'r', 'rr') AS name FROM k)
+    SELECT name, candidate, levenshtein(name, candidate) AS distance FROM n JOIN k ON abs(length(name) - length(candidate)) <= 5 WHERE levenshtein(name, candidate) <= 5""")
+def d21_near_parts(spark, sf):
+    """Misspelt names and brands of parts against a register of them."""
+    known = table(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("candidate"))
+    return col.nearest_names(known.select(F.replace("candidate", F.lit("r"), F.lit("rr")).alias("name")), known)
+
+
 @query("SELECT event_id, 'env:test,k:' || json_extract_string(props, '$.k') AS tags FROM events")
 def d23_tags(spark, sf):
     return table(spark, sf, "events").select("event_id", F.array_join(col.tags(F.from_json("props", "map<string,string>"), ["env:test"]), ",").alias("tags"))
@@ -673,6 +711,56 @@ def e2_reduce_groups(spark, sf):
     return jobs.reduce_groups(pairs, kinds, "key long, kinds long")
 
 
+@query("""SELECT user_id AS key, count(*) AS gaps, round(max(gap), 4) AS longest, CAST(max(run) AS BIGINT) AS run FROM (SELECT *, count(*) OVER (PARTITION BY user_id, island) AS run
+    FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM (SELECT user_id, ts, event_id, value - lag(value) OVER w AS gap,
+      CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))) GROUP BY 1""")
+def e2_reduce_sorted(spark, sf):
+    """Of each user's events in order: how many, the greatest rise of the value, and the longest run of one type."""
+    import pyarrow as pa
+
+    def reducer(key, group):
+        n, longest, run, best, value, kind = 0, None, 0, 0, None, None
+        for batch in group:
+            for v, k in zip(batch["value"].to_pylist(), batch["event_type"].to_pylist(), strict=True):
+                if value is not None and v is not None:
+                    longest = v - value if longest is None else max(longest, v - value)
+                run = run + 1 if n and k == kind else 1
+                n, best, value, kind = n + 1, max(best, run), v, k
+        row = {"key": key, "gaps": n, "longest": longest, "run": best}
+        yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("key", pa.int64()), ("gaps", pa.int64()), ("longest", pa.float64()), ("run", pa.int64())]))
+
+    rows = table(spark, sf, "events").withColumnRenamed("user_id", "key").select("key", "ts", "event_id", "value", "event_type")
+    out = jobs.reduce_sorted(rows, reducer, "key long, gaps long, longest double, run long", "ts", "event_id")
+    return out.withColumn("longest", F.round("longest", 4))
+
+
+@query("""SELECT conv_id, unnest(CASE WHEN turn = first THEN [turn] ELSE [turn, before] END) AS turn, unnest(CASE WHEN turn = first THEN ['opens'] ELSE ['answers', 'is answered'] END) AS record
+    FROM (SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id) AS first, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)""")
+def e1_map_table(spark, sf):
+    """Records that hang on the row before: a table function by conversation, in the order of its turns."""
+    from pyspark.sql import types as T
+    from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
+
+    class Turns:
+        def __init__(self):
+            self.before = None
+
+        @staticmethod
+        def analyze(rows: AnalyzeArgument) -> AnalyzeResult:
+            kept = [T.StructField(n, rows.dataType[n].dataType) for n in ("conv_id", "turn")]
+            return AnalyzeResult(schema=T.StructType([*kept, T.StructField("record", T.StringType())]))
+
+        def eval(self, row):
+            if self.before is None:
+                yield row["conv_id"], row["turn"], "opens"
+            else:
+                yield row["conv_id"], row["turn"], "answers"
+                yield row["conv_id"], self.before, "is answered"
+            self.before = row["turn"]
+
+    return jobs.map_records_udtf(table(spark, sf, "conversations").select("conv_id", "turn"), Turns, ["conv_id"], ["turn"])
+
+
 @query("SELECT sum(length(text)) AS points, count(*) AS rows FROM conversations")
 def e4_final_hooks(spark, sf):
     import pyarrow as pa
@@ -707,6 +795,14 @@ def e7_counters(spark, sf):
     return jobs.counters(table(spark, sf, "lineitem"), "lines", returned=F.col("l_returnflag") == "R", late=F.col("l_shipdate") > F.lit("2000-01-01").cast("timestamp_ntz"))
 
 
+@query("SELECT 'orders' AS \"group\", unnest(['written', 'open', 'dear']) AS name, unnest([count(*), count(*) FILTER (WHERE o_orderstatus = 'O'), count(*) FILTER (WHERE o_totalprice > 100000)]) AS n FROM orders")
+def e7_counters_of_write(spark, sf):
+    """Counters of a job that writes its rows, taken as they are written."""
+    rows, told = jobs.observed(table(spark, sf, "orders"), "orders", written=F.lit(True), open=F.col("o_orderstatus") == "O", dear=F.col("o_totalprice") > 100_000)
+    rows.write.parquet(scratch_path(spark, "e7"))
+    return told()
+
+
 @query("SELECT event_id, user_id FROM events")
 def e9_group_and_sort(spark, sf):
     return jobs.grouped_and_sorted(table(spark, sf, "events").select("event_id", "user_id"), "user_id")
