@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from .common import as_bytes, mix64, multipliers, row_key, written
 
 LENGTH = 100
-#: Bytes of text that are hashed at a time, whatever the length of a text.
-SEGMENT = 2 << 20
+#: Bytes of text that are hashed at a time, whatever the length of a text, and rows that are compared before they are dealt.
+SEGMENT, DEAL_ROWS = 1 << 19, 1 << 18
 #: Rows of a bucket that are refined in one task, and bytes that are refined at a time.
-BUCKET_ROWS, REFINE_BYTES = 8_192, 1 << 20
-#: Texts whose q-grams are counted to find frequent ones, and how many may be frequent. Frequent q-grams are taken only
+BUCKET_ROWS, REFINE_BYTES = 2_048, 1 << 18
+#: Rows of a batch that are taken out of Arrow at a time.
+SLICE = 256
+#: Texts whose q-grams are counted to find frequent ones (twice as many at most), and how many may be frequent. Frequent q-grams are taken only
 #: where a window has no other; this moves rows between buckets and changes no result.
 SAMPLE_TEXTS, MOST_FREQUENT = 20_000, 2_048
 _LEAST_SEEN = 32
@@ -141,6 +143,12 @@ def _laid(held, which, offset):
     return np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(p) for p in held]), np.array(which), np.array(offset, np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 _ROWS = "part long, bucket long, content long, doc long, row long, first int, windows int"
 
 
@@ -174,27 +182,35 @@ def _told(bucket, content, doc, row, place, windows, again) -> pa.RecordBatch:
 
 
 def _deal(length: int, q: int, frequent: np.ndarray):
-    """Rows of windows by bucket. Of rows of one bucket and the same bytes in a segment only the first is told with its
+    """Rows of windows by bucket. Of rows of one bucket and the same bytes that meet here only the first is told with its
     bucket; the others are repeated, and told so by a null bucket."""
 
+    def told(parts: list) -> pa.RecordBatch:
+        bucket, content, doc, row, place, windows = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((place, row, doc, content, bucket))
+        bucket, content, doc, row, place, windows = (x[order] for x in (bucket, content, doc, row, place, windows))
+        again = np.zeros(len(order), bool)
+        again[1:] = (bucket[1:] == bucket[:-1]) & (content[1:] == content[:-1])
+        head = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
+        # A repeated row of documents is one document: the same place isn't its own repeat.
+        again &= (doc != doc[head]) | (row != row[head]) | (place != place[head])
+        return _told(bucket, content, doc, row, place, windows, again)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets(length, q, frequent)
-        for batch in batches:
+        buckets, parts, n = Buckets(length, q, frequent), [], 0
+        for batch in _slices(batches):
             docs, rows = batch["doc"].fill_null(2**63 - 1).to_numpy(), batch["row"].to_numpy()
             for text, ends, which, offset in _segments(as_bytes(batch["text"]), _places(batch), length):
                 bucket, content, first, windows = buckets.rows(text, ends)
                 piece = np.searchsorted(ends, first, side="right")
-                starts = np.concatenate([[0], ends[:-1]])
-                place = first - starts[piece] + offset[piece]
-                doc, row = docs[which[piece]], rows[which[piece]]
-                order = np.lexsort((place, row, doc, content, bucket))
-                bucket, content, doc, row, place, windows = (x[order] for x in (bucket, content, doc, row, place, windows))
-                again = np.zeros(len(order), bool)
-                again[1:] = (bucket[1:] == bucket[:-1]) & (content[1:] == content[:-1])
-                head = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
-                # A repeated row of documents is one document: the same place isn't its own repeat.
-                again &= (doc != doc[head]) | (row != row[head]) | (place != place[head])
-                yield _told(bucket, content, doc, row, place, windows, again)
+                place = first - np.concatenate([[0], ends[:-1]])[piece] + offset[piece]
+                parts.append((bucket, content, docs[which[piece]], rows[which[piece]], place, windows))
+                n += len(bucket)
+                if n >= DEAL_ROWS:
+                    yield told(parts)
+                    parts, n = [], 0
+        if parts:
+            yield told(parts)
 
     return run
 
@@ -317,7 +333,7 @@ def _refine(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], [], []]
         size, last = 0, None
-        for batch in batches:
+        for batch in _slices(batches):
             for values in zip(*(batch[c].to_pylist() for c in ("bucket", "doc", "row", "first", "text")), strict=True):
                 if values[0] != last and size >= REFINE_BYTES:
                     yield found(*held)
@@ -343,7 +359,7 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-        for batch in batches:
+        for batch in _slices(batches):
             for doc, row, text, wanted in zip(batch["doc"].to_pylist(), batch["row"].to_pylist(), as_bytes(batch["text"]), batch["wanted"].to_pylist(), strict=True):
                 for x in wanted:
                     cut = text[x["first"] : x["first"] + x["windows"] + length - 1]
@@ -358,16 +374,26 @@ def _cut(length: int):
 
 
 def _frequent(source: DataFrame, length: int, q: int) -> np.ndarray:
-    """Hashes of q-grams that are taken for many windows in a sample of at most SAMPLE_TEXTS texts or so, by a hash of the row."""
+    """Hashes of q-grams that are taken for many windows in a sample of texts by a hash of the row."""
     texts = source.select("row").count()
     sample = source.filter(F.pmod(F.col("row"), F.lit(max(1, texts // SAMPLE_TEXTS))) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets(length, q, np.zeros(0, np.uint64))
-        for batch in batches:
+        buckets, seen, size = Buckets(length, q, np.zeros(0, np.uint64)), [], 0
+
+        def told() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(seen or [np.zeros(0, np.uint64)]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["bucket", "n"])
+
+        for batch in _slices(batches):
             for text, ends, _, _ in _segments(as_bytes(batch["text"]), [None] * batch.num_rows, length):
-                h, n = np.unique(buckets.rows(text, ends)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["bucket", "n"])
+                seen.append(buckets.rows(text, ends)[0])
+                size += len(seen[-1])
+                if size >= DEAL_ROWS:
+                    yield told()
+                    seen.clear()
+                    size = 0
+        yield told()
 
     seen = sample.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     top = seen.filter(F.col("n") >= _LEAST_SEEN).orderBy(F.desc("n"), "bucket").limit(MOST_FREQUENT).collect()
@@ -427,7 +453,7 @@ def _passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _drop(length: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, removed, runs, digests, kept = [], [], [], [], []
             for text, spans in zip(as_bytes(batch["text"]), batch["spans"].to_pylist(), strict=True):
                 rest, end, n = [], 0, 0
