@@ -196,13 +196,33 @@ def partition_key(columns: list[str]) -> Column:
     return F.concat_ws("/", *(F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in sorted(columns)))
 
 
-def partitions_present(requested: DataFrame, existing: DataFrame, columns: list[str]) -> DataFrame:
-    """Requested partitions with key and present, whatever the order of the columns on either side."""
-    there = existing.select(partition_key(columns).alias("key")).distinct().withColumn("__here", F.lit(True))
+def partitions_present(requested: DataFrame, existing: DataFrame | None, columns: list[str], missing_table: str = "absent") -> DataFrame:
+    """Requested partitions with key and present, whatever the order of the columns on either side.
+
+    Without a table (``existing`` is None) no partition is there, or with ``missing_table="error"`` that is an error.
+    """
     asked = requested.withColumn("key", partition_key(columns))
+    if existing is None:
+        if missing_table == "error":
+            raise LookupError("the table of the partitions isn't there")
+        return asked.withColumn("present", F.lit(False))
+    there = existing.select(partition_key(columns).alias("key")).distinct().withColumn("__here", F.lit(True))
     return asked.join(there, "key", "left").withColumn("present", F.coalesce("__here", F.lit(False))).drop("__here")
 
 
+def table_partitions(spark: SparkSession, table: str) -> DataFrame | None:
+    """The partitions of a catalog's table, a text column for each partition column; None if there is no such table.
+
+    They come from the catalog alone: no file is listed or read.
+    """
+    if not spark.catalog.tableExists(table):
+        return None
+    columns = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    shown = spark.sql(f"SHOW PARTITIONS {table}")
+    value = lambda i: F.try_element_at(F.split(F.get(F.split("partition", "/"), i), "=", 2), F.lit(2))
+    return shown.select(*(F.url_decode(value(i)).alias(c) for i, c in enumerate(columns)))
+
+
 def partition_rows(requested: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     """Rows of each requested partition and whether there are any."""
     counts = table.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows"))

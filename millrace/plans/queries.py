@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,9 +134,7 @@ def a5_interval_source(spark, sf):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'events' AS _index, 'event' AS _type FROM events")
 def a12_json_documents(spark, sf):
-    rows = table(spark, sf, "events")
-    doc = F.from_json("props", "k long, _index string, _type string")
-    return rows.select("event_id", doc["k"].alias("k"), F.coalesce(doc["_index"], F.lit("events")).alias("_index"), F.coalesce(doc["_type"], F.lit("event")).alias("_type"))
+    return readers.documents(table(spark, sf, "events"), "k long", "events", "event", "props", keep=("event_id",))
 
 
 @query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1")
@@ -143,6 +142,83 @@ def a13_json_by_paths(spark, sf):
     return jobs.count_by_key(readers.json_by_paths(table(spark, sf, "events"), {"k": "$.k"}, "props"), "k")
 
 
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') AS text FROM events")
+def a13_typed_paths(spark, sf):
+    """A number and its text by two paths of one parsed variant."""
+    return readers.json_by_paths(table(spark, sf, "events"), {"k": ("$.k", "long"), "text": "$.k"}, "props", keep=("event_id",))
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 2 = 0 THEN user_id END AS "who.user", CASE WHEN event_id % 2 = 0 THEN event_type END AS "who.types" FROM events
+    UNION ALL SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT), user_id, 'x' FROM events WHERE event_id % 2 = 0""")
+def a17_found_schema(spark, sf):
+    """Nested JSON of rows that lack fields: its schema is found by an aggregation, then its lists are unfolded."""
+    rows = table(spark, sf, "events")
+    who = F.when(F.col("event_id") % 2 == 0, F.struct(F.col("user_id").alias("user"), F.array("event_type", F.lit("x")).alias("types")))
+    lines = rows.select("event_id", F.to_json(F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"), who.alias("who"))).alias("value"))
+    return col.flatten_repeated(readers.found_documents(lines, keep=("event_id",)))
+
+
+@query("SELECT event_id, CAST(ts AS DATE) AS day FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-05' AND CAST(ts AS DATE) < DATE '2024-01-19'")
+def a5_interval_paths(spark, sf):
+    """The events as a folder a day, of which an interval's are read by their paths."""
+    from datetime import date
+
+    folder = scratch_path(spark, "a5")
+    rows = table(spark, sf, "events").select("event_id", F.col("ts").cast("date").alias("day"))
+    rows.withColumn("dt", F.col("day")).repartition("dt").write.partitionBy("dt").parquet(folder)
+    return readers.read_interval(spark, folder + "/dt=%Y-%m-%d", date(2024, 1, 5), date(2024, 1, 19)).select("event_id", "day")
+
+
+def _listing(spark, sf, name: str) -> str:
+    """The events as text files, one a day and type; and a flag in each folder but that of errors."""
+    folder = scratch_path(spark, name)
+    rows = table(spark, sf, "events").select(F.concat_ws("\t", "event_id", "user_id", "value").alias("value"), "event_type", F.dayofmonth("ts").alias("day"))
+    rows.repartition("event_type", "day").write.partitionBy("event_type", "day").option("compression", "gzip").text(folder)
+    return folder
+
+
+@query("SELECT event_id, user_id, value, event_type, CAST(day(ts) AS INTEGER) AS day FROM events")
+def a1_delimited_files(spark, sf):
+    """The events written as gzipped lines and read again, with the partitions that their paths tell."""
+    folder = _listing(spark, sf, "a1")
+    read = readers.read_delimited(spark, folder, "event_id long, user_id long, value double", keep=("event_type", "day"))
+    return read.select("event_id", "user_id", "value", "event_type", F.col("day").cast("int").alias("day"))
+
+
+@query("SELECT event_type AS dataset, count(DISTINCT day(ts)) AS directories, count(DISTINCT day(ts)) AS files, count(DISTINCT day(ts)) >= 29 AS reached FROM events GROUP BY 1")
+def a9_dataset_usage(spark, sf):
+    """Folders and files of each type's events, and whether they are as many as expected."""
+    files = readers.list_files(spark, _listing(spark, sf, "a9"), glob="*.gz")
+    usage = readers.dataset_usage(files, F.regexp_extract("path", "event_type=([^/]*)", 1))
+    return readers.parts_reached(usage, 29).select("dataset", "directories", "files", "reached")
+
+
+@query("SELECT p_partkey, p_name, p_type, p_size FROM part WHERE p_partkey % 50 <> 7")
+def a14_reject_limit(spark, sf):
+    """Parts as delimited lines, some of which have a size that is no number: read with a limit of bad lines."""
+    folder = scratch_path(spark, "a14")
+    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", F.when(F.col("p_partkey") % 50 == 7, F.lit("large")).otherwise(F.col("p_size").cast("string")).alias("p_size"))
+    part.write.csv(folder)
+    return readers.load_files(spark, folder, "csv", "p_partkey long, p_name string, p_type string, p_size int", max_bad=part.filter("p_size = 'large'").count())
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def b20_extract(spark, sf):
+    """Customers extracted as gzipped bar-separated lines with a header, and read again."""
+    folder = scratch_path(spark, "b20")
+    sinks.extract(table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), folder, sep="|", compression="gzip")
+    return spark.read.schema("c_custkey long, c_name string, c_acctbal double").csv(folder, header=True, sep="|")
+
+
+@query("SELECT l_suppkey, count(*) AS rows, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1")
+def b21_unload(spark, sf):
+    """Lines unloaded as quoted gzipped fields, and summed from the files."""
+    folder = scratch_path(spark, "b21")
+    sinks.unload(table(spark, sf, "lineitem").select("l_suppkey", "l_quantity"), folder)
+    read = spark.read.schema("l_suppkey long, l_quantity double").csv(folder, sep="|")
+    return read.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
 UPDATES = "(SELECT CAST(o_orderkey AS VARCHAR) AS update_id, o_orderdate AS inserted, o_orderpriority AS target_table FROM orders)"
 
 
@@ -206,11 +282,35 @@ def b10_prune_then_load(spark, sf):
     return markers.prune_then_load(old, new, "o_orderdate", since).select("o_orderkey", "o_totalprice")
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1999-01-01' THEN o_totalprice ELSE 0.0 END AS o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders")
+def b10_refresh_partitions(spark, sf):
+    """Orders by year, of which the last years' folders are replaced."""
+    folder = scratch_path(spark, "b10")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"))
+    orders.write.partitionBy("year").parquet(folder)
+    sinks.replace_partitions(orders.filter("year >= 1999").withColumn("o_totalprice", F.lit(0.0)), folder, "year")
+    return spark.read.parquet(folder).select("o_orderkey", "o_totalprice", "year")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN (SELECT l_linestatus FROM lineitem WHERE l_quantity >= 50)")
+def f9_partitions_read(spark, sf):
+    """Orders by status, of which only those are read that another table lists (pruned as the query runs)."""
+    folder = scratch_path(spark, "f9")
+    table(spark, sf, "orders").select("o_orderkey", "o_orderstatus").write.partitionBy("o_orderstatus").parquet(folder)
+    ids = table(spark, sf, "lineitem").filter("l_quantity >= 50").select(F.col("l_linestatus").alias("o_orderstatus")).distinct()
+    return jobs.second_read(spark.read.parquet(folder), ids, "o_orderstatus").select("o_orderkey", "o_orderstatus")
+
+
 @query("SELECT lower(c_mktsegment) AS segment, count(*) AS n FROM customer WHERE c_acctbal > 100 GROUP BY 1")
 def b16_query(spark, sf):
     path = scratch_path(spark, "b16")
+
+    @F.pandas_udf("string")
+    def small_name(names: pd.Series) -> pd.Series:
+        return names.str.lower()
+
     text = f"SELECT small_name(c_mktsegment) AS segment, count(*) AS n FROM parquet.`{sf}/customer.parquet` WHERE c_acctbal > :least GROUP BY 1"
-    sinks.query_to_table(spark, text, path, {"least": 100}, {"small_name": lambda name: name and name.lower()})
+    sinks.query_to_table(spark, text, path, {"least": 100}, {"small_name": small_name})
     return spark.read.parquet(path)
 
 
@@ -251,6 +351,13 @@ def b25_ids_lacking(spark, sf):
     return markers.ids_lacking(asked, table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "o_totalprice")
 
 
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-06-01')")
+def b25_ids_without_late_orders(spark, sf):
+    asked = table(spark, sf, "customer").select("c_custkey")
+    late = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.when(BETWEEN("o_orderdate", "2000-06-01", "2100-01-01"), F.col("o_totalprice")).alias("late"))
+    return markers.ids_lacking(asked, late, "c_custkey", "late")
+
+
 @query("SELECT count(*) AS rows, count(*) = 25 AS ready FROM nation")
 def b26_count_gate(spark, sf):
     return markers.count_gate(table(spark, sf, "nation"), 25)
@@ -419,6 +526,17 @@ def c22_external_readiness(spark, sf):
     return ranges.external_readiness(asked, day_files(spark, sf), tables, partitions).select("kind", "target", "ready")
 
 
+@query("""SELECT 'table' AS kind, name AS target, name IN (SELECT r_name FROM region) AS ready FROM (SELECT DISTINCT r_name AS name FROM region UNION SELECT n_name FROM nation)
+    UNION ALL SELECT 'partition', 'p=' || p_size, p_size IN (SELECT p_size FROM part WHERE p_brand = 'Brand#1') FROM (SELECT DISTINCT p_size FROM part)""")
+def c22_tables_and_partitions(spark, sf):
+    """Tables and partitions that are there, and others."""
+    regions, part = table(spark, sf, "region").select(F.col("r_name").alias("target")), table(spark, sf, "part")
+    named = lambda rows: rows.select(F.concat(F.lit("p="), F.col("p_size").cast("string")).alias("target")).distinct()
+    asked = regions.unionByName(table(spark, sf, "nation").select(F.col("n_name").alias("target"))).distinct().select(F.lit("table").alias("kind"), "target")
+    asked = asked.unionByName(named(part).select(F.lit("partition").alias("kind"), "target"))
+    return ranges.external_readiness(asked, spark.createDataFrame([], "path string"), regions, named(part.filter("p_brand = 'Brand#1'"))).select("kind", "target", "ready")
+
+
 ASKED = f"(SELECT DISTINCT p.k, CAST(g.ts AS DATE) AS day FROM ({DAY_GRID}) g CROSS JOIN {PRIORITIES} p)"
 
 
@@ -1000,6 +1118,11 @@ def g19_search(spark, sf):
     return runs.search(table(spark, sf, "part"), "p_name", ["A", "1"]).select("p_partkey", "p_name")
 
 
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'r') AND contains(lower(p_name), 'wid')")
+def g19_search_terms(spark, sf):
+    return runs.search(table(spark, sf, "part"), "p_name", ["R", "Wid"]).select("p_partkey", "p_name")
+
+
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE contains(CAST(o_orderkey AS VARCHAR), '7') GROUP BY 1")
 def g20_search_by_status(spark, sf):
     return runs.search_by_status(table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status")), "id", "7")

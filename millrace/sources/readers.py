@@ -9,15 +9,16 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def read_delimited(spark: SparkSession, paths, schema: str, sep: str = "\t") -> DataFrame:
-    """Lines split on a separator of any length: no quotes, no trimming, fields by place."""
-    names = [f.name for f in spark.createDataFrame([], schema).schema.fields]
+def read_delimited(spark: SparkSession, paths, schema: str, sep: str = "\t", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lines split on a separator of any length: no quotes, no trimming, fields by place. ``keep`` are partition columns
+    that the paths tell."""
+    fields = T._parse_datatype_string(schema).fields
     parts = F.split("value", "\\Q" + sep + "\\E", -1)
     df = spark.read.option("lineSep", "\n").text(paths)
-    kinds = spark.createDataFrame([], schema).schema
-    return df.select(*(F.get(parts, i).try_cast(kinds[n].dataType).alias(n) for i, n in enumerate(names)))
+    return df.select(*(F.get(parts, i).try_cast(f.dataType).alias(f.name) for i, f in enumerate(fields)), *keep)
 
 
 def split_fields(text: Column, *names: str) -> list[Column]:
@@ -127,14 +128,46 @@ def layout_matches(files: DataFrame, layouts: list[str]) -> DataFrame:
     return counted.orderBy(F.desc("n"), "i").select("layout", "n")
 
 
-def documents(lines: DataFrame, schema: str, index: str, doc_type: str, text: str = "value") -> DataFrame:
-    """JSON documents with _index and _type filled in only where they lack them."""
-    doc = lines.select(F.from_json(text, f"{schema}, _index string, _type string").alias("d")).select("d.*")
+def documents(lines: DataFrame, schema: str, index: str, doc_type: str, text: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """JSON documents with _index and _type filled in only where they lack them; ``keep`` are columns of the lines that stay."""
+    doc = lines.select(*keep, F.from_json(text, f"{schema}, _index string, _type string").alias("d")).select(*keep, "d.*")
     return doc.withColumn("_index", F.coalesce("_index", F.lit(index))).withColumn("_type", F.coalesce("_type", F.lit(doc_type)))
 
 
-def json_by_paths(lines: DataFrame, paths: dict[str, str], text: str = "value") -> DataFrame:
-    return lines.select(*(F.get_json_object(text, p).alias(n) for n, p in paths.items()))
+def json_by_paths(lines: DataFrame, paths: dict[str, str | tuple[str, str]], text: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A column for each path of JSON texts, as text or as the type given with it; null where there is none of the kind.
+
+    A text is parsed once, into a variant, whatever the number of paths. Texts that are no JSON have nulls.
+    """
+    asked = {n: (p, "string") if isinstance(p, str) else p for n, p in paths.items()}
+    parsed = lines.select(*keep, F.try_parse_json(text).alias("__v"))
+    return parsed.select(*keep, *(F.try_variant_get("__v", p, kind).alias(n) for n, (p, kind) in asked.items()))
+
+
+def _filled(kind: T.DataType) -> T.DataType:
+    """A type whose unknown parts, those that are null in all texts, are texts."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _filled(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_filled(kind.elementType))
+    return T.StringType() if isinstance(kind, T.NullType) else kind
+
+
+def found_schema(lines: DataFrame, text: str = "value") -> T.StructType:
+    """The schema that all JSON objects of a table have in common: every field of any of them, with the type that holds
+    all its values. One aggregation, of which one row reaches the driver."""
+    row = lines.filter(F.ltrim(text).startswith("{")).agg(F.schema_of_variant_agg(F.try_parse_json(text)).alias("kind")).first()
+    kind = re.sub(r"\bOBJECT<", "STRUCT<", row.kind or "")
+    if not kind.startswith("STRUCT<"):
+        raise ValueError(f"no JSON objects of one kind: {row.kind}")
+    return _filled(T._parse_datatype_string(kind))
+
+
+def found_documents(lines: DataFrame, text: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """JSON objects as columns by the schema that is found in them, nested ones as structs and lists."""
+    schema = found_schema(lines, text)
+    typed = lines.select(*keep, F.try_variant_get(F.try_parse_json(text), "$", schema.simpleString()).alias("__d"))
+    return typed.select(*keep, *(F.col("__d").getField(f.name).alias(f.name) for f in schema.fields))
 
 
 def _with_heads(spark: SparkSession, path, encoding: str) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,27 +14,37 @@ from ..operators.markers import last_value_per_key
 from .readers import _path, exists
 
 
-def publish(df: DataFrame, path: str, form: str = "parquet", overwrite: bool = False, **options) -> None:
+def _take_place(spark: SparkSession, staged: str, path: str, overwrite: bool) -> None:
+    """Rename a staged folder to its destination. What is overwritten is renamed aside first, and deleted at last."""
+    fs, stage = _path(spark, staged)
+    target, aside = _path(spark, path)[1], _path(spark, f"{path.rstrip('/')}-old-{uuid.uuid4().hex}")[1]
+    if fs.exists(target):
+        if not overwrite:
+            raise FileExistsError(path)
+        if not fs.rename(target, aside):
+            raise OSError(f"could not move {path} aside")
+    if not fs.rename(stage, target):
+        if fs.exists(aside):
+            fs.rename(aside, target)
+        raise OSError(f"could not publish {path}")
+    fs.delete(aside, True)
+
+
+def publish(df: DataFrame, path: str, form: str = "parquet", overwrite: bool = False, rules: Mapping[str, Column] | None = None, **options) -> None:
     """Write beside the destination and rename once complete; a failure leaves nothing behind.
 
-    What is overwritten is renamed aside first and deleted once the new rows are in its place.
+    With ``rules`` the staged rows are read back and checked first, and any violation is a failure.
     """
     spark = df.sparkSession
     staged = f"{path.rstrip('/')}-tmp-{uuid.uuid4().hex}"
     fs, stage = _path(spark, staged)
-    target, aside = _path(spark, path)[1], _path(spark, f"{path.rstrip('/')}-old-{uuid.uuid4().hex}")[1]
     try:
         df.write.options(**options).format(form).save(staged)
-        if fs.exists(target):
-            if not overwrite:
-                raise FileExistsError(path)
-            if not fs.rename(target, aside):
-                raise OSError(f"could not move {path} aside")
-        if not fs.rename(stage, target):
-            if fs.exists(aside):
-                fs.rename(aside, target)
-            raise OSError(f"could not publish {path}")
-        fs.delete(aside, True)
+        if rules:
+            found = {k: v for k, v in violations(spark.read.schema(df.schema).options(**options).format(form).load(staged), rules).first().asDict().items() if v}
+            if found:
+                raise ValueError(f"rows break rules: {found}")
+        _take_place(spark, staged, path, overwrite)
     finally:
         if fs.exists(stage):
             fs.delete(stage, True)
@@ -45,19 +56,13 @@ def violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 
 
 def validate_and_publish(df: DataFrame, path: str, rules: Mapping[str, Column], **options) -> None:
-    """Stage, check the staged rows, then publish; any violation cleans up and fails."""
-    spark = df.sparkSession
-    staged = f"{path.rstrip('/')}-check-{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    fs, stage = _path(spark, staged)
-    found = {k: v for k, v in violations(spark.read.parquet(staged), rules).first().asDict().items() if v}
-    if found:
-        fs.delete(stage, True)
-        raise ValueError(f"rows break rules: {found}")
-    try:
-        publish(spark.read.parquet(staged), path, **options)
-    finally:
-        fs.delete(stage, True)
+    """Stage, check the staged rows, then rename them into place: they are written once. Any violation cleans up and fails."""
+    publish(df, path, rules=rules, **options)
+
+
+def replace_partitions(new: DataFrame, path: str, *partition: str) -> None:
+    """Put new rows in the place of those of the partitions that they have; other partitions aren't touched or read."""
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
 def write_disposed(df: DataFrame, path: str, write: str = "EMPTY", create: str = "CREATE_IF_NEEDED") -> None:
@@ -187,21 +192,40 @@ def toplist_to_database(counts: DataFrame, key: str, n: int, date_from: str, dat
     return jdbc_idempotent_load(top.toDF(*names), url, table, driver, f"{table}-{date_from}-{date_to}", columns)
 
 
-def load_documents(docs: DataFrame, folder: str, markers: str, update_id: str, index: str, doc_type: str, purge: bool = False, chunk: int = 2000) -> bool:
+def shaped_documents(docs: DataFrame, index: str, doc_type: str, mapping: Mapping[str, str] | None = None) -> DataFrame:
+    """Documents with _index and _type where they lack them, and the types that a mapping gives its fields.
+
+    A value that isn't of its field's type becomes null; fields that the mapping doesn't have stay as they are.
+    """
+    named = docs
+    for name, value in (("_index", index), ("_type", doc_type)):
+        named = named.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in docs.columns else F.lit(value))
+    kinds = mapping or {}
+    return named.select(*(F.col(f"`{c}`").try_cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in named.columns))
+
+
+def load_documents(docs: DataFrame, folder: str, markers: str, update_id: str, index: str, doc_type: str, purge: bool = False, chunk: int = 2000, mapping: Mapping[str, str] | None = None) -> bool:
     """JSON documents with _index and _type, files of at most ``chunk`` of them, unless the update is marked.
 
-    ``purge`` removes what other updates left in the folder. Null fields are left out of a document. Whether it was loaded.
+    Documents are written out of sight and renamed into the folder once they are whole. ``purge`` removes what other
+    updates left in the folder, after that: a load that fails leaves them readable. Null fields are left out of a
+    document. Whether it was loaded.
     """
     spark = docs.sparkSession
     if exists(spark, markers) and not spark.read.parquet(markers).filter(F.col("update_id") == update_id).isEmpty():
         return False
-    fs, target = _path(spark, folder)
-    if purge and fs.exists(target):
-        fs.delete(target, True)
-    named = docs
-    for name, value in (("_index", index), ("_type", doc_type)):
-        named = named.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in docs.columns else F.lit(value))
-    named.write.mode("overwrite").option("maxRecordsPerFile", chunk).json(f"{folder.rstrip('/')}/update_id={update_id}")
+    staged = f"{folder.rstrip('/')}/_staged-{uuid.uuid4().hex}"
+    fs, stage = _path(spark, staged)
+    try:
+        shaped_documents(docs, index, doc_type, mapping).write.option("maxRecordsPerFile", chunk).json(staged)
+        _take_place(spark, staged, f"{folder.rstrip('/')}/update_id={update_id}", overwrite=True)
+    finally:
+        if fs.exists(stage):
+            fs.delete(stage, True)
+    for status in fs.listStatus(_path(spark, folder)[1]) if purge else ():
+        name = status.getPath().getName()
+        if not name.startswith("_") and name != f"update_id={update_id}":
+            fs.delete(status.getPath(), True)
     mark_update(spark, markers, update_id, folder)
     return True
 
@@ -214,16 +238,24 @@ def add_metadata(df: DataFrame, columns: Mapping[str, tuple[str, Column]]) -> Da
     return df
 
 
+def _of_texts(f: Callable[[str | None], str | None]):
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(f)
+
+    return run
+
+
 def query_to_table(spark: SparkSession, sql: str, path: str, args: Mapping | None = None, functions: Mapping[str, object] | None = None, write: str = "TRUNCATE", markers: str | None = None, update_id: str | None = None) -> bool:
     """Run a query with named variables and functions of one's own, and store its rows; whether it was run.
 
-    Functions are Spark's user-defined functions (such as of ``pandas_udf``), or plain ones, which get Arrow batches
-    and give texts. With ``markers`` an update is run and marked once.
+    Functions are Spark's user-defined functions, such as of ``pandas_udf``, which get whole batches; or plain ones of one
+    text, which are called for each value of a batch. With ``markers`` an update is run and marked once.
     """
     if markers and exists(spark, markers) and not spark.read.parquet(markers).filter(F.col("update_id") == update_id).isEmpty():
         return False
     for name, f in (functions or {}).items():
-        spark.udf.register(name, f if hasattr(f, "evalType") else F.udf(f, "string", useArrow=True))
+        spark.udf.register(name, f if hasattr(f, "evalType") else _of_texts(f))
     write_disposed(spark.sql(sql, args=dict(args or {})), path, write)
     if markers:
         mark_update(spark, markers, update_id, path)
