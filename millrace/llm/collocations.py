@@ -6,9 +6,11 @@ with it; the distinct chunks are the dictionary, and how often each occurs in th
 counted in distinct chunks only, each times the chunk's frequency. One that starts in the words that a chunk shares with
 the next is left to the next one, where it is whole, so that every occurrence counts once.
 
-Words are counted first. Pairs of frequent words are then summed by hash, and in a last pass the phrases all of whose
-pairs are frequent are counted by their text. What tasks are told of frequent words and pairs is a filter of fixed size
-that never misses one, so that the counts are exact.
+Words are counted first. Pairs of frequent words are then summed by hash. In a last pass each word that starts a frequent
+pair tells one stretch, as long as all its pairs are frequent; a task tells those that begin no longer one of its own,
+with how often each of their beginnings ends there. Stretches are summed by their text, and sorted by their words they
+give the counts of all their beginnings. What tasks are told of frequent words and pairs is a filter of fixed
+size that never misses one, so that the counts are exact.
 """
 
 from __future__ import annotations
@@ -61,15 +63,17 @@ def combined(h: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
-def chunks_of(pieces: list[list[bytes]], hashes: Hashes, trigger: int = TRIGGER) -> Iterator[tuple[bytes, bool]]:
-    """(words, whether the piece ends there) of each chunk; pieces too short for a cut are one."""
+#: What stands at the end of a chunk whose piece goes on.
+_ON = b"\n"
+
+
+def chunks_of(pieces: list[list[bytes]], hashes: Hashes, trigger: int = TRIGGER) -> list[bytes]:
+    """The words of each chunk, with _ON behind them if the piece goes on; pieces too short for a cut are one."""
     least = 2 * OVERLAP + 1
+    found = [b" ".join(p) for p in pieces if len(p) < least]
     long = [p for p in pieces if len(p) >= least]
-    for p in pieces:
-        if len(p) < least:
-            yield b" ".join(p), True
     if not long:
-        return
+        return found
     ends = np.cumsum([len(p) for p in long])
     cut = combined(hashes.of([w for p in long for w in p]), OVERLAP) % np.uint64(trigger) == 0
     places = np.flatnonzero(cut)
@@ -79,25 +83,28 @@ def chunks_of(pieces: list[list[bytes]], hashes: Hashes, trigger: int = TRIGGER)
         start = 0
         for at in (places[lo:hi] - first).tolist():
             if at - start >= OVERLAP:
-                yield b" ".join(p[start : at + OVERLAP]), False
+                found.append(b" ".join(p[start : at + OVERLAP]) + _ON)
                 start = at
-        yield b" ".join(p[start:]), True
+        found.append(b" ".join(p[start:]))
+    return found
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = Hashes()
 
     def told(found: dict[str, Counter]) -> pa.RecordBatch:
-        rows = [(lang, chunk, last, n) for lang, c in found.items() for (chunk, last), n in c.items()]
-        lang, chunk, last, n = zip(*rows, strict=True) if rows else ((), (), (), ())
-        text = pa.array(chunk, pa.binary()).cast(pa.string())
+        chunks = [c for x in found.values() for c in x]
+        last = [not c.endswith(_ON) for c in chunks]
+        text = pa.array([c.rstrip(_ON) for c in chunks], pa.binary()).cast(pa.string())
+        lang = [lang for lang, x in found.items() for _ in x]
+        n = [n for x in found.values() for n in x.values()]
         return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), text, pa.array(last, pa.bool_()), pa.array(n, pa.int64())], names=["lang", "chunk", "last", "n"])
 
     found: dict[str, Counter] = {}
     size = 0
     for batch in batches:
         for lang, text in zip(batch["lang"].to_pylist(), as_bytes(batch["text"]), strict=True):
-            pieces = [w for w in (p.split() for p in text.translate(_PIECES).split(b"\n")) if w]
+            pieces = [w for w in map(bytes.split, text.translate(_PIECES).split(b"\n")) if w]
             found.setdefault(lang, Counter()).update(chunks_of(pieces, hashes))
             size += len(text)
             if size >= BATCH_BYTES:
@@ -139,6 +146,7 @@ class _Chunks:
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
         self.n = batch["n"].to_numpy()
+        self.ns = self.n.tolist()
         self.langs = batch["lang"].to_pylist()
         self.last = batch["last"].to_numpy(zero_copy_only=False)
         salt = np.repeat(hashes.of([b"\0" + x.encode() for x in self.langs]), sizes)
@@ -194,16 +202,26 @@ def _pair_counts(frequent):
     return run
 
 
-def _phrases(frequent):
-    """Counts of the phrases of two words and more all of whose pairs are in the filter, by text, summed over a batch."""
+_BY_SIZE = [f"n{size}" for size in range(2, LONGEST + 1)]
+
+
+def _stretches(frequent):
+    """(lang, phrase, n): from each word on that starts a frequent pair the words, LONGEST at most, all of whose pairs are
+    in the filter, summed over a batch. Each stands for all its beginnings of two words and more. One that begins another
+    one of the batch is no row of its own: ``n`` holds a count for each number of words from two on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table = Hashes(), frequent.value
-        found: Counter = Counter()
+        found: dict[tuple[str, bytes], int] = {}
 
         def told() -> pa.RecordBatch:
-            lang, phrase, size = zip(*found, strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(size, pa.int32()), pa.array(list(found.values()), pa.int64())], names=["lang", "phrase", "size", "n"])
+            langs, phrases, counts = [], [], []
+            for lang, phrase in sorted(found, reverse=True):
+                if not phrases or langs[-1] != lang or not phrases[-1].startswith(phrase + b" "):
+                    langs.append(lang), phrases.append(phrase), counts.append([0] * (LONGEST - 1))
+                counts[-1][phrase.count(b" ") - 1] += found[lang, phrase]
+            columns = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)] or [pa.array([], pa.int64())] * (LONGEST - 1)
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), *columns], names=["lang", "phrase", *_BY_SIZE])
 
         for batch in batches:
             if not batch.num_rows:
@@ -213,14 +231,14 @@ def _phrases(frequent):
             good = np.append(whole & _in_filter(table, pair), False)
             # How many pairs in a row are frequent from each word on.
             stop = np.flatnonzero(~good)
-            run_length = stop[np.searchsorted(stop, np.arange(len(good)))] - np.arange(len(good))
-            for at in np.flatnonzero(good & c.own()).tolist():
-                i = int(c.chunk[at])
-                a = at - int(c.starts[i])
-                words, lang, n = c.lists[i], c.langs[i], int(c.n[i])
-                for size in range(2, min(int(run_length[at]) + 1, LONGEST) + 1):
-                    found[lang, b" ".join(words[a : a + size]), size] += n
-            if len(found) >= 1 << 18:
+            row = stop[np.searchsorted(stop, np.arange(len(good)))] - np.arange(len(good))
+            at = np.flatnonzero(good & c.own())
+            chunk = c.chunk[at]
+            begin, size = at - c.starts[chunk], np.minimum(row[at] + 1, LONGEST)
+            for i, a, b in zip(chunk.tolist(), begin.tolist(), (begin + size).tolist(), strict=True):
+                key = c.langs[i], b" ".join(c.lists[i][a:b])
+                found[key] = found.get(key, 0) + c.ns[i]
+            if len(found) >= 1 << 19:
                 yield told()
                 found.clear()
         yield told()
@@ -228,6 +246,52 @@ def _phrases(frequent):
     return run
 
 
+def _beginnings(least: int):
+    """Sums by beginning of two words and more, from rows sorted by their words: one row and its beginnings are in memory.
+
+    Sums below ``least`` are left out, but for the beginnings of a partition's first and last row, which others may have
+    more of.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lang, words = None, []
+        sums = [0] * (LONGEST + 1)  # by number of words
+        edge = LONGEST + 1  # beginnings of fewer words than this are the first row's
+        out: list[tuple] = []
+
+        def close(keep: int, everything: bool = False) -> None:
+            nonlocal edge
+            for size in range(max(keep + 1, 2), len(words) + 1):
+                if everything or size < edge or sums[size] >= least:
+                    out.append((lang, " ".join(words[:size]), size, sums[size]))
+                sums[size] = 0
+            edge = min(edge, max(keep + 1, 2))
+
+        def told() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "phrase", "size", "n"])
+
+        for batch in batches:
+            for x, new, *counts in zip(batch["lang"].to_pylist(), batch["words"].to_pylist(), *(batch[c].to_pylist() for c in _BY_SIZE), strict=True):
+                same = 0
+                if x == lang:
+                    while same < min(len(words), len(new)) and words[same] == new[same]:
+                        same += 1
+                if words:
+                    close(same)
+                lang, words = x, new
+                n = 0
+                for size in range(len(new), 1, -1):
+                    n += counts[size - 2]
+                    sums[size] += n
+            yield told()
+        close(0, True)
+        yield told()
+
+    return run
+
+
 def phrase_counts(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, a) of the phrases of one to LONGEST words that occur ``least`` times or more, and (lang, n)."""
     spark: SparkSession = docs.sparkSession
@@ -242,7 +306,9 @@ def phrase_counts(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFra
     pairs = entries.select("lang", "chunk", "last", "n").mapInArrow(_pair_counts(table), "h long, n long")
     pairs = pairs.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h")
     both = spark.sparkContext.broadcast(_hash_filter(pairs))
-    more = entries.select("lang", "chunk", "last", "n").mapInArrow(_phrases(both), "lang string, phrase string, size int, n long")
+    more = entries.select("lang", "chunk", "last", "n").mapInArrow(_stretches(both), "lang string, phrase string, " + ", ".join(f"{c} long" for c in _BY_SIZE))
+    more = more.groupBy("lang", "phrase").agg(*(F.sum(c).alias(c) for c in _BY_SIZE)).select("lang", F.split("phrase", " ", -1).alias("words"), *_BY_SIZE)
+    more = more.repartitionByRange("lang", "words").sortWithinPartitions("lang", "words").mapInArrow(_beginnings(least), "lang string, phrase string, size int, n long")
     more = more.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
     counts = one.select("lang", "phrase", F.lit(1).alias("size"), "a").unionByName(more)
     return written(counts, "phrases"), written(totals, "totals")
