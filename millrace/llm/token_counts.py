@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: How the byte-level vocabularies cut text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CONTRACTIONS = frozenset("'s 't 're 've 'm 'll 'd".split())
+SPACE_RUN = regex.compile(r"\s+")
 #: Pieces whose tables a worker remembers.
 KEEP = 400_000
 
@@ -126,30 +128,54 @@ class PrefixCounter:
             n += int(self.table(p)[-1]) if known is None else known
         return n
 
+    def _places(self, piece: str) -> np.ndarray:
+        """Tokens of the first 0, 1, ... code points of a piece, from its table."""
+        table = self.table(piece)
+        counts = np.frombuffer(table, np.uint8).astype(np.int64) if isinstance(table, bytes) else table
+        raw = np.frombuffer(piece.encode("utf-8", "replace"), np.uint8)
+        return counts[np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))]
+
     def prefix_counts(self, text: str) -> np.ndarray:
-        """Tokens of the first 0, 1, ... code points of the text, each as if the text ended there."""
+        """Tokens of the first 0, 1, ... code points of the text, each as if the text ended there.
+
+        A beginning of a word, a number or a run of marks is again one piece, and so is one of a run of white space,
+        which at a text's end gives nothing to a word: all are looked up in a table of their own, which is made once.
+        Only cuts inside a contraction or a special token are cut into pieces anew.
+        """
         counts = np.zeros(len(text) + 1, np.int64)
-        before = at = anchor = anchored = 0
+        before = at = anchor = anchored = start = 0
         for piece, special in self.parts(text):
-            # A cut inside a piece can change how the piece before it is cut (a run of white space gives its last one
-            # to the word that follows), so such cuts count the two anew. A word beyond its first code point is cut
-            # alike at any length.
-            size, table = len(piece), None if special else self.table(piece)
-            lead = 1 if piece[:1] == " " else 0
-            steady = not special and piece[lead:].isalpha()
-            for n in range(1, size if not steady else min(size, lead + 1)):
-                counts[at + n] = anchored + sum(int(self.table(p)[-1]) for p in self.pieces.findall(text[anchor : at + n]))
-            if steady and size > lead:
-                ends = np.cumsum([0] + [len(c.encode("utf-8", "replace")) for c in piece])
-                counts[at + lead + 1 : at + size + 1] = before + np.array(list(table))[ends[lead + 1 :]]
-            anchor, anchored = (at + size, before + 1) if special else (at, before)
-            before, at = before + (1 if special else int(table[-1])), at + size
-            # At a piece's end only white space goes on being cut otherwise.
+            size = len(piece)
+            if special:
+                self._runs(text, start, at, counts)
+                for n in range(1, size):
+                    counts[at + n] = anchored + self.count_plain(text[anchor : at + n])
+                anchor, anchored, start = at + size, before + 1, at + size
+                before += 1
+            else:
+                if piece in CONTRACTIONS:
+                    for n in range(1, size):
+                        counts[at + n] = before + self.count_plain(piece[:n])
+                elif not piece.isspace():
+                    counts[at + 1 : at + size] = before + self._places(piece)[1:-1]
+                anchor, anchored = at, before
+                before += int(self.table(piece)[-1])
+            at += size
             counts[at] = before
+        self._runs(text, start, at, counts)
         return counts
 
+    def _runs(self, text: str, start: int, stop: int, counts: np.ndarray) -> None:
+        """Fill in the cuts after each white-space character of ``text[start:stop]``, where a run of them is one piece."""
+        for run in SPACE_RUN.finditer(text, start, stop):
+            counts[run.start() + 1 : run.end() + 1] = counts[run.start()] + self._places(run[0])[1:]
+
+    def count_plain(self, text: str) -> int:
+        """Tokens of a text in which nothing is special."""
+        return sum(int(self.table(p)[-1]) for p in self.pieces.findall(text))
+
     def truncate(self, text: str, budget: int) -> str:
-        """The longest prefix of at most ``budget`` tokens."""
+        """The longest prefix of at most ``budget`` tokens; the empty one if there is no other."""
         fits = np.flatnonzero(self.prefix_counts(text) <= budget)
         return text[: int(fits[-1])]
 
@@ -185,7 +211,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, carry: tuple[str,
 
 
 def truncated(docs: DataFrame, path: str, budget: int, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in ``carry`` and ``text`` cut to at most ``budget`` tokens, from the prefix table."""
+    """The columns in ``carry`` and ``text`` cut to at most ``budget`` tokens, from the prefix table.
+
+    Null stays null, and empty text empty. Texts of any length, and runs of any one kind of character, take time in
+    proportion to their length. Repeated rows each get a row; an empty table gives no rows.
+    """
     df = docs.select(*carry, F.col("text").alias("__text"))
     types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
 
