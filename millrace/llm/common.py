@@ -50,6 +50,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def made_folder(spark: SparkSession, path: str) -> None:
+    """Make a folder, which stays empty if nothing is written into it."""
+    fs, p = _file(spark, path)
+    fs.mkdirs(p)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _file(spark, path)
     fs.delete(p, True)

@@ -14,19 +14,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, shared_path, written
+from .common import attach, made_folder, shared_path, written
 
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
-#: Uncompressed bytes that an archive holds on average; a task reads one archive at a time.
-ARCHIVE_BYTES = 16 << 20
+#: Uncompressed bytes that an archive holds at most, unless one capture is longer; a task reads one archive at a time.
+#: Captures are archived with others of like size: up to a quarter of an archive and what their records add, then up to
+#: a quarter of that, and so on.
+ARCHIVE_BYTES, RECORD_BYTES, CLASSES = 16 << 20, 2_000, 7
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = (
     "record_id string, type string, target_uri string, date string, concurrent_to string, refers_to string, "
     "payload_digest string, fields map<string,string>, payload binary, payload_bytes long, computed_digest string, error string"
 )
 #: Bytes that are decompressed at a time, and the longest header of a record.
-CHUNK, HEADER = 1 << 20, 1 << 20
+CHUNK, HEADER = 1 << 20, 1 << 30
 
 
 def _record(kind: str, record_id: Column, headers: list[tuple[str, Column]], content: Column) -> Column:
@@ -49,16 +51,30 @@ def write_captures(pages: DataFrame, path: str, least_bytes: int = 1000) -> None
     Of equal payloads of ``least_bytes`` or more, the one with the largest page_id is a response and the others are
     revisits that name it and carry no payload. Null html is empty; a null page_id is less than any other, and
     payloads whose ids are all null are all responses, as are repeated rows of the largest id. Line breaks in a url
-    become spaces. Pages of any length are written whole. Columns beyond the three are left out. An empty table writes
-    an archive without records.
+    become spaces. Pages and urls of any length are written whole; an archive has ARCHIVE_BYTES at most, or one capture.
+    Columns beyond the three are left out. An empty table writes no archive.
     """
+    spark = pages.sparkSession
     html = F.coalesce(F.col("html"), F.lit(""))
-    # Written once, so that both uses below see one id for a row.
-    base = written(pages.select(F.monotonically_increasing_id().alias("uid"), F.col("page_id").cast("long").alias("page_id"), F.regexp_replace("url", r"[\r\n]+", " ").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("bytes")), "warc-pages")
+    # Written once, so that both uses below see one id for a row; by size, so that each size is read alone.
+    base = pages.select(F.monotonically_increasing_id().alias("uid"), F.col("page_id").cast("long").alias("page_id"), F.regexp_replace("url", r"[\r\n]+", " ").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
+    whole = F.col("bytes") + 4 * F.coalesce(F.octet_length("url"), F.lit(0)) + RECORD_BYTES
+    base = base.withColumn("class", sum((whole <= ARCHIVE_BYTES >> 2 * k).cast("int") for k in range(1, CLASSES + 1)))
+    folder = shared_path(spark, "warc-pages")
+    base.write.partitionBy("class").parquet(folder)
+    base = spark.read.schema(base.schema).parquet(folder)
     same = base.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes")
     groups = same.agg(F.count(F.lit(1)).alias("copies"), F.max(F.struct("page_id", "uid")).alias("head"))
     groups = written(groups.filter((F.col("copies") > 1) & F.col("head.page_id").isNotNull()).select("digest", "bytes", "head"), "warc-groups")
-    df = attach(base, groups, "digest", "bytes", how="left")
+    for r in base.select("class").distinct().collect():  # CLASSES + 1 at most
+        df = attach(base.filter(F.col("class") == r["class"]), groups, "digest", "bytes", how="left")
+        most = 4 ** r["class"]  # each has a 4**class-th of an archive at most
+        writer = _records(df).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", 3 * most).option("compression", "gzip")
+        writer.text(f"{path}/size-{r['class']}")
+
+
+def _records(df: DataFrame) -> DataFrame:
+    """The text of each capture's request, response or revisit, and metadata records, one after the other."""
     revisit = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head.page_id"))
 
     uri = F.col("url")
@@ -72,10 +88,7 @@ def write_captures(pages: DataFrame, path: str, least_bytes: int = 1000) -> None
     request = _record("request", _uri("request", F.col("uid")), [("WARC-Target-URI", uri), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(f" HTTP/1.1{CRLF * 2}")))
     about = F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(CRLF)), F.lit("")), F.lit("fetched-bytes: "), F.col("bytes").cast("string"), F.lit(CRLF))
     metadata = _record("metadata", _uri("metadata", F.col("uid")), [("WARC-Target-URI", uri), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))], about)
-    records = df.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), metadata)).alias("value"))
-    mean = base.agg(F.avg("bytes")).first()[0] or 0
-    per_file = max(3, int(ARCHIVE_BYTES / (mean + 1500) * 3))
-    records.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    return df.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), metadata)).alias("value"))
 
 
 def _content(data: bytes) -> Iterator[bytes]:
@@ -85,11 +98,12 @@ def _content(data: bytes) -> Iterator[bytes]:
         yield from (bytes(view[i : i + CHUNK]) for i in range(0, len(data), CHUNK))
         return
     while at < len(data):
-        member = zlib.decompressobj(31)
-        while not member.eof and at < len(data):
-            part = view[at : at + CHUNK]
-            yield member.decompress(part)
-            at += len(part) - len(member.unused_data)
+        member, tail = zlib.decompressobj(31), b""
+        while not member.eof and (tail or at < len(data)):
+            part = tail or view[at : at + CHUNK]
+            yield member.decompress(part, CHUNK)
+            at += 0 if tail else len(part)
+            at, tail = at - len(member.unused_data), member.unconsumed_tail
         if not member.eof:
             raise ValueError("truncated gzip member")
 
@@ -180,8 +194,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the WARC files (gzip or plain) under ``path``. ``error`` says what is wrong with a damaged
     one: no record, no header, no length, truncated, or why a file couldn't be decompressed further. One task reads a
-    file, which Spark's binary source takes up to 2 GB compressed; records leave it in batches of about 8 MB."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, _RECORD)
+    file, which Spark's binary source takes up to 2 GB compressed; it is decompressed CHUNK bytes at a time, and records
+    leave it in batches of about 8 MB. An empty folder gives no rows."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(_parse, _RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -210,6 +225,7 @@ def page_captures(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
+    made_folder(spark, path)
     write_captures(pages, path)
     captures = assemble(read_warc(spark, path).drop("payload"))
     flat = captures.select(
