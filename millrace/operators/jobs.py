@@ -49,7 +49,12 @@ def _groups(batches: Batches, key: str) -> Iterator[tuple[object, Batches]]:
 
     def same(column: pa.Array, value: pa.Scalar) -> int:
         """How many of the first rows have the value."""
-        equal = column.is_null() if not value.is_valid else pc.fill_null(pc.equal(column, value), False)
+        if not value.is_valid:
+            equal = column.is_null()
+        elif value.as_py() != value.as_py():  # NaN is a key as well
+            equal = pc.fill_null(pc.is_nan(column), False)
+        else:
+            equal = pc.fill_null(pc.equal(column, value), False)
         at = pc.index(equal, False).as_py()
         return len(column) if at < 0 else at
 
@@ -77,7 +82,7 @@ def reduce_sorted(pairs: DataFrame, reducer: Callable[[object, Batches], Batches
     A group is never in memory: rows are sorted by Spark, which spills, and a batch is read when the reducer asks for it.
     A reducer may stop early. ``combiner`` is applied to each task's rows before the shuffle and must give the columns of
     ``pairs``; it is what keeps a hot key's rows from one task, since a key's stream is read by one reducer. ``parts``
-    output partitions if given. Null is a key.
+    output partitions if given. Null and NaN are keys; a key must not be nested.
     """
 
     def run(batches: Batches) -> Batches:

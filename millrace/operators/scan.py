@@ -43,6 +43,8 @@ def _changes(batch: pa.RecordBatch, last: pa.RecordBatch | None, by: Sequence[st
             raise TypeError(f"a group's column must not be nested: {c}")
         a, b = values[1:], values[:-1]
         differ = pc.if_else(pc.or_(a.is_null(), b.is_null()), pc.xor(a.is_null(), b.is_null()), pc.fill_null(pc.not_equal(a, b), False))
+        if pa.types.is_floating(values.type):  # NaN is one value too
+            differ = pc.and_not(differ, pc.and_(pc.fill_null(pc.is_nan(a), False), pc.fill_null(pc.is_nan(b), False)))
         new[int(last is None) :] |= differ.to_numpy(zero_copy_only=False)
     if last is None:
         new[0] = True

@@ -137,7 +137,8 @@ def documents(lines: DataFrame, schema: str, index: str, doc_type: str, text: st
 def json_by_paths(lines: DataFrame, paths: dict[str, str | tuple[str, str]], text: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """A column for each path of JSON texts, as text or as the type given with it; null where there is none of the kind.
 
-    A text is parsed once, into a variant, whatever the number of paths. Texts that are no JSON have nulls.
+    A text is parsed once, into a variant, whatever the number of paths. Texts that are no JSON have nulls; numbers are
+    told by their value, so that 1.0 is "1".
     """
     asked = {n: (p, "string") if isinstance(p, str) else p for n, p in paths.items()}
     parsed = lines.select(*keep, F.try_parse_json(text).alias("__v"))

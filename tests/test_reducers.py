@@ -35,6 +35,14 @@ def test_groups_are_cut_from_the_stream_as_they_are_read():
     assert firsts == [("a", 1, [0]), ("b", 4, [0, 1, 2]), ("c", 5, [0, 1, 2]), (None, 7, [0, 1, 2, 3, 4])]
 
 
+def test_nan_and_null_are_keys():
+    nan = float("nan")
+    keys = pa.array([None, 1.0, nan, nan], pa.float64())
+    one = pa.RecordBatch.from_arrays([keys, pa.array([1, 2, 3, 4])], names=["key", "v"])
+    seen = [(str(k), [v for b in group for v in b["v"].to_pylist()]) for k, group in jobs._groups(iter([one, one.slice(2)]), "key")]
+    assert seen == [("None", [1]), ("1.0", [2]), ("nan", [3, 4, 3, 4])]
+
+
 def test_a_group_larger_than_a_worker_may_hold(spark):
     """Four million rows of 50 bytes are one key's: a worker that may use 100 MB more than it has reads them all."""
     rows = spark.range(0, 4_000_000, 1, 4).select(F.lit("hot").alias("key"), F.rpad(F.col("id").cast("string"), 50, "x").alias("v"), "id")

@@ -29,6 +29,12 @@ def test_ranks_are_row_numbers(spark):
     assert scan.ranked(df.limit(0), ["k"], ["i"]).count() == 0
 
 
+def test_nan_is_one_group(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(x, i) for i, x in enumerate([nan, 1.0, nan, None, -0.0, 0.0, nan, None])], "k double, i int")
+    assert {(r.i, r["rank"]) for r in scan.ranked(df, ["k"], ["i"]).collect()} == {(0, 1), (2, 2), (6, 3), (1, 1), (3, 1), (7, 2), (4, 1), (5, 2)}
+
+
 def test_no_task_reads_a_hot_key(spark):
     """A key with a third of all rows, and one with another third, are dealt evenly, and numbered through."""
     df = spark.range(0, 60_000, 1, 6).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "warm").otherwise(F.concat(F.lit("k"), (F.col("id") % 1009).cast("string"))).alias("k"), F.xxhash64("id").alias("at"), "id")
