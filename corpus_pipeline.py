@@ -16,7 +16,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that score 0.5 or more. Labels of the held-out fold train nothing here either.
 
-    Null and empty texts have the score of no feature; repeated rows go or stay together. An empty table stays empty.
+    Null and empty texts have the score of no feature; repeated rows go or stay together, and ties at 0.5 go. Texts of
+    any length are scored whole. An empty table stays empty.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_mod(F.col("doc_id"), 5) != 0)
     model = toxic.train(docs, labels)
@@ -29,7 +30,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     First is the line of the least doc_id, a null id before all others, at the least place; repeated rows are one
     document and keep the same lines. Texts without a word stay as they are if they lose nothing; null text that stays
-    becomes empty.
+    becomes empty. Texts of any length are read whole. An empty table stays empty.
     """
     rest = tuple(c for c in COLUMNS if c not in ("text", "n_chars"))
     kept = line_dedup.dedup_lines(docs, carry=(*rest, "n_chars"), least_docs=10, keep="first")
@@ -42,6 +43,7 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each group of near duplicates stays: that of the least doc_id, of repeated rows one.
 
     A null id comes last. Texts without a word are no duplicates of each other, and repeated rows of them all stay.
+    Texts of any length are compared whole. An empty table stays empty.
     """
     found = near_dedup.near_duplicates(docs)
     own = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("doc"), F.col("row"))
@@ -53,14 +55,22 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that overlap a benchmark item. Null and empty texts stay; repeated rows go or stay together."""
+    """Drop documents that overlap a benchmark item.
+
+    Null and empty texts stay; repeated rows go or stay together. Texts of any length are searched whole. An empty table
+    stays empty, and without benchmark items all documents stay.
+    """
     found = decontamination.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     keyed = docs.select(*COLUMNS, row_key(F.col("doc_id"), F.col("text")).alias("row"))
     return keyed.join(found.select("row").distinct(), "row", "left_anti").select(*COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document that is left, repeated rows and texts without words included."""
+    """How many words the mix takes of each document that is left, repeated rows and texts without words included.
+
+    Ties in rank go by id, size and text. Texts of any length count whole, and a source is met as nearly as its last
+    document allows. An empty table gives no rows.
+    """
     return mixing.pareto_mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
 

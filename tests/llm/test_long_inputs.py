@@ -6,9 +6,10 @@ import time
 import tracemalloc
 import zlib
 
+import numpy as np
 import pytest
 
-from millrace.llm import queries, token_counts, warc
+from millrace.llm import decontamination, queries, token_counts, warc
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +75,65 @@ def test_decompression_is_bounded():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sum(pieces) == (200 << 20) + 3 and max(pieces) <= warc.CHUNK and peak < 16 << 20
+
+
+def test_a_repeated_word_meets_an_item_once(spark):
+    """Rows that are verified grow with the documents, not with their windows; time with the length of a text."""
+    benchmark = spark.createDataFrame([(1, "ha " * 40), (2, " ".join(f"w{i}" for i in range(30)))], "item_id long, text string")
+    took = {}
+    for n in (2_000, 8_000, 32_000):
+        docs = spark.createDataFrame([(1, "ha " * n), (2, " ".join(f"w{i % 30}" for i in range(n))), (3, "ho " * n), (4, None), (5, "x " * 50 + "ha " * 12)], "doc_id long, text string")
+        began = time.time()
+        out = {(r.doc_id, r.item_id): (r.equal, r.overlap, r["at"]) for r in decontamination.overlaps(docs, benchmark).collect()}
+        took[n] = time.time() - began
+        assert out == {(1, 1): (40, 40, 0), (2, 2): (30, 30, 0)}
+    assert took[32_000] < 8 * took[2_000] + 5
+
+
+def test_diagonals_are_all_of_them():
+    rng = np.random.default_rng(3)
+    doc, item = rng.integers(0, 5, 60).astype(np.uint64), rng.integers(0, 5, 20).astype(np.uint64)
+    got = decontamination.diagonals(doc, np.arange(60), item, np.arange(20), 60, 20)
+    assert sorted(got.tolist()) == sorted({i - j for i in range(60) for j in range(20) if doc[i] == item[j]})
+
+
+def test_pipeline_on_long_texts(spark, tmp_path):
+    """A text of 60,000 words, its near copy, one with a benchmark passage at its end, and a line of 100,000 characters."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(4)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    bench, long = " ".join(f"bench{i}" for i in range(20)), own(60_000)
+    rows = [(1, long, "en", "a", 1), (2, long + " tail", "en", "a", 1), (3, own(60_000) + " " + bench, "en", "b", 1), (4, "z" * 100_000, "en", "b", 1), (5, own(50), "en", None, 1)]
+    rows += [(10 + i, own(8) + (" you idiot moron scum" if i % 4 == 0 else ""), "en", "c", 1) for i in range(40)]
+    folder = str(tmp_path / "sf")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(10 + i, 0, int(i % 4 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    out = {r.doc_id: r for r in cp.run(spark, folder).collect()}
+    assert set(out) == {1, 4, 5, *(10 + i for i in range(40) if i % 4)} and out[1].size == 60_000 and out[4].size == 1
+
+
+def test_targets_of_sources_against_plain_shares(spark):
+    """Targets by sharing again and again what is above a source's cap, until none is."""
+    from millrace.llm import mixing
+
+    rng = random.Random(5)
+    for _ in range(6):
+        sizes = {s: rng.choice([0, 1, 10, 1000, 10**6]) * rng.randint(1, 9) for s in [None, "", "A", "a", "b", "é", "\U0001f642", "z"][: rng.randint(1, 8)]}
+        order = sorted(sizes, key=lambda s: (s is None, s or ""))
+        weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+        left, target, free = 1.5 * sum(sizes.values()), {}, list(order)
+        while free:
+            share = {s: left * weights[s] / sum(weights[x] for x in free) for s in free}
+            over = [s for s in free if share[s] > 2 * sizes[s]]
+            if not over:
+                target |= share
+                break
+            for s in over:
+                target[s] = 2 * sizes[s]
+                left -= target[s]
+                free.remove(s)
+        df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size long")
+        got = {r.source: r.target for r in mixing.source_targets(df, (5, 2, 1), 1.5, 2).collect()}
+        assert got == pytest.approx(target)
