@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, attach, mix64, multipliers, stored, written
+from .common import as_bytes, attach, mix64, multipliers, shared_path, written
 
 #: Words that two chunks share: one fewer than a phrase can have.
 OVERLAP, LONGEST = 4, 5
@@ -169,20 +169,28 @@ def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         salt = hashes.of([b"\0" + x.encode() for x in batch["lang"].to_pylist()])
         h = mix64(hashes.of(as_bytes(batch["phrase"])) + salt)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+        yield pa.RecordBatch.from_arrays([batch["lang"], batch["phrase"], pa.array(h.view(np.int64))], names=["lang", "word", "h"])
+
+
+def _pair_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        both = np.empty(2 * batch.num_rows, np.uint64)
+        both[0::2], both[1::2] = (batch[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
+        yield pa.RecordBatch.from_arrays([pa.array(combined(both, 2)[0::2].view(np.int64))], names=["h"])
 
 
 def _pair_counts(frequent):
-    """Counts of the pairs of frequent words by hash, summed over a batch."""
+    """Counts of the pairs of frequent words by the words' hashes, summed over a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table, hs, ns, size = Hashes(), frequent.value, [], [], 0
+        hashes, table, held, size = Hashes(), frequent.value, [], 0
 
         def told() -> pa.RecordBatch:
-            h, at = np.unique(np.concatenate(hs or [np.zeros(0, np.uint64)]), return_inverse=True)
-            n = np.zeros(len(h), np.int64)
-            np.add.at(n, at, np.concatenate(ns or [np.zeros(0, np.int64)]))
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+            pair, first, second, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, at, of = np.unique(pair, return_index=True, return_inverse=True)
+            total = np.zeros(len(at), np.int64)
+            np.add.at(total, of, n)
+            return pa.RecordBatch.from_arrays([pa.array(first[at].view(np.int64)), pa.array(second[at].view(np.int64)), pa.array(total)], names=["h1", "h2", "n"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -191,24 +199,26 @@ def _pair_counts(frequent):
             known, own = _in_filter(table, c.h), c.own()
             pair, whole = c.pairs()
             keep = np.flatnonzero(whole & known[1:] & known[:-1] & own[:-1])
-            hs.append(pair[keep])
-            ns.append(c.n[c.chunk[keep]])
+            held.append((pair[keep], c.h[keep], c.h[keep + 1], c.n[c.chunk[keep]]))
             size += len(keep)
-            if size >= 1 << 20:
+            if size >= 1 << 21:
                 yield told()
-                hs, ns, size = [], [], 0
-        yield told()
+                held, size = [], 0
+        if held:
+            yield told()
 
     return run
 
 
-_BY_SIZE = [f"n{size}" for size in range(2, LONGEST + 1)]
+#: Words of the shortest stretch, and a count for each number of words from that on.
+SHORTEST = 3
+_BY_SIZE = [f"n{size}" for size in range(SHORTEST, LONGEST + 1)]
 
 
 def _stretches(frequent):
-    """(lang, phrase, n): from each word on that starts a frequent pair the words, LONGEST at most, all of whose pairs are
-    in the filter, summed over a batch. Each stands for all its beginnings of two words and more. One that begins another
-    one of the batch is no row of its own: ``n`` holds a count for each number of words from two on."""
+    """(lang, phrase, n): from each word on the words, SHORTEST to LONGEST, all of whose pairs are in the filter, summed
+    over a batch. Each stands for all its beginnings of SHORTEST words and more. One that begins another one of the batch
+    is no row of its own: ``n`` holds a count for each number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table = Hashes(), frequent.value
@@ -218,9 +228,9 @@ def _stretches(frequent):
             langs, phrases, counts = [], [], []
             for lang, phrase in sorted(found, reverse=True):
                 if not phrases or langs[-1] != lang or not phrases[-1].startswith(phrase + b" "):
-                    langs.append(lang), phrases.append(phrase), counts.append([0] * (LONGEST - 1))
-                counts[-1][phrase.count(b" ") - 1] += found[lang, phrase]
-            columns = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)] or [pa.array([], pa.int64())] * (LONGEST - 1)
+                    langs.append(lang), phrases.append(phrase), counts.append([0] * len(_BY_SIZE))
+                counts[-1][phrase.count(b" ") + 1 - SHORTEST] += found[lang, phrase]
+            columns = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)] or [pa.array([], pa.int64())] * len(_BY_SIZE)
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), *columns], names=["lang", "phrase", *_BY_SIZE])
 
         for batch in batches:
@@ -232,7 +242,7 @@ def _stretches(frequent):
             # How many pairs in a row are frequent from each word on.
             stop = np.flatnonzero(~good)
             row = stop[np.searchsorted(stop, np.arange(len(good)))] - np.arange(len(good))
-            at = np.flatnonzero(good & c.own())
+            at = np.flatnonzero((row >= SHORTEST - 1) & c.own())
             chunk = c.chunk[at]
             begin, size = at - c.starts[chunk], np.minimum(row[at] + 1, LONGEST)
             for i, a, b in zip(chunk.tolist(), begin.tolist(), (begin + size).tolist(), strict=True):
@@ -247,7 +257,7 @@ def _stretches(frequent):
 
 
 def _beginnings(least: int):
-    """Sums by beginning of two words and more, from rows sorted by their words: one row and its beginnings are in memory.
+    """Sums by beginning of SHORTEST words and more, from rows sorted by their words: one row and its beginnings are in memory.
 
     Sums below ``least`` are left out, but for the beginnings of a partition's first and last row, which others may have
     more of.
@@ -261,11 +271,11 @@ def _beginnings(least: int):
 
         def close(keep: int, everything: bool = False) -> None:
             nonlocal edge
-            for size in range(max(keep + 1, 2), len(words) + 1):
+            for size in range(max(keep + 1, SHORTEST), len(words) + 1):
                 if everything or size < edge or sums[size] >= least:
                     out.append((lang, " ".join(words[:size]), size, sums[size]))
                 sums[size] = 0
-            edge = min(edge, max(keep + 1, 2))
+            edge = min(edge, max(keep + 1, SHORTEST))
 
         def told() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) or [()] * 4
@@ -282,8 +292,8 @@ def _beginnings(least: int):
                     close(same)
                 lang, words = x, new
                 n = 0
-                for size in range(len(new), 1, -1):
-                    n += counts[size - 2]
+                for size in range(len(new), SHORTEST - 1, -1):
+                    n += counts[size - SHORTEST]
                     sums[size] += n
             yield told()
         close(0, True)
@@ -295,22 +305,27 @@ def _beginnings(least: int):
 def phrase_counts(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, a) of the phrases of one to LONGEST words that occur ``least`` times or more, and (lang, n)."""
     spark: SparkSession = docs.sparkSession
-    entries, path = stored(dictionary(docs), "chunks")
+    path = shared_path(spark, "chunks")
+    dictionary(docs).write.option("compression", "zstd").parquet(path)
+    entries = spark.read.schema("lang string, chunk string, last boolean, n long").parquet(path)
     words = F.split("chunk", " ", -1)
     own = F.when(F.col("last"), words).otherwise(F.slice(words, F.lit(1), F.size(words) - OVERLAP))
     counted = entries.select("lang", "n", F.explode(own).alias("phrase")).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
     counted = written(counted, "words")
     totals = counted.groupBy("lang").agg(F.sum("a").alias("n"))
     one = counted.filter(F.col("a") >= least)
-    table = spark.sparkContext.broadcast(_hash_filter(one.select("lang", "phrase").mapInArrow(_word_hashes, "h long")))
-    pairs = entries.select("lang", "chunk", "last", "n").mapInArrow(_pair_counts(table), "h long, n long")
-    pairs = pairs.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h")
-    both = spark.sparkContext.broadcast(_hash_filter(pairs))
+    hashed = written(one.select("lang", "phrase").mapInArrow(_word_hashes, "lang string, word string, h long"), "word-hashes")
+    table = spark.sparkContext.broadcast(_hash_filter(hashed.select("h")))
+    pairs = entries.select("lang", "chunk", "last", "n").mapInArrow(_pair_counts(table), "h1 long, h2 long, n long")
+    pairs = written(pairs.groupBy("h1", "h2").agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "pairs")
+    both = spark.sparkContext.broadcast(_hash_filter(pairs.mapInArrow(_pair_hashes, "h long")))
+    second = hashed.select(F.col("h").alias("h2"), F.col("word").alias("second"))
+    two = pairs.join(hashed.withColumnRenamed("h", "h1"), "h1").join(second, "h2").select("lang", F.concat_ws(" ", "word", "second").alias("phrase"), F.lit(2).alias("size"), "a")
     more = entries.select("lang", "chunk", "last", "n").mapInArrow(_stretches(both), "lang string, phrase string, " + ", ".join(f"{c} long" for c in _BY_SIZE))
     more = more.groupBy("lang", "phrase").agg(*(F.sum(c).alias(c) for c in _BY_SIZE)).select("lang", F.split("phrase", " ", -1).alias("words"), *_BY_SIZE)
     more = more.repartitionByRange("lang", "words").sortWithinPartitions("lang", "words").mapInArrow(_beginnings(least), "lang string, phrase string, size int, n long")
     more = more.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-    counts = one.select("lang", "phrase", F.lit(1).alias("size"), "a").unionByName(more)
+    counts = one.select("lang", "phrase", F.lit(1).alias("size"), "a").unionByName(two).unionByName(more)
     return written(counts, "phrases"), written(totals, "totals")
 
 
