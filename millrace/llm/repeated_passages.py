@@ -27,7 +27,7 @@ LENGTH = 100
 #: Bytes of text that are hashed at a time, whatever the length of a text, and rows that are compared before they are dealt.
 SEGMENT, DEAL_ROWS = 1 << 19, 1 << 18
 #: Rows of a bucket that are refined in one task, and bytes that are refined at a time.
-BUCKET_ROWS, REFINE_BYTES = 2_048, 1 << 18
+BUCKET_ROWS, REFINE_BYTES = 8_192, 1 << 18
 #: Rows of a batch that are taken out of Arrow at a time.
 SLICE = 256
 #: Texts whose q-grams are counted to find frequent ones (twice as many at most), and how many may be frequent. Frequent q-grams are taken only
