@@ -6,11 +6,11 @@ with it; the distinct chunks are the dictionary, and how often each occurs in th
 counted in distinct chunks only, each times the chunk's frequency. One that starts in the words that a chunk shares with
 the next is left to the next one, where it is whole, so that every occurrence counts once.
 
-Words are counted first. Pairs of frequent words are then summed by hash. In a last pass each word that starts a frequent
-pair tells one stretch, as long as all its pairs are frequent; a task tells those that begin no longer one of its own,
-with how often each of their beginnings ends there. Stretches are summed by their text, and sorted by their words they
-give the counts of all their beginnings. What tasks are told of frequent words and pairs is a filter of fixed
-size that never misses one, so that the counts are exact.
+Words are counted first. Pairs of frequent words are then summed by the hashes of both words, which name the words again
+once few pairs are left. In a last pass the runs of words all of whose pairs are frequent are summed by their text; each
+distinct run tells one stretch for each word that stretches begin at, and sorted by their words they give the counts of
+all their beginnings. What tasks are told of frequent words and pairs is a filter of fixed size that never misses one, so
+that the counts are exact. Frequent words are told apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -215,38 +215,33 @@ SHORTEST = 3
 _BY_SIZE = [f"n{size}" for size in range(SHORTEST, LONGEST + 1)]
 
 
-def _stretches(frequent):
-    """(lang, phrase, n): from each word on the words, SHORTEST to LONGEST, all of whose pairs are in the filter, summed
-    over a batch. Each stands for all its beginnings of SHORTEST words and more. One that begins another one of the batch
-    is no row of its own: ``n`` holds a count for each number of words."""
+def _runs(frequent):
+    """(lang, words, starts, n): the runs of SHORTEST words and more all of whose pairs are in the filter, summed over a
+    batch. Stretches begin at the first ``starts`` of its words; what the next chunk counts is left to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table = Hashes(), frequent.value
-        found: dict[tuple[str, bytes], int] = {}
+        found: dict[tuple[str, bytes, int], int] = {}
 
         def told() -> pa.RecordBatch:
-            langs, phrases, counts = [], [], []
-            for lang, phrase in sorted(found, reverse=True):
-                if not phrases or langs[-1] != lang or not phrases[-1].startswith(phrase + b" "):
-                    langs.append(lang), phrases.append(phrase), counts.append([0] * len(_BY_SIZE))
-                counts[-1][phrase.count(b" ") + 1 - SHORTEST] += found[lang, phrase]
-            columns = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)] or [pa.array([], pa.int64())] * len(_BY_SIZE)
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), *columns], names=["lang", "phrase", *_BY_SIZE])
+            lang, words, starts = zip(*found, strict=True) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(starts, pa.int32()), pa.array(list(found.values()), pa.int64())], names=["lang", "words", "starts", "n"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             c = _Chunks(batch, hashes)
             pair, whole = c.pairs()
-            good = np.append(whole & _in_filter(table, pair), False)
-            # How many pairs in a row are frequent from each word on.
-            stop = np.flatnonzero(~good)
-            row = stop[np.searchsorted(stop, np.arange(len(good)))] - np.arange(len(good))
-            at = np.flatnonzero((row >= SHORTEST - 1) & c.own())
-            chunk = c.chunk[at]
-            begin, size = at - c.starts[chunk], np.minimum(row[at] + 1, LONGEST)
-            for i, a, b in zip(chunk.tolist(), begin.tolist(), (begin + size).tolist(), strict=True):
-                key = c.langs[i], b" ".join(c.lists[i][a:b])
+            good = np.concatenate([[False], whole & _in_filter(table, pair), [False]]).astype(np.int8)
+            first, stop = np.flatnonzero(np.diff(good) == 1), np.flatnonzero(np.diff(good) == -1)  # words first to stop
+            chunk = c.chunk[first]
+            last = np.minimum(stop - SHORTEST + 1, (c.ends - np.where(c.last, 0, OVERLAP))[chunk] - 1)
+            keep = last >= first
+            first, stop, chunk, last = first[keep], stop[keep], chunk[keep], last[keep]
+            begin = first - c.starts[chunk]
+            end = np.minimum(stop, last + LONGEST - 1) - c.starts[chunk] + 1
+            for i, a, b, starts in zip(chunk.tolist(), begin.tolist(), end.tolist(), (last - first + 1).tolist(), strict=True):
+                key = c.langs[i], b" ".join(c.lists[i][a:b]), starts
                 found[key] = found.get(key, 0) + c.ns[i]
             if len(found) >= 1 << 19:
                 yield told()
@@ -256,6 +251,33 @@ def _stretches(frequent):
     return run
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, n): from each start of a run the words, LONGEST at most, summed over a batch. Each stands for all its
+    beginnings of SHORTEST words and more. One that begins another one of the batch is no row of its own: ``n`` holds a
+    count for each number of words."""
+    found: dict[tuple[str, str], int] = {}
+
+    def told() -> pa.RecordBatch:
+        langs, phrases, counts = [], [], []
+        for lang, phrase in sorted(found, reverse=True):
+            if not phrases or langs[-1] != lang or not phrases[-1].startswith(phrase + " "):
+                langs.append(lang), phrases.append(phrase), counts.append([0] * len(_BY_SIZE))
+            counts[-1][phrase.count(" ") + 1 - SHORTEST] += found[lang, phrase]
+        columns = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)] or [pa.array([], pa.int64())] * len(_BY_SIZE)
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), *columns], names=["lang", "phrase", *_BY_SIZE])
+
+    for batch in batches:
+        for lang, words, starts, n in zip(*(batch[c].to_pylist() for c in ("lang", "words", "starts", "n")), strict=True):
+            row = words.split(" ")
+            for at in range(starts):
+                key = lang, " ".join(row[at : at + LONGEST])
+                found[key] = found.get(key, 0) + n
+        if len(found) >= 1 << 19:
+            yield told()
+            found.clear()
+    yield told()
+
+
 def _beginnings(least: int):
     """Sums by beginning of SHORTEST words and more, from rows sorted by their words: one row and its beginnings are in memory.
 
@@ -321,8 +343,10 @@ def phrase_counts(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFra
     both = spark.sparkContext.broadcast(_hash_filter(pairs.mapInArrow(_pair_hashes, "h long")))
     second = hashed.select(F.col("h").alias("h2"), F.col("word").alias("second"))
     two = pairs.join(hashed.withColumnRenamed("h", "h1"), "h1").join(second, "h2").select("lang", F.concat_ws(" ", "word", "second").alias("phrase"), F.lit(2).alias("size"), "a")
-    more = entries.select("lang", "chunk", "last", "n").mapInArrow(_stretches(both), "lang string, phrase string, " + ", ".join(f"{c} long" for c in _BY_SIZE))
-    more = more.groupBy("lang", "phrase").agg(*(F.sum(c).alias(c) for c in _BY_SIZE)).select("lang", F.split("phrase", " ", -1).alias("words"), *_BY_SIZE)
+    runs = entries.select("lang", "chunk", "last", "n").mapInArrow(_runs(both), "lang string, words string, starts int, n long")
+    runs = runs.groupBy("lang", "words", "starts").agg(F.sum("n").alias("n"))
+    more = written(runs.mapInArrow(_stretches, "lang string, phrase string, " + ", ".join(f"{c} long" for c in _BY_SIZE)), "stretches")
+    more = more.select("lang", F.split("phrase", " ", -1).alias("words"), *_BY_SIZE)
     more = more.repartitionByRange("lang", "words").sortWithinPartitions("lang", "words").mapInArrow(_beginnings(least), "lang string, phrase string, size int, n long")
     more = more.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
     counts = one.select("lang", "phrase", F.lit(1).alias("size"), "a").unionByName(two).unionByName(more)
