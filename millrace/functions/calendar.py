@@ -68,7 +68,9 @@ def interval_days(interval: Column) -> Column:
 
 def interval_hours(interval: Column) -> Column:
     """All whole hours of an interval as an array of timestamps without zone."""
-    return F.flatten(F.transform(interval_days(interval), lambda d: F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: d.cast("timestamp_ntz") + F.make_dt_interval(hours=h))))
+    a, b = interval["date_a"].cast("timestamp_ntz"), interval["date_b"].cast("timestamp_ntz")
+    hour = F.make_dt_interval(hours=F.lit(1))
+    return F.when(b > a, F.sequence(a, b - hour, hour)).otherwise(F.array().cast("array<timestamp_ntz>"))
 
 
 def interval_next(interval: Column) -> Column:

@@ -635,8 +635,9 @@ def d3_interval_of(spark, sf):
 @query(f"""SELECT o_orderkey, CAST(unnest(generate_series(CAST(date_trunc('week', {ODATE}) AS TIMESTAMP), date_trunc('week', {ODATE}) + INTERVAL 6 DAY, INTERVAL 1 DAY)) AS DATE) AS day, 168 AS hours FROM orders""")
 def d4_expand(spark, sf):
     week = cal.interval_of("week", F.col("day"))
-    rows = odates(spark, sf).withColumn("i", week)
-    return rows.select("o_orderkey", F.explode(cal.interval_days(F.col("i"))).alias("day"), F.size(cal.interval_hours(F.col("i"))).alias("hours"))
+    # Hours are told before days are exploded: once an order, not once a day.
+    rows = odates(spark, sf).select("o_orderkey", week.alias("i")).withColumn("hours", F.size(cal.interval_hours(F.col("i"))))
+    return rows.select("o_orderkey", F.explode(cal.interval_days(F.col("i"))).alias("day"), "hours")
 
 
 @query(f"SELECT o_orderkey, text, CASE WHEN kind <> 'custom' THEN CAST(b AS DATE) END AS next_a, CASE WHEN kind <> 'custom' THEN CAST(a AS DATE) END AS prev_b FROM {INTERVALS_SQL}")
