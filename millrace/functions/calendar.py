@@ -5,11 +5,15 @@ An interval is a struct (kind, date_a, date_b), half open. Kinds: date, week (IS
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Text formats of typed dates, finest last.
 FORMATS = {"year": "yyyy", "month": "yyyy-MM", "date": "yyyy-MM-dd", "hour": "yyyy-MM-dd'T'HH", "minute": "yyyy-MM-dd'T'HHmm", "second": "yyyy-MM-dd'T'HHmmss"}
+#: Characters of an interval's text by kind.
+SIZES = {"year": 4, "month": 7, "week": 8, "date": 10, "custom": 21}
 #: Seconds of each unit in a duration's text.
 UNITS = {"w": 604800, "d": 86400, "h": 3600, "m": 60, "s": 1}
 
@@ -18,27 +22,38 @@ def _interval(kind: str, a: Column, b: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), a.cast("date").alias("date_a"), b.cast("date").alias("date_b"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def week_start(year: Column, week: Column) -> Column:
     """Monday of an ISO week; null for a week 53 that the year hasn't, and for weeks outside 1 to 53."""
-    start = F.date_add(F.date_trunc("week", F.make_date(year, F.lit(1), F.lit(4))).cast("date"), (week - 1) * 7)
-    same = F.extract(F.lit("YEAROFWEEK"), start) == year
-    return F.when((week >= 1) & same, start)
+    monday = F.date_add(F.trunc(F.make_date(year, F.lit(1), F.lit(4)), "week"), (week - 1) * 7)
+    return _let(monday, lambda start: F.when((week >= 1) & (F.extract(F.lit("YEAROFWEEK"), start) == year), start))
 
 
 def parse_interval(text: Column) -> Column:
     """Year YYYY, month YYYY-MM, week YYYY-Www, date, or date-date; null if the text is none of them or no such date."""
-    day = r"\d{4}-\d{2}-\d{2}"
-    as_date = lambda c: c.try_cast("date")
-    year, month = as_date(F.concat(text, F.lit("-01-01"))), as_date(F.concat(text, F.lit("-01")))
-    monday = week_start(F.substring(text, 1, 4).try_cast("int"), F.substring(text, 7, 2).try_cast("int"))
-    one, a, b = as_date(text), as_date(F.substring(text, 1, 10)), as_date(F.substring(text, 12, 10))
-    return (
-        F.when(text.rlike(r"^\d{4}$"), _interval("year", year, F.add_months(year, 12)))
-        .when(text.rlike(r"^\d{4}-\d{2}$") & month.isNotNull(), _interval("month", month, F.add_months(month, 1)))
-        .when(text.rlike(r"^\d{4}-W\d{2}$") & monday.isNotNull(), _interval("week", monday, F.date_add(monday, 7)))
-        .when(text.rlike(f"^{day}$") & one.isNotNull(), _interval("date", one, F.date_add(one, 1)))
-        .when(text.rlike(f"^{day}-{day}$") & a.isNotNull() & b.isNotNull(), _interval("custom", a, b))
-    )
+    shape = r"^(\d{4}(?:-W\d{2}|-\d{2}(?:-\d{2}(?:-\d{4}-\d{2}-\d{2})?)?)?)$"
+
+    def ends(form: Column) -> Column:
+        """One match has told the form: its length is another one for each kind, and 0 for none."""
+        n = F.length(form)
+        monday = week_start(F.substring(form, 1, 4).try_cast("int"), F.substring(form, 7, 2).try_cast("int"))
+        rest = F.when(n == SIZES["year"], "-01-01").when(n == SIZES["month"], "-01").otherwise("")
+        start = F.when(n == SIZES["week"], monday).otherwise(F.concat(F.substring(form, 1, 10), rest).try_cast("date"))
+        return F.when(n > 0, _let(start, lambda a: named(form, n, a)))  # a cast that fails costs an exception
+
+    def named(form: Column, n: Column, a: Column) -> Column:
+        of = lambda kind, b: _interval(kind, a, b)
+        last = F.when(n == SIZES["custom"], F.substring(form, 12, 10).try_cast("date"))
+        return (
+            F.when(a.isNull(), None).when(n == SIZES["year"], of("year", F.add_months(a, 12))).when(n == SIZES["month"], of("month", F.add_months(a, 1)))
+            .when(n == SIZES["week"], of("week", F.date_add(a, 7))).when(n == SIZES["date"], of("date", F.date_add(a, 1))).when(last.isNotNull(), of("custom", last))
+        )
+
+    return _let(F.regexp_extract(text, shape, 1), ends)
 
 
 def interval_text(interval: Column) -> Column:

@@ -611,8 +611,9 @@ INTERVALS_SQL = f"""(
 
 
 def intervals(spark, sf):
-    each = odates(spark, sf).select("o_orderkey", F.explode(_texts(F.col("day"))).alias("text"))
-    return each.withColumn("i", cal.parse_interval(F.col("text")))
+    # Parsed where they are exploded: a later filter on ``i`` isn't pushed below and parses no text again.
+    parsed = F.transform(_texts(F.col("day")), lambda text: F.struct(text.alias("text"), cal.parse_interval(text).alias("i")))
+    return odates(spark, sf).select("o_orderkey", F.inline(parsed))
 
 
 @query(f"""SELECT o_orderkey, kind, text, CAST(a AS DATE) AS date_a, CAST(b AS DATE) AS date_b FROM {INTERVALS_SQL}

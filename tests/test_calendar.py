@@ -20,3 +20,20 @@ def test_hours_are_told_once_an_order(spark, sf):
     days = spark.sql("SELECT * FROM VALUES (date'2024-02-28', date'2024-03-02'), (date'2024-01-02', date'2024-01-02'), (null, null) AS t(date_a, date_b)")
     got = [r.h for r in days.select(cal.interval_hours(F.struct("date_a", "date_b")).alias("h")).collect()]
     assert got == [[datetime(2024, 2, 28) + timedelta(hours=h) for h in range(72)], [], []]
+
+
+def test_a_text_is_parsed_once(spark, sf):
+    assert optimized(QUERIES["d2_interval_text"](spark, sf)).count("regexp_extract") == 1
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("2024", ("year", date(2024, 1, 1), date(2025, 1, 1))), ("2024-02", ("month", date(2024, 2, 1), date(2024, 3, 1))), ("2020-W53", ("week", date(2020, 12, 28), date(2021, 1, 4))),
+        ("2024-02-29", ("date", date(2024, 2, 29), date(2024, 3, 1))), ("2024-02-29-2024-02-01", ("custom", date(2024, 2, 29), date(2024, 2, 1))),
+        *((x, None) for x in ("2021-W53", "2024-W00", "2024-13", "2023-02-29", "2024-01-01-2023-02-29", "2023-02-29-2024-01-01", "", "x", "20245", "2024-W1", "2024-01-01 ", None)),
+    ],
+)
+def test_interval_texts(spark, text, want):
+    row = spark.createDataFrame([(text,)], "text string").select(cal.parse_interval(F.col("text")).alias("i")).first()
+    assert (row.i and tuple(row.i)) == want
