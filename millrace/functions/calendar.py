@@ -149,13 +149,18 @@ def format_typed_date(value: Column, kind: str) -> Column:
 def parse_duration(text: Column) -> Column:
     """Seconds of a bare number, of ISO PnDTnHnMnS or PnW, or of words such as "1 week 2 days"; null otherwise."""
     iso = r"^P(?:(\d+)W|(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?)$"
-    words = r"^\s*(?:(\d+)\s*(?:w|weeks?))?\s*(?:(\d+)\s*(?:d|days?))?\s*(?:(\d+)\s*(?:h|hours?))?\s*(?:(\d+)\s*(?:m|minutes?))?\s*(?:(\d+)\s*(?:s|seconds?))?\s*$"
+    # Possessive: what follows a number or spaces is never a digit or a space, so that no text is matched anew from its middle.
+    words = r"^\s*+(?:(\d++)\s*+(?:w|weeks?))?\s*+(?:(\d++)\s*+(?:d|days?))?\s*+(?:(\d++)\s*+(?:h|hours?))?\s*+(?:(\d++)\s*+(?:m|minutes?))?\s*+(?:(\d++)\s*+(?:s|seconds?))?\s*+$"
 
     def total(pattern: str) -> Column:
-        parts = [F.coalesce(F.regexp_extract(text, pattern, i + 1).try_cast("long"), F.lit(0)) * n for i, n in enumerate(UNITS.values())]
-        return sum(parts[1:], parts[0])
-
-    some = F.length(F.regexp_replace(text, r"\D", "")) > 0
+        """The units' numbers by one match, with an empty text for those that aren't there: a cast that fails costs an
+        exception, many times the match."""
+        parts = F.split(F.regexp_replace(text, pattern, "$1,$2,$3,$4,$5"), ",")
+        seconds = F.array(*(F.lit(n).cast("long") for n in UNITS.values()))
+        each = F.zip_with(parts, seconds, lambda part, n: F.when(part.rlike(r"^\d"), F.coalesce(part.try_cast("long"), F.lit(0)) * n).otherwise(0))
+        return F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a + b)
+
+    some = text.rlike(r"\d")
     return F.when(text.rlike(r"^\d+$"), text.try_cast("long")).when(text.rlike(iso) & some, total(iso)).when(text.rlike(words) & some, total(words))
 
 

@@ -37,3 +37,14 @@ def test_a_text_is_parsed_once(spark, sf):
 def test_interval_texts(spark, text, want):
     row = spark.createDataFrame([(text,)], "text string").select(cal.parse_interval(F.col("text")).alias("i")).first()
     assert (row.i and tuple(row.i)) == want
+
+
+def test_duration_texts(spark):
+    want = {
+        "P3DT2H": 266400, "P2W": 1209600, "PT1H2M3S": 3723, "P": None, "PT": None, "5": 5, " 5": None, "": None, "1 week 2 days": 777600, "  1w2d3h4m5s ": 788645, "3 weeks 3 minutes": 1814580,
+        "5 days or so": None, "2 days 1 week": None, "12 h\n": 43200, "P1D\n": 86400, "99999999999999999999 s": 0, None: None,
+    }
+    rows = spark.createDataFrame([(x,) for x in want], "text string").select("text", cal.parse_duration(F.col("text")).alias("s"))
+    assert {r.text: r.s for r in rows.collect()} == want
+    # One match a form, and no cast of a text that is no number.
+    assert optimized(rows).count("regexp_extract") == 0
