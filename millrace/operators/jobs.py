@@ -178,13 +178,36 @@ def column_statistics(df: DataFrame, mean: str, total: str) -> DataFrame:
     return df.agg(F.avg(mean).alias("mean"), F.sum(total).alias("total"))
 
 
+#: Blocks of users and of items, as many as ALS makes of its own accord.
+BLOCKS = 10
+
+
+def _block_ids(ids: DataFrame, name: str) -> DataFrame:
+    """(name, label): an int for each distinct id. Ids of a range share ``label % BLOCKS``, by which ALS deals them."""
+    from ..llm.common import written
+
+    dealt = ids.select(name).distinct().repartitionByRange(BLOCKS, name).sortWithinPartitions(name).select(name, F.monotonically_increasing_id().alias("at"))
+    label = F.shiftright("at", 33) + BLOCKS * F.col("at").bitwiseAND((1 << 33) - 1)
+    return written(dealt.select(name, label.cast("int").alias("label")), f"{name}-labels")
+
+
 def item_factors(ratings: DataFrame, rank: int = 40, iterations: int = 20, reg: float = 0.8, alpha: float = 150.0) -> DataFrame:
-    """Implicit ALS over user, item and rating: id and factors text, comma-separated with six decimals."""
+    """Implicit ALS over user, item and rating: id and factors text, comma-separated with six decimals.
+
+    ALS sends a side's factors in each iteration to all blocks of the other side that rate with them, up to BLOCKS copies
+    of each. Its blocks are made ranges of ids here, so that where ids that lie near each other rate with each other, most
+    factors go to one or two. Where ids tell nothing, there are as many copies as without.
+    """
     from pyspark.ml.recommendation import ALS
 
-    als = ALS(rank=rank, maxIter=iterations, regParam=reg, alpha=alpha, implicitPrefs=True, userCol="user", itemCol="item", ratingCol="rating", seed=1)
-    factors = als.fit(ratings).itemFactors
-    return factors.select("id", F.array_join(F.transform("features", lambda x: F.format_string("%.6f", x.cast("double"))), ",").alias("factors"))
+    from ..llm.common import written
+
+    ratings = written(ratings.select("user", "item", "rating"), "ratings")
+    users, items = _block_ids(ratings, "user"), _block_ids(ratings, "item")
+    labelled = ratings.join(users.withColumnRenamed("label", "u"), "user").join(items.withColumnRenamed("label", "i"), "item").select("u", "i", "rating")
+    als = ALS(rank=rank, maxIter=iterations, regParam=reg, alpha=alpha, implicitPrefs=True, userCol="u", itemCol="i", ratingCol="rating", seed=1, numUserBlocks=BLOCKS, numItemBlocks=BLOCKS)
+    factors = als.fit(labelled).itemFactors.join(items.withColumnRenamed("item", "item_id"), F.col("id") == F.col("label"))
+    return factors.select(F.col("item_id").alias("id"), F.array_join(F.transform("features", lambda x: F.format_string("%.6f", x.cast("double"))), ",").alias("factors"))
 
 
 def second_read(data: DataFrame, ids: DataFrame, key: str) -> DataFrame:
