@@ -7,10 +7,10 @@ counted in distinct chunks only, each times the chunk's frequency. One that star
 the next is left to the next one, where it is whole, so that every occurrence counts once.
 
 Words are counted first. Pairs of frequent words are then summed by the hashes of both words, which name the words again
-once few pairs are left. In a last pass the runs of words all of whose pairs are frequent are summed by their text; each
-distinct run tells one stretch for each word that stretches begin at, and sorted by their words they give the counts of
-all their beginnings. What tasks are told of frequent words and pairs is a filter of fixed size that never misses one, so
-that the counts are exact. Frequent words are told apart by 64 bits.
+once few pairs are left. The runs of words all of whose pairs are frequent are summed by their text. Triples are counted
+in them by hash alone, and only phrases all of whose triples are frequent are told, and summed, by their text, so that
+these rows are about the phrases that are found. What tasks are told of frequent words, pairs and triples is a filter of
+fixed size that never misses one, so that the counts are exact. Frequent words are told apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ OVERLAP, LONGEST = 4, 5
 TRIGGER = 16
 #: Longs of a filter: 16 MB, whatever it holds. Two bits an n-gram.
 FILTER_WORDS = 1 << 21
-#: Words of text that are parsed, and of chunks that are counted, at a time.
-BATCH_BYTES = 8 << 20
+#: Bytes of text that are parsed, and of chunks and runs that are counted, at a time.
+BATCH_BYTES, COUNT_BYTES = 8 << 20, 4 << 20
 _PIECES = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n\n\n\n\n\n\n\n\n\n abcdefghijklmnopqrstuvwxyz")
 _PLACE = multipliers(8, 23)
 
@@ -137,31 +138,49 @@ def _in_filter(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((table[(a >> np.uint64(6)).astype(np.int64)] >> (a & low)) & (table[(b >> np.uint64(6)).astype(np.int64)] >> (b & low)) & one) == 1
 
 
-class _Chunks:
-    """Chunks of a batch as one run of words: their hashes, in which language and chunk they are, and where chunks end."""
-
-    def __init__(self, batch: pa.RecordBatch, hashes: Hashes):
-        self.lists = [c.split(b" ") for c in as_bytes(batch["chunk"])]
-        sizes = np.array([len(w) for w in self.lists], np.int64)
-        self.ends = np.cumsum(sizes)
-        self.starts = self.ends - sizes
-        self.n = batch["n"].to_numpy()
-        self.ns = self.n.tolist()
-        self.langs = batch["lang"].to_pylist()
-        self.last = batch["last"].to_numpy(zero_copy_only=False)
-        salt = np.repeat(hashes.of([b"\0" + x.encode() for x in self.langs]), sizes)
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about COUNT_BYTES, none of them empty."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= COUNT_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+class _Words:
+    """Texts of a batch as one run of words: their hashes, in which text they are, and where texts start and end."""
+
+    def __init__(self, batch: pa.RecordBatch, column: str, hashes: Hashes):
+        lists = pc.split_pattern(batch[column].cast(pa.string()), " ")
+        self.words = lists.flatten()
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        self.starts, self.ends = bounds[:-1], bounds[1:]
+        self.text = np.repeat(np.arange(len(self.starts)), self.ends - self.starts)
+        self.lang, self.n = batch["lang"], batch["n"].to_numpy()
+        word, lang = self.words.dictionary_encode(), self.lang.dictionary_encode()
+        salt = hashes.of([b"\0" + x for x in as_bytes(lang.dictionary)])[lang.indices.to_numpy()]
         # A word of another language is another word.
-        self.h = mix64(hashes.of([w for x in self.lists for w in x]) + salt)
-        self.chunk = np.repeat(np.arange(len(sizes)), sizes)
+        self.h = mix64(hashes.of(as_bytes(word.dictionary))[word.indices.to_numpy()] + salt[self.text])
+
+    def within(self, size: int) -> np.ndarray:
+        """Whether the ``size`` words from each one on are of one text."""
+        return self.text[size - 1 :] == self.text[: max(len(self.text) - size + 1, 0)]
 
-    def own(self) -> np.ndarray:
-        """Whether n-grams that start at a word count here; those in the overlap count in the next chunk."""
-        room = np.where(self.last, 0, OVERLAP)
-        return np.arange(len(self.h)) < (self.ends - room)[self.chunk]
+    def joined(self, first: np.ndarray, end: np.ndarray) -> pa.Array:
+        """The words from each of ``first`` to before its ``end``, as texts."""
+        offsets = np.concatenate([[0], np.cumsum(end - first)])
+        at = np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], end - first)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.words.take(pa.array(at, pa.int64()))), " ")
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """The hash of each word and the next one, and whether they are of one chunk."""
-        return combined(self.h, 2), self.chunk[1:] == self.chunk[:-1]
+
+def _counted(c: _Words, batch: pa.RecordBatch) -> np.ndarray:
+    """Where n-grams of each chunk that count here have to start before: those in the overlap count in the next chunk."""
+    return c.ends - np.where(batch["last"].to_numpy(zero_copy_only=False), 0, OVERLAP)
 
 
 def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,14 +211,11 @@ def _pair_counts(frequent):
             np.add.at(total, of, n)
             return pa.RecordBatch.from_arrays([pa.array(first[at].view(np.int64)), pa.array(second[at].view(np.int64)), pa.array(total)], names=["h1", "h2", "n"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = _Chunks(batch, hashes)
-            known, own = _in_filter(table, c.h), c.own()
-            pair, whole = c.pairs()
-            keep = np.flatnonzero(whole & known[1:] & known[:-1] & own[:-1])
-            held.append((pair[keep], c.h[keep], c.h[keep + 1], c.n[c.chunk[keep]]))
+        for batch in _larger(batches):
+            c = _Words(batch, "chunk", hashes)
+            known, own = _in_filter(table, c.h), np.arange(len(c.h)) < _counted(c, batch)[c.text]
+            keep = np.flatnonzero(c.within(2) & known[1:] & known[:-1] & own[:-1])
+            held.append((combined(c.h, 2)[keep], c.h[keep], c.h[keep + 1], c.n[c.text[keep]]))
             size += len(keep)
             if size >= 1 << 21:
                 yield told()
@@ -210,120 +226,71 @@ def _pair_counts(frequent):
     return run
 
 
-#: Words of the shortest stretch, and a count for each number of words from that on.
+#: Words of the shortest run.
 SHORTEST = 3
-_BY_SIZE = [f"n{size}" for size in range(SHORTEST, LONGEST + 1)]
 
 
 def _runs(frequent):
-    """(lang, words, starts, n): the runs of SHORTEST words and more all of whose pairs are in the filter, summed over a
-    batch. Stretches begin at the first ``starts`` of its words; what the next chunk counts is left to it."""
+    """(lang, words, starts, n): the runs of SHORTEST words and more all of whose pairs are in the filter. Phrases begin at
+    the first ``starts`` of its words; what the next chunk counts is left to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table = Hashes(), frequent.value
-        found: dict[tuple[str, bytes, int], int] = {}
-
-        def told() -> pa.RecordBatch:
-            lang, words, starts = zip(*found, strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(starts, pa.int32()), pa.array(list(found.values()), pa.int64())], names=["lang", "words", "starts", "n"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = _Chunks(batch, hashes)
-            pair, whole = c.pairs()
-            good = np.concatenate([[False], whole & _in_filter(table, pair), [False]]).astype(np.int8)
+        for batch in _larger(batches):
+            c = _Words(batch, "chunk", hashes)
+            good = np.concatenate([[False], c.within(2) & _in_filter(table, combined(c.h, 2)), [False]]).astype(np.int8)
             first, stop = np.flatnonzero(np.diff(good) == 1), np.flatnonzero(np.diff(good) == -1)  # words first to stop
-            chunk = c.chunk[first]
-            last = np.minimum(stop - SHORTEST + 1, (c.ends - np.where(c.last, 0, OVERLAP))[chunk] - 1)
+            text = c.text[first]
+            last = np.minimum(stop - SHORTEST + 1, _counted(c, batch)[text] - 1)
             keep = last >= first
-            first, stop, chunk, last = first[keep], stop[keep], chunk[keep], last[keep]
-            begin = first - c.starts[chunk]
-            end = np.minimum(stop, last + LONGEST - 1) - c.starts[chunk] + 1
-            for i, a, b, starts in zip(chunk.tolist(), begin.tolist(), end.tolist(), (last - first + 1).tolist(), strict=True):
-                key = c.langs[i], b" ".join(c.lists[i][a:b]), starts
-                found[key] = found.get(key, 0) + c.ns[i]
-            if len(found) >= 1 << 19:
-                yield told()
-                found.clear()
-        yield told()
+            first, stop, text, last = first[keep], stop[keep], text[keep], last[keep]
+            words = c.joined(first, np.minimum(stop, last + LONGEST - 1) + 1)
+            yield pa.RecordBatch.from_arrays([c.lang.take(pa.array(text)), words, pa.array(last - first + 1, pa.int32()), pa.array(c.n[text])], names=["lang", "words", "starts", "n"])
 
     return run
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, n): from each start of a run the words, LONGEST at most, summed over a batch. Each stands for all its
-    beginnings of SHORTEST words and more. One that begins another one of the batch is no row of its own: ``n`` holds a
-    count for each number of words."""
-    found: dict[tuple[str, str], int] = {}
+def _starting(c: _Words, batch: pa.RecordBatch) -> np.ndarray:
+    """Whether phrases of a run begin at a word."""
+    return np.arange(len(c.h)) < (c.starts + batch["starts"].to_numpy())[c.text]
 
-    def told() -> pa.RecordBatch:
-        langs, phrases, counts = [], [], []
-        for lang, phrase in sorted(found, reverse=True):
-            if not phrases or langs[-1] != lang or not phrases[-1].startswith(phrase + " "):
-                langs.append(lang), phrases.append(phrase), counts.append([0] * len(_BY_SIZE))
-            counts[-1][phrase.count(" ") + 1 - SHORTEST] += found[lang, phrase]
-        columns = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)] or [pa.array([], pa.int64())] * len(_BY_SIZE)
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), *columns], names=["lang", "phrase", *_BY_SIZE])
-
-    for batch in batches:
-        for lang, words, starts, n in zip(*(batch[c].to_pylist() for c in ("lang", "words", "starts", "n")), strict=True):
-            row = words.split(" ")
-            for at in range(starts):
-                key = lang, " ".join(row[at : at + LONGEST])
-                found[key] = found.get(key, 0) + n
-        if len(found) >= 1 << 19:
-            yield told()
-            found.clear()
-    yield told()
 
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, n): the hash of each triple of a run."""
+    hashes = Hashes()
+    for batch in _larger(batches):
+        c = _Words(batch, "words", hashes)
+        keep = np.flatnonzero(_starting(c, batch))
+        yield pa.RecordBatch.from_arrays([pa.array(combined(c.h, SHORTEST)[keep].view(np.int64)), pa.array(c.n[c.text[keep]])], names=["h", "n"])
 
-def _beginnings(least: int):
-    """Sums by beginning of SHORTEST words and more, from rows sorted by their words: one row and its beginnings are in memory.
 
-    Sums below ``least`` are left out, but for the beginnings of a partition's first and last row, which others may have
-    more of.
-    """
+def _phrases(frequent):
+    """(lang, phrase, size, n): the phrases of SHORTEST words and more of a run all of whose triples are in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang, words = None, []
-        sums = [0] * (LONGEST + 1)  # by number of words
-        edge = LONGEST + 1  # beginnings of fewer words than this are the first row's
-        out: list[tuple] = []
-
-        def close(keep: int, everything: bool = False) -> None:
-            nonlocal edge
-            for size in range(max(keep + 1, SHORTEST), len(words) + 1):
-                if everything or size < edge or sums[size] >= least:
-                    out.append((lang, " ".join(words[:size]), size, sums[size]))
-                sums[size] = 0
-            edge = min(edge, max(keep + 1, SHORTEST))
-
-        def told() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "phrase", "size", "n"])
-
-        for batch in batches:
-            for x, new, *counts in zip(batch["lang"].to_pylist(), batch["words"].to_pylist(), *(batch[c].to_pylist() for c in _BY_SIZE), strict=True):
-                same = 0
-                if x == lang:
-                    while same < min(len(words), len(new)) and words[same] == new[same]:
-                        same += 1
-                if words:
-                    close(same)
-                lang, words = x, new
-                n = 0
-                for size in range(len(new), SHORTEST - 1, -1):
-                    n += counts[size - SHORTEST]
-                    sums[size] += n
-            yield told()
-        close(0, True)
-        yield told()
+        hashes, table = Hashes(), frequent.value
+        for batch in _larger(batches):
+            c = _Words(batch, "words", hashes)
+            triple = c.within(SHORTEST) & _in_filter(table, combined(c.h, SHORTEST))
+            good, own = triple, _starting(c, batch)
+            for size in range(SHORTEST, LONGEST + 1):
+                at = np.flatnonzero(good & own[: len(good)])
+                yield pa.RecordBatch.from_arrays([c.lang.take(pa.array(c.text[at])), c.joined(at, at + size), pa.array(np.full(len(at), size, np.int32)), pa.array(c.n[c.text[at]])], names=["lang", "phrase", "size", "n"])
+                good = good[:-1] & triple[size - SHORTEST + 1 :]
 
     return run
 
 
+def long_phrases(entries: DataFrame, pairs, least: int) -> DataFrame:
+    """(lang, phrase, size, n) of the phrases of SHORTEST words and more that may occur ``least`` times, a row for each
+    distinct run that has one: none that does occur so often is missing."""
+    runs = entries.select("lang", "chunk", "last", "n").mapInArrow(_runs(pairs), "lang string, words string, starts int, n long")
+    runs = written(runs.groupBy("lang", "words", "starts").agg(F.sum("n").alias("n")), "runs")
+    triples = runs.mapInArrow(_triples, "h long, n long").groupBy("h").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    table = entries.sparkSession.sparkContext.broadcast(_hash_filter(triples.select("h")))
+    return runs.mapInArrow(_phrases(table), "lang string, phrase string, size int, n long")
+
+
 def phrase_counts(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, a) of the phrases of one to LONGEST words that occur ``least`` times or more, and (lang, n)."""
     spark: SparkSession = docs.sparkSession
@@ -343,12 +310,7 @@ def phrase_counts(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFra
     both = spark.sparkContext.broadcast(_hash_filter(pairs.mapInArrow(_pair_hashes, "h long")))
     second = hashed.select(F.col("h").alias("h2"), F.col("word").alias("second"))
     two = pairs.join(hashed.withColumnRenamed("h", "h1"), "h1").join(second, "h2").select("lang", F.concat_ws(" ", "word", "second").alias("phrase"), F.lit(2).alias("size"), "a")
-    runs = entries.select("lang", "chunk", "last", "n").mapInArrow(_runs(both), "lang string, words string, starts int, n long")
-    runs = runs.groupBy("lang", "words", "starts").agg(F.sum("n").alias("n"))
-    more = written(runs.mapInArrow(_stretches, "lang string, phrase string, " + ", ".join(f"{c} long" for c in _BY_SIZE)), "stretches")
-    more = more.select("lang", F.split("phrase", " ", -1).alias("words"), *_BY_SIZE)
-    more = more.repartitionByRange("lang", "words").sortWithinPartitions("lang", "words").mapInArrow(_beginnings(least), "lang string, phrase string, size int, n long")
-    more = more.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    more = long_phrases(entries, both, least).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
     counts = one.select("lang", "phrase", F.lit(1).alias("size"), "a").unionByName(two).unionByName(more)
     return written(counts, "phrases"), written(totals, "totals")
 
