@@ -16,7 +16,7 @@ fixed size that never misses one, so that the counts are exact. Frequent words a
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,10 @@ TRIGGER = 16
 #: Longs of a filter: 16 MB, whatever it holds. Two bits an n-gram.
 FILTER_WORDS = 1 << 21
 #: Bytes of text that are parsed, and of chunks and runs that are counted, at a time.
-BATCH_BYTES, COUNT_BYTES = 8 << 20, 4 << 20
+BATCH_BYTES, COUNT_BYTES = 4 << 20, 2 << 20
+#: Texts that are taken out of an Arrow batch, pairs that are summed, and rows that are returned, at a time: what a worker
+#: holds, and what the executor's JVM holds of its rows beside its heap, depends on these and not on Spark's batches.
+TEXT_ROWS, PAIR_ROWS, OUT_ROWS = 128, 1 << 19, 1 << 15
 _PIECES = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n\n\n\n\n\n\n\n\n\n abcdefghijklmnopqrstuvwxyz")
 _PLACE = multipliers(8, 23)
 
@@ -42,7 +45,7 @@ _PLACE = multipliers(8, 23)
 class Hashes(dict):
     """Word to 64-bit hash, remembered for up to ``keep`` words."""
 
-    def __init__(self, keep: int = 1 << 19):
+    def __init__(self, keep: int = 1 << 17):
         self.keep = keep
 
     def __missing__(self, word: bytes) -> int:
@@ -90,6 +93,13 @@ def chunks_of(pieces: list[list[bytes]], hashes: Hashes, trigger: int = TRIGGER)
     return found
 
 
+def _cut(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, none of them empty."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = Hashes()
 
@@ -103,15 +113,15 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     found: dict[str, Counter] = {}
     size = 0
-    for batch in batches:
+    for batch in _cut(batches, TEXT_ROWS):
         for lang, text in zip(batch["lang"].to_pylist(), as_bytes(batch["text"]), strict=True):
             pieces = [w for w in map(bytes.split, text.translate(_PIECES).split(b"\n")) if w]
             found.setdefault(lang, Counter()).update(chunks_of(pieces, hashes))
             size += len(text)
             if size >= BATCH_BYTES:
-                yield told(found)
+                yield from _cut([told(found)], OUT_ROWS)
                 found, size = {}, 0
-    yield told(found)
+    yield from _cut([told(found)], OUT_ROWS)
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -138,16 +148,27 @@ def _in_filter(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((table[(a >> np.uint64(6)).astype(np.int64)] >> (a & low)) & (table[(b >> np.uint64(6)).astype(np.int64)] >> (b & low)) & one) == 1
 
 
-def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches joined to about COUNT_BYTES, none of them empty."""
+def _halved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most COUNT_BYTES, or of one longer row."""
+    if batch.num_rows < 2 or batch.nbytes <= COUNT_BYTES:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from _halved(batch.slice(0, half))
+    yield from _halved(batch.slice(half))
+
+
+def _larger(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined, or cut between rows, to about COUNT_BYTES, none of them empty."""
     held, size = [], 0
     for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            size += batch.nbytes
-        if size >= COUNT_BYTES:
-            yield pa.concat_batches(held)
-            held, size = [], 0
+        for part in _halved(batch):
+            if part.num_rows:
+                held.append(part)
+                size += part.nbytes
+            if size >= COUNT_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
     if held:
         yield pa.concat_batches(held)
 
@@ -199,17 +220,19 @@ def _pair_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pair_counts(frequent):
-    """Counts of the pairs of frequent words by the words' hashes, summed over a batch."""
+    """Counts of the pairs of frequent words by the words' hashes, summed over about PAIR_ROWS of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table, held, size = Hashes(), frequent.value, [], 0
 
-        def told() -> pa.RecordBatch:
+        def told() -> Iterator[pa.RecordBatch]:
             pair, first, second, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, at, of = np.unique(pair, return_index=True, return_inverse=True)
-            total = np.zeros(len(at), np.int64)
-            np.add.at(total, of, n)
-            return pa.RecordBatch.from_arrays([pa.array(first[at].view(np.int64)), pa.array(second[at].view(np.int64)), pa.array(total)], names=["h1", "h2", "n"])
+            held.clear()
+            order = np.argsort(pair)
+            pair = pair[order]
+            new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]) if len(pair) else pair)
+            total, at = np.add.reduceat(n[order], new) if len(new) else n, order[new]
+            return _cut([pa.RecordBatch.from_arrays([pa.array(first[at].view(np.int64)), pa.array(second[at].view(np.int64)), pa.array(total)], names=["h1", "h2", "n"])], OUT_ROWS)
 
         for batch in _larger(batches):
             c = _Words(batch, "chunk", hashes)
@@ -217,11 +240,11 @@ def _pair_counts(frequent):
             keep = np.flatnonzero(c.within(2) & known[1:] & known[:-1] & own[:-1])
             held.append((combined(c.h, 2)[keep], c.h[keep], c.h[keep + 1], c.n[c.text[keep]]))
             size += len(keep)
-            if size >= 1 << 21:
-                yield told()
-                held, size = [], 0
+            if size >= PAIR_ROWS:
+                yield from told()
+                size = 0
         if held:
-            yield told()
+            yield from told()
 
     return run
 
@@ -245,7 +268,8 @@ def _runs(frequent):
             keep = last >= first
             first, stop, text, last = first[keep], stop[keep], text[keep], last[keep]
             words = c.joined(first, np.minimum(stop, last + LONGEST - 1) + 1)
-            yield pa.RecordBatch.from_arrays([c.lang.take(pa.array(text)), words, pa.array(last - first + 1, pa.int32()), pa.array(c.n[text])], names=["lang", "words", "starts", "n"])
+            told = pa.RecordBatch.from_arrays([c.lang.take(pa.array(text)), words, pa.array(last - first + 1, pa.int32()), pa.array(c.n[text])], names=["lang", "words", "starts", "n"])
+            yield from _cut([told], OUT_ROWS)
 
     return run
 
@@ -261,7 +285,8 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _larger(batches):
         c = _Words(batch, "words", hashes)
         keep = np.flatnonzero(_starting(c, batch))
-        yield pa.RecordBatch.from_arrays([pa.array(combined(c.h, SHORTEST)[keep].view(np.int64)), pa.array(c.n[c.text[keep]])], names=["h", "n"])
+        told = pa.RecordBatch.from_arrays([pa.array(combined(c.h, SHORTEST)[keep].view(np.int64)), pa.array(c.n[c.text[keep]])], names=["h", "n"])
+        yield from _cut([told], OUT_ROWS)
 
 
 def _phrases(frequent):
@@ -275,7 +300,8 @@ def _phrases(frequent):
             good, own = triple, _starting(c, batch)
             for size in range(SHORTEST, LONGEST + 1):
                 at = np.flatnonzero(good & own[: len(good)])
-                yield pa.RecordBatch.from_arrays([c.lang.take(pa.array(c.text[at])), c.joined(at, at + size), pa.array(np.full(len(at), size, np.int32)), pa.array(c.n[c.text[at]])], names=["lang", "phrase", "size", "n"])
+                told = pa.RecordBatch.from_arrays([c.lang.take(pa.array(c.text[at])), c.joined(at, at + size), pa.array(np.full(len(at), size, np.int32)), pa.array(c.n[c.text[at]])], names=["lang", "phrase", "size", "n"])
+                yield from _cut([told], OUT_ROWS)
                 good = good[:-1] & triple[size - SHORTEST + 1 :]
 
     return run

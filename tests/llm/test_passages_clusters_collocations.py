@@ -5,7 +5,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
+from collections import Counter
 from fractions import Fraction
+from itertools import pairwise
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -271,3 +275,35 @@ def test_words_of_larger_batches(monkeypatch):
         assert c.h.tolist() == h and c.joined(c.starts, c.ends).to_pylist() == batch["chunk"].to_pylist()
         seen += want
     assert seen == [("en", "é"), ("en", "b"), ("fr", "b"), ("fr", "c"), ("fr", "d"), ("en", "x\xa0y"), ("fr", "b")]
+
+
+@pytest.mark.parametrize("step", ["parse", "pairs", "runs", "triples", "phrases"])
+def test_workers_hold_little_of_a_large_batch(step):
+    """A batch of 9 MB is taken in parts, and what is returned comes in small batches, with the same sums."""
+    rng, rows, size = np.random.default_rng(5), 4000, 400
+    words = np.array([f"w{i}" for i in range(5000)])[rng.integers(0, 5000, (rows, size))]
+    texts, full = [" ".join(x) for x in words], SimpleNamespace(value=np.full(collocations.FILTER_WORDS, -1, np.int64).view(np.uint64))
+    run, columns, n = {
+        "parse": (collocations._parse, {"text": texts}, None),
+        "pairs": (collocations._pair_counts(full), {"chunk": texts, "last": [True] * rows}, size - 1),
+        "runs": (collocations._runs(full), {"chunk": texts, "last": [True] * rows}, 1),
+        "triples": (collocations._triples, {"words": texts, "starts": [size - 2] * rows}, size - 2),
+        "phrases": (collocations._phrases(full), {"words": texts, "starts": [size - 2] * rows}, 3 * (size - 3)),
+    }[step]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * rows} | columns | {"n": [1] * rows})
+    seen, sizes, summed = Counter(), [], 0
+    tracemalloc.start()
+    try:
+        for out in run(iter([batch])):
+            sizes.append(out.nbytes)
+            summed += int(out["n"].to_numpy().sum())
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert max(sizes) < 6 << 20 and most < 90 << 20
+    assert n is None or summed == n * rows
+    if step == "pairs":
+        for out in run(iter([batch])):
+            for h1, h2, k in zip(*(out[c].to_pylist() for c in ("h1", "h2", "n")), strict=True):
+                seen[h1, h2] += k
+        assert sorted(seen.values()) == sorted(Counter(p for x in words.tolist() for p in pairwise(x)).values())
