@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
@@ -74,6 +76,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name)[0]
 
 
+#: Seconds between two collections of the driver's garbage while a long job runs.
+COLLECT_S = 5.0
+
+
+@contextmanager
+def garbage_collected(spark: SparkSession) -> Iterator[None]:
+    """While the block runs, and once when it ends, the driver's JVM collects its garbage.
+
+    Spark deletes a shuffle's files once nothing on the driver refers to it and the JVM has noticed, which a driver with
+    memory to spare may not do for half an hour. ``spark.cleaner.periodicGC.interval`` does the same for a whole session,
+    but can't be set in one that runs.
+    """
+    ended = threading.Event()
+
+    def collect() -> None:
+        while not ended.wait(COLLECT_S):
+            spark.sparkContext._jvm.System.gc()
+
+    thread = threading.Thread(target=collect, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        ended.set()
+        thread.join()
+        spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of a table that may be broadcast, and parts that a group's rows are dealt to if it has more.
 BROADCAST_ROWS, PARTS = 50_000, 64
 

@@ -197,16 +197,24 @@ def item_factors(ratings: DataFrame, rank: int = 40, iterations: int = 20, reg:
     ALS sends a side's factors in each iteration to all blocks of the other side that rate with them, up to BLOCKS copies
     of each. Its blocks are made ranges of ids here, so that where ids that lie near each other rate with each other, most
     factors go to one or two. Where ids tell nothing, there are as many copies as without.
+
+    Each iteration is checkpointed, so that it refers to no earlier one, and the driver's garbage is collected meanwhile:
+    the disk holds the shuffles of an iteration or two, not of all, and none of the joins that told the labels.
     """
     from pyspark.ml.recommendation import ALS
 
-    from ..llm.common import written
-
-    ratings = written(ratings.select("user", "item", "rating"), "ratings")
-    users, items = _block_ids(ratings, "user"), _block_ids(ratings, "item")
-    labelled = ratings.join(users.withColumnRenamed("label", "u"), "user").join(items.withColumnRenamed("label", "i"), "item").select("u", "i", "rating")
-    als = ALS(rank=rank, maxIter=iterations, regParam=reg, alpha=alpha, implicitPrefs=True, userCol="u", itemCol="i", ratingCol="rating", seed=1, numUserBlocks=BLOCKS, numItemBlocks=BLOCKS)
-    factors = als.fit(labelled).itemFactors.join(items.withColumnRenamed("item", "item_id"), F.col("id") == F.col("label"))
+    from ..llm.common import delete, garbage_collected, shared_path, stored, written
+
+    spark = ratings.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_path(spark, "checkpoints"))
+    with garbage_collected(spark):
+        ratings, path = stored(ratings.select("user", "item", "rating"), "ratings")
+        users, items = _block_ids(ratings, "user"), _block_ids(ratings, "item")
+        labelled = written(ratings.join(users.withColumnRenamed("label", "u"), "user").join(items.withColumnRenamed("label", "i"), "item").select("u", "i", "rating"), "labelled")
+        delete(spark, path)
+        als = ALS(rank=rank, maxIter=iterations, regParam=reg, alpha=alpha, implicitPrefs=True, userCol="u", itemCol="i", ratingCol="rating", seed=1, numUserBlocks=BLOCKS, numItemBlocks=BLOCKS, checkpointInterval=1)
+        factors = written(als.fit(labelled).itemFactors, "factors").join(items.withColumnRenamed("item", "item_id"), F.col("id") == F.col("label"))
     return factors.select(F.col("item_id").alias("id"), F.array_join(F.transform("features", lambda x: F.format_string("%.6f", x.cast("double"))), ",").alias("factors"))
 
 
